@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hash_tree, mixing
+from ..session import ship_package
+from . import blocks, hash_tree, kneser_ney, mixing, ogg
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship_package(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op3_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,8 +45,25 @@ def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "region", "rack")
 
 
+def op1_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text through an Ogg file of 8-bit samples; the file itself is left out of the result."""
+    return ogg.media_column(table(spark, sf_dir, "documents"), with_media=False)
+
+
+def op7_text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return kneser_ney.score(docs, kneser_ney.fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ogg": op1_ogg,
     "op3_mixing_sources": op3_mixing_sources,
+    "op7_text_blocks": op7_text_blocks,
+    "op8_kneser_ney": op8_kneser_ney,
     "op10_hash_tree": op10_hash_tree,
 }
 ORACLE_SQL: dict[str, str] = {"op3_mixing_sources": OP3_SQL}
