@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import blocks, hash_tree, kneser_ney, mixing, ogg
+from . import blocks, hash_tree, kneser_ney, mixing, ogg, partenum
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op1_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_column(table(spark, sf_dir, "documents"), with_media=False)
 
 
+def op2_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op7_text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.extract(table(spark, sf_dir, "pages"))
 
@@ -61,6 +65,7 @@ def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ogg": op1_ogg,
+    "op2_partenum": op2_partenum,
     "op3_mixing_sources": op3_mixing_sources,
     "op7_text_blocks": op7_text_blocks,
     "op8_kneser_ney": op8_kneser_ney,
