@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, CHUNK_BYTES, LOWER, flat_bytes, text_chunks, words
+from .common import BLANK, CHUNK_BYTES, LOWER, cut, flat_bytes, text_chunks, words
 
 CONTEXT = 5
 BEGIN, END = 2, 3
@@ -208,7 +208,7 @@ def _shared(docs: DataFrame, grams: np.ndarray) -> np.ndarray:
     import pandas as pd
 
     wanted = spark.createDataFrame(pd.DataFrame({"context": contexts}), "context long")
-    rows = tails.withColumn("context", F.shiftright("tail", 8)).join(F.broadcast(wanted), "context")
+    rows = cut(tails.withColumn("context", F.shiftright("tail", 8)).join(F.broadcast(wanted), "context"))
     sums = rows.groupBy("context").agg(F.sum("c").alias("s"), F.count("*").alias("t")).toArrow()
     own = rows.join(F.broadcast(spark.createDataFrame(pd.DataFrame({"tail": needed}), "tail long")), "tail").select("tail", "c").toArrow()
     s_code, s, t = (np.asarray(sums[x]) for x in ("context", "s", "t"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import blocks, hash_tree, kneser_ney, mixing, ogg, partenum
+from . import blocks, hash_tree, kneser_ney, mixing, ogg, partenum, range_coder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,17 @@ FROM e
 """
 
 
+def tokenizer_path(name: str) -> str:
+    """A public vocabulary file; the package that knows the place is beside pyspark on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op9_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return range_coder.encode_table(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards 0 to 23 of equal weight under the law `key`."""
     placed = hash_tree.shard_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), 24)
@@ -69,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing_sources": op3_mixing_sources,
     "op7_text_blocks": op7_text_blocks,
     "op8_kneser_ney": op8_kneser_ney,
+    "op9_range_coder": op9_range_coder,
     "op10_hash_tree": op10_hash_tree,
 }
 ORACLE_SQL: dict[str, str] = {"op3_mixing_sources": OP3_SQL}
