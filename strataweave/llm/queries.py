@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import blocks, hash_tree, kneser_ney, mixing, ogg, partenum, range_coder
+from . import blocks, hash_tree, kneser_ney, mixing, ogg, partenum, range_coder, viterbi
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op2_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op4_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return viterbi.ids_of(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op7_text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.extract(table(spark, sf_dir, "pages"))
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ogg": op1_ogg,
     "op2_partenum": op2_partenum,
     "op3_mixing_sources": op3_mixing_sources,
+    "op4_viterbi": op4_viterbi,
     "op7_text_blocks": op7_text_blocks,
     "op8_kneser_ney": op8_kneser_ney,
     "op9_range_coder": op9_range_coder,
