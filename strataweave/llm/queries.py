@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import blocks, hash_tree, kneser_ney, mixing, ogg, partenum, range_coder, viterbi
+from . import blocks, bwt, hash_tree, kneser_ney, mixing, ogg, partenum, range_coder, viterbi
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,10 @@ def op4_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return viterbi.ids_of(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op5_bwt_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt.removed_bytes(table(spark, sf_dir, "documents"))
+
+
 def op7_text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.extract(table(spark, sf_dir, "pages"))
 
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_partenum": op2_partenum,
     "op3_mixing_sources": op3_mixing_sources,
     "op4_viterbi": op4_viterbi,
+    "op5_bwt_merge": op5_bwt_merge,
     "op7_text_blocks": op7_text_blocks,
     "op8_kneser_ney": op8_kneser_ney,
     "op9_range_coder": op9_range_coder,
