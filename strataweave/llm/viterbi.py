@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import CHUNK_BYTES, flat_bytes, text_chunks
 
@@ -233,7 +234,7 @@ def encode_column(docs: DataFrame, path: str) -> DataFrame:
     """
     kept = [c for c in docs.columns if c not in ("ids", "n_ids", "decoded_crc32")]
     source = docs.select(*kept)
-    schema = source.schema.add("ids", "array<int>").add("n_ids", "bigint").add("decoded_crc32", "bigint")
+    schema = T.StructType([*source.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_ids", T.LongType()), T.StructField("decoded_crc32", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches, limit=2 * CHUNK_BYTES):
@@ -252,7 +253,7 @@ def decode_column(docs: DataFrame, path: str, ids: str = "ids", text: str = "tex
     """docs with the text of ids in column text; null ids give null, no ids the empty text."""
     kept = [c for c in docs.columns if c != text]
     source = docs.select(*kept)
-    schema = source.schema.add(text, "string")
+    schema = T.StructType([*source.schema.fields, T.StructField(text, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
