@@ -28,7 +28,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import C1, components, cut, flat_bytes, input_bytes, mix, text_chunks, words
@@ -196,7 +195,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offsets = np.append(0, np.cumsum(n * 8)).astype(np.int64)
         elements = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(h))]).cast(pa.binary())
         raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(n), [None, pa.py_buffer(np.ascontiguousarray(prints))]).cast(pa.binary())
-        yield pa.RecordBatch.from_arrays([raw, pa.array(n.astype(np.int64)), elements], names=["set", "n", "elements"])
+        yield pa.RecordBatch.from_arrays([raw, pa.array(n.astype(np.int64)), elements, pa.array(np.ascontiguousarray(prints[:, 0]).view(np.int64))], names=["set", "n", "elements", "key"])
 
 
 # --- signatures ---------------------------------------------------------------------------------------------------
@@ -276,47 +275,98 @@ def _tests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(worst), pa.int32()), pa.array(list(worst.values()), pa.int32())], names=["band", "choice"])
 
 
-def _signing(chosen: dict[int, int]):
+def _signing(chosen: dict[int, int], buckets: int):
+    """Of each chunk of sets: a row that names them, and a row for each bucket of signatures to be counted."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets, band, keep, total, tokens = [], [], [], [], []
+        context = TaskContext.get()
+        task = (context.partitionId() if context else 0) << 32
+        for number, batch in enumerate(text_chunks(batches, "elements")):
+            key, keep, total, tokens = [], [], [], [np.zeros(0, np.uint64)]
             for s, elements in _each(iter([batch])):
                 lows = bands(2 * len(elements) + 2)
                 for b in _home(lows, len(elements)):
-                    if b not in chosen:
-                        continue
                     high = int(lows[b + 1]) - 1
-                    if 2 * high // 7 >= len(elements):
-                        continue
-                    token, spare = signatures(elements, b, high, choices(high)[chosen[b]])
-                    token = np.unique(token)
-                    sets.append(s)
-                    band.append(b)
-                    total.append(len(token))
-                    keep.append(len(token) - max(spare, 0))
-                    tokens.append(token.view(np.int64))
-            if sets:
-                each = np.repeat(np.arange(len(sets)), total)
-                columns = [pa.array(sets, pa.binary()).take(pa.array(each)), *[pa.array(np.asarray(x, np.int32)[each]) for x in (band, keep, total)], pa.array(np.concatenate(tokens))]
-                yield pa.RecordBatch.from_arrays(columns, names=["set", "band", "keep", "total", "token"])
+                    if b in chosen and 2 * high // 7 < len(elements):
+                        token, spare = signatures(elements, b, high, choices(high)[chosen[b]])
+                        token = np.unique(token)
+                        key.append(int.from_bytes(s[:8], "little", signed=True))
+                        total.append(len(token))
+                        keep.append(len(token) - max(spare, 0))
+                        tokens.append(token)
+            token = np.concatenate(tokens)
+            row = np.repeat(np.arange(len(key), dtype=np.uint32), total)
+            bucket = ((token >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            bucket, row, low = bucket[order], row[order], (token[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            edges = np.searchsorted(bucket, np.arange(buckets + 1))
+            chunk = task + number
+            out = ([chunk % buckets], [np.array([key, keep, total], np.int64).tobytes()], [b""])
+            for b in np.flatnonzero(edges[1:] > edges[:-1]):
+                for column, value in zip(out, (int(b), row[edges[b] : edges[b + 1]].tobytes(), low[edges[b] : edges[b + 1]].tobytes()), strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array([chunk] * len(out[0]), pa.int64()), pa.array([True] + [False] * (len(out[0]) - 1)), _binary(out[1]), _binary(out[2])], names=["bucket", "chunk", "known", "a", "b"])
 
     return run
 
 
-def candidates(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(token, set) of the signatures kept, and (set, pivot): each set with the smallest that shares a kept signature."""
+def _frequent(group: pa.Table) -> pa.Table:
+    """For each chunk that asked: which of its signatures in this bucket are in two sets or more, and in how many."""
+    known, chunk, bucket = group["known"].to_pylist(), group["chunk"], group["bucket"][0].as_py()
+    a, b = group["a"].to_pylist(), group["b"].to_pylist()
+    low = [np.frombuffer(x, np.uint32) for x in b]
+    _, place, count = np.unique(np.concatenate(low), return_inverse=True, return_counts=True)
+    df, at = count[place], 0
+    out = []
+    for i, k in enumerate(known):
+        n = len(low[i])
+        met, mine = df[at : at + n] > 1, df[at : at + n]
+        at += n
+        if k:
+            out.append(a[i])
+        else:
+            row = np.frombuffer(a[i], np.uint32)[met].astype(np.int64)
+            out.append(np.stack([row << 32 | np.minimum(mine[met], (1 << 32) - 1), low[i][met].astype(np.int64) | np.int64(bucket) << 32]).tobytes())
+    return pa.table([chunk, group["known"], _binary(out)], names=["chunk", "known", "payload"])
+
+
+def _keep(group: pa.Table) -> pa.Table:
+    """(token, key) of the signatures that a chunk's sets keep: the rarest, of which those of one set alone come first."""
+    known, payload = group["known"].to_pylist(), group["payload"].to_pylist()
+    key, keep, total = np.frombuffer(payload[known.index(True)], np.int64).reshape(3, -1)
+    parts = [np.frombuffer(p, np.int64).reshape(2, -1) for k, p in zip(known, payload, strict=True) if not k]
+    met = np.concatenate([*parts, np.zeros((2, 0), np.int64)], axis=1)
+    order = np.lexsort((met[1], met[0]))  # by set, frequency and signature
+    row, token = met[0][order] >> 32, met[1][order]
+    n = np.bincount(row, minlength=len(key))
+    rank = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    kept = rank < (keep - (total - n))[row]
+    return pa.table([pa.array(token[kept]), pa.array(key[row[kept]])], names=["token", "key"])
+
+
+def candidates(sets: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """(token, key) of the signatures kept, and (key, pivot): each set with the smallest that shares a kept signature.
+
+    key is the first 8 bytes of a set's fingerprint.  Should two sets' be alike, they only become candidates.
+    """
     tested = sets.select("set", "elements").mapInArrow(_tests, "band int, choice int").groupBy("band").agg(F.max("choice").alias("choice"))
     chosen = {r["band"]: r["choice"] for r in tested.collect()}  # a row for each power of 4/3 up to the largest set
-    tokens = sets.select("set", "elements").mapInArrow(_signing(chosen), "set binary, band int, keep int, total int, token long")
-    tokens = cut(tokens)
-    often = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    met = tokens.join(often, "token")
-    mine = W.partitionBy("set", "band")
-    # signatures of one set alone are the rarest, and use up what is kept
-    ranked = met.withColumn("n", F.count("*").over(mine)).withColumn("rank", F.row_number().over(mine.orderBy("df", "token")))
-    kept = cut(ranked.where("rank <= keep - (total - n)").select("token", "set"))
-    pivots = kept.groupBy("token").agg(F.min("set").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    return kept, kept.join(pivots.select("token", "pivot"), "token").where("set <> pivot").select("set", "pivot").distinct()
+    asked = sets.select("set", "elements").mapInArrow(_signing(chosen, buckets), "bucket int, chunk long, known boolean, a binary, b binary")
+    told = asked.groupBy("bucket").applyInArrow(_frequent, "chunk long, known boolean, payload binary")
+    kept = cut(told.groupBy("chunk").applyInArrow(_keep, "token long, key long"))
+    pivots = kept.groupBy("token").agg(F.min("key").alias("pivot"), F.count("*").alias("n")).where("n > 1")
+    return kept, kept.join(pivots.select("token", "pivot"), "token").where("key <> pivot").select("key", "pivot").distinct()
+
+
+def possible_ids(ids: DataFrame, most_bits: int = 1 << 28):
+    """A Bloom filter of ids, of 16 bits each and most_bits at most: what it lets through besides does no harm."""
+    n = ids.count()
+    bits = min(most_bits, 1 << max(16, math.ceil(math.log2(16 * n + 1))))
+    places = ids.select(F.explode(F.array(*[F.pmod(F.xxhash64("doc_id", F.lit(i)), F.lit(bits)) for i in range(3)])).alias("p"))
+    held = places.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("v")).toArrow()
+    words_ = np.zeros(bits // 64, np.int64)
+    words_[np.asarray(held["w"])] = np.asarray(held["v"])
+    return ids.sparkSession.sparkContext.broadcast(words_), bits
 
 
 # --- exact search -------------------------------------------------------------------------------------------------
@@ -402,20 +452,22 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 LINKED = "100 * met >= 75 * (nx + ny - met)"
 
 
-def _across(kept: DataFrame, edges: DataFrame, sets: DataFrame, large: DataFrame) -> DataFrame:
+def _across(kept: DataFrame, sets: DataFrame, large: DataFrame) -> DataFrame:
     """Links (a, b) inside chains too large for one task.
 
     Every set is compared with its signatures' pivots, which joins dense groups with a few pairs a set.  Then the sets
     of a signature that are still in different groups are compared, unless their sizes or, the Jaccard distance being a
     metric, their distances from the pivot differ too much.
     """
-    inside = large.select("set")
-    star = cut(_verify(edges.join(inside, "set").select(F.col("set").alias("x"), F.col("pivot").alias("y")), sets))
+    name = large.join(sets.select("key", "set"), "key")
+    kept = kept.join(name, "key").select("token", "set")
+    pivots = kept.groupBy("token").agg(F.min("set").alias("pivot"))
+    edges = kept.join(pivots, "token").where("set <> pivot").select("set", "pivot").distinct()
+    star = cut(_verify(edges.select(F.col("set").alias("x"), F.col("pivot").alias("y")), sets))
     links = star.where(LINKED).select(F.col("x").alias("a"), F.col("y").alias("b"))
     label = components(links).select(F.col("node").alias("set"), F.col("component").alias("label"))
-    pivots = kept.groupBy("token").agg(F.min("set").alias("pivot"))
     near = star.select(F.col("x").alias("set"), F.col("y").alias("pivot"), "nx", (1 - F.col("met") / (F.col("nx") + F.col("ny") - F.col("met"))).alias("far"))
-    known = kept.join(inside, "set").join(pivots, "token").join(label, "set", "left").withColumn("label", F.coalesce("label", "set")).where("set <> pivot")
+    known = kept.join(pivots, "token").join(label, "set", "left").withColumn("label", F.coalesce("label", "set")).where("set <> pivot")
     known = known.join(near, ["set", "pivot"]).select("token", "set", "label", "nx", "far")
     spread = known.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("token")
     known = cut(known.join(spread, "token"))
@@ -436,21 +488,29 @@ def jaccard_join(docs: DataFrame, chain_sets: int = CHAIN_SETS, chain_elements:
     counted = cut(count_shingles(docs))
     may = counted.where("n_shingles > 0 and 100 * n_shared >= 75 * n_shingles")
     one = may.groupBy("set").agg(F.min("doc_id").alias("doc_id"))
-    named = docs.join(one.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_semi")
-    nameless = docs.where("doc_id is null").join(one.where("doc_id is null").limit(1).select(F.lit(1).alias("_1")), how="left_semi")
-    sets = cut(named.select("text").union(nameless.select("text")).mapInArrow(_sets, "set binary, n long, elements binary").where("n > 0").groupBy("set").agg(F.first("n").alias("n"), F.first("elements").alias("elements")))
-    kept, edges = candidates(sets)
+    words_, bits = possible_ids(one)
+    places = F.array(*[F.pmod(F.xxhash64("doc_id", F.lit(i)), F.lit(bits)) for i in range(3)])
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.asarray(batch.column("at").flatten())
+            yes = (words_.value[at >> 6] >> (at & 63) & 1).reshape(-1, 3).all(axis=1)
+            yield from _sets(iter([batch.filter(pa.array(yes)).select(["text"])]))
+
+    made = docs.select("text", places.alias("at")).mapInArrow(some, "set binary, n long, elements binary, key long").where("n > 0")
+    sets = cut(made.groupBy("set", "key").agg(F.first("n").alias("n"), F.first("elements").alias("elements")))
+    kept, edges = candidates(sets, max(64, math.ceil(input_bytes(docs) / BUCKET_BYTES)))
     edges = cut(edges)
-    chains = components(edges, "set", "pivot").withColumnRenamed("node", "set")
-    sized = chains.join(sets.select("set", "n"), "set")
+    chains = components(edges, "key", "pivot").withColumnRenamed("node", "key")
+    sized = chains.join(sets.select("key", "n"), "key")
     extent = sized.groupBy("component").agg(F.count("*").alias("c"), F.sum("n").alias("e"))
     small = f"c <= {int(chain_sets)} and e <= {int(chain_elements)}"
     placed = cut(chains.join(extent, "component"))
-    near = placed.where(small).select("set", "component").join(sets.select("set", "elements"), "set")
+    near = placed.where(small).select("key", "component").join(sets.select("set", "key", "elements"), "key").drop("key")
     found = near.repartition("component").sortWithinPartitions("component", "set").mapInArrow(_search, "set binary, first binary")
-    large = placed.where(f"not ({small})").select("set")
+    large = placed.where(f"not ({small})").select("key")
     if not large.isEmpty():
-        far = components(_across(kept, edges, sets, cut(large))).select(F.col("node").alias("set"), F.col("component").alias("first"))
+        far = components(_across(kept, sets, cut(large))).select(F.col("node").alias("set"), F.col("component").alias("first"))
         found = found.union(far)
     grouped = may.join(found, "set", "left").withColumn("first", F.coalesce("first", "set"))
     grouped = cut(grouped.select("doc_id", "n_shingles", "first"))
