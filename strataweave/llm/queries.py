@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import blocks, bwt, hash_tree, kneser_ney, mixing, ogg, partenum, range_coder, viterbi
+from . import blocks, bwt, hash_tree, kneser_ney, mixing, nndescent, ogg, partenum, range_coder, viterbi
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,10 @@ def op5_bwt_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt.removed_bytes(table(spark, sf_dir, "documents"))
 
 
+def op6_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.extract(table(spark, sf_dir, "pages"))
 
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing_sources": op3_mixing_sources,
     "op4_viterbi": op4_viterbi,
     "op5_bwt_merge": op5_bwt_merge,
+    "op6_nn_descent": op6_nn_descent,
     "op7_text_blocks": op7_text_blocks,
     "op8_kneser_ney": op8_kneser_ney,
     "op9_range_coder": op9_range_coder,
