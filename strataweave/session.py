@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -35,3 +36,19 @@ def ship_package(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(str(path))
         _SHIPPED.add(app)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only where the cluster names none, as in tests."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        path = tempfile.mkdtemp(prefix="strataweave-")
+        spark.sparkContext.setCheckpointDir(path)
+    return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and read it again: the plan ends there, and a lost executor costs nothing before it."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
