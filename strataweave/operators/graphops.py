@@ -19,13 +19,13 @@ def _trimmed(edges: DataFrame, rounds: int) -> DataFrame:
     """Edges between nodes that have both a way in and a way out; most nodes on no cycle fall away in a few rounds."""
     for _ in range(rounds):
         keep = edges.select("source").distinct().intersect(edges.select("target").distinct()).toDF("n")
-        edges = edges.join(keep.toDF("source"), "source", "left_semi").join(keep.toDF("target"), "target", "left_semi")
+        edges = cut(edges.join(keep.toDF("source"), "source", "left_semi").join(keep.toDF("target"), "target", "left_semi"))
     return edges
 
 
 def strong_components(edges: DataFrame, closure_nodes: int = CLOSURE_NODES) -> DataFrame:
     """(id, component) of nodes in strongly connected groups of two or more, over edges of all layers."""
-    now = cut(_trimmed(edges.where("source <> target").select("source", "target").distinct(), 3))
+    now = _trimmed(cut(edges.where("source <> target").select("source", "target").distinct()), 3)
     nodes = now.select("source").union(now.select("target")).distinct().count()
     return _by_closure(now) if nodes <= closure_nodes else _by_colour(now)
 
@@ -36,8 +36,10 @@ def _by_closure(edges: DataFrame) -> DataFrame:
     while count != (count := reach.count()):
         longer = reach.toDF("source", "via").join(reach.toDF("via", "target"), "via").select("source", "target")
         reach = cut(reach.union(longer).distinct())
-    both = reach.join(reach.toDF("target", "source"), ["source", "target"]).where("source <> target")
-    groups = both.groupBy(F.col("source").alias("id")).agg(F.least(F.min("target"), F.first("source")).alias("component"))
+    there = reach.select(F.col("source").alias("a"), F.col("target").alias("b")).where("a <> b")
+    back = reach.select(F.col("target").alias("c"), F.col("source").alias("d"))
+    both = there.join(back, (F.col("a") == F.col("c")) & (F.col("b") == F.col("d")))
+    groups = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low")).select("id", F.least("id", "low").alias("component"))
     return groups
 
 
@@ -65,7 +67,7 @@ def _by_colour(edges: DataFrame) -> DataFrame:
         # backwards from the roots, inside the colour
         member = cut(_reached(same.select(F.col("target").alias("source"), F.col("source").alias("target")), roots.select("id")).join(colour, "id"))
         found = member if found is None else cut(found.union(member))
-        left = cut(_trimmed(left.join(member.select(F.col("id").alias("source")), "source", "left_anti").join(member.select(F.col("id").alias("target")), "target", "left_anti"), 1))
+        left = _trimmed(cut(left.join(member.select(F.col("id").alias("source")), "source", "left_anti").join(member.select(F.col("id").alias("target")), "target", "left_anti")), 1)
     if found is None:
         return edges.select(F.col("source").alias("id"), F.col("target").alias("component")).limit(0)
     names = found.groupBy("c").agg(F.min("id").alias("component"), F.count("*").alias("n")).where("n > 1")

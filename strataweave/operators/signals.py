@@ -154,7 +154,7 @@ def dependency_cycle(g: Graph, groups: DataFrame | None = None) -> DataFrame:
     from .graphops import strong_components
 
     groups = strong_components(g.edges) if groups is None else groups
-    good = groups.groupBy("component").agg(F.count("*").alias("n"), F.min(is_source_file(F.col("id")) & ~is_generated_code(F.col("id"))).alias("ok"), F.min_by("id", "id").alias("node_a"), F.slice(F.array_sort(F.collect_list("id")), 2, 1)[0].alias("node_b")).where("n > 1 and ok")
+    good = groups.groupBy("component").agg(F.count("*").alias("n"), F.min(is_source_file(F.col("id")) & ~is_generated_code(F.col("id"))).alias("ok"), F.min_by("id", "id").alias("node_a"), F.try_element_at(F.array_sort(F.collect_list("id")), F.lit(2)).alias("node_b")).where("n > 1 and ok")
     inside = g.edges.where("layer = 'structural'").join(groups.toDF("source", "component"), "source").join(groups.toDF("target", "component_"), "target").where("component = component_").select("component").distinct()
     found = good.join(inside, "component", "left_semi")
     return _signal(found, "dependency_cycle", "node_a", "node_b", F.col("n") * 0.5, F.format_string("a cycle of %d nodes", "n"))
