@@ -2,17 +2,18 @@
 
 Every byte goes that a 100-byte string covers which also starts earlier.  The steps:
 
-1. Each 100-byte window has an anchor, the position of its smallest 20-byte hash, so equal windows have equal anchors.
+1. Each 100-byte window has an anchor, the position of its smallest 48-byte hash, so equal windows have equal anchors.
    Windows next to each other with one anchor form a run.  Anchors' hashes are counted over all documents, packed by
    hash range; runs whose anchor occurs once hold no repeated window.
 2. The other runs' strings, each its windows with nothing around them, go to the task of their anchor.  Equal strings
    are told apart by one of them, the first; the others are repeats as a whole.
 3. What remains, distinct strings whose anchor has others, is cut into shards.  A shard is sorted alone and gives a
-   Burrows-Wheeler transform, whose symbols are the two bytes before a rotation.  The shards' transforms are merged by
-   refining an interleave: it starts with the shards one after the other, and each round stably sorts it by the symbols
-   that its shards supply in turn, after which it is the order by two more bytes.  Where symbols or former groups
-   differ, a group ends; so after 50 rounds the groups are the intervals with a common prefix of 100 bytes.  No suffix
-   of two shards is ever compared.  In each interval, all windows but the first are repeats.
+   Burrows-Wheeler transform, whose symbols are the eight bytes before a rotation, ranked.  The shards' transforms are
+   merged by refining an interleave: it starts with the shards one after the other, and each round stably sorts it by
+   the symbols that its shards supply in turn, after which it is the order by eight more bytes.  Where symbols or
+   former groups differ, a group ends; so after 12 rounds and one of four bytes the groups are the intervals with a
+   common prefix of 100 bytes.  No suffixes of two shards are ever compared.  In each interval, all windows but the
+   first are repeats.  Of documents with equal texts, only the first takes part: the others go as a whole.
 4. An anchor with very many runs, as of a passage in a third of all documents, isn't gathered in one task: its windows
    go one by one to the tasks of their own hashes, and equal ones are combined before they leave.
 """
@@ -30,10 +31,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, BYTE_HASH, C1, LAST_ID, flat_bytes, input_bytes, mix, powers, text_chunks
+from .common import BASE, BYTE_HASH, LAST_ID, cut, flat_bytes, input_bytes, mix, powers, text_chunks
 
 WINDOW = 100
-ANCHOR = 20
+ANCHOR = 48
 #: Occurrences of an anchor beyond which its windows are spread.
 HOT = 2000
 SHARD_BYTES = 1 << 19
@@ -106,7 +107,7 @@ def _asking(buckets: int):
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
             low, count = (keys[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.minimum(count[order], 255).astype(np.uint8)
             rows = np.diff(np.searchsorted(start, offsets))
-            head = np.concatenate([[len(offsets) - 1, len(start)], np.asarray(batch.column("doc_id")), np.asarray(batch.column("h")), rows]).astype(np.int64)
+            head = np.concatenate([[len(offsets) - 1, len(start)], np.asarray(batch.column("doc_id")), np.asarray(batch.column("h")), np.asarray(batch.column("g")), rows]).astype(np.int64)
             chunk = _chunk(number)
             out = ([chunk % buckets], [head.tobytes() + rank[place].tobytes()], [edges.astype(np.int64).tobytes()])
             for b in np.flatnonzero(edges[1:] > edges[:-1]):
@@ -136,12 +137,12 @@ def _counted(hot: int):
 
 
 def _flagged(group: pa.Table) -> pa.Table:
-    """(doc_id, h, flags) of each document with a run whose anchor is met again: a byte for each of its runs."""
+    """(doc_id, h, g, flags) of each document with a run whose anchor is met again: a byte for each of its runs."""
     known, bucket, a, b = (group[c].to_pylist() for c in ("known", "bucket", "a", "b"))
     me = known.index(True)
     n, k = np.frombuffer(a[me], np.int64, 2)
-    ids, hashes, rows = np.frombuffer(a[me], np.int64, 3 * n, 16).reshape(3, n)
-    place = np.frombuffer(a[me], np.uint32, k, 16 + 24 * n)
+    ids, hashes, others, rows = np.frombuffer(a[me], np.int64, 4 * n, 16).reshape(4, n)
+    place = np.frombuffer(a[me], np.uint32, k, 16 + 32 * n)
     edges = np.frombuffer(b[me], np.int64)
     state = np.zeros(int(edges[-1]), np.uint8)
     for i, is_known in enumerate(known):
@@ -149,52 +150,60 @@ def _flagged(group: pa.Table) -> pa.Table:
             state[edges[bucket[i]] : edges[bucket[i] + 1]] = np.frombuffer(a[i], np.uint8)
     mine = state[place]
     ends = np.cumsum(rows)
-    out = [(i, x, mine[e - r : e].tobytes()) for i, x, e, r in zip(ids.tolist(), hashes.tolist(), ends.tolist(), rows.tolist(), strict=True) if r and mine[e - r : e].any()]
-    return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), _binary([x[2] for x in out])], names=["doc_id", "h", "flags"])
+    out = [(i, x, y, mine[e - r : e].tobytes()) for i, x, y, e, r in zip(ids.tolist(), hashes.tolist(), others.tolist(), ends.tolist(), rows.tolist(), strict=True) if r and mine[e - r : e].any()]
+    return pa.table([*[pa.array([x[i] for x in out], pa.int64()) for i in range(3)], _binary([x[3] for x in out])], names=["doc_id", "h", "g", "flags"])
 
 
 # --- shards -------------------------------------------------------------------------------------------------------
 
 
-def shard_order(data: np.ndarray, begin: np.ndarray, size: np.ndarray, depth: int = 128) -> np.ndarray:
-    """The rotations of several strings, as positions in data, sorted by their first depth bytes."""
-    n = len(data)
-    base, length = np.repeat(begin, size), np.repeat(size, size)
-    inside = np.arange(n) - base
+def _ranked(values: np.ndarray) -> np.ndarray:
+    """Each value's rank, in the smallest type for it."""
+    _, rank = np.unique(values, return_inverse=True)
+    return rank.astype(np.uint16 if not len(rank) or rank.max() < 1 << 16 else np.uint32)
 
-    def ahead(d: int) -> np.ndarray:
-        return base + (inside + d) % length
 
-    key = np.zeros(n, np.uint64)
-    for i in range(8):
-        key = key << np.uint64(8) | data[ahead(i)].astype(np.uint64)
-    _, rank = np.unique(key, return_inverse=True)
-    d = 8
-    while d < depth and rank.max() < n - 1:
-        _, rank = np.unique(rank.astype(np.int64) * n + rank[ahead(d)], return_inverse=True)
-        d *= 2
-    return np.argsort(rank, kind="stable")
+def _stable(symbols: np.ndarray) -> np.ndarray:
+    """The stable order of ranks, by radix sorts of 16 bits each."""
+    if symbols.dtype == np.uint16:
+        return np.argsort(symbols, kind="stable")
+    order = np.argsort((symbols & np.uint32(0xFFFF)).astype(np.uint16), kind="stable")
+    return order[np.argsort((symbols >> np.uint32(16)).astype(np.uint16)[order], kind="stable")]
 
 
-def transform(data: np.ndarray, begin: np.ndarray, size: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """The two bytes before each rotation, in the shard's order."""
+def _ring(begin: np.ndarray, size: np.ndarray):
+    """For strings end to end: the positions d bytes on, each string being a ring."""
     base, length = np.repeat(begin, size), np.repeat(size, size)
-    inside = np.arange(len(data)) - base
-    before = data[base + (inside - 2) % length].astype(np.uint16) << np.uint16(8) | data[base + (inside - 1) % length]
-    return before[order]
+    inside = np.arange(len(base)) - base
+    return lambda d: base + (inside + d) % length
+
+
+def shard_order(rank: np.ndarray, begin: np.ndarray, size: np.ndarray, depth: int = 128) -> np.ndarray:
+    """The rotations of a shard's strings, as positions, sorted by depth bytes; rank is their order by the first eight."""
+    ahead, n, d = _ring(begin, size), len(rank), 8
+    rank = rank.astype(np.int64)
+    while d < depth:
+        values, rank = np.unique(rank * (int(rank.max()) + 1) + rank[ahead(d)], return_inverse=True)
+        if len(values) == n:
+            break
+        d *= 2
+    return np.argsort(rank, kind="stable")
+
 
+def merge(rounds: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The interleave of the shards (a shard's number for each place), and each place's group of equal prefixes.
 
-def merge(transforms: list[np.ndarray], depth: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """The interleave of the shards by the first depth bytes (a shard's number for each place), and each place's group."""
-    symbols = np.concatenate(transforms)
-    shard = np.repeat(np.arange(len(transforms), dtype=np.uint16), [len(t) for t in transforms])
+    Each round has the shards' transforms by the symbols of its width; widths add up to the prefix's length.
+    """
+    shard = np.repeat(np.arange(len(rounds[0]), dtype=np.uint16), [len(t) for t in rounds[0]])
     group = np.zeros(len(shard), np.int32)
-    sym = np.empty_like(symbols)
-    for _ in range(depth // 2):
+    for transforms in rounds:
+        symbols = np.concatenate(transforms)
+        sym = np.empty_like(symbols)
         sym[np.argsort(shard, kind="stable")] = symbols  # each shard supplies its symbols in its own order
-        order = np.argsort(sym, kind="stable")
-        shard, sym_, group_ = shard[order], sym[order], group[order]
-        group = np.cumsum(np.append(False, (sym_[1:] != sym_[:-1]) | (group_[1:] != group_[:-1])), dtype=np.int32)
+        order = _stable(sym)
+        shard, sym, group = shard[order], sym[order], group[order]
+        group = np.cumsum(np.append(False, (sym[1:] != sym[:-1]) | (group[1:] != group[:-1])), dtype=np.int32)
     return shard, group
 
 
@@ -202,15 +211,20 @@ def repeats(data: np.ndarray, size: np.ndarray, windows: np.ndarray, doc: np.nda
     """(string, window) of all windows of several strings that also start earlier, by document and start."""
     ends = np.cumsum(size)
     begin = ends - size
+    ahead = _ring(begin, size)
+    key = np.zeros(len(data), np.uint64)
+    for i in range(8):
+        key = key << np.uint64(8) | data[ahead(i)].astype(np.uint64)
+    rank8, rank4 = _ranked(key), _ranked(key >> np.uint64(32))
+    before8, before4 = rank8[ahead(-8)], rank4[ahead(-4)]
     cuts = np.searchsorted(ends, np.arange(0, int(ends[-1]), shard_bytes))
     cuts = np.append(np.unique(cuts), len(size))
-    places, transforms = [], []
+    places = []
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        part, inner = data[begin[a] : ends[b - 1]], begin[a:b] - begin[a]
-        order = shard_order(part, inner, size[a:b])
-        places.append(order + begin[a])
-        transforms.append(transform(part, inner, size[a:b], order))
-    shard, group = merge(transforms, depth)
+        places.append(shard_order(rank8[begin[a] : ends[b - 1]], begin[a:b] - begin[a], size[a:b]) + begin[a])
+    wide, narrow = [before8[p] for p in places], [before4[p] for p in places]
+    # the first round is the last bytes of the prefix
+    shard, group = merge([*[narrow] * (depth % 8 // 4), *[wide] * (depth // 8)])
     position = np.empty(len(shard), np.int64)
     position[np.argsort(shard, kind="stable")] = np.concatenate(places)
     string = np.repeat(np.arange(len(size)), size)[position]
@@ -236,6 +250,28 @@ def _gather(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray
     return data[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - ends + size, size)]
 
 
+def window_hashes(data: np.ndarray, begin: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """A hash of the window at each place."""
+    if not len(begin):
+        return np.zeros(0, np.uint64)
+    up, down = _powers(1 << max(21, (len(data) + 1).bit_length()))
+    h = np.append(np.uint64(0), np.cumsum(BYTE_HASH[data] * up[: len(data)], dtype=np.uint64))
+    return mix((h[begin + window] - h[begin]) * down[begin])
+
+
+def _equal_windows(data: np.ndarray, begin: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """A number for each window, equal for equal ones: those of one hash are compared with the first of it, some at a time."""
+    if not len(begin):
+        return np.zeros(0, np.int64)
+    _, one, code = np.unique(keys, return_index=True, return_inverse=True)
+    step = np.arange(WINDOW)
+    for i in range(0, len(begin), 100_000):
+        mine, other = begin[i : i + 100_000], begin[one[code[i : i + 100_000]]]
+        odd = np.flatnonzero((data[mine[:, None] + step] != data[other[:, None] + step]).any(axis=1))
+        code[i + odd] = len(one) + i + odd
+    return code
+
+
 def _first(code: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
     """For each string, the place of the earliest that equals it."""
     order = np.lexsort((start, doc, code))
@@ -245,6 +281,8 @@ def _first(code: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Windows of a copy: all that its text has.
+WHOLE = -1
 NAMES = ["bucket", "meta", "data"]
 REMOVED = "doc_id long, h long, start long, n long"
 
@@ -272,15 +310,12 @@ def _strings(buckets: int):
             row = np.searchsorted(offsets, begin, side="right") - 1
             doc, text = np.asarray(batch.column("doc_id"))[row], np.asarray(batch.column("h"))[row]
             at = begin - offsets[row]
-            first = _first(_dictionary(data, begin, size), doc, at)
+            keys = np.concatenate([h[plain], window_hashes(data, single)])
+            code = np.concatenate([_dictionary(data, begin[: len(plain)], size[: len(plain)]), len(plain) + _equal_windows(data, single, keys[len(plain) :])])
+            first = _first(code, doc, at)
             mine = first == np.arange(len(first))
             later = ~mine & ((doc != doc[first]) | (at != at[first]))
             gone = np.stack([doc[later], text[later], at[later], windows[later]])
-            keys = np.concatenate([h[plain], np.zeros(len(single), np.uint64)])
-            if len(single):
-                up = powers(WINDOW)
-                flat = _gather(data, single, np.full(len(single), WINDOW)).reshape(-1, WINDOW)
-                keys[len(plain) :] = mix((BYTE_HASH[flat] * up).sum(axis=1, dtype=np.uint64))
             keep = np.flatnonzero(mine)
             bucket = ((keys[keep] >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -335,8 +370,9 @@ def _merged(group: pa.Table) -> pa.Table:
     return pa.table([pa.array(x) for x in rows], names=["doc_id", "h", "start", "n"])
 
 
-def spans(starts: np.ndarray, n: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Begin and end of the maximal stretches that windows cover, n from each start."""
+def spans(starts: np.ndarray, n: np.ndarray, total: int, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of the maximal stretches of total bytes that windows cover, n from each start."""
+    n = np.where(n == WHOLE, total - window + 1, n)
     order = np.argsort(starts, kind="stable")
     a, b = starts[order], (starts + n - 1 + window)[order]
     reach = np.maximum.accumulate(b)
@@ -345,13 +381,20 @@ def spans(starts: np.ndarray, n: np.ndarray, window: int = WINDOW) -> tuple[np.n
 
 
 def repeated_windows(docs: DataFrame, hot: int = HOT, buckets: int | None = None) -> DataFrame:
-    """docs has doc_id, h (a hash of the text) and text, none null.  (doc_id, h, start, n): windows that also start earlier."""
+    """(doc_id, h, start, n): windows that also start earlier; n is WHOLE for all of a text.
+
+    docs has doc_id, text and two hashes of the text, h and g, none null.
+    """
     buckets = buckets or max(64, math.ceil(input_bytes(docs) / BUCKET_BYTES))
     asked = docs.mapInArrow(_asking(buckets), "bucket int, chunk long, known boolean, a binary, b binary")
     counted = asked.groupBy("bucket").applyInArrow(_counted(hot), "chunk long, bucket int, known boolean, a binary, b binary")
-    flagged = counted.groupBy("chunk").applyInArrow(_flagged, "doc_id long, h long, flags binary").groupBy("doc_id", "h").agg(F.first("flags").alias("flags"))
-    strings = docs.join(flagged, ["doc_id", "h"]).select("doc_id", "h", "text", "flags").mapInArrow(_strings(buckets), "bucket int, meta binary, data binary")
-    return strings.groupBy("bucket").applyInArrow(_merged, REMOVED)
+    flagged = cut(counted.groupBy("chunk").applyInArrow(_flagged, "doc_id long, h long, g long, flags binary").groupBy("doc_id", "h").agg(F.first("g").alias("g"), F.first("flags").alias("flags")))
+    firsts = flagged.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.count("*").alias("c"))
+    # a text alone, or the first of equal ones
+    lead = flagged.join(firsts.select(F.col("first").alias("doc_id"), "h", "g"), ["doc_id", "h", "g"], "left_semi").select("doc_id", "h", "flags")
+    copies = flagged.join(firsts.where("c > 1").select("h", "g", "first"), ["h", "g"]).where("doc_id <> first").select("doc_id", "h", F.lit(0).cast("long").alias("start"), F.lit(WHOLE).cast("long").alias("n"))
+    strings = docs.select("doc_id", "h", "text").join(lead, ["doc_id", "h"]).select("doc_id", "h", "text", "flags").mapInArrow(_strings(buckets), "bucket int, meta binary, data binary")
+    return strings.groupBy("bucket").applyInArrow(_merged, REMOVED).union(copies)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -360,16 +403,17 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _with_windows(docs: DataFrame, **options: int) -> DataFrame:
     """docs (doc_id, text, h, others) and at, the repeated windows of each: start and n end to end."""
-    removed = repeated_windows(docs.select("doc_id", "text", "h"), **options)
+    removed = repeated_windows(docs.select("doc_id", "text", "h", F.xxhash64(F.lit(1), "text").alias("g")), **options)
     listed = removed.groupBy("doc_id", "h").agg(F.flatten(F.collect_list(F.array("start", "n"))).alias("at"))
     return docs.join(listed, ["doc_id", "h"], "left")
 
 
 def _pairs(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     column = batch.column("at")
+    sizes = np.diff(flat_bytes(batch.column("text"))[1])
     for i in range(batch.num_rows):
         if column[i].is_valid and len(column[i]):
-            yield spans(*np.asarray(column[i].values, dtype=np.int64).reshape(-1, 2).T)
+            yield spans(*np.asarray(column[i].values, dtype=np.int64).reshape(-1, 2).T, int(sizes[i]))
         else:
             yield np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -427,6 +471,6 @@ def kept_text(docs: DataFrame, **options: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), "_h": F.xxhash64(F.coalesce("text", F.lit("")))})
-    removed = repeated_windows(keyed.select(F.col("_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("_h").alias("h")), **options)
+    removed = repeated_windows(keyed.select(F.col("_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("_h").alias("h")).withColumn("g", F.xxhash64(F.lit(1), "text")), **options)
     listed = removed.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.flatten(F.collect_list(F.array("start", "n"))).alias("at"))
     return keyed.join(listed, ["_id", "_h"], "left").select(*names, "at").mapInArrow(run, schema)
