@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import imports as resolve
 from ..functions.ignore import IgnoreRules
-from ..functions.paths import language
+from ..functions.paths import LANGUAGE_OF, language
 from ..schema import FILE_ANALYSIS
 from ..session import ship_package
 from .parsers import PARSERS
@@ -27,13 +27,31 @@ def walk(spark: SparkSession, root: str, rules: IgnoreRules | None = None) -> Da
     rules = rules or IgnoreRules.parse("")
     base = root.rstrip("/")
     whole = F.regexp_replace(F.col("path"), "^file:/+", "/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    inside = files.withColumn("path", F.substr(whole, F.locate(base, whole) + len(base) + 1))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).select("path", "content")
+    inside = files.union(_underscored(spark, base)).withColumn("path", F.substr(whole, F.locate(base, whole) + len(base) + 1))
     hidden = F.col("path").rlike(r"(?:^|/)(?:\.[^/]*|" + "|".join(SKIPPED) + ")/")
     kept = inside.where(language(F.col("path")).isNotNull() & ~hidden & ~rules.column(F.col("path")))
     return kept.select("path", language(F.col("path")).alias("language"), "content")
 
 
+def _underscored(spark: SparkSession, root: str) -> DataFrame:
+    """(path, content) of supported files whose names begin with an underscore, which Spark's readers pass over.
+
+    They are few (packages' own modules), so the driver reads them, by the file system's interface.
+    """
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, listing = [], fs.listFiles(path, True)
+    while listing.hasNext():
+        p = listing.next().getPath()
+        if p.getName().startswith("_") and p.getName().rpartition(".")[2] in LANGUAGE_OF:
+            stream = fs.open(p)
+            found.append((p.toString(), bytes(stream.readAllBytes())))
+            stream.close()
+    return spark.createDataFrame(found, "path string, content binary")
+
+
 def analyze(files: DataFrame) -> DataFrame:
     """schema.FILE_ANALYSIS of (path, language, content); imports as written.  Files that can't be read have an error."""
 

@@ -228,6 +228,7 @@ def rust(source: str) -> Found:
                         first -= 1
                     functions.append(_member(t, f"{owner}::{t[j + 1].text}", first, _body(t, j, inner), "rust"))
         elif text == "use":
+            end = next((j for j in range(i, len(t)) if t[j].text == ";" and t[j].depth == t[a].depth), end)
             imports.append("use " + "".join(x.text for x in t[i + 1 : end + 1]))
         elif text == "mod" and t[end].text == ";":
             imports.append(f"mod {name};")
