@@ -37,15 +37,15 @@ WINDOW = 100
 ANCHOR = 48
 #: Occurrences of an anchor beyond which its windows are spread.
 HOT = 2000
-SHARD_BYTES = 1 << 19
+SHARD_BYTES = 1 << 18
 #: Symbols that one merge holds.
-MERGE_BYTES = 8 << 20
-BUCKET_BYTES = 8 << 20
-CHUNK = 2 << 20
+MERGE_BYTES = 2 << 20
+BUCKET_BYTES = 4 << 20
+CHUNK = 1_500_000
 _PLACE = (1 << 28) - 1
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = np.full(n, pow(BASE, -1, 1 << 64), np.uint64)
     inverse[0] = 1
@@ -393,7 +393,7 @@ def repeated_windows(docs: DataFrame, hot: int = HOT, buckets: int | None = None
     # a text alone, or the first of equal ones
     lead = flagged.join(firsts.select(F.col("first").alias("doc_id"), "h", "g"), ["doc_id", "h", "g"], "left_semi").select("doc_id", "h", "flags")
     copies = flagged.join(firsts.where("c > 1").select("h", "g", "first"), ["h", "g"]).where("doc_id <> first").select("doc_id", "h", F.lit(0).cast("long").alias("start"), F.lit(WHOLE).cast("long").alias("n"))
-    strings = docs.select("doc_id", "h", "text").join(lead, ["doc_id", "h"]).select("doc_id", "h", "text", "flags").mapInArrow(_strings(buckets), "bucket int, meta binary, data binary")
+    strings = docs.select("doc_id", "text", "h").join(lead, ["doc_id", "h"]).select("doc_id", "h", "text", "flags").mapInArrow(_strings(buckets), "bucket int, meta binary, data binary")
     return strings.groupBy("bucket").applyInArrow(_merged, REMOVED).union(copies)
 
 

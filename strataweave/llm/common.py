@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,22 +11,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut, shared_dir, ship_package
+
 #: Bytes of text that one numpy pass works on; a longer document is a chunk of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 LAST_ID = (1 << 63) - 1
 
 C1, C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the cluster names none, as in tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="strataweave-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path
+def prepare(spark: SparkSession) -> SparkSession:
+    """The package on the workers, and few enough rows in an Arrow batch that long texts' batches stay small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return ship_package(spark)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -35,13 +31,6 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it again, so a lost executor costs no recomputation of what came before."""
-    path = scratch(df.sparkSession, "cut")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def input_bytes(df: DataFrame, column: str = "text") -> int:
     """About how many bytes the column holds: what Catalyst knows of the files, else a count."""
     size = int(str(df.select(column)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package
 from . import blocks, bwt, hash_tree, kneser_ney, mixing, nndescent, ogg, partenum, range_coder, viterbi
+from .common import prepare
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ship_package(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op3_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

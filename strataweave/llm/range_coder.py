@@ -284,7 +284,7 @@ class Encoder:
     line feed is one by itself.  Next to characters that might be white space beyond ASCII, texts aren't cut.
     """
 
-    KEPT = 1_000_000
+    KEPT = 600_000
     JOINED = 1 << 20
 
     def __init__(self, path: str):
@@ -371,7 +371,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, partitions: int, end_i
             packed = write_segment(np.concatenate(names), np.concatenate(lengths), np.concatenate(ids))
             return pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([held], pa.int64()), pa.array([packed], pa.binary())], names=["segment", "n_ids", "data"])
 
-        for batch in text_chunks(batches, limit=3 * CHUNK_BYTES):
+        for batch in text_chunks(batches, limit=4 * CHUNK_BYTES):
             flat, n = encoder(tokenizer).encode(*flat_bytes(batch.column("text")))
             ends = np.cumsum(n)
             names.append(np.asarray(batch.column("doc_id").fill_null(NULL_ID), dtype=np.int64))

@@ -156,7 +156,7 @@ class Search:
 class Encoder:
     """Ids of whole columns, and texts of ids."""
 
-    KEPT = 1_500_000
+    KEPT = 400_000
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
@@ -237,7 +237,7 @@ def encode_column(docs: DataFrame, path: str) -> DataFrame:
     schema = T.StructType([*source.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_ids", T.LongType()), T.StructField("decoded_crc32", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_chunks(batches, limit=2 * CHUNK_BYTES):
+        for batch in text_chunks(batches, limit=3 * CHUNK_BYTES):
             tool = encoder(path)
             ids, n = tool.encode(*flat_bytes(batch.column("text")))
             data, offsets = tool.decode(ids, n)
