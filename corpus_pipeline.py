@@ -7,14 +7,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strataweave.llm import bwt, kneser_ney, mixing, partenum, viterbi
-from strataweave.llm.common import scratch
+from strataweave.llm.common import prepare, scratch
 from strataweave.llm.queries import table, tokenizer_path
-from strataweave.session import ship_package
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the class-conditional models call toxic go."""
-    ship_package(spark)
+    prepare(spark)
     model = kneser_ney.fit(docs, table(spark, sf_dir, "labels"))
     carried = tuple(c for c in docs.columns if c != "doc_id")
     return kneser_ney.score(docs, model, carry=carried).where("predicted = 0").select(*docs.columns)
@@ -25,7 +24,7 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Documents without words link with nothing and stay.
     """
-    ship_package(spark)
+    prepare(spark)
     found = partenum.jaccard_join(docs)
     one = found.where("doc_id is null or doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(one, docs["doc_id"].eqNullSafe(one["doc_id"]), "left_semi")
@@ -39,20 +38,20 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages are cut; documents of which nothing is left go, documents that were empty stay."""
-    ship_package(spark)
+    prepare(spark)
     cut = bwt.kept_text(docs.withColumn("_full", F.length("text") > 0))
     return cut.where("not (coalesce(_full, false) and length(text) = 0)").select(*docs.columns)
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at temperature 0.5, in a global random order."""
-    ship_package(spark)
+    prepare(spark)
     return mixing.mix_sources(docs).select(*docs.columns)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids beside the documents' columns."""
-    ship_package(spark)
+    prepare(spark)
     return viterbi.encode_column(docs, tokenizer_path("piece_bpe_32k.model"))
 
 
@@ -70,7 +69,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each one's rows written to the shared folder and read again."""
-    ship_package(spark)
+    prepare(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
