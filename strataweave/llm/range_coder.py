@@ -44,7 +44,6 @@ STEP, LIMIT = 24, 1 << 14
 CLASS_STEP, CLASS_LIMIT = 8, 1 << 11
 #: The least share of the interval for order 0, so that every id's width is at least 1.
 FLOOR = 1 << 27
-_TOP = np.uint64(1 << 32)
 
 
 class CorruptError(ValueError):
@@ -138,10 +137,11 @@ class _Model:
         return ids, low, width, kind, group
 
 
-# Coder: the interval [low, low + span) of 64 bits; when span falls under 2 ** 48 a 32-bit word leaves.  If the
-# interval straddles a word boundary then, span shrinks to the part below it, which needs no carry.
+# Coder: the interval [low, low + span) of 64 bits; when its ends agree on the top 16 bits, these leave.  An interval
+# that has become short of 2 ** 40 and still straddles such a border shrinks to the part below it: no carry is needed.
 
-_LOW32 = np.uint64(0xFFFFFFFF)
+_LOW32, _LOW48 = np.uint64(0xFFFFFFFF), np.uint64((1 << 48) - 1)
+_WORD, _TOP16 = np.uint64(16), np.uint64(48)
 
 
 def _narrow(low: np.ndarray, span: np.ndarray, a: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,16 +149,12 @@ def _narrow(low: np.ndarray, span: np.ndarray, a: np.ndarray, w: np.ndarray) ->
     return low + part * a.astype(np.uint64), part * w.astype(np.uint64)
 
 
-def _shrunk(low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lanes that must give a word, and the state after they have."""
-    due = np.flatnonzero(span < np.uint64(1 << 48))
-    if not len(due):
-        return due, low, span
+def _due(low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lanes that must give a word, and their states before they do."""
+    same = (low ^ (low + span - np.uint64(1))) <= _LOW48
+    due = np.flatnonzero(same | (span < np.uint64(1 << 40)))
     l, s = low[due], span[due]
-    last = l + s - np.uint64(1)
-    same = (l >> np.uint64(32)) == (last >> np.uint64(32))
-    s = np.where(same, s, np.minimum(_TOP - (l & _LOW32), _LOW32))
-    return due, l, s
+    return due, l, np.where(same[due], s, np.minimum(_LOW48 + np.uint64(1) - (l & _LOW48), _LOW48))
 
 
 def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
@@ -174,43 +170,50 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
     length[-1] = n - (lanes - 1) * block
     model = _Model(lanes)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    words = np.zeros((lanes, block * 2 + 8), np.uint32)
+    words = np.zeros((lanes, block * 3 + 16), np.uint16)
     used = np.zeros(lanes, np.int64)
     for t in range(block):
         x = grid[t]
         model.predict()
         a, w, kind, group = model.interval(x)
         low, span = _narrow(low, span, a, w)
-        while len((gone := _shrunk(low, span))[0]):
+        while len((gone := _due(low, span))[0]):
             due, l, s = gone
-            words[due, used[due]] = (l >> np.uint64(32)).astype(np.uint32)
+            words[due, used[due]] = (l >> _TOP16).astype(np.uint16)
             used[due] += 1
-            low[due], span[due] = l << np.uint64(32), s << np.uint64(32)
+            low[due], span[due] = l << _WORD, s << _WORD
         model.learn(x, kind, group)
         if t + 1 == length[-1]:  # the last lane goes on with zeros, whose words are cut off below
-            end_used, end_low = used[-1], low[-1]
+            end_used, end_low, end_span = used[-1], low[-1], span[-1]
             if lanes == 1:
                 break
-    used[-1], low[-1] = end_used, end_low
-    words[np.arange(lanes), used] = (low >> np.uint64(32)).astype(np.uint32)
-    words[np.arange(lanes), used + 1] = (low & _LOW32).astype(np.uint32)
-    return [words[i, : used[i] + 2].astype("<u4").tobytes() for i in range(lanes)]
+    used[-1], low[-1], span[-1] = end_used, end_low, end_span
+    # a last word inside the interval; what follows is taken as zeros
+    last = (low >> _TOP16) + np.uint64(1)
+    inside = (last << _TOP16) - low < span
+    words[model.at, used] = np.where(inside, last, low >> _TOP16).astype(np.uint16)
+    for i in range(1, 4):
+        words[model.at, used + i] = np.where(inside, np.uint64(0), low >> np.uint64(48 - 16 * i)).astype(np.uint16)
+    size = np.where(inside, used + 1, used + 4)
+    return [words[i, : size[i]].astype("<u2").tobytes() for i in range(lanes)]
 
 
 def decode_blocks(blocks: list[bytes], n: int, block: int = BLOCK) -> np.ndarray:
     if not n:
         return np.zeros(0, np.int32)
     lanes = len(blocks)
-    sizes = np.array([len(b) // 4 for b in blocks])
-    words = np.zeros((lanes, int(sizes.max()) + 4), np.uint32)
+    sizes = np.array([len(b) // 2 for b in blocks])
+    words = np.zeros((lanes, int(sizes.max()) + 8), np.uint16)
     for i, b in enumerate(blocks):
-        words[i, : sizes[i]] = np.frombuffer(b, "<u4")
+        words[i, : sizes[i]] = np.frombuffer(b, "<u2")
     steps = min(block, n)
     out = np.zeros((steps, lanes), np.int32)
     model = _Model(lanes)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    code = words[:, 0].astype(np.uint64) << np.uint64(32) | words[:, 1].astype(np.uint64)
-    used = np.full(lanes, 2)
+    code = np.zeros(lanes, np.uint64)
+    for i in range(4):
+        code = code << _WORD | words[:, i].astype(np.uint64)
+    used = np.full(lanes, 4)
     most = words.shape[1] - 1
     for t in range(steps):
         model.predict()
@@ -218,10 +221,10 @@ def decode_blocks(blocks: list[bytes], n: int, block: int = BLOCK) -> np.ndarray
         value = np.minimum((code - low) // np.maximum(part, np.uint64(1)), _LOW32).astype(np.int64)
         ids, a, w, kind, group = model.find(value)
         low, span = low + part * a.astype(np.uint64), part * w.astype(np.uint64)
-        while len((gone := _shrunk(low, span))[0]):
+        while len((gone := _due(low, span))[0]):
             due, l, s = gone
-            low[due], span[due] = l << np.uint64(32), s << np.uint64(32)
-            code[due] = code[due] << np.uint64(32) | words[due, np.minimum(used[due], most)].astype(np.uint64)
+            low[due], span[due] = l << _WORD, s << _WORD
+            code[due] = code[due] << _WORD | words[due, np.minimum(used[due], most)].astype(np.uint64)
             used[due] += 1
         out[t] = ids
         model.learn(out[t], kind, group)
