@@ -244,16 +244,15 @@ def co_fix(fx: Fixture) -> DataFrame:
 
 # --- signals ------------------------------------------------------------------------------------------------------
 
-c = F.col
 LIMITS = {
-    "signal_ghost_coupling": ("ghost", signals.ghost_coupling, {"ghost_coupling": c("p90"), "ghost_coupling_high": c("p99")}),
-    "signal_fragile_boundary": ("fragile", signals.fragile_boundary, {"fragile_coupling": c("p50"), "fragile_fault": c("fault_p90")}),
-    "signal_over_engineering_single": ("single", signals.over_engineering_single, {"over_engineering": c("p50"), "over_engineering_complexity": c("complexity_p25"), "over_engineering_freq": c("freq_p25")}),
-    "signal_over_engineering_pass_through": ("pass_", signals.over_engineering_pass_through, {"over_engineering": c("p75"), "pass_through_coupling": c("p75"), "over_engineering_complexity": c("complexity_p25"), "over_engineering_freq": c("freq_p25")}),
-    "signal_stable_core": ("stable", signals.stable_core, {}),
-    "signal_ticking_bomb": ("bomb", signals.ticking_bomb, {"bomb_hotspot": F.lit(70.0), "bomb_defect": F.lit(50.0), "bomb_coupling": F.lit(60.0)}),
-    "signal_god_module": ("god", signals.god_module, {"god_loc": F.lit(100.0)}),
-    "signal_unstable_dependency": ("unst", signals.unstable_dependency, {"unstable_gap": F.lit(0.2), "unstable_from": F.lit(0.5)}),
+    "signal_ghost_coupling": ("ghost", signals.ghost_coupling, lambda: {"ghost_coupling": F.col("p90"), "ghost_coupling_high": F.col("p99")}),
+    "signal_fragile_boundary": ("fragile", signals.fragile_boundary, lambda: {"fragile_coupling": F.col("p50"), "fragile_fault": F.col("fault_p90")}),
+    "signal_over_engineering_single": ("single", signals.over_engineering_single, lambda: {"over_engineering": F.col("p50"), "over_engineering_complexity": F.col("complexity_p25"), "over_engineering_freq": F.col("freq_p25")}),
+    "signal_over_engineering_pass_through": ("pass_", signals.over_engineering_pass_through, lambda: {"over_engineering": F.col("p75"), "pass_through_coupling": F.col("p75"), "over_engineering_complexity": F.col("complexity_p25"), "over_engineering_freq": F.col("freq_p25")}),
+    "signal_stable_core": ("stable", signals.stable_core, lambda: {}),
+    "signal_ticking_bomb": ("bomb", signals.ticking_bomb, lambda: {"bomb_hotspot": F.lit(70.0), "bomb_defect": F.lit(50.0), "bomb_coupling": F.lit(60.0)}),
+    "signal_god_module": ("god", signals.god_module, lambda: {"god_loc": F.lit(100.0)}),
+    "signal_unstable_dependency": ("unst", signals.unstable_dependency, lambda: {"unstable_gap": F.lit(0.2), "unstable_from": F.lit(0.5)}),
 }
 
 
@@ -263,7 +262,7 @@ def _judged(found: DataFrame) -> DataFrame:
 
 def _detect(fx: Fixture, name: str) -> DataFrame:
     _, detector, limits = LIMITS[name]
-    return detector(fx.graph(**limits))
+    return detector(fx.graph(**limits()))
 
 
 for _name, (_cte, _, _) in LIMITS.items():
