@@ -42,6 +42,8 @@ SHARD_BYTES = 1 << 18
 MERGE_BYTES = 2 << 20
 BUCKET_BYTES = 4 << 20
 CHUNK = 1_500_000
+#: The same where hot anchors' windows stand one by one.
+STRING_CHUNK = 500_000
 _PLACE = (1 << 28) - 1
 
 
@@ -265,8 +267,8 @@ def _equal_windows(data: np.ndarray, begin: np.ndarray, keys: np.ndarray) -> np.
         return np.zeros(0, np.int64)
     _, one, code = np.unique(keys, return_index=True, return_inverse=True)
     step = np.arange(WINDOW)
-    for i in range(0, len(begin), 100_000):
-        mine, other = begin[i : i + 100_000], begin[one[code[i : i + 100_000]]]
+    for i in range(0, len(begin), 20_000):
+        mine, other = begin[i : i + 20_000], begin[one[code[i : i + 20_000]]]
         odd = np.flatnonzero((data[mine[:, None] + step] != data[other[:, None] + step]).any(axis=1))
         code[i + odd] = len(one) + i + odd
     return code
@@ -294,7 +296,7 @@ def _strings(buckets: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, batch in enumerate(text_chunks(batches, limit=CHUNK)):
+        for number, batch in enumerate(text_chunks(batches, limit=STRING_CHUNK)):
             data, offsets = flat_bytes(batch.column("text"))
             start, n, h = runs(data, offsets)
             flag = np.frombuffer(b"".join(batch.column("flags").to_pylist()), np.uint8)

@@ -223,7 +223,7 @@ class Encoder:
 
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    """One for each Python worker, with the segments it has met in earlier tasks."""
+    """One for each Python worker, with the segments it has met in its task."""
     return Encoder(Vocabulary.load(path))
 
 
@@ -245,6 +245,7 @@ def encode_column(docs: DataFrame, path: str) -> DataFrame:
             checks = [zlib.crc32(view[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(n, pa.int64()), pa.array(checks, pa.int64())], names=[*kept, "ids", "n_ids", "decoded_crc32"])
+        encoder(path).forget()  # the worker goes on to other tasks
 
     return source.mapInArrow(run, schema)
 
