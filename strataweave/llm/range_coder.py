@@ -53,24 +53,35 @@ class CorruptError(ValueError):
 # Class i holds ids from _BASE[i], 2 ** _BITS[i] of them.
 _BITS = np.array([5, 5, 6, 7, 8, 9, 10, 11, 11, 12, 12, 12, 12, 13, 13, 15], dtype=np.int64)
 _BASE = np.concatenate([[0], np.cumsum(1 << _BITS)])[:-1]
+_CLASS = np.repeat(np.arange(CLASSES), 1 << _BITS)[: 1 << 16]
+#: What a class's turn adds to the cumulated counts; the last row is no turn.
+_ADDED = np.vstack([(np.arange(CLASSES + 1) > np.arange(CLASSES)[:, None]) * CLASS_STEP, np.zeros((1, CLASSES + 1))]).astype(np.int32)
+#: Counts are looked at for their limits each so many ids.
+_EVERY_RIGHT, _EVERY_CLASS = 64, 16
+
+
+def _quotient(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a // b of numbers up to 2 ** 33 and 2 ** 16: a double's quotient can't reach the next integer."""
+    return (a / b).astype(np.int64)
 
 
 class _Model:
     """The state of all lanes.  follow[k] keeps, for each slot, id * 4 + confidence of what follows it."""
 
     def __init__(self, lanes: int):
-        self.lanes = lanes
         self.at = np.arange(lanes)
         self.row = self.at * SLOTS
         self.follow1 = np.zeros(lanes * SLOTS, np.int32)
         self.follow2 = np.zeros(lanes * SLOTS, np.int32)
         # of each pair of confidences, how often order 2, order 1 and order 0 were right
-        self.right = np.tile(np.array([4, 2, 10], np.int32), (lanes, 16, 1)).reshape(-1, 3)
-        self.pair_row = self.at * 16
+        self.right = np.tile(np.array([4, 2, 10], np.int32), lanes * 16)
+        self.pair_row = self.at * 48
         self.cum = np.tile(np.arange(CLASSES + 1, dtype=np.int32) * CLASS_STEP, (lanes, 1))
-        self.steps = np.arange(CLASSES + 1)
+        self.flat = self.cum.reshape(-1)
+        self.cum_row = self.at * (CLASSES + 1)
         self.one = np.zeros(lanes, np.int64)
         self.two = np.zeros(lanes, np.int64)
+        self.step = 0
 
     def predict(self) -> None:
         self.slot1 = self.row + ((self.one * 0x9E5F) >> 5 & SLOTS - 1)
@@ -78,61 +89,58 @@ class _Model:
         f1, f2 = self.follow1[self.slot1], self.follow2[self.slot2]
         self.id1, self.id2 = f1 >> 2, f2 >> 2
         self.sure1, self.sure2 = f1 & 3, f2 & 3
-        self.pair = self.pair_row + (self.sure2 << 2 | self.sure1)
-        right = self.right[self.pair]
-        total = right.sum(axis=1)
-        scale = np.int64((1 << 32) - FLOOR) // total
-        self.edge2 = right[:, 0] * scale
-        self.edge1 = self.edge2 + right[:, 1] * scale
-        self.rest = np.int64(1 << 32) - self.edge1
-        self.total = self.cum[:, CLASSES].astype(np.int64)
+        self.pair = self.pair_row + 3 * (self.sure2 << 2 | self.sure1)
+        two, one, none = (self.right[self.pair + i] for i in range(3))
+        scale = _quotient((1 << 32) - FLOOR, two + one + none)
+        self.edge2 = two * scale
+        self.edge1 = self.edge2 + one * scale
+        self.unit = _quotient((1 << 32) - self.edge1, self.flat[self.cum_row + CLASSES])
 
     def learn(self, ids: np.ndarray, kind: np.ndarray, group: np.ndarray) -> None:
         """kind: 0, 1, 2 for order 2, order 1, order 0; group: the id's class."""
-        cell = self.pair * 3 + kind
-        flat = self.right.reshape(-1)
-        flat[cell] += STEP
-        heavy = np.flatnonzero(flat[cell] > LIMIT)
-        if len(heavy):
-            self.right[self.pair[heavy]] = (self.right[self.pair[heavy]] >> 1) | 1
-        self.cum += (self.steps > group[:, None]) * (CLASS_STEP * (kind == 2)).astype(np.int32)[:, None]
-        full = np.flatnonzero(self.cum[:, CLASSES] > CLASS_LIMIT)
-        if len(full):
-            counts = (np.diff(self.cum[full], axis=1) >> 1) | 1
-            self.cum[full, 1:] = np.cumsum(counts, axis=1)
+        self.right[self.pair + kind] += STEP
+        self.cum += _ADDED[np.where(kind == 2, group, CLASSES)]
+        self.step += 1
+        if self.step % _EVERY_RIGHT == 0:
+            counts = self.right.reshape(-1, 3)
+            heavy = np.flatnonzero(counts.max(axis=1) > LIMIT)
+            counts[heavy] = (counts[heavy] >> 1) | 1
+        if self.step % _EVERY_CLASS == 0:
+            full = np.flatnonzero(self.cum[:, CLASSES] > CLASS_LIMIT)
+            self.cum[full, 1:] = np.cumsum((np.diff(self.cum[full], axis=1) >> 1) | 1, axis=1)
         for follow, slot, guess, sure in ((self.follow1, self.slot1, self.id1, self.sure1), (self.follow2, self.slot2, self.id2, self.sure2)):
             hit = guess == ids
-            kept = hit | (sure > 1)
-            follow[slot] = np.where(kept, guess << 2 | np.where(hit, np.minimum(sure + 1, 3), sure - 1), ids << 2)
+            follow[slot] = np.where(hit, guess << 2 | np.minimum(sure + 1, 3), np.where(sure > 1, guess << 2 | sure - 1, ids << 2))
         self.two = self.one
         self.one = ids.astype(np.int64)
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Low end and width of each id's interval of 2 ** 32, its kind and its class."""
-        group = np.searchsorted(_BASE, ids, side="right") - 1
+        group = _CLASS[ids]
         kind = np.where(ids == self.id2, 0, np.where(ids == self.id1, 1, 2))
-        below, above = self.cum[self.at, group], self.cum[self.at, group + 1]
-        unit = self.rest // self.total
-        low0 = self.edge1 + below * unit
-        width0 = (above - below) * unit >> _BITS[group]
-        low = np.where(kind == 0, 0, np.where(kind == 1, self.edge2, low0 + (ids - _BASE[group]) * width0))
+        cell = self.cum_row + group
+        below = self.flat[cell]
+        width0 = (self.flat[cell + 1] - below) * self.unit >> _BITS[group]
+        low0 = self.edge1 + below * self.unit + (ids - _BASE[group]) * width0
+        low = np.where(kind == 0, 0, np.where(kind == 1, self.edge2, low0))
         width = np.where(kind == 0, self.edge2, np.where(kind == 1, self.edge1 - self.edge2, width0))
         return low, width, kind, group
 
     def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The id whose interval holds value, with what interval() gives."""
-        unit = self.rest // self.total
         inside = np.maximum(value - self.edge1, 0)
-        scaled = np.minimum(inside // unit, self.total - 1)
-        group = (self.cum[:, 1:] <= scaled[:, None]).sum(axis=1)
-        below, above = self.cum[self.at, group], self.cum[self.at, group + 1]
-        width0 = (above - below) * unit >> _BITS[group]
-        place = np.minimum((inside - below * unit) // width0, (1 << _BITS[group]) - 1)
+        scaled = np.minimum(_quotient(inside, self.unit), self.flat[self.cum_row + CLASSES] - 1)
+        group = np.zeros(len(value), np.int64)
+        for jump in (8, 4, 2, 1):
+            group += jump * (self.flat[self.cum_row + group + jump] <= scaled)
+        cell = self.cum_row + group
+        below = self.flat[cell]
+        width0 = (self.flat[cell + 1] - below) * self.unit >> _BITS[group]
+        place = np.minimum((inside - below * self.unit) // width0, (1 << _BITS[group]) - 1)
         kind = np.where(value < self.edge2, 0, np.where(value < self.edge1, 1, 2))
+        low0 = self.edge1 + below * self.unit + place * width0
         ids = np.where(kind == 0, self.id2, np.where(kind == 1, self.id1, _BASE[group] + place))
-        if (kind < 2).any():
-            group = np.searchsorted(_BASE, ids, side="right") - 1
-        low = np.where(kind == 0, 0, np.where(kind == 1, self.edge2, self.edge1 + below * unit + place * width0))
+        low = np.where(kind == 0, 0, np.where(kind == 1, self.edge2, low0))
         width = np.where(kind == 0, self.edge2, np.where(kind == 1, self.edge1 - self.edge2, width0))
         return ids, low, width, kind, group
 
@@ -276,7 +284,7 @@ _TAIL[0x80:0xC0] = True
 
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    """One for each Python worker, with the pieces it has met in earlier tasks."""
+    """One for each Python worker, with the pieces it has met in its task."""
     return Encoder(path)
 
 
@@ -386,6 +394,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, partitions: int, end_i
                 names, lengths, ids, held, segment = [], [], [], 0, segment + 1
         if names:
             yield row()
+        encoder(tokenizer).forget()  # the worker goes on to other tasks
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(run, "segment int, n_ids long, data binary").withColumn("part", F.spark_partition_id()).write.parquet(path)
