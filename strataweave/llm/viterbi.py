@@ -156,7 +156,7 @@ class Search:
 class Encoder:
     """Ids of whole columns, and texts of ids."""
 
-    KEPT = 400_000
+    KEPT = 1_500_000
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
@@ -223,14 +223,15 @@ class Encoder:
 
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    """One for each Python worker, with the segments it has met in its task."""
+    """One for each Python worker, with the segments it has met."""
     return Encoder(Vocabulary.load(path))
 
 
-def encode_column(docs: DataFrame, path: str) -> DataFrame:
+def encode_column(docs: DataFrame, path: str, keep: int = Encoder.KEPT, forget: bool = False) -> DataFrame:
     """docs' columns (but those named like results) with ids, n_ids and decoded_crc32, that of the bytes decoded from ids.
 
-    A null or empty text has no ids.  Repeated rows are encoded alike; nulls elsewhere stay.
+    A worker keeps up to about `keep` segments' ids for later tasks, or with `forget` until its task ends, which takes more
+    time and less memory.  A null or empty text has no ids.  Repeated rows are encoded alike; nulls elsewhere stay.
     """
     kept = [c for c in docs.columns if c not in ("ids", "n_ids", "decoded_crc32")]
     source = docs.select(*kept)
@@ -239,13 +240,15 @@ def encode_column(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches, limit=3 * CHUNK_BYTES):
             tool = encoder(path)
+            tool.KEPT = keep
             ids, n = tool.encode(*flat_bytes(batch.column("text")))
             data, offsets = tool.decode(ids, n)
             view = memoryview(np.ascontiguousarray(data))
             checks = [zlib.crc32(view[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(n, pa.int64()), pa.array(checks, pa.int64())], names=[*kept, "ids", "n_ids", "decoded_crc32"])
-        encoder(path).forget()  # the worker goes on to other tasks
+        if forget:
+            encoder(path).forget()
 
     return source.mapInArrow(run, schema)
 
