@@ -52,7 +52,7 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids beside the documents' columns."""
     prepare(spark)
-    return viterbi.encode_column(docs, tokenizer_path("piece_bpe_32k.model"))
+    return viterbi.encode_column(docs, tokenizer_path("piece_bpe_32k.model"), keep=400_000, forget=True)  # its workers have other stages' memory too
 
 
 STAGES = [
