@@ -117,8 +117,7 @@ def kept_touches(fx: Fixture) -> DataFrame:
 
 @query("change_propagates", q(PAIRS, "SELECT source, target, cnt, ROUND(cnt / change_freq, 6) AS weight FROM (SELECT x.file AS source, y.file AS target, COUNT(DISTINCT x.seq) AS cnt FROM (SELECT * FROM st WHERE seq < 2000) x JOIN (SELECT * FROM st WHERE seq < 2000) y ON y.seq < x.seq AND y.seq >= x.seq - 5 AND x.file <> y.file GROUP BY ALL) JOIN (SELECT file, COUNT(*) AS change_freq FROM touches WHERE seq < 2000 GROUP BY file) ON file = source"))
 def change_propagates(fx: Fixture) -> DataFrame:
-    """In the newest 2000 commits, which is what the history's cap is for."""
-    return rounded(change.change_propagates(fx.touches().where("seq < 2000"), 5, BUILD.max_files_per_commit), "weight")
+    return rounded(change.change_propagates(fx.touches(), 5, BUILD.max_files_per_commit), "weight")
 
 
 # --- structural layer ---------------------------------------------------------------------------------------------

@@ -2,8 +2,10 @@
 
 import datetime as dt
 import random
+from collections import Counter
 
 from strataweave import catalog
+from strataweave.sources.fixture import Fixture
 
 DAY0 = dt.datetime(1992, 1, 1)
 
@@ -34,3 +36,21 @@ def test_range_innermost(spark, tmp_path):
     got = [tuple(x) for x in catalog.QUERIES["range_innermost"](spark, str(tmp_path)).collect()]
     assert len(got) == len(set(got)) and set(got) == expected
     assert {x[1] for x in got} == set(of)
+
+
+def test_change_propagates(spark, tmp_path):
+    n = 2300
+    orders, lines = star(spark, tmp_path, n)
+    path = {x["p_partkey"]: x["id"] for x in Fixture(spark, str(tmp_path)).parts().collect()}
+    seq = {k: i for i, (k, _, _) in enumerate(sorted(orders, key=lambda x: (x[2], x[0]), reverse=True))}
+    files = {}
+    for k, part, *_ in lines:
+        files.setdefault(seq[k], set()).add(path[part])
+    freq = Counter(f for fs in files.values() for f in fs)
+    times = Counter()
+    for i, here in files.items():
+        after = set().union(*[files.get(j, set()) for j in range(max(i - 5, 0), i)])
+        times.update((a, b) for a in here for b in after if a != b)
+    got = {(x["source"], x["target"]): (x["cnt"], x["weight"]) for x in catalog.QUERIES["change_propagates"](spark, str(tmp_path)).collect()}
+    assert {k: v[0] for k, v in got.items()} == times
+    assert all(abs(w - times[k] / freq[k[0]]) < 1e-6 for k, (_, w) in got.items())
