@@ -8,8 +8,9 @@ document's evidence is the difference of its log-likelihoods, divided by its num
 
 A document of one language is far from the average of all, word by word; so a word's evidence is taken from the
 document's median word, and counts as far as it exceeds a margin.  Margin and cut are set on a calibrating fold.  Where
-neither class has seen a symbol after its context, both are taken as equally likely: scoring needs a table of the
-labelled sample's grams only, which the sample bounds, whatever the corpus holds.
+neither class has seen a symbol after its context, both give it what they share times their own weight of backing off,
+so what they share cancels and the evidence is the difference of the weights' logarithms; after a context that neither
+has seen both weights are 1.  So scoring needs the grams and contexts of the labelled sample only.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ MARGINS = (2.0, 3.0, 4.0, 5.0)
 class Model:
     grams: np.ndarray  # sorted codes
     evidence: np.ndarray  # log p(toxic) - log p(ordinary) of the gram's last symbol
+    contexts: np.ndarray  # sorted codes of the grams without their last symbols
+    backing: np.ndarray  # the same difference for any symbol that neither class has seen after the context
     margin: float = 3.0
     slope: float = 1.0
     middle: float = 0.0
@@ -97,7 +100,12 @@ def evidence(model: Model, code: np.ndarray) -> np.ndarray:
     if not len(model.grams):
         return np.zeros(len(code))
     at = np.minimum(np.searchsorted(model.grams, code), len(model.grams) - 1)
-    return np.where(model.grams[at] == code, model.evidence[at], 0.0)
+    out = np.where(model.grams[at] == code, model.evidence[at], 0.0)
+    unseen = np.flatnonzero(model.grams[at] != code)
+    before = code[unseen] >> 8
+    at = np.minimum(np.searchsorted(model.contexts, before), len(model.contexts) - 1)
+    out[unseen] = np.where(model.contexts[at] == before, model.backing[at], 0.0)
+    return out
 
 
 def normalised(model: Model, data: np.ndarray, offsets: np.ndarray, margins: tuple[float, ...] | None = None) -> np.ndarray:
@@ -178,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled:
     by_class = [_counts(counted.filter(pa.array(toxic == c))) for c in (0, 1)]
     if not len(by_class[0][0]) or not len(by_class[1][0]):
         empty = np.zeros(0, np.int64)
-        return Model(empty, empty.astype(float), middle=10.0)
+        return Model(empty, empty.astype(float), empty, empty.astype(float), middle=10.0)
     grams = np.union1d(by_class[0][0], by_class[1][0])
     shared = _shared(docs, grams)
     model = _combine(grams, by_class, shared)
@@ -235,20 +243,21 @@ def _shared(docs: DataFrame, grams: np.ndarray) -> np.ndarray:
 
 def _combine(grams: np.ndarray, by_class: list[tuple[np.ndarray, np.ndarray]], shared: np.ndarray) -> Model:
     """Each class's counts less DISCOUNT; what that frees goes to both classes' counts together, and theirs to the corpus."""
-    _, place = np.unique(grams >> 8, return_inverse=True)
+    contexts, first, place = np.unique(grams >> 8, return_index=True, return_inverse=True)
     count = np.zeros((2, len(grams)))
     for c, (code, n) in enumerate(by_class):
         count[c, np.searchsorted(grams, code)] = n
     both = count.sum(axis=0)
     total, kinds = np.bincount(place, weights=both)[place], np.bincount(place, weights=both > 0)[place]
     pooled = (np.maximum(both - SHARED_DISCOUNT, 0) + SHARED_DISCOUNT * kinds * shared) / total
-    logs = []
+    logs, backs = [], []
     for own in count:
         less = np.minimum(own, DISCOUNT)
         n = np.bincount(place, weights=own)[place]
         back = np.where(n > 0, np.bincount(place, weights=less)[place] / np.maximum(n, 1), 1.0)
         logs.append(np.log((own - less) / np.maximum(n, 1) + back * pooled))
-    return Model(grams, logs[1] - logs[0])
+        backs.append(np.log(back[first]))
+    return Model(grams, logs[1] - logs[0], contexts, backs[1] - backs[0])
 
 
 def _calibrating(texts: DataFrame, model: Model) -> np.ndarray:
