@@ -328,7 +328,8 @@ query("impact")(lambda fx: fixed.impact(fx.nodes(), fx.settle().edges(), _all(fx
 
 @query("scc_members", q(GRAPH + "," + CYCLES, "SELECT id, component FROM scc"))
 def scc_members(fx: Fixture) -> DataFrame:
-    return _cycle_groups(fx.settle())
+    """Over the edges of all layers; the cycle signal has its own, smaller graph."""
+    return graphops.strong_components(fx.settle().edges())
 
 
 def _around(depth: int) -> str:

@@ -54,3 +54,25 @@ def test_change_propagates(spark, tmp_path):
     got = {(x["source"], x["target"]): (x["cnt"], x["weight"]) for x in catalog.QUERIES["change_propagates"](spark, str(tmp_path)).collect()}
     assert {k: v[0] for k, v in got.items()} == times
     assert all(abs(w - times[k] / freq[k[0]]) < 1e-6 for k, (_, w) in got.items())
+
+
+def test_scc_members(spark, tmp_path):
+    star(spark, tmp_path, 12)
+    fx = Fixture(spark, str(tmp_path))
+    ways = {}
+    for x in fx.edges().collect():
+        ways.setdefault(x["source"], set()).add(x["target"])
+
+    def reached(a):
+        seen, front = set(), [a]
+        while front:
+            new = ways.get(front.pop(), set()) - seen
+            seen |= new
+            front += new
+        return seen
+
+    reach = {a: reached(a) for a in ways}
+    groups = {a: {b for b in r if a in reach.get(b, ())} | {a} for a, r in reach.items()}
+    expected = {(a, min(g)) for a, g in groups.items() if len(g) > 1}
+    got = {(x["id"], x["component"]) for x in catalog.QUERIES["scc_members"](spark, str(tmp_path)).collect()}
+    assert got == expected and got
