@@ -1,13 +1,19 @@
 """Token ids in blocks of an adaptive context-mixing range coder.
 
 Ids (0 to 65535) are cut into blocks of BLOCK ids.  A block starts from an empty model, so it decodes alone, and has a
-checksum of its coded bytes and one of its ids.  The model predicts the next id by what last followed the two ids
-before (order 2) and the one id before (order 1), each with a confidence, and by an adaptive distribution over sixteen
-classes of ids by magnitude, uniform inside a class (order 0; byte-pair ids are about in order of frequency).  The
-three are mixed with weights that each pair of confidences has learnt, into one 32-bit interval for the id, which a
-range coder with 64-bit state takes.  All arithmetic is in integers.
+checksum of its coded bytes and one of its ids.  Its ids lie in lanes, one after the other; all lanes take a step
+together and share one model, which learns from every lane's id after each step:
 
-The blocks of a segment are coded in lockstep, one numpy lane each.  A segment holds whole documents:
+* order 2: a table of slots, each checked by 23 bits of its context's hash, with two candidates and their counts;
+* order 1: for each id, the distribution of the ids that have followed it, renewed as the number of steps grows by
+  three fifths;
+* order 0: the distribution of the ids that the others did not hold, and a uniform one for what is new to it.
+
+Candidates' counts together with how much order 1 has seen after this id are a state; each state has learnt how often
+which of the four predictions was right, and these weights mix them into one interval of 2 ** 28 for the next id, which
+a range coder with a 48-bit window takes.  All arithmetic is in integers (and in doubles where these are exact).
+
+A segment holds whole documents:
 
     bytes  meaning
     8      magic and version
@@ -15,6 +21,8 @@ The blocks of a segment are coded in lockstep, one numpy lane each.  A segment h
     ...    document ids (8 each; NULL_ID for null), then their numbers of ids (4 each)
     ...    for each block: number of coded bytes (4), crc32 of them (4), crc32 of the ids (4)
     ...    the blocks' bytes, and the crc32 of all before (4)
+
+A block's bytes are the lanes' numbers of 16-bit words (2 bytes each), then the lanes' words.
 """
 
 from __future__ import annotations
@@ -33,218 +41,332 @@ from pyspark.sql import functions as F
 
 from .common import CHUNK_BYTES, flat_bytes, scratch, text_chunks
 
-MAGIC = b"SWTIDS\0\1"
+MAGIC = b"SWTIDS\0\2"
 NULL_ID = -(1 << 63)
-BLOCK = 2048
+#: Ids of a block.
+BLOCK = 1 << 22
 #: Ids of a segment, if its last document doesn't make it longer.
-SEGMENT = 4096 * BLOCK
-SLOTS = 1024
-CLASSES = 16
-STEP, LIMIT = 24, 1 << 14
-CLASS_STEP, CLASS_LIMIT = 8, 1 << 11
-#: The least share of the interval for order 0, so that every id's width is at least 1.
-FLOOR = 1 << 27
+SEGMENT = 2 * BLOCK
+SLOT_BITS = 18
+IDS = 1 << 16
+#: An interval is a prediction's share of 2 ** SHARE_BITS times an id's share of 2 ** 16.
+SHARE_BITS = 12
+TOTAL_BITS = SHARE_BITS + 16
+#: Order 0 holds so many ids at most, the most frequent; the others are coded uniformly.
+HELD = 1 << 15
 
 
 class CorruptError(ValueError):
     """A segment or block whose checksum or form is wrong."""
 
 
-# Class i holds ids from _BASE[i], 2 ** _BITS[i] of them.
-_BITS = np.array([5, 5, 6, 7, 8, 9, 10, 11, 11, 12, 12, 12, 12, 13, 13, 15], dtype=np.int64)
-_BASE = np.concatenate([[0], np.cumsum(1 << _BITS)])[:-1]
-_CLASS = np.repeat(np.arange(CLASSES), 1 << _BITS)[: 1 << 16]
-#: What a class's turn adds to the cumulated counts; the last row is no turn.
-_ADDED = np.vstack([(np.arange(CLASSES + 1) > np.arange(CLASSES)[:, None]) * CLASS_STEP, np.zeros((1, CLASSES + 1))]).astype(np.int32)
-#: Counts are looked at for their limits each so many ids.
-_EVERY_RIGHT, _EVERY_CLASS = 64, 16
+# What is right: the first or second candidate of order 2, order 1, or order 0.
+FIRST, SECOND, ORDER1, ORDER0 = range(4)
+KINDS = 4
+#: A state's counts before it has seen anything, and what one turn adds.
+_START, _TURN = np.array([6, 2, 4, 4], np.int64), 8
+
+
+def _level(n: np.ndarray, cuts: list[float]) -> np.ndarray:
+    return np.searchsorted(cuts, n, side="right").astype(np.int64)
+
+
+# The two candidates' counts, 4 bits each, as one of 18 levels; order 1 has 40, its first for nothing seen.
+_COUNTS = np.arange(256)
+_LEVEL2 = 3 * _level(_COUNTS & 15, [1, 2, 4, 8, 15]) + _level(_COUNTS >> 4, [1, 3])
+_LEVELS1 = 40
+_STATES = 18 * _LEVELS1
 
 
-def _quotient(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a // b of numbers up to 2 ** 33 and 2 ** 16: a double's quotient can't reach the next integer."""
-    return (a / b).astype(np.int64)
+def _turns() -> tuple[np.ndarray, np.ndarray]:
+    """For what was right (first, second, neither) and a slot's counts: the new counts, and 16 if the candidates change places."""
+    new, swap = np.zeros((3, 256), np.int64), np.zeros((3, 256), np.int64)
+    for counts in range(256):
+        a, b = counts & 15, counts >> 4
+        after = [
+            (min(a + 1, 15), b - (a > 8 and b > 3), False),
+            (a - (a > 6), min(b + 1, 15), b + 1 >= a),
+            (a - (a > 1), 1, a <= 2),  # the second gives way to the id that came
+        ]
+        for right, (x, y, changed) in enumerate(after):
+            new[right, counts], swap[right, counts] = (y | x << 4, 16) if changed else (x | y << 4, 0)
+    return new.ravel(), swap.ravel()
+
+
+_NEW_COUNTS, _SWAP = _turns()
+
+
+_INDEX, _SPARE = (1 << 19) - 1, (1 << 17) - 1
+
+
+def _pair_hash(pair: np.ndarray) -> np.ndarray:
+    return pair * 0x2545F4914F >> 20 & _INDEX
 
 
 class _Model:
-    """The state of all lanes.  follow[k] keeps, for each slot, id * 4 + confidence of what follows it."""
-
-    def __init__(self, lanes: int):
-        self.at = np.arange(lanes)
-        self.row = self.at * SLOTS
-        self.follow1 = np.zeros(lanes * SLOTS, np.int32)
-        self.follow2 = np.zeros(lanes * SLOTS, np.int32)
-        # of each pair of confidences, how often order 2, order 1 and order 0 were right
-        self.right = np.tile(np.array([4, 2, 10], np.int32), lanes * 16)
-        self.pair_row = self.at * 48
-        self.cum = np.tile(np.arange(CLASSES + 1, dtype=np.int32) * CLASS_STEP, (lanes, 1))
-        self.flat = self.cum.reshape(-1)
-        self.cum_row = self.at * (CLASSES + 1)
+    """What a block's lanes have learnt."""
+
+    def __init__(self, lanes: int, decodes: bool):
+        self.decodes = decodes
+        self.slots = np.zeros(1 << SLOT_BITS, np.int64)  # 16 bits each candidate, 4 each count, 23 of the context's hash
+        self.right = np.tile(_START, _STATES)
+        self.rare = np.zeros(IDS, np.int64)
+        self.level1 = np.zeros(IDS, np.int64)
+        self.sorted_pairs = np.zeros(0, np.uint32)
+        self.pairs = np.zeros(0, np.int64)
+        self.met: list[np.ndarray] = []
+        self.turns: list[np.ndarray] = []
+        self.others: list[np.ndarray] = []
+        if decodes:
+            self.unit, self.row = np.zeros(IDS, np.int64), np.zeros(IDS, np.int64)
+        else:
+            self.index, self.spare = np.zeros(_INDEX + 1, np.int32), np.zeros(_SPARE + 1, np.int32)
         self.one = np.zeros(lanes, np.int64)
         self.two = np.zeros(lanes, np.int64)
-        self.step = 0
+        self.step, self.next_weigh, self.next_relate = 0, 1, 2
+        self._weigh()
+
+    def _weigh(self) -> None:
+        """The states' weights and order 0, from all turns so far."""
+        if self.turns:
+            self.right += np.bincount(np.concatenate(self.turns), minlength=_STATES * KINDS) * _TURN
+            self.rare += np.bincount(np.concatenate(self.others), minlength=IDS)
+            self.turns, self.others = [], []
+        right = self.right.reshape(-1, KINDS)
+        share = right * ((1 << SHARE_BITS) - KINDS) // right.sum(axis=1)[:, None] + 1
+        share[:, ORDER0] += (1 << SHARE_BITS) - share.sum(axis=1)
+        reached = np.cumsum(share, axis=1)
+        self.share, self.below = share.ravel(), (reached - share).ravel()
+        self.reached = [np.ascontiguousarray(reached[:, i]) for i in range(KINDS - 1)]
+        held = np.flatnonzero(self.rare)
+        if len(held) > HELD:
+            held = np.sort(np.argsort(-self.rare, kind="stable")[:HELD])
+        self.begin0, self.width0 = np.zeros(IDS, np.int64), np.zeros(IDS, np.int64)
+        self.room, self.id_at = 0, np.full(IDS, -1)
+        if len(held):
+            counts = self.rare[held]
+            self.room = IDS - max(16, min(IDS // 4, len(held) * IDS // (2 * int(counts.sum()) + 16)))
+            width = counts * (self.room - len(held)) // counts.sum() + 1
+            width[np.argmax(width)] += self.room - width.sum()
+            self.width0[held], self.begin0[held] = width, np.cumsum(width) - width
+            self.id_at[: self.room] = np.repeat(held, width)
+        self.next_weigh = self.step + max(1, min(64, self.step // 8))
+
+    def _relate(self) -> None:
+        """Order 1, from all pairs so far."""
+        self.sorted_pairs = np.sort(np.concatenate([self.sorted_pairs, *self.met]))
+        self.met = []
+        new = np.flatnonzero(np.append(True, self.sorted_pairs[1:] != self.sorted_pairs[:-1]))
+        self.pairs = self.sorted_pairs[new].astype(np.int64)
+        counts = np.diff(np.append(new, len(self.sorted_pairs)))
+        context = self.pairs >> 16
+        first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+        total, kinds = np.add.reduceat(counts, first), np.diff(np.append(first, len(counts)))
+        # a context has eight to sixteen cells for each id that followed it, at most 2 ** 13, or 2 ** 16 if that's too few
+        bits = np.ceil(np.log2(kinds)).astype(np.int64) + 3
+        bits = np.where(bits > 13, np.where(kinds < 1 << 12, 13, 16), bits)
+        row = np.repeat(np.arange(len(first)), kinds)
+        cells = counts * ((1 << bits) - kinds)[row] // total[row] + 1
+        cells[first] += (1 << bits) - np.add.reduceat(cells, first)
+        begin = np.cumsum(cells) - cells
+        unit = 16 - bits[row]
+        self.width1, self.begin1 = cells << unit, begin - begin[first][row] << unit
+        self.level1[context[first]] = 1 + 3 * np.minimum(np.log2(total).astype(np.int64), 12) + _level(total / kinds, [1.5, 4])
+        if self.decodes:
+            self.unit[context[first]], self.row[context[first]] = 16 - bits, begin[first]
+            self.pair_at = np.repeat(np.arange(len(counts), dtype=np.int32), cells)
+        else:
+            self._index()
+        self.next_relate = self.step + max(2, self.step * 3 // 5)
+
+    def _index(self) -> None:
+        """Where a pair is; the few that neither table has room for count as not seen."""
+        every = np.arange(len(self.pairs), dtype=np.int32)
+        self.index.fill(0)
+        self.index[_pair_hash(self.pairs)] = every
+        lost = every[self.index[_pair_hash(self.pairs)] != every]
+        self.spare.fill(0)
+        self.spare[self.pairs[lost] * 0x9E3779B1 >> 13 & _SPARE] = lost
+
+    def find(self, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which pairs order 1 has, and where."""
+        at = self.index[_pair_hash(pair)]
+        known = self.pairs[at] == pair
+        rest = np.flatnonzero(~known)
+        at[rest] = self.spare[pair[rest] * 0x9E3779B1 >> 13 & _SPARE]
+        known[rest] = self.pairs[at[rest]] == pair[rest]
+        seen = np.flatnonzero(known)
+        return seen, at[seen]
 
     def predict(self) -> None:
-        self.slot1 = self.row + ((self.one * 0x9E5F) >> 5 & SLOTS - 1)
-        self.slot2 = self.row + ((self.one * 0x2F0B + self.two * 0x6A4D) >> 4 & SLOTS - 1)
-        f1, f2 = self.follow1[self.slot1], self.follow2[self.slot2]
-        self.id1, self.id2 = f1 >> 2, f2 >> 2
-        self.sure1, self.sure2 = f1 & 3, f2 & 3
-        self.pair = self.pair_row + 3 * (self.sure2 << 2 | self.sure1)
-        two, one, none = (self.right[self.pair + i] for i in range(3))
-        scale = _quotient((1 << 32) - FLOOR, two + one + none)
-        self.edge2 = two * scale
-        self.edge1 = self.edge2 + one * scale
-        self.unit = _quotient((1 << 32) - self.edge1, self.flat[self.cum_row + CLASSES])
-
-    def learn(self, ids: np.ndarray, kind: np.ndarray, group: np.ndarray) -> None:
-        """kind: 0, 1, 2 for order 2, order 1, order 0; group: the id's class."""
-        self.right[self.pair + kind] += STEP
-        self.cum += _ADDED[np.where(kind == 2, group, CLASSES)]
+        h = self.one * 0x2545F4914F + self.two * 0x9E3779B97F
+        h ^= h >> 23
+        self.slot, self.check = h & ((1 << SLOT_BITS) - 1), h >> SLOT_BITS & 0x7FFFFF
+        known = self.slots[self.slot]
+        known *= (known >> 40) == self.check
+        self.first, self.second = known & (IDS - 1), known >> 16 & (IDS - 1)
+        self.candidates, self.counts = known & 0xFFFFFFFF, known >> 32 & 255
+        self.state = _LEVEL2[self.counts] * _LEVELS1 + self.level1[self.one]
+
+    def learn(self, ids: np.ndarray, pair: np.ndarray, kind: np.ndarray, cell: np.ndarray, others: np.ndarray) -> None:
+        """pair: ids after those before; kind: what was right; cell: the state's place for it; others: what order 0 coded.
+
+        Where lanes share a slot, the last one's turn stays.
+        """
+        self.turns.append(cell)
+        self.others.append(others)
+        self.met.append(pair.astype(np.uint32))
+        case = np.minimum(kind, 2) << 8 | self.counts
+        candidates = np.where(kind < ORDER1, self.candidates, self.first | ids << 16)
+        swap = _SWAP[case]
+        candidates = candidates >> swap | candidates << swap & 0xFFFFFFFF
+        self.slots[self.slot] = candidates | _NEW_COUNTS[case] << 32 | self.check << 40
+        self.two, self.one = self.one, ids
         self.step += 1
-        if self.step % _EVERY_RIGHT == 0:
-            counts = self.right.reshape(-1, 3)
-            heavy = np.flatnonzero(counts.max(axis=1) > LIMIT)
-            counts[heavy] = (counts[heavy] >> 1) | 1
-        if self.step % _EVERY_CLASS == 0:
-            full = np.flatnonzero(self.cum[:, CLASSES] > CLASS_LIMIT)
-            self.cum[full, 1:] = np.cumsum((np.diff(self.cum[full], axis=1) >> 1) | 1, axis=1)
-        for follow, slot, guess, sure in ((self.follow1, self.slot1, self.id1, self.sure1), (self.follow2, self.slot2, self.id2, self.sure2)):
-            hit = guess == ids
-            follow[slot] = np.where(hit, guess << 2 | np.minimum(sure + 1, 3), np.where(sure > 1, guess << 2 | sure - 1, ids << 2))
-        self.two = self.one
-        self.one = ids.astype(np.int64)
-
-    def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Low end and width of each id's interval of 2 ** 32, its kind and its class."""
-        group = _CLASS[ids]
-        kind = np.where(ids == self.id2, 0, np.where(ids == self.id1, 1, 2))
-        cell = self.cum_row + group
-        below = self.flat[cell]
-        width0 = (self.flat[cell + 1] - below) * self.unit >> _BITS[group]
-        low0 = self.edge1 + below * self.unit + (ids - _BASE[group]) * width0
-        low = np.where(kind == 0, 0, np.where(kind == 1, self.edge2, low0))
-        width = np.where(kind == 0, self.edge2, np.where(kind == 1, self.edge1 - self.edge2, width0))
-        return low, width, kind, group
-
-    def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The id whose interval holds value, with what interval() gives."""
-        inside = np.maximum(value - self.edge1, 0)
-        scaled = np.minimum(_quotient(inside, self.unit), self.flat[self.cum_row + CLASSES] - 1)
-        group = np.zeros(len(value), np.int64)
-        for jump in (8, 4, 2, 1):
-            group += jump * (self.flat[self.cum_row + group + jump] <= scaled)
-        cell = self.cum_row + group
-        below = self.flat[cell]
-        width0 = (self.flat[cell + 1] - below) * self.unit >> _BITS[group]
-        place = np.minimum((inside - below * self.unit) // width0, (1 << _BITS[group]) - 1)
-        kind = np.where(value < self.edge2, 0, np.where(value < self.edge1, 1, 2))
-        low0 = self.edge1 + below * self.unit + place * width0
-        ids = np.where(kind == 0, self.id2, np.where(kind == 1, self.id1, _BASE[group] + place))
-        low = np.where(kind == 0, 0, np.where(kind == 1, self.edge2, low0))
-        width = np.where(kind == 0, self.edge2, np.where(kind == 1, self.edge1 - self.edge2, width0))
-        return ids, low, width, kind, group
-
-
-# Coder: the interval [low, low + span) of 64 bits; when its ends agree on the top 16 bits, these leave.  An interval
-# that has become short of 2 ** 40 and still straddles such a border shrinks to the part below it: no carry is needed.
-
-_LOW32, _LOW48 = np.uint64(0xFFFFFFFF), np.uint64((1 << 48) - 1)
-_WORD, _TOP16 = np.uint64(16), np.uint64(48)
-
-
-def _narrow(low: np.ndarray, span: np.ndarray, a: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    part = span >> np.uint64(32)
-    return low + part * a.astype(np.uint64), part * w.astype(np.uint64)
-
-
-def _due(low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lanes that must give a word, and their states before they do."""
-    same = (low ^ (low + span - np.uint64(1))) <= _LOW48
-    due = np.flatnonzero(same | (span < np.uint64(1 << 40)))
-    l, s = low[due], span[due]
-    return due, l, np.where(same[due], s, np.minimum(_LOW48 + np.uint64(1) - (l & _LOW48), _LOW48))
-
-
-def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
-    """The coded bytes of each block of ids."""
-    n = len(ids)
-    if not n:
-        return []
-    lanes = -(-n // block)
-    grid = np.zeros(lanes * block, np.int32)
-    grid[:n] = ids
-    grid = np.ascontiguousarray(grid.reshape(lanes, block).T)
-    length = np.full(lanes, block)
-    length[-1] = n - (lanes - 1) * block
-    model = _Model(lanes)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    words = np.zeros((lanes, block * 3 + 16), np.uint16)
-    used = np.zeros(lanes, np.int64)
-    for t in range(block):
+        if self.step >= self.next_weigh:
+            self._weigh()
+        if self.step >= self.next_relate:
+            self._relate()
+
+
+# The coder: an interval [low, low + span) of a 48-bit window.  A span below 2 ** 32 gives up the window's top 16 bits,
+# to which a carry may still be added; carries run through a lane's words when the block is done.
+
+_LEAST, _LOW32, _MOST = 1 << 32, (1 << 32) - 1, (1 << TOTAL_BITS) - 1
+
+
+def _lanes(n: int) -> tuple[int, int]:
+    """Lanes of a block of n ids, and their steps."""
+    lanes = 1 << ((n.bit_length() + 1) // 2)
+    return lanes, -(-n // lanes)
+
+
+def encode_block(ids: np.ndarray) -> bytes:
+    lanes, steps = _lanes(len(ids))
+    grid = np.zeros(lanes * steps, np.int64)
+    grid[: len(ids)] = ids
+    grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
+    model = _Model(lanes, False)
+    low, span = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48, np.int64)
+    width = 3 * steps + 4
+    words, used = np.zeros(lanes * width, np.uint32), np.arange(lanes) * width
+
+    def settle() -> None:
+        due = np.flatnonzero(span < _LEAST)
+        while len(due):
+            l, s, at = low[due], span[due] << 16, used[due]
+            words[at] = l >> 32
+            used[due] = at + 1
+            low[due] = (l & _LOW32) << 16
+            span[due] = s
+            due = due[s < _LEAST]
+
+    for t in range(steps):
         x = grid[t]
         model.predict()
-        a, w, kind, group = model.interval(x)
-        low, span = _narrow(low, span, a, w)
-        while len((gone := _due(low, span))[0]):
-            due, l, s = gone
-            words[due, used[due]] = (l >> _TOP16).astype(np.uint16)
-            used[due] += 1
-            low[due], span[due] = l << _WORD, s << _WORD
-        model.learn(x, kind, group)
-        if t + 1 == length[-1]:  # the last lane goes on with zeros, whose words are cut off below
-            end_used, end_low, end_span = used[-1], low[-1], span[-1]
-            if lanes == 1:
-                break
-    used[-1], low[-1], span[-1] = end_used, end_low, end_span
-    # a last word inside the interval; what follows is taken as zeros
-    last = (low >> _TOP16) + np.uint64(1)
-    inside = (last << _TOP16) - low < span
-    words[model.at, used] = np.where(inside, last, low >> _TOP16).astype(np.uint16)
-    for i in range(1, 4):
-        words[model.at, used + i] = np.where(inside, np.uint64(0), low >> np.uint64(48 - 16 * i)).astype(np.uint16)
-    size = np.where(inside, used + 1, used + 4)
-    return [words[i, : size[i]].astype("<u2").tobytes() for i in range(lanes)]
-
-
-def decode_blocks(blocks: list[bytes], n: int, block: int = BLOCK) -> np.ndarray:
-    if not n:
-        return np.zeros(0, np.int32)
-    lanes = len(blocks)
-    sizes = np.array([len(b) // 2 for b in blocks])
-    words = np.zeros((lanes, int(sizes.max()) + 8), np.uint16)
-    for i, b in enumerate(blocks):
-        words[i, : sizes[i]] = np.frombuffer(b, "<u2")
-    steps = min(block, n)
-    out = np.zeros((steps, lanes), np.int32)
-    model = _Model(lanes)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    code = np.zeros(lanes, np.uint64)
-    for i in range(4):
-        code = code << _WORD | words[:, i].astype(np.uint64)
-    used = np.full(lanes, 4)
-    most = words.shape[1] - 1
+        pair = model.one << 16 | x
+        kind = np.full(lanes, ORDER0)
+        begin, part = model.begin0[x], model.width0[x]
+        if len(model.pairs):
+            seen, at = model.find(pair)
+            kind[seen] = ORDER1
+            begin[seen], part[seen] = model.begin1[at], model.width1[at]
+        hit, second = x == model.first, x == model.second
+        np.putmask(kind, second, SECOND)
+        np.putmask(kind, hit, FIRST)
+        hit |= second
+        np.putmask(begin, hit, 0)
+        np.putmask(part, hit, IDS)
+        others = np.flatnonzero(kind == ORDER0)
+        new = others[part[others] == 0]
+        begin[new], part[new] = model.room, IDS - model.room
+        cell = model.state * KINDS + kind
+        share = model.share[cell]
+        unit = span >> TOTAL_BITS
+        low += unit * ((model.below[cell] << 16) + share * begin)
+        np.multiply(unit, share * part, out=span)
+        settle()
+        if len(new):
+            unit = span[new] >> 16
+            low[new] += unit * x[new]
+            span[new] = unit
+            settle()
+        model.learn(x, pair, kind, cell, x[others])
+    words[used] = (low + _LOW32) >> 32  # lies in the interval, whatever follows; the reader takes zeros
+    words = words.reshape(lanes, width)
+    while (carry := words >> np.uint32(16)).any():
+        words &= np.uint32(0xFFFF)
+        words[:, :-1] += carry[:, 1:]
+    size = used + 1 - np.arange(lanes) * width
+    return size.astype("<u2").tobytes() + words[np.arange(width) < size[:, None]].astype("<u2").tobytes()
+
+
+def decode_block(data: bytes, n: int) -> np.ndarray:
+    lanes, steps = _lanes(n)
+    size = np.frombuffer(data, "<u2", lanes).astype(np.int64)
+    width = int(size.max()) + 6
+    words = np.zeros((lanes, width), np.int64)
+    words[np.arange(width) < size[:, None]] = np.frombuffer(data, "<u2", int(size.sum()), 2 * lanes)
+    words = words.ravel()
+    used = np.arange(lanes) * width
+    code = words[used] << 32 | words[used + 1] << 16 | words[used + 2]
+    used += 3
+    span = np.full(lanes, 1 << 48, np.int64)
+    out = np.zeros((steps, lanes), np.int64)
+    model = _Model(lanes, True)
+    end = len(words) - 1
+
+    def settle() -> None:
+        due = np.flatnonzero(span < _LEAST)
+        while len(due):
+            s, at = span[due] << 16, used[due]
+            code[due] = code[due] << 16 | words[np.minimum(at, end)]
+            used[due] = at + 1
+            span[due] = s
+            due = due[s < _LEAST]
+
     for t in range(steps):
         model.predict()
-        part = span >> np.uint64(32)
-        value = np.minimum((code - low) // np.maximum(part, np.uint64(1)), _LOW32).astype(np.int64)
-        ids, a, w, kind, group = model.find(value)
-        low, span = low + part * a.astype(np.uint64), part * w.astype(np.uint64)
-        while len((gone := _due(low, span))[0]):
-            due, l, s = gone
-            low[due], span[due] = l << _WORD, s << _WORD
-            code[due] = code[due] << _WORD | words[due, np.minimum(used[due], most)].astype(np.uint64)
-            used[due] += 1
-        out[t] = ids
-        model.learn(out[t], kind, group)
-    return np.ascontiguousarray(out.T).reshape(-1)[:n] if steps == block else out.T.reshape(-1)[:n]
+        unit = span >> TOTAL_BITS
+        value = np.minimum((code / unit).astype(np.int64), _MOST)  # exact: both are below 2 ** 53, quotients far from rounding
+        top = value >> 16
+        kind = np.zeros(lanes, np.int64)
+        for reached in model.reached:
+            kind += top >= reached[model.state]
+        cell = model.state * KINDS + kind
+        share, below = model.share[cell], model.below[cell] << 16
+        inside = ((value - below) / share).astype(np.int64)
+        x = np.where(kind == FIRST, model.first, model.second)
+        begin, part = np.zeros(lanes, np.int64), np.full(lanes, IDS)
+        near = np.flatnonzero(kind == ORDER1)
+        if len(near) and len(model.pairs):
+            one = model.one[near]
+            at = model.pair_at[model.row[one] + (inside[near] >> model.unit[one])]
+            x[near], begin[near], part[near] = model.pairs[at] & (IDS - 1), model.begin1[at], model.width1[at]
+        others = np.flatnonzero(kind == ORDER0)
+        found = model.id_at[inside[others]]
+        x[others], begin[others], part[others] = found, model.begin0[found], model.width0[found]
+        new = others[found < 0]
+        begin[new], part[new] = model.room, IDS - model.room
+        code -= unit * (below + share * begin)
+        np.multiply(unit, share * part, out=span)
+        settle()
+        if len(new):
+            unit = span[new] >> 16
+            x[new] = np.minimum((code[new] / unit).astype(np.int64), IDS - 1)
+            code[new] -= unit * x[new]
+            span[new] = unit
+            settle()
+        out[t] = x
+        model.learn(x, model.one << 16 | x, kind, cell, x[others])
+    return np.ascontiguousarray(out.T).reshape(-1)[:n].astype(np.int32)
 
 
 def write_segment(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
-    coded = encode_blocks(ids)
+    coded = [encode_block(ids[at : at + BLOCK]) for at in range(0, len(ids), BLOCK)]
     table = np.zeros((len(coded), 3), "<u4")
-    plain = ids.astype("<u4")
     for i, b in enumerate(coded):
-        table[i] = len(b), zlib.crc32(b), zlib.crc32(plain[i * BLOCK : (i + 1) * BLOCK].tobytes())
+        table[i] = len(b), zlib.crc32(b), zlib.crc32(ids[i * BLOCK : (i + 1) * BLOCK].astype("<u4").tobytes())
     out = MAGIC + struct.pack("<IIQ", len(doc_ids), len(coded), len(ids)) + doc_ids.astype("<i8").tobytes() + lengths.astype("<u4").tobytes() + table.tobytes() + b"".join(coded)
     return out + struct.pack("<I", zlib.crc32(out))
 
@@ -259,17 +381,16 @@ def read_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lengths = np.frombuffer(data, "<u4", n_docs, at + 8 * n_docs).astype(np.int64)
     table = np.frombuffer(data, "<u4", 3 * n_blocks, at + 12 * n_docs).reshape(n_blocks, 3).astype(np.int64)
     at += 12 * n_docs + 12 * n_blocks
-    ends = at + np.cumsum(table[:, 0])
-    coded = [data[e - k : e] for e, k in zip(ends, table[:, 0], strict=True)]
-    for i, b in enumerate(coded):
-        if zlib.crc32(b) != table[i, 1]:
+    parts = [np.zeros(0, np.int32)]
+    for i, (size, coded_crc, ids_crc) in enumerate(table.tolist()):
+        coded = data[at : at + size]
+        at += size
+        if zlib.crc32(coded) != coded_crc:
             raise CorruptError(f"block {i} is damaged")
-    ids = decode_blocks(coded, n)
-    plain = ids.astype("<u4")
-    for i in range(n_blocks):
-        if zlib.crc32(plain[i * BLOCK : (i + 1) * BLOCK].tobytes()) != table[i, 2]:
+        parts.append(decode_block(coded, min(BLOCK, n - i * BLOCK)))
+        if zlib.crc32(parts[-1].astype("<u4").tobytes()) != ids_crc:
             raise CorruptError(f"block {i} decodes to other ids")
-    return doc_ids, lengths, ids
+    return doc_ids, lengths, np.concatenate(parts)
 
 
 # --- tokens -------------------------------------------------------------------------------------------------------
@@ -284,7 +405,7 @@ _TAIL[0x80:0xC0] = True
 
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    """One for each Python worker, with the pieces it has met in its task."""
+    """One for each Python worker, with the pieces it has met."""
     return Encoder(path)
 
 
@@ -369,18 +490,20 @@ class Encoder:
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str, partitions: int, end_id: int = 0) -> None:
-    """Files of segments, in ascending doc_id order over the files (`part`) and inside them (`segment`); nulls first.
+    """Files of segments, in ascending doc_id order over the files (`part`) and inside them (`segment`); nulls first, ties by text.
 
-    Each document's ids end with end_id; a null text has that alone.  Spark's writer commits files whole, so a lost
-    executor leaves no half of one.
+    Each document's ids end with end_id; a null text has that alone.  Repeated rows are written as often as they come,
+    other columns of docs whatever their names are left out, and an empty table gives files without segments.  A long
+    text is encoded whole; its ids fill as many blocks as they need, of which one at a time is coded.  Spark's writer
+    commits files whole, so a lost executor leaves no half of one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, lengths, ids, held, segment = [], [], [], 0, 0
+        names, lengths, ids, held, segment, before = [], [], [], 0, 0, 0
 
         def row() -> pa.RecordBatch:
             packed = write_segment(np.concatenate(names), np.concatenate(lengths), np.concatenate(ids))
-            return pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([held], pa.int64()), pa.array([packed], pa.binary())], names=["segment", "n_ids", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([before], pa.int64()), pa.array([held], pa.int64()), pa.array([packed], pa.binary())], names=["segment", "before", "n_ids", "data"])
 
         for batch in text_chunks(batches, limit=4 * CHUNK_BYTES):
             flat, n = encoder(tokenizer).encode(*flat_bytes(batch.column("text")))
@@ -391,13 +514,12 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, partitions: int, end_i
             held += len(ids[-1])
             if held >= SEGMENT:
                 yield row()
-                names, lengths, ids, held, segment = [], [], [], 0, segment + 1
+                names, lengths, ids, held, segment, before = [], [], [], 0, segment + 1, before + held
         if names:
             yield row()
-        encoder(tokenizer).forget()  # the worker goes on to other tasks
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, "segment int, n_ids long, data binary").withColumn("part", F.spark_partition_id()).write.parquet(path)
+    ordered.mapInArrow(run, "segment int, before long, n_ids long, data binary").withColumn("part", F.spark_partition_id()).write.parquet(path)
 
 
 def read_ids(files: DataFrame) -> DataFrame:
@@ -424,15 +546,18 @@ def _read(files: DataFrame, with_ids: bool) -> DataFrame:
                     columns.append(pa.array([zlib.crc32(plain[4 * a : 4 * b]) for a, b in zip(starts[:-1], starts[1:], strict=True)], pa.int64()))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids" if with_ids else "ids_crc32"])
 
-    # a row for each segment, of millions of ids each: the two columns that place them are small
-    order = W.orderBy("part", "segment").rowsBetween(W.unboundedPreceding, -1)
-    before = files.select("part", "segment", "n_ids").withColumn("before", F.coalesce(F.sum("n_ids").over(order), F.lit(0))).select("part", "segment", "before")
+    # a row for each part, of which write_ids makes no more than its partitions; the writer has counted inside a part
+    totals = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    shift = totals.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("shift"))
     schema = "doc_id long, start long, n_tokens long, " + ("ids array<int>" if with_ids else "ids_crc32 long")
-    return files.select("part", "segment", "data").join(F.broadcast(before), ["part", "segment"]).select("before", "data").mapInArrow(run, schema)
+    return files.select("part", "before", "data").join(F.broadcast(shift), "part").select((F.col("before") + F.col("shift")).alias("before"), "data").mapInArrow(run, schema)
 
 
 def encode_table(docs: DataFrame, tokenizer: str, path: str | None = None) -> DataFrame:
-    """Write docs' ids to files (in the shared folder, if path names none) and describe each document from them."""
+    """Write docs' ids to files (in the shared folder, if path names none) and describe each document from them.
+
+    Nulls, repeats, long texts, empty tables and clashing names are write_ids's; the files stay where they are.
+    """
     spark = docs.sparkSession
     path = path or scratch(spark, "token-ids")
     write_ids(docs, path, tokenizer, int(spark.conf.get("spark.sql.shuffle.partitions")))
