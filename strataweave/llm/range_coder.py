@@ -28,10 +28,12 @@ A block's bytes are the lanes' numbers of 16-bit words (2 bytes each), then the
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -73,9 +75,9 @@ def _level(n: np.ndarray, cuts: list[float]) -> np.ndarray:
 
 # The two candidates' counts, 4 bits each, as one of 18 levels; order 1 has 40, its first for nothing seen.
 _COUNTS = np.arange(256)
-_LEVEL2 = 3 * _level(_COUNTS & 15, [1, 2, 4, 8, 15]) + _level(_COUNTS >> 4, [1, 3])
 _LEVELS1 = 40
 _STATES = 18 * _LEVELS1
+_STATE2 = KINDS * _LEVELS1 * (3 * _level(_COUNTS & 15, [1, 2, 4, 8, 15]) + _level(_COUNTS >> 4, [1, 3]))
 
 
 def _turns() -> tuple[np.ndarray, np.ndarray]:
@@ -94,6 +96,7 @@ def _turns() -> tuple[np.ndarray, np.ndarray]:
 
 
 _NEW_COUNTS, _SWAP = _turns()
+_NEW_COUNTS <<= 32
 
 
 _INDEX, _SPARE = (1 << 19) - 1, (1 << 17) - 1
@@ -103,6 +106,10 @@ def _pair_hash(pair: np.ndarray) -> np.ndarray:
     return pair * 0x2545F4914F >> 20 & _INDEX
 
 
+def _spare_hash(pair: np.ndarray) -> np.ndarray:
+    return pair * 0x9E3779B1 >> 13 & _SPARE
+
+
 class _Model:
     """What a block's lanes have learnt."""
 
@@ -111,14 +118,14 @@ class _Model:
         self.slots = np.zeros(1 << SLOT_BITS, np.int64)  # 16 bits each candidate, 4 each count, 23 of the context's hash
         self.right = np.tile(_START, _STATES)
         self.rare = np.zeros(IDS, np.int64)
-        self.level1 = np.zeros(IDS, np.int64)
+        self.state1 = np.zeros(IDS, np.int64)
         self.sorted_pairs = np.zeros(0, np.uint32)
-        self.pairs = np.zeros(0, np.int64)
+        self.info = np.zeros(0, np.int64)  # of each pair: its ids, 16 bits each, where its interval begins, and its width less 1
         self.met: list[np.ndarray] = []
         self.turns: list[np.ndarray] = []
         self.others: list[np.ndarray] = []
         if decodes:
-            self.unit, self.row = np.zeros(IDS, np.int64), np.zeros(IDS, np.int64)
+            self.row = np.zeros(IDS, np.int64)  # a context's first cell, and in 5 bits by how much places are larger than cells
         else:
             self.index, self.spare = np.zeros(_INDEX + 1, np.int32), np.zeros(_SPARE + 1, np.int32)
         self.one = np.zeros(lanes, np.int64)
@@ -136,8 +143,8 @@ class _Model:
         share = right * ((1 << SHARE_BITS) - KINDS) // right.sum(axis=1)[:, None] + 1
         share[:, ORDER0] += (1 << SHARE_BITS) - share.sum(axis=1)
         reached = np.cumsum(share, axis=1)
-        self.share, self.below = share.ravel(), (reached - share).ravel()
-        self.reached = [np.ascontiguousarray(reached[:, i]) for i in range(KINDS - 1)]
+        self.share, self.below = share.ravel(), (reached - share).ravel() << 16
+        self.reached = np.ascontiguousarray(reached.T << 16)
         held = np.flatnonzero(self.rare)
         if len(held) > HELD:
             held = np.sort(np.argsort(-self.rare, kind="stable")[:HELD])
@@ -157,56 +164,63 @@ class _Model:
         self.sorted_pairs = np.sort(np.concatenate([self.sorted_pairs, *self.met]))
         self.met = []
         new = np.flatnonzero(np.append(True, self.sorted_pairs[1:] != self.sorted_pairs[:-1]))
-        self.pairs = self.sorted_pairs[new].astype(np.int64)
+        pairs = self.sorted_pairs[new].astype(np.int64)
         counts = np.diff(np.append(new, len(self.sorted_pairs)))
-        context = self.pairs >> 16
+        context = pairs >> 16
         first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
         total, kinds = np.add.reduceat(counts, first), np.diff(np.append(first, len(counts)))
-        # a context has eight to sixteen cells for each id that followed it, at most 2 ** 13, or 2 ** 16 if that's too few
-        bits = np.ceil(np.log2(kinds)).astype(np.int64) + 3
-        bits = np.where(bits > 13, np.where(kinds < 1 << 12, 13, 16), bits)
+        # a context has four to eight cells for each id that followed it, at most 2 ** 12, or 2 ** 16 if that's too few
+        bits = np.ceil(np.log2(kinds)).astype(np.int64) + 2
+        bits = np.where(bits > 12, np.where(kinds < 1 << 11, 12, 16), bits)
         row = np.repeat(np.arange(len(first)), kinds)
         cells = counts * ((1 << bits) - kinds)[row] // total[row] + 1
         cells[first] += (1 << bits) - np.add.reduceat(cells, first)
         begin = np.cumsum(cells) - cells
-        unit = 16 - bits[row]
-        self.width1, self.begin1 = cells << unit, begin - begin[first][row] << unit
-        self.level1[context[first]] = 1 + 3 * np.minimum(np.log2(total).astype(np.int64), 12) + _level(total / kinds, [1.5, 4])
+        unit = 16 - bits
+        self.info = pairs << 32 | begin - begin[first][row] << unit[row] << 16 | (cells << unit[row]) - 1
+        self.state1[context[first]] = KINDS * (1 + 3 * np.minimum(np.log2(total).astype(np.int64), 12) + _level(total / kinds, [1.5, 4]))
         if self.decodes:
-            self.unit[context[first]], self.row[context[first]] = 16 - bits, begin[first]
-            self.pair_at = np.repeat(np.arange(len(counts), dtype=np.int32), cells)
+            self.row[context[first]] = begin[first] << 5 | unit
+            self.pair_at = np.zeros(max(IDS, int(cells.sum())), np.int32)
+            self.pair_at[: int(cells.sum())] = np.repeat(np.arange(len(counts), dtype=np.int32), cells)
         else:
-            self._index()
+            self._index(pairs)
         self.next_relate = self.step + max(2, self.step * 3 // 5)
 
-    def _index(self) -> None:
+    def _index(self, pairs: np.ndarray) -> None:
         """Where a pair is; the few that neither table has room for count as not seen."""
-        every = np.arange(len(self.pairs), dtype=np.int32)
+        every = np.arange(len(pairs), dtype=np.int32)
         self.index.fill(0)
-        self.index[_pair_hash(self.pairs)] = every
-        lost = every[self.index[_pair_hash(self.pairs)] != every]
+        self.index[_pair_hash(pairs)] = every
+        lost = every[self.index[_pair_hash(pairs)] != every]
         self.spare.fill(0)
-        self.spare[self.pairs[lost] * 0x9E3779B1 >> 13 & _SPARE] = lost
+        self.spare[_spare_hash(pairs[lost])] = lost
 
     def find(self, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which pairs order 1 has, and where."""
-        at = self.index[_pair_hash(pair)]
-        known = self.pairs[at] == pair
+        """Whether order 1 has the pairs, and what it has of them."""
+        info = self.info[self.index[_pair_hash(pair)]]
+        known = info >> 32 & 0xFFFFFFFF == pair
         rest = np.flatnonzero(~known)
-        at[rest] = self.spare[pair[rest] * 0x9E3779B1 >> 13 & _SPARE]
-        known[rest] = self.pairs[at[rest]] == pair[rest]
-        seen = np.flatnonzero(known)
-        return seen, at[seen]
+        again, asked = self.info[self.spare[_spare_hash(pair[rest])]], pair[rest]
+        info[rest] = again
+        known[rest] = again >> 32 & 0xFFFFFFFF == asked
+        return known, info
 
     def predict(self) -> None:
-        h = self.one * 0x2545F4914F + self.two * 0x9E3779B97F
+        h = self.one * 0x2545F4914F
+        h += self.two * 0x9E3779B97F
         h ^= h >> 23
-        self.slot, self.check = h & ((1 << SLOT_BITS) - 1), h >> SLOT_BITS & 0x7FFFFF
+        self.slot = h & ((1 << SLOT_BITS) - 1)
+        h >>= SLOT_BITS
+        h &= 0x7FFFFF
+        self.check = h
         known = self.slots[self.slot]
-        known *= (known >> 40) == self.check
+        known *= known >> 40 == h
+        self.known = known
         self.first, self.second = known & (IDS - 1), known >> 16 & (IDS - 1)
-        self.candidates, self.counts = known & 0xFFFFFFFF, known >> 32 & 255
-        self.state = _LEVEL2[self.counts] * _LEVELS1 + self.level1[self.one]
+        self.counts = known >> 32 & 255
+        self.state = _STATE2[self.counts]
+        self.state += self.state1[self.one]
 
     def learn(self, ids: np.ndarray, pair: np.ndarray, kind: np.ndarray, cell: np.ndarray, others: np.ndarray) -> None:
         """pair: ids after those before; kind: what was right; cell: the state's place for it; others: what order 0 coded.
@@ -216,11 +230,21 @@ class _Model:
         self.turns.append(cell)
         self.others.append(others)
         self.met.append(pair.astype(np.uint32))
-        case = np.minimum(kind, 2) << 8 | self.counts
-        candidates = np.where(kind < ORDER1, self.candidates, self.first | ids << 16)
+        case = np.minimum(kind, 2)
+        case <<= 8
+        case |= self.counts
+        candidates = ids << 16
+        candidates |= self.first
+        candidates = np.where(kind < ORDER1, self.known & 0xFFFFFFFF, candidates)
         swap = _SWAP[case]
-        candidates = candidates >> swap | candidates << swap & 0xFFFFFFFF
-        self.slots[self.slot] = candidates | _NEW_COUNTS[case] << 32 | self.check << 40
+        slot = candidates << swap
+        slot &= 0xFFFFFFFF
+        candidates >>= swap
+        slot |= candidates
+        slot |= _NEW_COUNTS[case]
+        self.check <<= 40
+        slot |= self.check
+        self.slots[self.slot] = slot
         self.two, self.one = self.one, ids
         self.step += 1
         if self.step >= self.next_weigh:
@@ -237,19 +261,19 @@ _LEAST, _LOW32, _MOST = 1 << 32, (1 << 32) - 1, (1 << TOTAL_BITS) - 1
 
 def _lanes(n: int) -> tuple[int, int]:
     """Lanes of a block of n ids, and their steps."""
-    lanes = 1 << ((n.bit_length() + 1) // 2)
+    lanes = 1 << ((n.bit_length() + 2) // 2)
     return lanes, -(-n // lanes)
 
 
 def encode_block(ids: np.ndarray) -> bytes:
     lanes, steps = _lanes(len(ids))
-    grid = np.zeros(lanes * steps, np.int64)
+    grid = np.zeros(lanes * steps, np.uint16)
     grid[: len(ids)] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     model = _Model(lanes, False)
     low, span = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48, np.int64)
-    width = 3 * steps + 4
-    words, used = np.zeros(lanes * width, np.uint32), np.arange(lanes) * width
+    room = 3 * steps + 4
+    words, used = np.zeros(lanes * room, np.uint32), np.arange(lanes) * room
 
     def settle() -> None:
         due = np.flatnonzero(span < _LEAST)
@@ -262,15 +286,17 @@ def encode_block(ids: np.ndarray) -> bytes:
             due = due[s < _LEAST]
 
     for t in range(steps):
-        x = grid[t]
+        x = grid[t].astype(np.int64)
         model.predict()
-        pair = model.one << 16 | x
-        kind = np.full(lanes, ORDER0)
-        begin, part = model.begin0[x], model.width0[x]
-        if len(model.pairs):
-            seen, at = model.find(pair)
-            kind[seen] = ORDER1
-            begin[seen], part[seen] = model.begin1[at], model.width1[at]
+        pair = model.one << 16
+        pair |= x
+        if len(model.info):
+            known, info = model.find(pair)
+            kind = ORDER0 - known
+            begin, part = info >> 16 & (IDS - 1), info & (IDS - 1)
+            part += 1
+        else:
+            kind, begin, part = np.full(lanes, ORDER0), np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         hit, second = x == model.first, x == model.second
         np.putmask(kind, second, SECOND)
         np.putmask(kind, hit, FIRST)
@@ -278,38 +304,46 @@ def encode_block(ids: np.ndarray) -> bytes:
         np.putmask(begin, hit, 0)
         np.putmask(part, hit, IDS)
         others = np.flatnonzero(kind == ORDER0)
-        new = others[part[others] == 0]
+        rare = x[others]
+        width = model.width0[rare]
+        begin[others], part[others] = model.begin0[rare], width
+        new = others[width == 0]
         begin[new], part[new] = model.room, IDS - model.room
-        cell = model.state * KINDS + kind
+        cell = model.state + kind
         share = model.share[cell]
         unit = span >> TOTAL_BITS
-        low += unit * ((model.below[cell] << 16) + share * begin)
-        np.multiply(unit, share * part, out=span)
+        begin *= share
+        begin += model.below[cell]
+        begin *= unit
+        low += begin
+        share *= part
+        np.multiply(unit, share, out=span)
         settle()
         if len(new):
             unit = span[new] >> 16
             low[new] += unit * x[new]
             span[new] = unit
             settle()
-        model.learn(x, pair, kind, cell, x[others])
+        model.learn(x, pair, kind, cell, rare)
     words[used] = (low + _LOW32) >> 32  # lies in the interval, whatever follows; the reader takes zeros
-    words = words.reshape(lanes, width)
-    while (carry := words >> np.uint32(16)).any():
-        words &= np.uint32(0xFFFF)
-        words[:, :-1] += carry[:, 1:]
-    size = used + 1 - np.arange(lanes) * width
-    return size.astype("<u2").tobytes() + words[np.arange(width) < size[:, None]].astype("<u2").tobytes()
+    size = used + 1 - np.arange(lanes) * room
+    words = words.reshape(lanes, room)[:, : int(size.max())]
+    words = words[np.arange(words.shape[1]) < size[:, None]]  # end to end; no carry leaves a lane
+    while len(full := np.flatnonzero(words > 0xFFFF)):
+        words[full] &= 0xFFFF
+        words[full - 1] += 1
+    return size.astype("<u2").tobytes() + words.astype("<u2").tobytes()
 
 
 def decode_block(data: bytes, n: int) -> np.ndarray:
     lanes, steps = _lanes(n)
     size = np.frombuffer(data, "<u2", lanes).astype(np.int64)
     width = int(size.max()) + 6
-    words = np.zeros((lanes, width), np.int64)
+    words = np.zeros((lanes, width), np.uint16)
     words[np.arange(width) < size[:, None]] = np.frombuffer(data, "<u2", int(size.sum()), 2 * lanes)
     words = words.ravel()
     used = np.arange(lanes) * width
-    code = words[used] << 32 | words[used + 1] << 16 | words[used + 2]
+    code = words[used].astype(np.int64) << 32 | words[used + 1].astype(np.int64) << 16 | words[used + 2]
     used += 3
     span = np.full(lanes, 1 << 48, np.int64)
     out = np.zeros((steps, lanes), np.int64)
@@ -328,28 +362,38 @@ def decode_block(data: bytes, n: int) -> np.ndarray:
     for t in range(steps):
         model.predict()
         unit = span >> TOTAL_BITS
-        value = np.minimum((code / unit).astype(np.int64), _MOST)  # exact: both are below 2 ** 53, quotients far from rounding
-        top = value >> 16
-        kind = np.zeros(lanes, np.int64)
-        for reached in model.reached:
-            kind += top >= reached[model.state]
-        cell = model.state * KINDS + kind
-        share, below = model.share[cell], model.below[cell] << 16
-        inside = ((value - below) / share).astype(np.int64)
-        x = np.where(kind == FIRST, model.first, model.second)
-        begin, part = np.zeros(lanes, np.int64), np.full(lanes, IDS)
-        near = np.flatnonzero(kind == ORDER1)
-        if len(near) and len(model.pairs):
-            one = model.one[near]
-            at = model.pair_at[model.row[one] + (inside[near] >> model.unit[one])]
-            x[near], begin[near], part[near] = model.pairs[at] & (IDS - 1), model.begin1[at], model.width1[at]
+        value = (code / unit).astype(np.int64)  # exact: both are below 2 ** 53, quotients far from rounding
+        np.minimum(value, _MOST, out=value)
+        row = model.state >> 2
+        kind = (value >= model.reached[0][row]).astype(np.int64)
+        kind += value >= model.reached[1][row]
+        kind += value >= model.reached[2][row]
+        cell = model.state + kind
+        share, below = model.share[cell], model.below[cell]
+        value -= below
+        inside = (value / share).astype(np.int64)
+        if len(model.info):
+            at = model.row[model.one]
+            info = model.info[model.pair_at[(at >> 5) + (inside >> (at & 31))]]
+            x, begin, part = info >> 32 & (IDS - 1), info >> 16 & (IDS - 1), info & (IDS - 1)
+            part += 1
+        else:
+            x, begin, part = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        hit = kind < ORDER1
+        np.putmask(begin, hit, 0)
+        np.putmask(part, hit, IDS)
+        x = np.where(hit, np.where(kind == FIRST, model.first, model.second), x)
         others = np.flatnonzero(kind == ORDER0)
-        found = model.id_at[inside[others]]
-        x[others], begin[others], part[others] = found, model.begin0[found], model.width0[found]
-        new = others[found < 0]
+        rare = model.id_at[inside[others]]
+        x[others], begin[others], part[others] = rare, model.begin0[rare], model.width0[rare]
+        new = others[rare < 0]
         begin[new], part[new] = model.room, IDS - model.room
-        code -= unit * (below + share * begin)
-        np.multiply(unit, share * part, out=span)
+        begin *= share
+        begin += below
+        begin *= unit
+        code -= begin
+        share *= part
+        np.multiply(unit, share, out=span)
         settle()
         if len(new):
             unit = span[new] >> 16
@@ -358,7 +402,9 @@ def decode_block(data: bytes, n: int) -> np.ndarray:
             span[new] = unit
             settle()
         out[t] = x
-        model.learn(x, model.one << 16 | x, kind, cell, x[others])
+        pair = model.one << 16
+        pair |= x
+        model.learn(x, pair, kind, cell, x[others])
     return np.ascontiguousarray(out.T).reshape(-1)[:n].astype(np.int32)
 
 
@@ -395,12 +441,27 @@ def read_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 # --- tokens -------------------------------------------------------------------------------------------------------
 
-_PLAIN = np.zeros(256, bool)
-_PLAIN[0x21:0x7F] = True
-_LEAD2 = np.zeros(256, bool)
-_LEAD2[0xC3:0xE0] = True
-_TAIL = np.zeros(256, bool)
-_TAIL[0x80:0xC0] = True
+# What a byte may be: ASCII that is not white space; the lead of a two-byte character that is not; a later byte; an
+# ASCII letter; an ASCII mark (neither letter nor digit, and not the apostrophe, which may begin a contraction); a gap.
+_PLAIN, _LEAD, _TAIL, _LETTER, _MARK, _GAP, _FEED = (1 << i for i in range(7))
+_BYTE = np.zeros(256, np.uint8)
+_BYTE[0x21:0x7F] = _PLAIN | _MARK
+_BYTE[0xC3:0xE0] = _LEAD
+_BYTE[0x80:0xC0] = _TAIL
+_BYTE[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _PLAIN | _LETTER
+_BYTE[[*range(0x30, 0x3A), 0x27]] = _PLAIN
+_BYTE[[0x20, 0x0A]] = _GAP
+_BYTE[0x0A] |= _FEED
+
+
+#: A blank and letters: one piece of the pattern.
+_WORD = re.compile(rb" (?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+#: Byte-level characters: a printable byte is itself, the others follow from 256; a line feed stands between words here.
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_LETTERS = np.zeros(256, "<u4")
+_LETTERS[_SHOWN] = _SHOWN
+_LETTERS[[b for b in range(256) if b not in _SHOWN]] = np.arange(256, 256 + 256 - len(_SHOWN))
+_LETTERS[0x0A] = 0x20
 
 
 @lru_cache(maxsize=1)
@@ -413,18 +474,19 @@ class Encoder:
     """The library's ids of many texts: texts are cut where its splitting pattern always cuts, and each distinct piece is encoded once.
 
     A single space or line feed between two characters that aren't white space begins a piece of the pattern's own, and a
-    line feed is one by itself.  Next to characters that might be white space beyond ASCII, texts aren't cut.
+    line feed is one by itself.  A mark after an ASCII letter begins a piece too, as no piece of the pattern holds both.
+    Next to characters that might be white space beyond ASCII, texts aren't cut.
     """
 
-    KEPT = 600_000
-    JOINED = 1 << 20
+    KEPT = 1_000_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()  # its texts are byte-level words with blanks between
         # in a byte-level vocabulary a token has as many characters as bytes
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
@@ -436,18 +498,19 @@ class Encoder:
         self.flat, self.ends = np.zeros(0, np.uint16), np.zeros(0, np.int64)
 
     def learn(self, fresh: list[bytes]) -> None:
-        """Encode pieces.  Those that begin with a blank are encoded in long texts: where one follows another is a cut."""
-        fresh.sort(key=lambda k: k[:1] != b" " or not 0x20 < k[-1] < 0x7F or len(k) < 2)
-        plain = next((i for i, k in enumerate(fresh) if k[:1] != b" " or not 0x20 < k[-1] < 0x7F or len(k) < 2), len(fresh))
-        texts, size = [[]], 0
-        for k in fresh[:plain]:
-            texts[-1].append(k)
-            size += len(k)
-            if size > self.JOINED:
-                texts.append([])
-                size = 0
-        texts = [b"".join(x).decode() for x in texts if x] + [k.decode() for k in fresh[plain:]]
-        ids = np.concatenate([np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        """Encode pieces: those of a blank and letters as the model's own words, others that begin with a blank in long
+        texts, where one following another is a cut, and the rest one by one."""
+        groups: list[list[bytes]] = [[], [], []]
+        for k in fresh:
+            ends = k[0] == 32 and len(k) > 1 and (0x20 < k[-1] < 0x7F or (k[-1] & 0xC0 == 0x80 and 0xC3 <= k[-2] < 0xE0))
+            groups[0 if _WORD.fullmatch(k) else 1 if ends else 2].append(k)
+        words, plain, alone = groups
+        fresh = words + plain + alone
+        texts = [_LETTERS[np.frombuffer(b"\n".join(words[i : i + 256]), np.uint8)].tobytes().decode("utf-32-le") for i in range(0, len(words), 256)]
+        found = self.bare.encode_batch_fast(texts, add_special_tokens=False)
+        texts = [b"".join(plain[i : i + 256]).decode() for i in range(0, len(plain), 256)] + [k.decode() for k in alone]
+        found += self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, np.uint16) for e in found])
         reached = np.cumsum(self.n_bytes[ids])
         ends = np.searchsorted(reached, np.cumsum(np.fromiter(map(len, fresh), np.int64, len(fresh)))) + 1
         self.known.update(zip(fresh, range(len(self.ends), len(self.ends) + len(fresh)), strict=True))
@@ -460,26 +523,28 @@ class Encoder:
         rows = len(offsets) - 1
         if not n:
             return np.zeros(0, np.int32), np.zeros(rows, np.int64)
-        ok = _PLAIN[data]
-        after = ok.copy()  # ends a character that isn't white space
-        after[1:] |= _TAIL[data[1:]] & _LEAD2[data[:-1]]
-        before = ok | _LEAD2[data]  # begins one
-        gap = (data == 32) | (data == 10)
+        what = _BYTE[data]
+        was, now = what[:-1], what[1:]
+        after = what & _PLAIN != 0  # ends a character that isn't white space
+        after[1:] |= (now & _TAIL != 0) & (was & _LEAD != 0)
+        before = what & (_PLAIN | _LEAD) != 0  # begins one
         single = np.zeros(n, bool)
-        single[1:-1] = gap[1:-1] & after[:-2] & before[2:]
+        single[1:-1] = (what[1:-1] & _GAP != 0) & after[:-2] & before[2:]
         begin = single.copy()
-        begin[1:] |= single[:-1] & (data[:-1] == 10)
+        begin[1:] |= (now & _MARK != 0) & (was & _LETTER != 0) | single[:-1] & (was & _FEED != 0)
         begin[offsets[:-1][offsets[:-1] < n]] = True
         starts = np.flatnonzero(begin)
         pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, n).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
         kinds = pieces.dictionary.to_pylist()
         if len(self.known) > self.KEPT:
             self.forget()
-        known = self.known
-        fresh = [k for k in kinds if k not in known]
-        if fresh:
-            self.learn(fresh)
-        which = np.fromiter(map(known.__getitem__, kinds), np.int64, len(kinds))[np.asarray(pieces.indices, dtype=np.int64)]
+        which = np.fromiter(map(self.known.get, kinds, repeat(-1)), np.int64, len(kinds))
+        fresh = np.flatnonzero(which < 0)
+        if len(fresh):
+            new = [kinds[i] for i in fresh]
+            self.learn(new)
+            which[fresh] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
+        which = which[np.asarray(pieces.indices, dtype=np.int64)]
         begins = np.append(0, self.ends)[which]
         count = self.ends[which] - begins
         ends = np.cumsum(count)
@@ -505,7 +570,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, partitions: int, end_i
             packed = write_segment(np.concatenate(names), np.concatenate(lengths), np.concatenate(ids))
             return pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([before], pa.int64()), pa.array([held], pa.int64()), pa.array([packed], pa.binary())], names=["segment", "before", "n_ids", "data"])
 
-        for batch in text_chunks(batches, limit=4 * CHUNK_BYTES):
+        for batch in text_chunks(batches, limit=8 * CHUNK_BYTES):
             flat, n = encoder(tokenizer).encode(*flat_bytes(batch.column("text")))
             ends = np.cumsum(n)
             names.append(np.asarray(batch.column("doc_id").fill_null(NULL_ID), dtype=np.int64))
