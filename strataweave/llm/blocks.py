@@ -1,14 +1,19 @@
 """Main text of web pages: flat text blocks, classified by a decision tree on word counts, link densities and containers.
 
 A page becomes a flat list of blocks (text between block-level tags).  A block's features are its words and link
-density, those of its neighbours, and what encloses it.  The tree is grown, when first needed, on the labelled table
-below: a few small pages whose blocks are marked, so the table holds exactly the features that extraction computes.
+density, those of its neighbours, and what encloses it: whether an article or main element does, how many elements do
+that by tag or by a word in class, id or role are for something else, and which share of the page's words the outermost
+of these holds.  Nothing of that decides alone: the tree is grown, when first needed, on a table of blocks labelled in
+small pages that `sample_page` lays out by rule, with named and nameless menus, adverts, notices, side bars, comments and
+footers, with articles whose own class words mislead, and with pages wrapped in a form.
 """
 
 from __future__ import annotations
 
 import html
+import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -36,35 +41,41 @@ NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|(
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
-FEATURES = ("words", "link density", "words before", "link density before", "words after", "link density after", "in main part", "in side part", "heading")
+FEATURES = ("words", "link density", "words before", "link density before", "words after", "link density after", "in main part", "side tags", "side names", "share of the outermost side part", "heading")
 
 
 class Block(NamedTuple):
     text: str
     words: int
     linked: int
-    main: bool
-    side: bool
+    within: Within
     heading: bool
 
 
+class Within(NamedTuple):
+    """What encloses a block: a main part; the number of side tags; words that name a side part, counted inside the main
+    part only if there is one; the outermost element with either (0 for none)."""
+
+    main: bool = False
+    tags: int = 0
+    names: int = 0
+    outermost: int = 0
+
+
 @lru_cache(maxsize=50_000)
-def purpose(attributes: str) -> bool:
-    """Whether class, id or role name a part that isn't the article."""
-    for match in NAMES.finditer(attributes):
-        value = next(x for x in match.groups() if x is not None)
-        if any(x.lower() in BOILER_NAMES for x in PART.findall(value)):
-            return True
-    return bool(HIDDEN.search(attributes))
+def names(attributes: str) -> int:
+    """How many words of class, id and role name a part that isn't the article; a hidden element has one."""
+    values = (next(x for x in match.groups() if x is not None) for match in NAMES.finditer(attributes))
+    return sum(x.lower() in BOILER_NAMES for value in values for x in PART.findall(value)) + bool(HIDDEN.search(attributes))
 
 
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order.  Unclosed tags, unknown tags and a page cut anywhere are read as far as they go."""
     found: list[Block] = []
     pieces: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, bool]] = [("", False, False)]  # tag, inside a main part, inside a side part
+    stack: list[tuple[str, Within]] = [("", Within())]
     link = heading = False
-    at, n = 0, len(page)
+    at, n, elements = 0, len(page), 0
 
     def close() -> None:
         nonlocal pieces
@@ -72,7 +83,7 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(x for x, _ in pieces)).split())
             if text:
                 linked = sum(len(html.unescape(x).split()) for x, a in pieces if a)
-                found.append(Block(text, text.count(" ") + 1, linked, stack[-1][1], stack[-1][2], heading))
+                found.append(Block(text, text.count(" ") + 1, linked, stack[-1][1], heading))
             pieces = []
 
     while at < n:
@@ -97,8 +108,6 @@ def blocks(page: str) -> list[Block]:
         if name in INLINE:
             if name == "br":
                 pieces.append((" ", link))
-            elif not closing and purpose(match[3]) and name != "a":
-                pass  # an inline element is never a part of its own
             continue
         close()
         link = False
@@ -114,8 +123,14 @@ def blocks(page: str) -> list[Block]:
                     del stack[i:]
                     break
         elif not match[0].endswith("/>"):
-            _, main, side = stack[-1]
-            stack.append((name, main or name in MAIN, side or name in ASIDE or name == "header" and not main or purpose(match[3]) and name not in ("html", "body")))
+            elements += 1
+            around = stack[-1][1]
+            if name in MAIN and not around.main:
+                stack.append((name, Within(True, around.tags, 0, around.outermost if around.tags else 0)))
+                continue
+            tag = name in ASIDE or name == "header" and not around.main
+            named = 0 if name in ("html", "body") or name in MAIN else names(match[3])
+            stack.append((name, Within(around.main, around.tags + tag, around.names + named, around.outermost or (elements if tag or named else 0))))
     close()
     return found
 
@@ -129,23 +144,88 @@ def features(found: list[Block]) -> np.ndarray:
         out[:, 0], out[:, 1] = words, density
         out[1:, 2], out[1:, 3] = words[:-1], density[:-1]
         out[:-1, 4], out[:-1, 5] = words[1:], density[1:]
-        out[:, 6], out[:, 7], out[:, 8] = [b.main for b in found], [b.side for b in found], [b.heading for b in found]
+        held: Counter[int] = Counter()
+        for b in found:
+            held[b.within.outermost] += b.words
+        out[:, 6], out[:, 7], out[:, 8] = [b.within.main for b in found], [b.within.tags for b in found], [b.within.names for b in found]
+        out[:, 9] = [held[b.within.outermost] if b.within.outermost else 0 for b in found] / words.sum()
+        out[:, 10] = [b.heading for b in found]
     return out
 
 
-_LONG = "the harbour was quiet that morning and the boats lay close to the wall while the crews waited for the tide to turn and for news from the north "
-#: The labelled table.  A block that begins with + is main text, one that begins with - is not.
-LABELLED = (
-    f"<html><body><nav><ul><li><a href=/>-Home</a></li><li><a href=/b>-World news</a></li></ul></nav><article><h1>+Boats at rest</h1><p>+{_LONG}</p><p>+Yes.</p><p>+{_LONG * 2}</p></article><footer>-All rights reserved by the owners of this place.</footer></body></html>",
-    f"<header><div><a href=/>-The Daily Page</a></div><p>-News for all</p></header><div class=ad>-Buy now and save a lot on new boats for the coming season.</div><main><h1>+A title</h1><p>+{_LONG}</p><h2>+More</h2><p>+He said no.</p><ul><li>+One rope</li><li>+Two anchors</li></ul><p>+See <a href=/x>this page</a>.</p></main><aside><h3>-Popular</h3><p>-{_LONG}</p></aside><footer><p>-Imprint</p></footer>",
-    f"<div class=menu><a href=/>-Start</a> <a href=/q>Questions</a></div><div class=content><h1>+Tides</h1><p>+{_LONG}</p><p>+{_LONG * 3}</p><p>+The end came soon.</p></div><div id=comments><p>-{_LONG}</p><p>-Nice one!</p></div><div class=footer>-Written by nobody</div>",
-    f"<div><a href=/1>-One</a> <a href=/2>-Two</a> <a href=/3>Three</a></div><div><h1>+Plain page</h1></div><div>+{_LONG}</div><div>+{_LONG * 2}</div><div>+Short line between.</div><div>+{_LONG}</div><div><a href=/4>-Older</a> | <a href=/5>Newer</a></div>",
-    f"<div class='cookie-notice'><p>-We use cookies to make this site work and to learn how it is used by all of you who visit.</p></div><article><p>+{_LONG}</p><aside><p>-Related reading on boats</p></aside><p>+{_LONG}</p><p>+So.</p><footer><p>-Filed under boats</p></footer><section class=comments><h2>-Comments</h2><p>-{_LONG}</p><p>-I agree.</p></section></article>",
-    f"<form><label>-Your name</label><p>-Send us a message and wait for some time until we write back to you.</p></form><article><h1>+Nets</h1><p>+Ok.</p><p>+{_LONG}</p><p><a href=/l>+A linked paragraph</a></p><p>+Last.</p></article><div class=sidebar><ul><li><a href=/s>-Side link</a></li></ul><p>-{_LONG * 2}</p></div>",
-    f"<table><tr><td><a href=/a>-Alpha</a></td><td><a href=/b>-Beta</a></td></tr></table><p>+{_LONG}</p><p>+{_LONG * 2}</p><p>+{_LONG}</p><p><a href=/t>-Back to the top of this page</a></p>",
-    "<article><h1>+Only</h1><p>+One.</p><p>+Two words.</p><p>+Three words here.</p></article><footer>-x</footer>",
-    f"<article><div class=share><a href=/f>-Share</a></div><div><p>+{_LONG}</p></div><div class=newsletter-signup><p>-Subscribe to our letter and never miss a boat again in your life.</p></div><p>+Fine.</p></article>",
-)
+def sample_page(r: random.Random) -> str:
+    """A small page by rule; a block that begins with + is main text, one that begins with - is not."""
+
+    def say(mark: str, low: int, high: int) -> str:
+        n = r.randint(low, high)
+        return mark + " ".join(f"w{r.randrange(900)}" for _ in range(n)) + r.choice(".  !")
+
+    def one(*choices: str) -> str:
+        return r.choice(choices)
+
+    def box(tags: tuple[str, ...], inside: str) -> str:
+        tag = r.choice(tags)
+        return f"<{tag}>{inside}</{tag.split()[0]}>"
+
+    def links(low: int = 3, high: int = 8) -> str:
+        each = [f"<a href=/{i}>{say('-', 1, 5)}</a>" for i in range(r.randint(low, high))]
+        return one("<ul>" + "".join(f"<li>{x}</li>" for x in each) + "</ul>", "<p>-" + " | ".join(each) + "</p>", "".join(f"<div>{x}</div>" for x in each))
+
+    def advert() -> str:
+        return box(("div class=ad", "div class=promo-box", "div id=sponsored", "aside", "div class='banner top'"), f"<p>{say('-', 4, 25)}" + one("", " <a href=/buy>now</a>") + "</p>")
+
+    def notice() -> str:
+        return box(("div class=cookie-notice", "div role=alert class=alert", "div id=gdpr"), f"<p>{say('-', 6, 30)}</p>" + one("", "<a href=/ok>-Ok</a>"))
+
+    def paragraph() -> str:
+        kind = r.random()
+        if kind < 0.15:
+            return f"<p>{say('+', 1, 5)}</p>"
+        if kind < 0.25:
+            return f"<h2>{say('+', 1, 7)}</h2>"
+        if kind < 0.33:
+            return "<ul>" + "".join(f"<li>{say('+', 1, 9)}</li>" for _ in range(r.randint(2, 5))) + "</ul>"
+        if kind < 0.40:
+            return f"<p>{say('+', 1, 4)} <a href=/x>{say('', 1, 6)}</a></p>"
+        if kind < 0.43:
+            return f"<p><a href=/x>{say('+', 2, 7)}</a></p>"
+        if kind < 0.50:
+            return f"<blockquote>{say('+', 5, 30)}</blockquote>"
+        return f"<p>{say('+', 10, 120)}</p>"
+
+    def comments() -> str:
+        return box(("div id=comments", "section class=comment-list", "div class='comments replies'"), one("", "<h3>-Comments</h3>") + "".join(f"<p>{say('-', 1, 40)}</p>" for _ in range(r.randint(1, 5))))
+
+    def inset() -> str:
+        return one(advert(), box(("div class=newsletter-signup", "div class=share-bar", "aside", "div class=related", "form"), one(f"<p>{say('-', 4, 20)}</p>", links(2, 5))), f"<ul>{''.join(f'<li><a href=/{i}>{say(chr(45), 2, 7)}</a></li>' for i in range(r.randint(3, 6)))}</ul>")
+
+    semantic = r.random() < 0.75
+    body = [f"<h1>{say('+', 2, 12)}</h1>"] + [paragraph() for _ in range(r.randint(1, 12))] + [f"<p>{say('+', 12, 90)}</p>"]
+    for _ in range(r.choice((0, 0, 0, 1, 1, 2))):
+        body.insert(r.randint(2, len(body) - 1), inset())
+    ends = [comments()] if r.random() < 0.4 else []
+    ends += [box(("footer", "div class=tags"), f"<p>{say('-', 2, 8)}</p>")] if semantic and r.random() < 0.3 else []
+    if semantic:
+        article = box(("article", "main", "article class='post share-enabled'", "main id=content", "article class='entry comments-open related-on'", "article class='post notice legal'"), "".join(body + (ends if r.random() < 0.5 else [])))
+    else:
+        article = box(("div", "div class=content", "div id=story", "div class='post share-enabled'", "td"), "".join(body))
+    side = box(("aside", "div class=sidebar", "div id=rail"), f"<h3>{say('-', 1, 3)}</h3>" + one(f"<p>{say('-', 10, 60)}</p>", links())) if r.random() < 0.4 else ""
+    top = [box(("nav", "div class=menu", "div", "header", "table"), links())]
+    top += [box(("header", "div class=masthead"), f"<p>{say('-', 2, 9)}</p>")] if r.random() < 0.3 else []
+    top += [advert()] if r.random() < 0.5 else []
+    top += [notice()] if r.random() < 0.25 else []
+    bottom = [side, *(ends if article.count("+") and not any(x in article for x in ends) else [])]
+    bottom += [box(("form", "div class=search"), f"<label>-Find</label><p>{say('-', 3, 15)}</p>")] if r.random() < 0.2 else []
+    bottom += [links()] if r.random() < 0.3 else []
+    bottom += [box(("footer", "footer", "div class=footer", "div class=copyright"), f"{say('-', 2, 25)}" + one("", f" <a href=/i>{say('', 1, 2)}</a>"))] if r.random() < 0.8 else []
+    if r.random() < 0.3:
+        top, bottom = [*top, side], bottom[1:]
+    page = "".join(top) + article + "".join(bottom)
+    return one("{}", "{}", "<div class='page has-sidebar'>{}</div>", "<form id=page>{}</form>", "<body class='single comments-open'>{}</body>").format(page)
+
+
+#: Pages of the labelled table: about 1,700 blocks.
+PAGES = 80
 
 
 class Node(NamedTuple):
@@ -156,24 +236,25 @@ class Node(NamedTuple):
     keep: float
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> Node:
-    """A binary tree by Gini impurity; ties take the first feature and the lowest threshold."""
-    share = float(y.mean())
-    if depth == 0 or share in (0.0, 1.0):
-        return Node(-1, 0.0, None, None, share)
-    best = (share * (1 - share) * len(y) - 1e-12, -1, 0.0)
-    for j in range(x.shape[1]):
-        values = np.unique(x[:, j])
-        for t in (values[1:] + values[:-1]) / 2:
-            low = x[:, j] <= t
-            p, q = y[low].mean(), y[~low].mean()
-            impurity = p * (1 - p) * low.sum() + q * (1 - q) * (~low).sum()
-            if impurity < best[0] - 1e-12:
-                best = (impurity, j, float(t))
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 10, leaf: int = 3) -> Node:
+    """A binary tree by Gini impurity; a leaf has leaf rows at least; ties take the first feature and the lowest threshold."""
+    share, n = float(y.mean()), len(y)
+    best = (share * (1 - share) * n - 1e-9, -1, 0.0)
+    if depth and 0 < share < 1:
+        for j in range(x.shape[1]):
+            order = np.argsort(x[:, j], kind="stable")
+            value, below = x[order, j], np.cumsum(y[order])[:-1]
+            low = np.arange(1, n)
+            p, q = below / low, (below[-1] + y[order[-1]] - below) / (n - low)
+            impurity = p * (1 - p) * low + q * (1 - q) * (n - low)
+            impurity[(value[1:] == value[:-1]) | (low < leaf) | (n - low < leaf)] = np.inf
+            at = int(np.argmin(impurity)) if n > 1 else 0
+            if n > 1 and impurity[at] < best[0] - 1e-9:
+                best = (impurity[at], j, float(value[at] + value[at + 1]) / 2)
     if best[1] < 0:
         return Node(-1, 0.0, None, None, share)
     low = x[:, best[1]] <= best[2]
-    return Node(best[1], best[2], grow(x[low], y[low], depth - 1), grow(x[~low], y[~low], depth - 1), share)
+    return Node(best[1], best[2], grow(x[low], y[low], depth - 1, leaf), grow(x[~low], y[~low], depth - 1, leaf), share)
 
 
 def predict(tree: Node, x: np.ndarray) -> np.ndarray:
@@ -185,10 +266,11 @@ def predict(tree: Node, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def training_table() -> tuple[np.ndarray, np.ndarray]:
-    rows, labels = [], []
-    for page in LABELLED:
-        found = blocks(page)
+def labelled_table(pages: int = PAGES, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the blocks of so many sample pages."""
+    rows, labels, r = [], [], random.Random(seed)
+    for _ in range(pages):
+        found = blocks(sample_page(r))
         rows.append(features(found))
         labels += [b.text.startswith("+") for b in found]
     return np.concatenate(rows), np.array(labels, dtype=float)
@@ -196,7 +278,7 @@ def training_table() -> tuple[np.ndarray, np.ndarray]:
 
 @lru_cache(maxsize=1)
 def tree() -> Node:
-    return grow(*training_table())
+    return grow(*labelled_table())
 
 
 def main_text(page: str | None) -> str:
@@ -207,7 +289,12 @@ def main_text(page: str | None) -> str:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) for every page.  Null or empty html gives an empty text; repeated rows repeat."""
+    """(page_id, url, text, n_chars) for every page.
+
+    Null or empty html gives an empty text, null ids and urls stay null, repeated rows repeat, and an empty table gives
+    none.  A long page is read whole, as one row of its own chunk.  Other columns of pages, whatever their names, are
+    left out.  Ties don't arise: each page is judged by itself.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches, "html"):
