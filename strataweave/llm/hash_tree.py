@@ -1,19 +1,27 @@
 """Sharding by a hierarchical weighted hash tree.
 
-The leaves are shards, below racks, below regions.  A shard draws -ln(u) / weight, u being a hash of the row's id and
-the shard; an inner node's draw is the smallest draw below it.  The least of independent exponential draws is again
-exponential, with the sum of the weights as its rate, so a region or rack wins with the share of its whole weight, and
-the descent always takes the child with the smallest draw.  Changing one shard's weight changes only the draws on its
-path to the root: rows move into or out of that shard alone.
+Shards are below racks, racks below regions; an inner node weighs what its shards weigh together.  A row descends from
+the root: among a node's children each draws -ln(u) / weight, u being a hash of the row's key and the child's path, and
+the smallest draw is taken, so a child wins with its share of the weight.  A level costs a draw for each child of one
+node; shards elsewhere are never looked at.
+
+A child's draw depends on its own weight alone.  Where weights change in one subtree only, rows move into it, out of it
+or inside it, and all others stay: at each level only draws on the changed path differ.  One shard more opens a region
+of its own, so it takes rows only into itself (the law `key`).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Rows that one block of a shard's numbering holds on average.
+BLOCK_ROWS = 1 << 18
+
 
 @dataclass(frozen=True)
 class Shard:
@@ -23,14 +31,19 @@ class Shard:
     weight: float = 1.0
 
 
-def layout(shards: int, per_rack: int = 4, racks: int = 2) -> list[Shard]:
+def layout(shards: int, per_rack: int = 4, racks: int = 2, weights: dict[int, float] | None = None) -> list[Shard]:
     """Shards in order: per_rack to a rack, racks to a region; a further shard never changes where the others are."""
-    return [Shard(i, i // (per_rack * racks), i // per_rack % racks) for i in range(shards)]
+    return [Shard(i, i // (per_rack * racks), i // per_rack % racks, (weights or {}).get(i, 1.0)) for i in range(shards)]
+
 
+def with_one_more(tree: list[Shard], weight: float = 1.0) -> list[Shard]:
+    """The tree and a shard that opens the next region, whatever room the last one has."""
+    return [*tree, Shard(max(x.shard for x in tree) + 1, max(x.region for x in tree) + 1, 0, weight)]
 
-def draw(key: Column, shard: Shard, seed: int) -> Column:
-    u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(shard.shard), F.lit(seed)), 12).cast("double") + 0.5) / float(1 << 52)
-    return -F.log(u) / F.lit(float(shard.weight))
+
+def draw(key: Column, path: list[Column], weight: Column, seed: int) -> Column:
+    u = (F.shiftrightunsigned(F.xxhash64(key, *path, F.lit(seed).cast("long")), 12).cast("double") + 0.5) / float(1 << 52)
+    return -F.log(u) / weight
 
 
 def place(key: Column, tree: list[Shard], seed: int = 7) -> Column:
@@ -39,52 +52,95 @@ def place(key: Column, tree: list[Shard], seed: int = 7) -> Column:
     if not tree:
         raise ValueError("no shard has a weight")
 
-    def least(nodes: list[Column]) -> Column:
-        return nodes[0] if len(nodes) == 1 else F.least(*nodes)
+    def grouped(shards: list[Shard], by: Callable[[Shard], int]) -> list[tuple[int, list[Shard]]]:
+        return [(i, [x for x in shards if by(x) == i]) for i in sorted({by(x) for x in shards})]
+
+    def node(i: int, weight: float, below: Column | None) -> Column:
+        fields = [F.lit(i).cast("long").alias("id"), F.lit(float(weight)).alias("weight")]
+        return F.struct(*fields, *([] if below is None else [below.alias("below")]))
+
+    def level(children: list[Column]) -> Column:
+        return F.array(*children)
+
+    def total(shards: list[Shard]) -> float:
+        return sum(x.weight for x in shards)
+
+    root = level(
+        [
+            node(region, total(inside), level([node(rack, total(leaves), level([node(x.shard, x.weight, None) for x in leaves])) for rack, leaves in grouped(inside, lambda x: x.rack)]))
+            for region, inside in grouped(tree, lambda x: x.region)
+        ]
+    )
 
-    regions = []
-    for region in sorted({x.region for x in tree}):
-        racks = []
-        for rack in sorted({x.rack for x in tree if x.region == region}):
-            leaves = [F.struct(draw(key, x, seed).alias("draw"), F.lit(x.shard).alias("shard")) for x in tree if (x.region, x.rack) == (region, rack)]
-            best = least(leaves)
-            racks.append(F.struct(best["draw"].alias("draw"), F.lit(rack).alias("rack"), best["shard"].alias("shard")))
-        best = least(racks)
-        regions.append(F.struct(best["draw"].alias("draw"), F.lit(region).alias("region"), best["rack"].alias("rack"), best["shard"].alias("shard")))
-    return least(regions)
+    def choose(children: Column, path: list[Column]) -> Column:
+        """The child with the smallest draw."""
+        drawn = F.transform(children, lambda c, i: F.struct(draw(key, [*path, c["id"]], c["weight"], seed).alias("draw"), c["id"].alias("id"), i.alias("i")))
+        return F.element_at(children, (F.array_min(drawn)["i"] + 1).cast("int"))
 
+    # each level's choice is bound to a name, so that the next ones read it instead of computing it again
+    def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+        return F.element_at(F.transform(F.array(value), use), 1)
 
-def shard_rows(df: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text", seed: int = 7, weights: dict[int, float] | None = None, blocks: int = 64) -> DataFrame:
+    def at_region(region: Column) -> Column:
+        return bound(choose(region["below"], [region["id"]]), lambda rack: at_rack(region, rack))
+
+    def at_rack(region: Column, rack: Column) -> Column:
+        shard = choose(rack["below"], [region["id"], rack["id"]])
+        return F.struct(region["id"].alias("region"), rack["id"].alias("rack"), shard["id"].alias("shard"))
+
+    return bound(choose(root, []), at_region)
+
+
+def shard_rows(df: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text", seed: int = 7, weights: dict[int, float] | None = None, blocks: int | None = None) -> DataFrame:
     """df's columns with size, text_crc32, law, region, rack, shard, slot and grown_shard (the shard after one more is added).
 
-    size is the text's UTF-8 bytes plus 8.  slot numbers a shard's rows from 0 without gaps: rows are numbered in
-    blocks of hashed keys, whose sizes then shift the numbers, so no task holds a whole shard.  A null key draws like
-    any other value; a null text has size 8 and the checksum of the empty text; rows repeat as often as they came.
-    Columns of df with the names of results are replaced.
+    size is the text's UTF-8 bytes plus 8.  slot numbers a shard's rows from 0 without gaps, in `blocks` blocks of hashed
+    keys and texts whose sizes then shift the numbers, so no task holds a whole shard; by default a block has about
+    BLOCK_ROWS rows whatever the table's size.  A null key draws like any other value; a null text has size 8 and the
+    checksum of the empty text; repeated rows stay as often as they came, and which of them has the smaller slot makes
+    no difference.  A long text is only measured.  An empty table gives an empty one.  Columns of df with the names of
+    results are replaced, others are carried whatever their names.
     """
-    weights = weights or {}
-    tree, more = ([Shard(x.shard, x.region, x.rack, weights.get(x.shard, 1.0)) for x in layout(n)] for n in (shards, shards + 1))
-    body = F.coalesce(F.col(text), F.lit(""))
-    at = df.withColumn("_at", place(F.col(key), tree, seed)).withColumn("_more", place(F.col(key), more, seed))
-    at = at.select(
-        *[c for c in df.columns if c not in RESULTS],
+    tree = layout(shards, weights=weights)
+    blocks = blocks or max(16, df.count() // (shards * BLOCK_ROWS) + 1)
+    column, body = _column(key), F.coalesce(_column(text).cast("string"), F.lit(""))
+    carried = [c for c in df.columns if c not in RESULTS]
+    names = dict(zip(("block", "number", "before", "of"), (_unused(df, x) for x in ("block", "number", "before", "of")), strict=True))
+    crc = F.crc32(body.cast("binary"))
+    block = F.pmod(F.xxhash64(column, crc, F.lit(seed + 1)), F.lit(blocks)).cast("int")
+    at = place(column, tree, seed)
+    rows = df.select(
+        *[_column(c) for c in carried],
         (F.octet_length(body) + 8).cast("long").alias("size"),
-        F.crc32(body.cast("binary")).alias("text_crc32"),
+        crc.alias("text_crc32"),
         F.lit("key").alias("law"),
-        *[F.col(f"_at.{c}").cast("int").alias(c) for c in ("region", "rack", "shard")],
-        F.col("_more.shard").cast("int").alias("grown_shard"),
-        F.pmod(F.xxhash64(F.col(key), F.lit(seed + 1)), F.lit(blocks)).cast("int").alias("_block"),
+        at.alias(names["of"]),
+        place(column, with_one_more(tree), seed)["shard"].cast("int").alias("grown_shard"),
+        block.alias(names["block"]),
     )
-    sizes = df.select(place(F.col(key), tree, seed)["shard"].cast("int").alias("shard"), F.pmod(F.xxhash64(F.col(key), F.lit(seed + 1)), F.lit(blocks)).cast("int").alias("_block")).groupBy("shard", "_block").count()
-    from pyspark.sql import Window as W
+    rows = rows.select("*", *[F.col(names["of"])[c].cast("int").alias(c) for c in ("region", "rack", "shard")]).drop(names["of"])
+    sizes = df.select(at["shard"].cast("int").alias("shard"), block.alias(names["block"])).groupBy("shard", names["block"]).count()
+    # a row for each block; its rows are already together when they are joined with it
+    shift = sizes.select("shard", names["block"], F.coalesce(F.sum("count").over(W.partitionBy("shard").orderBy(names["block"]).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(names["before"]))
+    numbered = rows.withColumn(names["number"], F.row_number().over(W.partitionBy("shard", names["block"]).orderBy(_column(key) if key in carried else F.lit(0), "text_crc32", "size")))
+    placed = numbered.join(shift, ["shard", names["block"]])
+    return placed.select(*[_column(c) for c in carried], "size", "text_crc32", "law", "region", "rack", "shard", (F.col(names["before"]) + F.col(names["number"]) - 1).cast("long").alias("slot"), "grown_shard")
+
+
+RESULTS = ("size", "text_crc32", "law", "region", "rack", "shard", "slot", "grown_shard")
+
 
-    # at most shards * blocks rows, whatever the input
-    shift = sizes.withColumn("_before", F.sum("count").over(W.partitionBy("shard").orderBy("_block").rowsBetween(W.unboundedPreceding, -1))).select("shard", "_block", F.coalesce("_before", F.lit(0)).alias("_before"))
-    numbered = at.withColumn("_n", F.row_number().over(W.partitionBy("shard", "_block").orderBy(F.col(key), "text_crc32", "size")))
-    return numbered.join(F.broadcast(shift), ["shard", "_block"]).withColumn("slot", (F.col("_before") + F.col("_n") - 1).cast("long")).drop("_block", "_before", "_n")
+def _column(name: str) -> Column:
+    """A column whose name may hold dots or blanks."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
-RESULTS = ("size", "text_crc32", "law", "region", "rack", "shard", "slot", "grown_shard", "_block", "_before", "_n")
+def _unused(df: DataFrame, name: str) -> str:
+    """name, lengthened until df has no column of it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def write_shards(placed: DataFrame, path: str) -> None:

@@ -1,9 +1,13 @@
 """Sharding, nearest neighbours and the pipeline."""
 
+import math
 import random
+import struct
 import zlib
 
 import numpy as np
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from strataweave.llm import hash_tree, nndescent
@@ -24,14 +28,48 @@ def test_hash_tree(llm):
     for n in (1, 4, 8, 25):
         moved = hash_tree.shard_rows(df, n).where(f"grown_shard <> shard and grown_shard <> {n}")
         assert moved.isEmpty()
-    # a heavier shard takes rows, and only it
-    a = {r["doc_id"]: r["shard"] for r in got}
-    b = {r["doc_id"]: r["shard"] for r in hash_tree.shard_rows(df, 24, weights={3: 2.0}).collect()}
-    assert all(b[i] in (a[i], 3) for i in a) and sum(x == 3 for x in b.values()) > 1.5 * sum(x == 3 for x in a.values())
+    # a heavier shard takes rows: they move into its region or inside it, and those of other racks there only from outside
+    a = {(r["doc_id"], r["size"]): r for r in got}
+    b = {(r["doc_id"], r["size"]): r for r in hash_tree.shard_rows(df, 24, weights={3: 2.0}).collect()}
+    moved = [(a[i], b[i]) for i in a if a[i]["shard"] != b[i]["shard"]]
+    assert moved and all(y["region"] == 0 for _, y in moved) and all(y["rack"] == 0 for x, y in moved if x["region"] == 0)
+    assert all(y["shard"] == 3 for x, y in moved if (x["region"], x["rack"]) == (0, 0))
+    assert sum(x["shard"] == 3 for x in b.values()) > 1.5 * sum(x["shard"] == 3 for x in a.values())
     none = {r["shard"] for r in hash_tree.shard_rows(df, 24, weights={3: 0.0}).collect()}
     assert 3 not in none and hash_tree.shard_rows(df.limit(0), 24).isEmpty()
 
 
+def twin(key, tree, seed=7):
+    """The descent by hand: Spark's hash of several longs is XXH64 of each, seeded with the one before; a null leaves it."""
+
+    def number(*values):
+        h = 42
+        for v in values:
+            h = h if v is None else xxhash.xxh64_intdigest(struct.pack("<q", v), h)
+        return h
+
+    path = []
+    for level in ("region", "rack", "shard"):
+        weights = {}
+        for x in tree:
+            if [x.region, x.rack][: len(path)] == path:
+                weights[getattr(x, level)] = weights.get(getattr(x, level), 0) + x.weight
+        path.append(min((-math.log(((number(key, *path, i, seed) >> 12) + 0.5) / 2**52) / w, i) for i, w in weights.items() if w > 0)[1])
+    return tuple(path)
+
+
+def test_descent_by_hand(llm):
+    keys = [None, 0, -5, 1 << 60, *range(100, 400)]
+    df = llm.createDataFrame([(k,) for k in keys], "k long")
+    trees = [hash_tree.layout(24), hash_tree.layout(13, 2, 3, {0: 5.0, 4: 0.0, 9: 0.5}), [hash_tree.Shard(7, 2, 1), hash_tree.Shard(1, 0, 5, 3.0)], [hash_tree.Shard(0, 0, 0)]]
+    for tree in trees:
+        got = df.select("k", hash_tree.place(F.col("k"), tree).alias("at")).collect()
+        assert [(r["at"]["region"], r["at"]["rack"], r["at"]["shard"]) for r in got] == [twin(k, tree) for k in keys]
+    assert hash_tree.with_one_more(hash_tree.layout(24)) == hash_tree.layout(25)
+    with pytest.raises(ValueError):
+        hash_tree.place(F.col("k"), [hash_tree.Shard(0, 0, 0, 0.0)])
+
+
 def brute(rows, n=20):
     ids = [i for i, _ in rows]
     x = np.array([v for _, v in rows], dtype=float)
