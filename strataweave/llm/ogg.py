@@ -1,8 +1,10 @@
 """Ogg media columns: page checksums, packets from lacing values, logical streams and timestamps from granule positions.
 
-The page format is that of RFC 3533.  `mux` writes streams, `demux` reads any physical stream: it checks every page,
-splits the streams by serial number, rebuilds packets across pages and gives each page's time.  `store` and `load`
-keep a byte payload losslessly as unsigned 8-bit samples beside a cue stream, in one multiplexed file.
+The page format is that of RFC 3533.  `mux` writes streams, `demux_chain` reads any physical stream: it checks every
+page, splits the streams by serial number, rebuilds packets across pages, and starts a new link of a chain where streams
+begin after all others have ended.  A page's granule position is the end of the last packet that ends on it; `times`
+derives each page's time from it, and each packet's by going back from it by what the packets hold, as players do.
+`store` and `load` keep a byte payload losslessly as unsigned 8-bit samples beside a cue stream, in one multiplexed file.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -62,6 +64,8 @@ class Stream:
     ended: bool = False
     partial: list[bytes] = field(default_factory=list)
     next_page: int = 0
+    page_granules: list[int] = field(default_factory=list)
+    page_ends: list[int] = field(default_factory=list)  # how many packets have ended up to each page's end
 
 
 def pages_of(serial: int, packets: list[tuple[bytes, int]], per_page: int = 4) -> Iterator[tuple[int, bytes]]:
@@ -106,8 +110,20 @@ def mux(streams: dict[int, list[tuple[bytes, int]]], order: dict[int, float] | N
 
 
 def demux(data: bytes) -> dict[int, Stream]:
-    """The logical streams by serial number.  Raises OggError on a wrong capture, checksum, sequence or truncation."""
+    """The logical streams by serial number, of a physical stream that isn't a chain.  Raises OggError like demux_chain."""
+    links = demux_chain(data)
+    if len(links) > 1:
+        raise OggError(f"a chain of {len(links)} links")
+    return links[0] if links else {}
+
+
+def demux_chain(data: bytes) -> list[dict[int, Stream]]:
+    """The links of a physical stream, each its logical streams by serial number; a later link may use a serial again.
+
+    Raises OggError on a wrong capture, checksum, sequence or truncation.
+    """
     streams: dict[int, Stream] = {}
+    links = [streams]
     at, size = 0, len(data)
     while at < size:
         if size - at < HEADER.size:
@@ -123,6 +139,10 @@ def demux(data: bytes) -> dict[int, Stream]:
         if page_checksum(data[at : at + 22] + b"\0\0\0\0" + data[at + 26 : end]) != checksum:
             raise OggError(f"wrong checksum of the page at byte {at}")
         if kind & FIRST:
+            # first pages of one link stand together, so others between them, or a serial's return, begin the next
+            if (serial in streams or any(x.pages > 1 for x in streams.values())) and all(x.ended for x in streams.values()):
+                streams = {}
+                links.append(streams)
             if serial in streams:
                 raise OggError(f"stream {serial} begins twice")
             streams[serial] = Stream(serial)
@@ -147,12 +167,33 @@ def demux(data: bytes) -> dict[int, Stream]:
             ends_here[-1].granule = granule
             stream.last_granule = max(stream.last_granule, granule)
         stream.packets += ends_here
+        stream.page_granules.append(granule)
+        stream.page_ends.append(len(stream.packets))
         stream.ended = bool(kind & LAST)
         at = end
-    for stream in streams.values():
+    for stream in (x for link in links for x in link.values()):
         if stream.partial or not stream.ended:
             raise OggError(f"stream {stream.serial} has no end")
-    return streams
+    return links if links[0] else []
+
+
+def times(stream: Stream, rate: int, held: Callable[[bytes], int], start: int = 0) -> tuple[list[int | None], list[int]]:
+    """Microseconds at which each page and each packet ends, counted from start (of a chain's later link, its beginning).
+
+    held: granules in a packet.  A page on which no packet ends has no time.  Packets after the last granule position,
+    which a whole stream doesn't have, go forward from it.
+    """
+    ends, done, now = [0] * len(stream.packets), 0, 0
+    for granule, upto in zip(stream.page_granules, stream.page_ends, strict=True):
+        if upto > done:
+            now = granule if granule != NO_GRANULE else now + sum(held(p.data) for p in stream.packets[done:upto])
+            back = now
+            for i in range(upto - 1, done - 1, -1):
+                ends[i] = back
+                back -= held(stream.packets[i].data)
+            done = upto
+    pages = [None if g == NO_GRANULE else start + g * 1_000_000 // rate for g in stream.page_granules]
+    return pages, [start + g * 1_000_000 // rate for g in ends]
 
 
 def pad(text: bytes) -> bytes:
@@ -184,14 +225,22 @@ def load(media: bytes) -> tuple[bytes, int, dict[int, Stream], int]:
     return payload, n_bytes, streams, rate
 
 
+def samples_in(packet: bytes) -> int:
+    """Granules of a packet of the samples' stream; its header has none."""
+    return 0 if packet[:4] == PCM_MAGIC and len(packet) == 12 else len(packet)
+
+
 def feature(payload: bytes, streams: dict[int, Stream], rate: int) -> str:
-    """Duration and packets of the samples' stream, cues, mean and deviation of the samples, and zero crossings."""
+    """Duration of the samples' stream, a checksum of its pages' and packets' times, numbers of packets, pages and cues,
+    mean and variance of the samples, and crossings of the middle."""
     x = np.frombuffer(payload, dtype=np.uint8)
     level = int(np.count_nonzero((x[1:] >= 128) != (x[:-1] >= 128)))
     pcm, cue = streams[PCM_SERIAL], streams[CUE_SERIAL]
+    pages, packets = times(pcm, rate, samples_in)
+    timed = zlib.crc32(struct.pack(f"<{len(pages) + len(packets)}q", *(-1 if x is None else x for x in pages), *packets))
     total, squares = int(x.sum(dtype=np.int64)), int(np.dot(x.astype(np.float64), x.astype(np.float64)))
     mean = total / len(x)
-    return f"us={pcm.last_granule * 1_000_000 // rate};packets={len(pcm.packets)};pages={pcm.pages};cues={len(cue.packets) - 1};mean={mean:.4f};var={max(squares / len(x) - mean * mean, 0):.3f};crossings={level}"
+    return f"us={packets[-1]};times={timed:08x};packets={len(pcm.packets)};pages={pcm.pages};cues={len(cue.packets) - 1};mean={mean:.4f};var={max(squares / len(x) - mean * mean, 0):.3f};crossings={level}"
 
 
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media binary"
@@ -200,8 +249,9 @@ SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 def media_column(docs: DataFrame, with_media: bool = True) -> DataFrame:
     """Each row's text stored as Ogg, read back, and described from what was read.
 
-    A null text is empty, and so 64 zero samples.  A null doc_id stays null; repeated rows give repeated results; other
-    columns of docs are not carried.  Texts are handled a few megabytes at a time, each whole.
+    A null text is empty, and so 64 zero samples.  A null doc_id stays null; repeated rows give repeated results, and an
+    empty table none; other columns of docs, whatever their names, are not carried.  Texts are handled a few megabytes at
+    a time, each whole; a long one is a chunk of its own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
