@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, BYTE_HASH, LAST_ID, cut, flat_bytes, input_bytes, mix, powers, text_chunks
+from .common import BASE, BYTE_HASH, LAST_ID, cut, flat_bytes, input_bytes, mix, numbered, powers, text_chunks
 
 WINDOW = 100
 ANCHOR = 48
@@ -410,9 +410,9 @@ def _with_windows(docs: DataFrame, **options: int) -> DataFrame:
     return docs.join(listed, ["doc_id", "h"], "left")
 
 
-def _pairs(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pairs(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[np.ndarray, np.ndarray]]:
     column = batch.column("at")
-    sizes = np.diff(flat_bytes(batch.column("text"))[1])
+    sizes = np.diff(flat_bytes(batch.column(text))[1])
     for i in range(batch.num_rows):
         if column[i].is_valid and len(column[i]):
             yield spans(*np.asarray(column[i].values, dtype=np.int64).reshape(-1, 2).T, int(sizes[i]))
@@ -447,15 +447,17 @@ def removed_bytes(docs: DataFrame, **options: int) -> DataFrame:
 def kept_text(docs: DataFrame, **options: int) -> DataFrame:
     """docs with their repeated passages cut out of text; characters that a cut would split stay whole.
 
-    Other columns stay as they are, but n_chars follows the text if there is one.  Null and empty texts stay; texts of
-    which nothing is left are empty.
+    Other columns stay as they are whatever their names, but n_chars follows the text if there is one.  Null and empty
+    texts stay; texts of which nothing is left are empty.  Rows repeated under one doc_id are one document, as in
+    removed_bytes.  Long texts are cut whole; an empty table stays empty.
     """
-    schema, names = docs.schema, docs.columns
+    plain, names = numbered(docs)
+    text_name, chars_name, kept = names["text"], names.get("n_chars"), list(names.values())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_chunks(batches, limit=2 * CHUNK):
+        for batch in text_chunks(batches, text_name, limit=2 * CHUNK):
             texts = []
-            for text, (a, b) in zip(batch.column("text").cast(pa.binary()).to_pylist(), _pairs(batch), strict=True):
+            for text, (a, b) in zip(batch.column(text_name).cast(pa.binary()).to_pylist(), _pairs(batch, text_name), strict=True):
                 if text is None or not len(a):
                     texts.append(None if text is None else text.decode())
                     continue
@@ -469,10 +471,13 @@ def kept_text(docs: DataFrame, **options: int) -> DataFrame:
                         pieces.append(text[at:x])
                         at = y
                 texts.append(b"".join([*pieces, text[at:]]).decode())
-            columns = [pa.array(texts, pa.string()) if c == "text" else pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(batch.column(c).type) if c == "n_chars" else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), "_h": F.xxhash64(F.coalesce("text", F.lit("")))})
-    removed = repeated_windows(keyed.select(F.col("_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("_h").alias("h")).withColumn("g", F.xxhash64(F.lit(1), "text")), **options)
-    listed = removed.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.flatten(F.collect_list(F.array("start", "n"))).alias("at"))
-    return keyed.join(listed, ["_id", "_h"], "left").select(*names, "at").mapInArrow(run, schema)
+            made = {text_name: pa.array(texts, pa.string())}
+            if chars_name:
+                made[chars_name] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(batch.column(chars_name).type)
+            yield pa.RecordBatch.from_arrays([made.get(c, batch.column(c)) for c in kept], names=kept)
+
+    text = F.coalesce(text_name, F.lit(""))
+    keyed = plain.withColumns({"id": F.coalesce(F.col(names["doc_id"]).cast("long"), F.lit(LAST_ID)), "h": F.xxhash64(text)})
+    removed = repeated_windows(keyed.select(F.col("id").alias("doc_id"), text.alias("text"), "h").withColumn("g", F.xxhash64(F.lit(1), "text")), **options)
+    listed = removed.groupBy(F.col("doc_id").alias("id"), "h").agg(F.flatten(F.collect_list(F.array("start", "n"))).alias("at"))
+    return keyed.join(listed, ["id", "h"], "left").select(*kept, "at").mapInArrow(run, plain.schema).toDF(*names)

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, shared_dir, ship_package
+from ..session import cut, scratch, ship_package
+
+__all__ = ["cut", "scratch", "ship_package"]
 
 #: Bytes of text that one numpy pass works on; a longer document is a chunk of its own.
 CHUNK_BYTES = 2 << 20
@@ -21,14 +22,26 @@ C1, C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """The package on the workers, and few enough rows in an Arrow batch that long texts' batches stay small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """The package on the workers, and Arrow batches of bounded rows and bytes, unless the session has set its own."""
+    for key, value in BATCHES.items():
+        if not spark._jsparkSession.conf().contains(key):
+            spark.conf.set(key, value)
     return ship_package(spark)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+#: The session's limits of an Arrow batch, where it has none: a long text is a batch of its own.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+
+def column(name: str) -> Column:
+    """The column of that very name, which may hold dots and blanks."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns c0, c1, ..., and these names by the old ones: nothing an operator adds can clash with them."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
 
 
 def input_bytes(df: DataFrame, column: str = "text") -> int:

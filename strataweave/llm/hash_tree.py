@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import column as _column
+
 #: Rows that one block of a shard's numbering holds on average.
 BLOCK_ROWS = 1 << 18
 
@@ -130,11 +132,6 @@ def shard_rows(df: DataFrame, shards: int = 24, key: str = "doc_id", text: str =
 RESULTS = ("size", "text_crc32", "law", "region", "rack", "shard", "slot", "grown_shard")
 
 
-def _column(name: str) -> Column:
-    """A column whose name may hold dots or blanks."""
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 def _unused(df: DataFrame, name: str) -> str:
     """name, lengthened until df has no column of it."""
     taken = {c.lower() for c in df.columns}

@@ -1,16 +1,19 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two models spell words, one of toxic and one of ordinary documents.  Each predicts a symbol (a byte, or a word's end)
-from up to five before it in the word, with its class's own counts at the longest context and, below, one interpolated
-Kneser-Ney distribution shared by both, whose continuation counts come from the words of all documents.  In
-between stand both classes' counts together.  So an expression that a class has hardly seen is as likely in both.  A
-document's evidence is the difference of its log-likelihoods, divided by its number of words.
-
-A document of one language is far from the average of all, word by word; so a word's evidence is taken from the
-document's median word, and counts as far as it exceeds a margin.  Margin and cut are set on a calibrating fold.  Where
-neither class has seen a symbol after its context, both give it what they share times their own weight of backing off,
-so what they share cancels and the evidence is the difference of the weights' logarithms; after a context that neither
-has seen both weights are 1.  So scoring needs the grams and contexts of the labelled sample only.
+from up to five before it in the word: at the longest context by its class's own counts, discounted as Kneser-Ney does
+and drawn by STRENGTH to what both classes share, which are their counts together and, below, an interpolated Kneser-Ney
+distribution of continuation counts from the words of all documents.  So an expression that a class has hardly seen is
+about as likely in both.
+
+A toxic document is mostly ordinary words.  Its likelihood spells each word by the ordinary model, or as a toxic
+expression at a prior chance, whichever is the likelier way; an ordinary document's spells all by the ordinary model.
+A document's evidence is the difference of the two log-likelihoods divided by its number of words.  The prior chance and
+the cut are set on a calibrating fold.
+
+Where neither class has seen a symbol after its context, both give it what they share times their own weight of backing
+off, so what they share cancels and the difference is that of the weights' logarithms; after a context that neither has
+seen both weights are 1.  So scoring needs the grams and contexts of the labelled sample only.
 """
 
 from __future__ import annotations
@@ -22,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import BLANK, CHUNK_BYTES, LOWER, cut, flat_bytes, text_chunks, words
+from .common import BLANK, CHUNK_BYTES, LOWER, cut, flat_bytes, numbered, text_chunks, words
 
 CONTEXT = 5
 BEGIN, END = 2, 3
@@ -33,10 +37,12 @@ MAX_LABELLED = 5000
 THRESHOLD = 0.3
 
 
-#: A class's counts of a gram up to this many go to the counts that both classes share.
-DISCOUNT = 4.0
-#: Margins tried on the calibrating fold, in nats.
-MARGINS = (2.0, 3.0, 4.0, 5.0)
+#: Each gram that a class has seen gives up this much of its count to what both classes share.
+DISCOUNT = 0.75
+#: Beside that, what both share weighs as much as so many symbols of the class's own after a context.
+STRENGTH = 30.0
+#: Prior chances of a toxic expression that are tried on the calibrating fold, as their negative logarithms.
+MARGINS = (1.5, 2.0, 2.5, 3.0, 4.0, 5.0)
 
 
 @dataclass(frozen=True)
@@ -109,7 +115,7 @@ def evidence(model: Model, code: np.ndarray) -> np.ndarray:
 
 
 def normalised(model: Model, data: np.ndarray, offsets: np.ndarray, margins: tuple[float, ...] | None = None) -> np.ndarray:
-    """A row's evidence a word, for each margin: how far each word's exceeds the row's median and the margin; 0 without words."""
+    """The difference of a row's log-likelihoods a word, for each margin; 0 without words."""
     margins = margins or (model.margin,)
     flat, lengths, place, firsts = distinct_words(data, offsets)
     counts = np.diff(firsts)
@@ -118,11 +124,8 @@ def normalised(model: Model, data: np.ndarray, offsets: np.ndarray, margins: tup
         return out
     by_word = np.add.reduceat(evidence(model, symbols(flat, lengths)), np.cumsum(lengths + 1) - lengths - 1)[place]
     row = np.repeat(np.arange(len(counts)), counts)
-    sorted_words = by_word[np.lexsort((by_word, row))]
-    middle = np.where(counts > 0, sorted_words[np.minimum(firsts[:-1] + (counts - 1) // 2, len(sorted_words) - 1)], 0.0)
-    excess = by_word - middle[row]
-    for i, margin in enumerate(margins):
-        out[:, i] = np.bincount(row, weights=np.maximum(excess - margin, 0), minlength=len(counts)) / np.maximum(counts, 1)
+    for i, margin in enumerate(margins):  # log max(p ordinary, chance * p toxic) - log p ordinary
+        out[:, i] = np.bincount(row, weights=np.maximum(by_word - margin, 0), minlength=len(counts)) / np.maximum(counts, 1)
     return out
 
 
@@ -177,7 +180,13 @@ def labelled_sample(labels: DataFrame, label: str, limit: int) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled: int = MAX_LABELLED) -> Model:
-    """The models from the labelled sample and all documents, and the score's scale from the calibrating fold."""
+    """The models from the labelled sample and all documents, and the score's scale from the calibrating fold.
+
+    Labels other than 0 and 1 and rows without doc_id don't count; of several labels of one document the largest does,
+    and documents repeated under one doc_id count as often as they come.  Null texts are empty.  Without labels of both
+    classes, or with an empty table, the model gives every document the same low score.  Long texts are read whole, a
+    chunk each.  Ties between cuts go to the smaller prior chance.  Other columns are never looked at.
+    """
     spark = docs.sparkSession
     sample = spark.createDataFrame(labelled_sample(labels, label, max_labelled).toPandas().astype({"doc_id": "int64", "toxic": "int32", "fold": "int32"}), "doc_id long, toxic int, fold int")  # at most 4 * max_labelled rows
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
@@ -242,7 +251,7 @@ def _shared(docs: DataFrame, grams: np.ndarray) -> np.ndarray:
 
 
 def _combine(grams: np.ndarray, by_class: list[tuple[np.ndarray, np.ndarray]], shared: np.ndarray) -> Model:
-    """Each class's counts less DISCOUNT; what that frees goes to both classes' counts together, and theirs to the corpus."""
+    """Each class's discounted counts; what that and STRENGTH free goes to both classes' counts together, and theirs to the corpus."""
     contexts, first, place = np.unique(grams >> 8, return_index=True, return_inverse=True)
     count = np.zeros((2, len(grams)))
     for c, (code, n) in enumerate(by_class):
@@ -253,9 +262,9 @@ def _combine(grams: np.ndarray, by_class: list[tuple[np.ndarray, np.ndarray]], s
     logs, backs = [], []
     for own in count:
         less = np.minimum(own, DISCOUNT)
-        n = np.bincount(place, weights=own)[place]
-        back = np.where(n > 0, np.bincount(place, weights=less)[place] / np.maximum(n, 1), 1.0)
-        logs.append(np.log((own - less) / np.maximum(n, 1) + back * pooled))
+        n = np.bincount(place, weights=own)[place] + STRENGTH
+        back = (STRENGTH + np.bincount(place, weights=less)[place]) / n
+        logs.append(np.log((own - less) / n + back * pooled))
         backs.append(np.log(back[first]))
     return Model(grams, logs[1] - logs[0], contexts, backs[1] - backs[0])
 
@@ -310,16 +319,35 @@ def _scaled(model: Model, seen: np.ndarray) -> Model:
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, held_out, score, predicted) and the columns in carry, for every row.
 
-    Rows without words have evidence 0.  A null doc_id is held out of nothing.  Repeated rows score alike.
+    Rows without words, null and empty texts among them, have evidence 0.  A null doc_id is held out of nothing.
+    Repeated rows score alike, an empty table gives none, and a long text is scored whole.  Other columns of docs play
+    no part whatever their names; one in carry that is named like a result stands beside it.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # the labelled sample bounds it
-    schema = ", ".join(["doc_id long", *[f"{c} {docs.schema[c].dataType.simpleString()}" for c in carry], "score double, predicted int"])
+    plain, names = numbered(docs)
+    kept = [names[c] for c in carry if c != "doc_id"]
+    scored = _scored(plain, names, model, threshold, kept)
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    out = scored.select("doc_id", held.alias("held_out"), "score", "predicted", *kept)
+    return out.toDF("doc_id", "held_out", "score", "predicted", *[c for c in carry if c != "doc_id"])
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """docs' rows with a score below the threshold, with docs' columns and types."""
+    plain, names = numbered(docs)
+    return _scored(plain, names, model, threshold, list(names.values())).where("predicted = 0").select(*names.values()).toDF(*names)
+
+
+def _scored(plain: DataFrame, names: dict[str, str], model: Model, threshold: float, kept: list[str]) -> DataFrame:
+    """doc_id, the numbered columns in kept, score and predicted."""
+    shared = plain.sparkSession.sparkContext.broadcast(model)  # the labelled sample bounds it
+    source = plain.select(F.col(names["doc_id"]).cast("long").alias("doc_id"), F.col(names["text"]).cast("string").alias("body"), *[c for c in kept if c != names["text"]])
+    carried = ["body" if c == names["text"] else c for c in kept]
+    types = [T.StructField("doc_id", T.LongType()), *[T.StructField(c, source.schema[b].dataType) for c, b in zip(kept, carried, strict=True)]]
+    schema = T.StructType([*types, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_chunks(batches, limit=CHUNK_BYTES):
-            p = probability(shared.value, normalised(shared.value, *flat_bytes(batch.column("text")))[:, 0])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[batch.column(c) for c in carry], pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", *carry, "score", "predicted"])
+        for batch in text_chunks(batches, "body", limit=CHUNK_BYTES):
+            p = probability(shared.value, normalised(shared.value, *flat_bytes(batch.column("body")))[:, 0])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[batch.column(b) for b in carried], pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", *kept, "score", "predicted"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[c for c in carry if c not in ("doc_id", "text")]).mapInArrow(run, schema)
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
-    return scored.select("doc_id", held.alias("held_out"), "score", "predicted", *[c for c in carry if c != "doc_id"])
+    return source.mapInArrow(run, schema)

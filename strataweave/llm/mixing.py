@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import column, numbered
+
 #: Up to so many sources, rates are literals in the plan; beyond, they are joined.
 MAX_LITERAL_SOURCES = 1000
 
@@ -57,33 +59,39 @@ def distribution(rate: DataFrame) -> DataFrame:
     return k.groupBy("_source", "_rate").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "_c"))), lambda x: x["_c"]).alias("_cdf"))
 
 
-def mix_sources(df: DataFrame, source: str = "source", key: str = "doc_id", seed: int = 11, weights: dict[str | None, float] | None = None, temperature: float = 0.5, budget: float | None = None, size: Column | None = None) -> DataFrame:
+def mix_sources(df: DataFrame, source: str = "source", key: str = "doc_id", seed: int = 11, weights: dict[str | None, float] | None = None, temperature: float = 0.5, budget: float | None = None, size: Column | None = None, text: str = "text") -> DataFrame:
     """df's rows as often as drawn, in a global random order, with copy (from 1), rate and shuffle_key.
 
-    Rows that share key and source draw alike.  Copies that draw 0 are gone, which is what mixing is.  An empty table
-    stays empty.  Columns of df named like results are replaced.
+    Rows that share key and source draw alike; rows without a key draw by their text.  Copies that draw 0 are gone,
+    which is what mixing is.  A null text has no size, a long one is never moved but with its row; an empty table stays
+    empty.  Columns of df named like results are replaced, others are carried whatever their names.
     """
-    spark, df = df.sparkSession, df.drop("copy", "rate", "shuffle_key")
+    spark = df.sparkSession
+    size = F.length(F.coalesce(column(text), F.lit(""))) if size is None else size
     # one row for each source; collect_list holds a source's distribution, which its rate bounds
     table = distribution(rates(df, source, size, weights, temperature, budget))
     known = table.limit(MAX_LITERAL_SOURCES + 1).collect()
+    carried = [c for c in df.columns if c not in ("copy", "rate", "shuffle_key")]
+    plain, names = numbered(df.select(*[column(c) for c in carried]))
+    of, drawn_by = F.col(names[source]), F.coalesce(F.col(names[key]).cast("string"), F.md5(F.coalesce(F.col(names[text]), F.lit("")).cast("binary")))
     if len(known) <= MAX_LITERAL_SOURCES:
         rate, cdf = F.lit(0.0), F.array(F.lit(1.0))
         for row in known:
-            mine = F.col(source).eqNullSafe(F.lit(row["_source"]))
+            mine = of.eqNullSafe(F.lit(row["_source"]))
             rate = F.when(mine, F.lit(row["_rate"])).otherwise(rate)
             # the tail at which no 52-bit hash can arrive adds nothing
             cdf = F.when(mine, F.array(*[F.lit(x) for x in _needed(row["_cdf"])])).otherwise(cdf)
-        drawn = df.withColumn("rate", rate).withColumn("_cdf", cdf)
+        drawn = plain.withColumn("rate", rate).withColumn("_cdf", cdf)
     else:
-        drawn = df.join(table.withColumnRenamed("_rate", "rate"), df[source].eqNullSafe(table["_source"])).drop("_source")
-    u = unit(F.col(key), F.lit(seed))
+        drawn = plain.join(table.withColumnRenamed("_rate", "rate"), of.eqNullSafe(F.col("_source"))).drop("_source")
+    u = unit(drawn_by, F.lit(seed))
     n = F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
     drawn = drawn.withColumn("_u", u).withColumn("_n", n).where("_n > 0").drop("_cdf", "_u")
     copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n")
-    keyed = copies.withColumn("shuffle_key", shuffle_key(F.col(key), F.col("copy"), F.lit(seed)))
+    keyed = copies.withColumn("shuffle_key", shuffle_key(drawn_by, F.col("copy"), F.lit(seed)))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartition(parts, "shuffle_key").sortWithinPartitions("shuffle_key", key)
+    mixed = keyed.repartition(parts, "shuffle_key").sortWithinPartitions("shuffle_key", names[key])
+    return mixed.toDF(*carried, *mixed.columns[len(carried) :])
 
 
 def _needed(cdf: list[float]) -> list[float]:

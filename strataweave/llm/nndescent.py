@@ -296,7 +296,10 @@ def nearest(vectors: DataFrame, is_query: Column | None = None, n: int = 20, **o
     """(query_id, rank, vec_id, score): the n vectors found with the largest products for each query, its own row left out.
 
     Queries are the usable vectors for which is_query holds (by default those whose id is divisible by 20).  Ties go to
-    the smaller vec_id.  Fewer than n candidates give as many rows; an empty table gives none.
+    the smaller vec_id.  Fewer than n candidates give as many rows; an empty table gives none.  Null ids and vectors that
+    are null, zero or not finite take no part, and neither do vectors of another length than most have, which have no
+    product with them.  Rows repeated under one vec_id count once, equal vectors under several ids each.  Long vectors
+    are read whole; other columns, whatever their names, are never read.
     """
     spark = vectors.sparkSession
     rows = cut(usable(vectors))

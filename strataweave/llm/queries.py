@@ -30,11 +30,11 @@ p AS (SELECT source, rate, k, CASE WHEN rate > 0 THEN EXP(k * LN(rate) - rate -
                                    WHEN k = 0 THEN 1.0 ELSE 0.0 END AS p FROM k),
 c AS (SELECT source, rate, k, SUM(p) OVER (PARTITION BY source ORDER BY k) AS cdf FROM p),
 l AS (SELECT source, rate, LIST(cdf) AS cdfs FROM c GROUP BY source, rate),
-d AS (SELECT *, CAST(('0x' || SUBSTR(MD5(COALESCE(CAST(doc_id AS VARCHAR), '') || '|11'), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u FROM documents),
+d AS (SELECT *, CAST(('0x' || SUBSTR(MD5(COALESCE(CAST(doc_id AS VARCHAR), MD5(COALESCE(text, ''))) || '|11'), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u FROM documents),
 n AS (SELECT d.*, l.rate, LEN(LIST_FILTER(l.cdfs, lambda x: x <= d.u)) AS n FROM d JOIN l ON d.source IS NOT DISTINCT FROM l.source),
 e AS (SELECT doc_id, text, lang, source, n_chars, rate, UNNEST(GENERATE_SERIES(1, n)) AS copy FROM n)
 SELECT doc_id, text, lang, source, n_chars, ROUND(rate, 9) AS rate, CAST(copy AS INTEGER) AS copy,
-       CAST(('0x' || SUBSTR(MD5(COALESCE(CAST(doc_id AS VARCHAR), '') || '|' || copy || '|11'), 1, 15)) AS BIGINT) AS shuffle_key
+       CAST(('0x' || SUBSTR(MD5(COALESCE(CAST(doc_id AS VARCHAR), MD5(COALESCE(text, ''))) || '|' || copy || '|11'), 1, 15)) AS BIGINT) AS shuffle_key
 FROM e
 """
 

@@ -621,7 +621,8 @@ def _read(files: DataFrame, with_ids: bool) -> DataFrame:
 def encode_table(docs: DataFrame, tokenizer: str, path: str | None = None) -> DataFrame:
     """Write docs' ids to files (in the shared folder, if path names none) and describe each document from them.
 
-    Nulls, repeats, long texts, empty tables and clashing names are write_ids's; the files stay where they are.
+    Nulls, repeats, long texts, empty tables and clashing names are write_ids's.  Files at a path of the caller's stay;
+    those in the shared folder go when the driver ends.
     """
     spark = docs.sparkSession
     path = path or scratch(spark, "token-ids")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import CHUNK_BYTES, flat_bytes, text_chunks
+from .common import CHUNK_BYTES, column, flat_bytes, numbered, text_chunks
 
 SPACE = "▁"  # fixed value: how pieces write a space
 
@@ -231,45 +231,48 @@ def encode_column(docs: DataFrame, path: str, keep: int = Encoder.KEPT, forget:
     """docs' columns (but those named like results) with ids, n_ids and decoded_crc32, that of the bytes decoded from ids.
 
     A worker keeps up to about `keep` segments' ids for later tasks, or with `forget` until its task ends, which takes more
-    time and less memory.  A null or empty text has no ids.  Repeated rows are encoded alike; nulls elsewhere stay.
+    time and less memory.  A null or empty text has no ids.  Repeated rows are encoded alike; nulls elsewhere stay, and so
+    do other columns whatever their names.  A long text is encoded whole; among segmentations of one score the search
+    keeps the one it met first.  An empty table gives an empty one.
     """
     kept = [c for c in docs.columns if c not in ("ids", "n_ids", "decoded_crc32")]
-    source = docs.select(*kept)
+    source, names = numbered(docs.select(*[column(c) for c in kept]))
+    text = names["text"]
     schema = T.StructType([*source.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_ids", T.LongType()), T.StructField("decoded_crc32", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_chunks(batches, limit=3 * CHUNK_BYTES):
+        for batch in text_chunks(batches, text, limit=3 * CHUNK_BYTES):
             tool = encoder(path)
             tool.KEPT = keep
-            ids, n = tool.encode(*flat_bytes(batch.column("text")))
+            ids, n = tool.encode(*flat_bytes(batch.column(text)))
             data, offsets = tool.decode(ids, n)
             view = memoryview(np.ascontiguousarray(data))
             checks = [zlib.crc32(view[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(n, pa.int64()), pa.array(checks, pa.int64())], names=[*kept, "ids", "n_ids", "decoded_crc32"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(n, pa.int64()), pa.array(checks, pa.int64())], names=[*names.values(), "ids", "n_ids", "decoded_crc32"])
         if forget:
             encoder(path).forget()
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).toDF(*kept, "ids", "n_ids", "decoded_crc32")
 
 
 def decode_column(docs: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
     """docs with the text of ids in column text; null ids give null, no ids the empty text."""
     kept = [c for c in docs.columns if c != text]
-    source = docs.select(*kept)
-    schema = T.StructType([*source.schema.fields, T.StructField(text, T.StringType())])
+    source, names = numbered(docs.select(*[column(c) for c in kept]))
+    schema = T.StructType([*source.schema.fields, T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(ids)
-            flat = np.asarray(column.flatten(), dtype=np.int64)
-            n = np.array([len(x) if x is not None else 0 for x in column.to_pylist()], dtype=np.int64)
+            lists = batch.column(names[ids])
+            flat = np.asarray(lists.flatten(), dtype=np.int64)
+            n = np.array([len(x) if x is not None else 0 for x in lists.to_pylist()], dtype=np.int64)
             data, offsets = encoder(path).decode(flat, n)
             raw = data.tobytes()
-            texts = [raw[a:b].decode("utf-8", "replace") if ok else None for a, b, ok in zip(offsets[:-1], offsets[1:], column.is_valid().to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*kept, text])
+            texts = [raw[a:b].decode("utf-8", "replace") if ok else None for a, b, ok in zip(offsets[:-1], offsets[1:], lists.is_valid().to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names.values(), "text"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).toDF(*kept, text)
 
 
 def ids_of(docs: DataFrame, path: str) -> DataFrame:

@@ -30,8 +30,9 @@ def test_unseen_symbols_back_off():
         pooled = (max(both.get(code, 0) - d, 0) + d * len(both) * p) / total if total else p
         logs = []
         for own in inside:
-            n, freed = sum(own.values()), sum(min(x, kneser_ney.DISCOUNT) for x in own.values())
-            logs.append(np.log(max(own.get(code, 0) - kneser_ney.DISCOUNT, 0) / max(n, 1) + (freed / n if n else 1.0) * pooled))
+            n = sum(own.values()) + kneser_ney.STRENGTH
+            freed = sum(min(x, kneser_ney.DISCOUNT) for x in own.values()) + kneser_ney.STRENGTH
+            logs.append(np.log(max(own.get(code, 0) - kneser_ney.DISCOUNT, 0) / n + freed / n * pooled))
         return logs[1] - logs[0]
 
     seen = dict(zip(grams.tolist(), shared))

@@ -280,7 +280,7 @@ def test_suffix_array_dedup(llm, hot):
     rows += [(60, "a" * 500), (61, "ab" * 200), (62, None), (63, ""), (64, "a" * 99), (65, rows[3][1]), (65, rows[3][1]), (66, "b" * 100)]
     got = sorted(tuple(x) for x in bwt.removed_bytes(docs(llm, rows), hot=hot).collect())
     assert got == brute_removed(rows)
-    kept = bwt.kept_text(docs(llm, rows).withColumn("at", F.lit(1)).withColumn("h", F.lit("x")).drop("at"), hot=hot)
+    kept = bwt.kept_text(docs(llm, rows), hot=hot)
     by = {x[0]: x for x in got}
     for x in kept.collect():
         n = len((x["text"] or "").encode())
