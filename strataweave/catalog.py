@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog_sql import CYCLES, GRAPH, LINES, MODULES, PAIRS, SEVERITY, SIGNAL_PARTS, crate, is_docs, is_generated, is_reexport, is_source, is_test, q
+from .catalog_sql import ALL_CYCLES, CYCLES, GRAPH, LINES, MODULES, PAIRS, SEVERITY, SIGNAL_PARTS, crate, is_docs, is_generated, is_reexport, is_source, is_test, q
 from .functions import display, imports, paths
 from .functions.ignore import IgnoreRules
 from .operators import change, defect, graphops, metrics, ranges, signals, structural
@@ -115,7 +115,7 @@ def kept_touches(fx: Fixture) -> DataFrame:
     return change.kept_files(fx.touches()).groupBy("file").agg(F.count("*").alias("n"))
 
 
-@query("change_propagates", q(PAIRS, "SELECT source, target, cnt, ROUND(cnt / change_freq, 6) AS weight FROM (SELECT x.file AS source, y.file AS target, COUNT(DISTINCT x.seq) AS cnt FROM (SELECT * FROM st WHERE seq < 2000) x JOIN (SELECT * FROM st WHERE seq < 2000) y ON y.seq < x.seq AND y.seq >= x.seq - 5 AND x.file <> y.file GROUP BY ALL) JOIN (SELECT file, COUNT(*) AS change_freq FROM touches WHERE seq < 2000 GROUP BY file) ON file = source"))
+@query("change_propagates", q(PAIRS, "SELECT source, target, cnt, ROUND(cnt / change_freq, 6) AS weight FROM (SELECT x.file AS source, y.file AS target, COUNT(DISTINCT x.seq) AS cnt FROM (SELECT file, seq, UNNEST(RANGE(1, 6)) AS k FROM st) x JOIN st y ON y.seq = x.seq - x.k AND x.file <> y.file GROUP BY ALL) JOIN freq ON file = source"))
 def change_propagates(fx: Fixture) -> DataFrame:
     return rounded(change.change_propagates(fx.touches(), 5, BUILD.max_files_per_commit), "weight")
 
@@ -201,7 +201,7 @@ def merge_nodes(fx: Fixture) -> DataFrame:
 @query("layer_filter", q(GRAPH, "SELECT layer, edge_type, COUNT(*) AS n, ROUND(SUM(weight), 4) AS weight FROM edges WHERE layer IN ('structural', 'defect') GROUP BY ALL"))
 def layer_filter(fx: Fixture) -> DataFrame:
     fx.settle()
-    return fx.edges().where(F.col("layer").isin("structural", "defect")).groupBy("layer", "edge_type").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 4).alias("weight"))
+    return fx.edges("structural", "defect").groupBy("layer", "edge_type").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 4).alias("weight"))
 
 
 _CO = "SELECT source, target, ROUND(weight, 6) AS weight FROM edges e WHERE edge_type = 'co_changes' AND {} EXISTS (SELECT 1 FROM sp WHERE lo = LEAST(e.source, e.target) AND hi = GREATEST(e.source, e.target))"
@@ -244,14 +244,18 @@ def co_fix(fx: Fixture) -> DataFrame:
 # --- signals ------------------------------------------------------------------------------------------------------
 
 LIMITS = {
-    "signal_ghost_coupling": ("ghost", signals.ghost_coupling, lambda: {"ghost_coupling": F.col("p90"), "ghost_coupling_high": F.col("p99")}),
-    "signal_fragile_boundary": ("fragile", signals.fragile_boundary, lambda: {"fragile_coupling": F.col("p50"), "fragile_fault": F.col("fault_p90")}),
-    "signal_over_engineering_single": ("single", signals.over_engineering_single, lambda: {"over_engineering": F.col("p50"), "over_engineering_complexity": F.col("complexity_p25"), "over_engineering_freq": F.col("freq_p25")}),
-    "signal_over_engineering_pass_through": ("pass_", signals.over_engineering_pass_through, lambda: {"over_engineering": F.col("p75"), "pass_through_coupling": F.col("p75"), "over_engineering_complexity": F.col("complexity_p25"), "over_engineering_freq": F.col("freq_p25")}),
-    "signal_stable_core": ("stable", signals.stable_core, lambda: {}),
-    "signal_ticking_bomb": ("bomb", signals.ticking_bomb, lambda: {"bomb_hotspot": F.lit(70.0), "bomb_defect": F.lit(50.0), "bomb_coupling": F.lit(60.0)}),
-    "signal_god_module": ("god", signals.god_module, lambda: {"god_loc": F.lit(100.0)}),
-    "signal_unstable_dependency": ("unst", signals.unstable_dependency, lambda: {"unstable_gap": F.lit(0.2), "unstable_from": F.lit(0.5)}),
+    "signal_ghost_coupling": ("ghost", signals.ghost_coupling, {"ghost_coupling": "p90", "ghost_coupling_high": "p99"}),
+    "signal_fragile_boundary": ("fragile", signals.fragile_boundary, {"fragile_coupling": "p50", "fragile_fault": "fault_p90"}),
+    "signal_over_engineering_single": ("single", signals.over_engineering_single, {"over_engineering": "p50", "over_engineering_complexity": "complexity_p25", "over_engineering_freq": "freq_p25"}),
+    "signal_over_engineering_pass_through": (
+        "pass_",
+        signals.over_engineering_pass_through,
+        {"over_engineering": "p75", "pass_through_coupling": "p75", "over_engineering_complexity": "complexity_p25", "over_engineering_freq": "freq_p25"},
+    ),
+    "signal_stable_core": ("stable", signals.stable_core, {}),
+    "signal_ticking_bomb": ("bomb", signals.ticking_bomb, {"bomb_hotspot": "70", "bomb_defect": "50", "bomb_coupling": "60"}),
+    "signal_god_module": ("god", signals.god_module, {"god_loc": "100"}),
+    "signal_unstable_dependency": ("unst", signals.unstable_dependency, {"unstable_gap": "0.2", "unstable_from": "0.5"}),
 }
 
 
@@ -261,7 +265,7 @@ def _judged(found: DataFrame) -> DataFrame:
 
 def _detect(fx: Fixture, name: str) -> DataFrame:
     _, detector, limits = LIMITS[name]
-    return detector(fx.graph(**limits()))
+    return detector(fx.graph(**limits))
 
 
 for _name, (_cte, _, _) in LIMITS.items():
@@ -270,9 +274,9 @@ for _name, (_cte, _, _) in LIMITS.items():
 
 def _shotgun(fx: Fixture) -> DataFrame:
     g = fx.graph()
-    mark = signals.breadths(g.edges).agg(metrics.percentile("breadth", 90).alias("shotgun_breadth"))
-    g.limits = g.limits.drop("shotgun_breadth").join(mark)
-    return signals.shotgun_surgery(g)
+    mark = signals.breadths(g.layer("change")).agg(metrics.percentile("breadth", 90).alias("shotgun_breadth"))
+    limits = g.limits.drop("shotgun_breadth").join(mark)
+    return signals.shotgun_surgery(signals.Graph(g.nodes, g.layer("change"), g.nodes, g.nodes, limits))
 
 
 def _cycle_groups(fx: Fixture) -> DataFrame:
@@ -326,7 +330,7 @@ query("impact_signals", q(ALL_SQL, SEVERITY + f"all_ WHERE node_a = '{CENTER}' O
 query("impact")(lambda fx: fixed.impact(fx.nodes(), fx.settle().edges(), _all(fx), fx.change_metrics(), CENTER))
 
 
-@query("scc_members", q(GRAPH + "," + CYCLES, "SELECT id, component FROM scc"))
+@query("scc_members", q(GRAPH + "," + ALL_CYCLES, "SELECT id, component FROM scc"))
 def scc_members(fx: Fixture) -> DataFrame:
     """Over the edges of all layers; the cycle signal has its own, smaller graph."""
     return graphops.strong_components(fx.settle().edges())
@@ -344,8 +348,8 @@ kept AS (SELECT id, d FROM rk WHERE r <= 50)"""
 
 
 for _d in (1, 2, 3):
-    query(f"neighborhood_d{_d}", q(_around(_d), "SELECT id, CAST(d AS INTEGER) AS d FROM kept JOIN nodes USING (id)"))(lambda fx, d=_d: graphops.neighborhood(fx.nodes(), fx.settle().edges(), CENTER, d, ("structural", "change"))[0].select("id", "d"))
-query("neighborhood_edges", q(_around(2), "SELECT source, target, layer, ROUND(weight, 6) AS weight FROM ins WHERE source IN (SELECT id FROM kept) AND target IN (SELECT id FROM kept)"))(lambda fx: rounded(graphops.neighborhood(fx.nodes(), fx.settle().edges(), CENTER, 2, ("structural", "change"))[1].select("source", "target", "layer", "weight"), "weight"))
+    query(f"neighborhood_d{_d}", q(_around(_d), "SELECT id, CAST(d AS INTEGER) AS d FROM kept JOIN nodes USING (id)"))(lambda fx, d=_d: graphops.neighborhood(fx.nodes(), fx.settle().edges("structural", "change"), CENTER, d, ("structural", "change"))[0].select("id", "d"))
+query("neighborhood_edges", q(_around(2), "SELECT source, target, layer, ROUND(weight, 6) AS weight FROM ins WHERE source IN (SELECT id FROM kept) AND target IN (SELECT id FROM kept)"))(lambda fx: rounded(graphops.neighborhood(fx.nodes(), fx.settle().edges("structural", "change"), CENTER, 2, ("structural", "change"))[1].select("source", "target", "layer", "weight"), "weight"))
 
 VIZ = GRAPH + """,
 viz AS (SELECT n.id, n.type, CASE WHEN CONTAINS(n.file_path, '/') THEN SPLIT_PART(n.file_path, '/', 1) ELSE 'root' END AS module, n.loc, n.complexity, COALESCE(change_freq, 0) AS change_freq, COALESCE(churn_rate, 0) AS churn_rate, COALESCE(hotspot_score, 0) AS hotspot_score,
@@ -364,7 +368,10 @@ query("max_values", q(VIZ, "SELECT " + ", ".join(f"ROUND(MAX({x}), 6) AS max_{x}
 query("color_values", q(VIZ, "SELECT id, ROUND(hotspot_score / GREATEST((SELECT MAX(hotspot_score) FROM viz), 0.01), 6) AS value FROM viz"))(lambda fx: (lambda v: v.join(F.broadcast(fixed.max_values(v))).select("id", F.round(display.color_value(F.col("hotspot_score"), F.col("max_hotspot_score")), 6).alias("value")))(_viz(fx)))
 query("module_colors", q(VIZ, "SELECT module, CAST((ROW_NUMBER() OVER (ORDER BY module) - 1) % 10 AS INTEGER) AS color FROM (SELECT DISTINCT module FROM viz)"))(lambda fx: fixed.module_colors(_viz(fx)))
 query("node_search", q(VIZ, "SELECT id FROM viz WHERE CONTAINS(LOWER(id), 'promo')"))(lambda fx: fixed.search_nodes(fx.nodes(), "PROMO").select("id"))
-query("common_prefix", q(MODULES, "SELECT 'Brand#10/src' AS prefix"))(lambda fx: fixed.common_prefix(fx.nodes().where("file_path like 'Brand#10/%'")))
+PREFIX = MODULES + """,
+paths AS (SELECT DISTINCT SPLIT_PART(file_path, '/', 1) AS top, file_path, STRING_SPLIT(file_path, '/') AS parts FROM nodes),
+pre AS (SELECT top, i, ARRAY_TO_STRING(parts[:i], '/') AS prefix, COUNT(*) AS c FROM (SELECT *, UNNEST(RANGE(0, LEN(parts))) AS i FROM paths) GROUP BY ALL)"""
+query("common_prefix", q(PREFIX, "SELECT top, MAX_BY(prefix, i) AS prefix FROM pre WHERE c = (SELECT COUNT(*) FROM paths p WHERE p.top = pre.top) GROUP BY top"))(lambda fx: fixed.common_prefix(fx.nodes().withColumn("top", F.substring_index("file_path", "/", 1)), by="top"))
 query("dep_summary", q(GRAPH, "SELECT id, COUNT(*) FILTER (layer = 'structural' AND o) AS structural_out, COUNT(*) FILTER (layer = 'structural' AND NOT o) AS structural_in, COUNT(*) FILTER (layer = 'change' AND weight > 0.05) AS coupled, COUNT(*) FILTER (layer = 'defect') AS defects FROM (SELECT source AS id, TRUE AS o, layer, weight FROM edges UNION ALL SELECT target, FALSE, layer, weight FROM edges) GROUP BY id"))(lambda fx: fixed.dependency_summary(fx.settle().edges(), 0.05))
 query("edge_index", q(GRAPH, "SELECT node, layer, COUNT(*) AS n FROM (SELECT source AS node, layer FROM edges UNION ALL SELECT target, layer FROM edges) GROUP BY ALL"))(lambda fx: fixed.edge_index(fx.settle().edges()))
 query("highlighted_edges", q(ALL_SQL, "SELECT source, target, edge_type FROM edges e WHERE EXISTS (SELECT 1 FROM all_ a WHERE signal_type IN ('fragile_boundary', 'ghost_coupling', 'ticking_bomb') AND LEAST(node_a, node_b) = LEAST(e.source, e.target) AND GREATEST(node_a, node_b) = GREATEST(e.source, e.target) AND node_b IS NOT NULL)"))(lambda fx: fixed.highlighted(fx.settle().edges(), _all(fx)).select("source", "target", "edge_type"))
@@ -433,7 +440,7 @@ def go_vue_imports(fx: Fixture) -> DataFrame:
 
 RANGE_SQL = """
 WITH d AS (SELECT o_custkey, o_orderkey, DATEDIFF('day', TIMESTAMP '1992-01-01', o_orderdate) AS b, DATEDIFF('day', TIMESTAMP '1992-01-01', MAX(l_shipdate)) AS e FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL),
-r AS (SELECT o_custkey, o_orderkey AS ref, l_linenumber AS line, CAST(DATEDIFF('day', TIMESTAMP '1992-01-01', l_shipdate) AS BIGINT) AS at_ FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 4 = 1 GROUP BY ALL),
+r AS (SELECT o_custkey, o_orderkey AS ref, l_linenumber AS line, CAST(DATEDIFF('day', TIMESTAMP '1992-01-01', l_shipdate) AS BIGINT) AS at_ FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL),
 m AS (SELECT r.o_custkey, ref, line, at_, o_orderkey, ROW_NUMBER() OVER (PARTITION BY r.o_custkey, ref, line, at_ ORDER BY e - b, b, o_orderkey) AS n FROM r JOIN d ON d.o_custkey = r.o_custkey AND at_ BETWEEN b AND e)
 SELECT o_custkey, ref, line, at_ AS "at", o_orderkey FROM m WHERE n = 1
 """

@@ -107,9 +107,16 @@ shot AS (SELECT 'shotgun_surgery' AS signal_type, id AS node_a, CAST(NULL AS VAR
 unst AS (SELECT 'unstable_dependency' AS signal_type, source AS node_a, target AS node_b, b.instability - a.instability AS severity FROM imports JOIN nm a ON a.id = source JOIN nm b ON b.id = target
     WHERE b.instability - a.instability >= 0.2 AND a.instability < 0.5 AND b.instability > 0.7 AND {is_source("source")} AND {is_source("target")} AND NOT {is_test("source")} AND NOT {is_reexport("source")} AND NOT {is_reexport("target")})"""
 
-CYCLES = """
-ce AS MATERIALIZED (SELECT DISTINCT source, target FROM (SELECT source, target FROM edges WHERE edge_type <> 'co_changes' AND layer <> 'defect' UNION ALL SELECT a, b FROM couplings, marks WHERE w >= p999) WHERE source <> target),
+_REACH = """
 reach AS (SELECT source, target FROM ce UNION SELECT r.source, e.target FROM reach r JOIN ce e ON e.source = r.target),
 scc AS (SELECT x.source AS id, LEAST(MIN(x.target), MIN(x.source)) AS component FROM reach x JOIN reach y ON y.source = x.target AND y.target = x.source WHERE x.source <> x.target GROUP BY x.source)"""
 
+# the cycle signal's graph: structure, and the co-changes from P99.9 on
+CYCLES = """
+ce AS MATERIALIZED (SELECT DISTINCT source, target FROM (SELECT source, target FROM edges WHERE edge_type <> 'co_changes' AND layer <> 'defect' UNION ALL SELECT a, b FROM couplings, marks WHERE w >= p999) WHERE source <> target),""" + _REACH
+
+# all layers; what no edge leaves is on no cycle
+ALL_CYCLES = """
+ce AS MATERIALIZED (SELECT DISTINCT source, target FROM edges WHERE source <> target AND target IN (SELECT source FROM edges)),""" + _REACH
+
 SEVERITY = "SELECT signal_type, node_a, node_b, ROUND(severity, 6) AS severity FROM "

@@ -25,6 +25,10 @@ class Graph:
     defect: DataFrame
     limits: DataFrame
 
+    def layer(self, name: str) -> DataFrame:
+        """The edges of one layer; a graph that keeps layers apart gives one without the others."""
+        return self.edges.where(F.col("layer") == name)
+
 
 def limits_of(nodes: DataFrame, thresholds: Thresholds) -> DataFrame:
     return nodes.sparkSession.range(1).select(*[F.lit(float(v)).alias(k) for k, v in asdict(thresholds).items()])
@@ -50,7 +54,7 @@ def edge_weights(edges: DataFrame, kind: str, name: str) -> DataFrame:
 
 
 def imports(g: Graph) -> DataFrame:
-    return g.edges.where("edge_type = 'imports'").select("source", "target")
+    return g.layer("structural").where("edge_type = 'imports'").select("source", "target")
 
 
 def _signal(df: DataFrame, kind: str, a: str, b: str | None, severity: Column, text: Column) -> DataFrame:
@@ -73,9 +77,9 @@ def shared_importers_of(pairs: DataFrame, by: DataFrame) -> DataFrame:
 
 def ghost_coupling(g: Graph) -> DataFrame:
     """Files that change together without a structural edge; explained pairs only if the coupling is very high, at less severity."""
-    pairs = with_limits(g.edges.where("edge_type = 'co_changes'"), g).where(F.col("weight") > F.col("ghost_coupling"))
+    pairs = with_limits(g.layer("change").where("edge_type = 'co_changes'"), g).where(F.col("weight") > F.col("ghost_coupling"))
     pairs = pairs.where(~is_test_source_pair(F.col("source"), F.col("target")) & is_source_file(F.col("source")) & is_source_file(F.col("target")))
-    pairs = pairs.withColumns({"lo": F.least("source", "target"), "hi": F.greatest("source", "target")}).join(structural_pairs(g.edges), ["lo", "hi"], "left_anti")
+    pairs = pairs.withColumns({"lo": F.least("source", "target"), "hi": F.greatest("source", "target")}).join(structural_pairs(g.layer("structural")), ["lo", "hi"], "left_anti")
     explained = shared_importers_of(pairs.select("lo", "hi").distinct(), imports(g)).select("lo", "hi", F.lit(True).alias("shared"))
     judged = pairs.join(explained, ["lo", "hi"], "left").withColumn("less", F.coalesce("shared", F.lit(False)) | is_cross_crate_pair(F.col("source"), F.col("target")))
     kept = judged.where(~F.col("less") | (F.col("weight") >= F.col("ghost_coupling_high")))
@@ -85,9 +89,9 @@ def ghost_coupling(g: Graph) -> DataFrame:
 
 def fragile_boundary(g: Graph) -> DataFrame:
     """Structural, coupled and fault-prone at once."""
-    pairs = with_limits(g.edges.where("edge_type = 'co_changes'"), g).where(F.col("weight") > F.col("fragile_coupling")).withColumns({"lo": F.least("source", "target"), "hi": F.greatest("source", "target")})
-    pairs = pairs.join(structural_pairs(g.edges), ["lo", "hi"], "left_semi")
-    faults = edge_weights(g.edges, "fault_propagates", "fault")
+    pairs = with_limits(g.layer("change").where("edge_type = 'co_changes'"), g).where(F.col("weight") > F.col("fragile_coupling")).withColumns({"lo": F.least("source", "target"), "hi": F.greatest("source", "target")})
+    pairs = pairs.join(structural_pairs(g.layer("structural")), ["lo", "hi"], "left_semi")
+    faults = edge_weights(g.layer("defect"), "fault_propagates", "fault")
     found = pairs.join(faults, (pairs["source"] == faults["from"]) & (pairs["target"] == faults["to"])).where(F.col("fault") > F.col("fragile_fault"))
     return _signal(found, "fragile_boundary", "source", "target", F.col("weight") * F.col("fault") * 10, F.format_string("coupling %.2f, fault propagation %.2f", "weight", "fault"))
 
@@ -96,7 +100,7 @@ def _gated_imports(g: Graph) -> DataFrame:
     """The first import of each unordered pair whose ends hardly change together, with what is known of its target."""
     kept = imports(g).where(~is_reexport_module(F.col("source")) & ~is_reexport_module(F.col("target")) & ~is_docs_example(F.col("source")) & ~is_docs_example(F.col("target")))
     first = kept.groupBy(*undirected("source", "target")).agg(F.min(F.struct("source", "target")).alias("e")).select("e.source", "e.target")
-    w = edge_weights(g.edges, "co_changes", "w")
+    w = edge_weights(g.layer("change"), "co_changes", "w")
     gated = first.join(w, (first["source"] == w["from"]) & (first["target"] == w["to"]), "left").select("source", "target", F.coalesce("w", F.lit(0.0)).alias("w"))
     gated = with_limits(gated, g).where(F.col("w") < F.col("over_engineering"))
     fan_in = imports(g).groupBy("target").agg(F.count("*").alias("importers"))
@@ -116,7 +120,7 @@ def over_engineering_pass_through(g: Graph) -> DataFrame:
     """A imports B imports C, A and C change together, B and C hardly do: of each A and B the first C."""
     rest = _gated_imports(g).where("not single").select("source", "target", "over_engineering", "pass_through_coupling")
     onward = imports(g).distinct().toDF("target", "c")
-    w = edge_weights(g.edges, "co_changes", "w")
+    w = edge_weights(g.layer("change"), "co_changes", "w")
     path = rest.join(onward, "target").where("c <> source")
     path = path.join(w.toDF("source", "c", "w_ac"), ["source", "c"]).where(F.col("w_ac") > F.col("pass_through_coupling"))
     path = path.join(w.toDF("target", "c", "w_bc"), ["target", "c"], "left").where(F.coalesce("w_bc", F.lit(0.0)) < F.col("over_engineering"))
@@ -130,7 +134,7 @@ def over_engineering(g: Graph) -> DataFrame:
 
 def stable_core(g: Graph) -> DataFrame:
     """Rarely changed, much used: frequency in the lowest, fan-in in the highest percentiles."""
-    metrics = node_metrics(g.nodes, g.edges)
+    metrics = node_metrics(g.nodes, g.layer("structural"))
     t = g.limits.select("stable_core_freq", "stable_core_fan_in").first()
     low = g.change.agg(percentile("change_freq", t["stable_core_freq"]).alias("low"))
     high = metrics.agg(percentile("fan_in", t["stable_core_fan_in"]).alias("high"))
@@ -155,13 +159,13 @@ def dependency_cycle(g: Graph, groups: DataFrame | None = None) -> DataFrame:
 
     groups = strong_components(g.edges) if groups is None else groups
     good = groups.groupBy("component").agg(F.count("*").alias("n"), F.min(is_source_file(F.col("id")) & ~is_generated_code(F.col("id"))).alias("ok"), F.min_by("id", "id").alias("node_a"), F.try_element_at(F.array_sort(F.collect_list("id")), F.lit(2)).alias("node_b")).where("n > 1 and ok")
-    inside = g.edges.where("layer = 'structural'").join(groups.toDF("source", "component"), "source").join(groups.toDF("target", "component_"), "target").where("component = component_").select("component").distinct()
+    inside = g.layer("structural").join(groups.toDF("source", "component"), "source").join(groups.toDF("target", "component_"), "target").where("component = component_").select("component").distinct()
     found = good.join(inside, "component", "left_semi")
     return _signal(found, "dependency_cycle", "node_a", "node_b", F.col("n") * 0.5, F.format_string("a cycle of %d nodes", "n"))
 
 
 def god_module(g: Graph) -> DataFrame:
-    known = with_limits(g.nodes.select("id", "complexity", "loc").join(node_metrics(g.nodes, g.edges).select("id", "cbo"), "id"), g)
+    known = with_limits(g.nodes.select("id", "complexity", "loc").join(node_metrics(g.nodes, g.layer("structural")).select("id", "cbo"), "id"), g)
     found = known.where((F.col("complexity") >= F.col("god_complexity")) & (F.col("loc") >= F.col("god_loc")) & (F.col("cbo") >= F.col("god_cbo")) & ~is_test_file(F.col("id")) & ~is_generated_code(F.col("id")))
     severity = F.col("complexity") / 50.0 * (F.col("loc") / 500.0) * (F.col("cbo") / 15.0)
     return _signal(found, "god_module", "id", None, severity, F.format_string("complexity %d, %d lines, depends on %d files", "complexity", "loc", "cbo"))
@@ -174,13 +178,13 @@ def breadths(edges: DataFrame) -> DataFrame:
 
 
 def shotgun_surgery(g: Graph) -> DataFrame:
-    found = with_limits(breadths(g.edges), g).where((F.col("breadth") >= F.col("shotgun_breadth")) & is_source_file(F.col("id")) & ~is_test_file(F.col("id")))
+    found = with_limits(breadths(g.layer("change")), g).where((F.col("breadth") >= F.col("shotgun_breadth")) & is_source_file(F.col("id")) & ~is_test_file(F.col("id")))
     return _signal(found, "shotgun_surgery", "id", None, F.col("breadth") / F.col("shotgun_breadth"), F.format_string("changes with %d files", "breadth"))
 
 
 def unstable_dependency(g: Graph) -> DataFrame:
     """Stable modules that import unstable ones; repeated imports repeat."""
-    i = node_metrics(g.nodes, g.edges).select("id", "instability")
+    i = node_metrics(g.nodes, g.layer("structural")).select("id", "instability")
     e = with_limits(imports(g).join(i.toDF("source", "ia"), "source").join(i.toDF("target", "ib"), "target"), g).withColumn("gap", F.col("ib") - F.col("ia"))
     a, b = F.col("source"), F.col("target")
     found = e.where((F.col("gap") >= F.col("unstable_gap")) & (F.col("ia") < F.col("unstable_from")) & (F.col("ib") > F.col("unstable_to")) & is_source_file(a) & is_source_file(b) & ~is_test_file(a) & ~is_reexport_module(a) & ~is_reexport_module(b))

@@ -76,13 +76,17 @@ def stats(nodes: DataFrame, edges: DataFrame, signals: DataFrame) -> DataFrame:
     return nodes.agg(F.count("*").alias("total_nodes")).join(e).join(signals.agg(F.count("*").alias("total_signals")))
 
 
-def common_prefix(paths: DataFrame, path: str = "file_path") -> DataFrame:
-    """One row: the longest folder that all paths are below.  Only the least and greatest path matter."""
-    ends = paths.agg(F.min(path).alias("a"), F.max(path).alias("b"))
+def common_prefix(paths: DataFrame, path: str = "file_path", by: str | None = None) -> DataFrame:
+    """One row, or one for each value of column by: the longest folder that all paths are below.
+
+    Only the least and greatest path matter.
+    """
+    groups = [by] if by else []
+    ends = paths.groupBy(*groups).agg(F.min(path).alias("a"), F.max(path).alias("b"))
     a, b = F.split("a", "/"), F.split("b", "/")
     most = F.least(F.size(a), F.size(b)) - 1
     same = F.filter(F.sequence(F.lit(0), F.greatest(most, F.lit(0))), lambda i: (i <= most) & (F.slice(a, F.lit(1), i) == F.slice(b, F.lit(1), i)))
-    return ends.select(F.coalesce(F.when(F.col("a").isNull(), "").otherwise(F.concat_ws("/", F.slice(a, F.lit(1), F.array_max(same)))), F.lit("")).alias("prefix"))
+    return ends.select(*groups, F.coalesce(F.when(F.col("a").isNull(), "").otherwise(F.concat_ws("/", F.slice(a, F.lit(1), F.array_max(same)))), F.lit("")).alias("prefix"))
 
 
 def viz_nodes(nodes: DataFrame, edges: DataFrame, change: DataFrame, defect: DataFrame) -> DataFrame:
@@ -98,15 +102,24 @@ RANKED = ("hotspot_score", "complexity", "churn_rate", "defect_density", "sum_co
 def percent_ranks(viz: DataFrame) -> DataFrame:
     """(id, a rank from 0 to 1 for each of five metrics): the share of nodes below.
 
-    Values are counted and their counts summed up, so that only distinct values meet in one task.
+    The five are ranked in one pass: values are counted by metric, and a metric's counts are summed up in blocks of
+    neighbouring values, whose own sums then shift them, so no task holds a metric's values.
     """
-    total = viz.agg((F.count("*") - 1).alias("_n"))
-    out = viz.select("id", *RANKED)
-    for c in RANKED:
-        below = viz.groupBy(c).count().withColumn("_b", F.coalesce(F.sum("count").over(W.orderBy(c).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select(c, "_b")
-        out = out.join(below, c).withColumn(f"{c}_rank", F.lit(0.0) + F.col("_b")).drop("_b")
-    one = out.join(F.broadcast(total))
-    return one.select("id", *[F.coalesce(F.try_divide(F.col(f"{c}_rank"), F.col("_n")), F.lit(0.0)).alias(f"{c}_rank") for c in RANKED])
+    total = viz.agg((F.count("*") - 1).alias("n"))
+    long = viz.select("id", F.posexplode(F.array(*[F.col(c).cast("double") for c in RANKED])).alias("m", "v"))
+    counted = long.groupBy("m", "v").count()
+    ends = counted.groupBy("m").agg(F.min("v").alias("low"), F.max("v").alias("high"))  # a row a metric
+    place = F.coalesce(F.try_divide(F.col("v") - F.col("low"), F.col("high") - F.col("low")), F.lit(0.0))
+    rows = counted.join(F.broadcast(ends), "m").select("m", "v", "count", F.floor(place * RANK_BLOCKS).alias("b"))
+    sums = rows.groupBy("m", "b").agg(F.sum("count").alias("s"))  # at most RANK_BLOCKS + 1 rows a metric
+    shift = sums.select("m", "b", F.coalesce(F.sum("s").over(W.partitionBy("m").orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("s"))
+    inside = F.coalesce(F.sum("count").over(W.partitionBy("m", "b").orderBy("v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    below = rows.withColumn("i", inside).join(F.broadcast(shift), ["m", "b"]).select("m", "v", (F.col("i") + F.col("s")).alias("below"))
+    ranked = long.join(below, ["m", "v"]).groupBy("id").agg(*[F.max(F.when(F.col("m") == i, F.col("below"))).alias(c) for i, c in enumerate(RANKED)])
+    return ranked.join(F.broadcast(total)).select("id", *[F.coalesce(F.try_divide(F.col(c), F.col("n")), F.lit(0.0)).alias(f"{c}_rank") for c in RANKED])
+
+
+RANK_BLOCKS = 1024
 
 
 def module_rollup(viz: DataFrame) -> DataFrame:

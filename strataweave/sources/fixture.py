@@ -6,7 +6,11 @@ path's shape depends on the brand's number, so that tests, docs, generated code
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+from collections.abc import Callable
+from functools import cached_property, reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -22,6 +26,7 @@ MARKS = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p99": 0.99, "p999":
 class Fixture:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir, self.settled = spark, sf_dir, False
+        self.kept: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -113,29 +118,70 @@ class Fixture:
     def structural(self) -> DataFrame:
         return self.imports().unionByName(self.contains())
 
-    def edges(self, mark: str = "p50") -> DataFrame:
-        out = self.structural().unionByName(change.co_change_edges(self.coupled(mark))).unionByName(defect.defect_edges(self.faults()))
-        return as_schema(out, EDGES)
+    def edges(self, *layers: str) -> DataFrame:
+        """The edges of the layers named, or of all."""
+        graph = self.graph()
+        return reduce(DataFrame.unionByName, [graph.layer(x) for x in layers or graph.layers])
 
     def settle(self) -> Fixture:
-        """Write the tables that several frames share, once, so that plans above them stay small."""
-        from ..session import cut
-
-        if not self.settled:
-            self.settled = True
-            for name in ("touches", "imports", "couplings", "marks", "faults", "coupled", "nodes", "change_metrics", "defect_metrics", "edges"):
-                self._keep(name, cut(getattr(self, name)()))
+        """From now on a table of SHARED is written when it is first asked for, so that plans above it stay small."""
+        self.settled = True
         return self
 
-    def _keep(self, name: str, frame: DataFrame) -> None:
-        make = getattr(self, name)
-        setattr(self, name, lambda *mark: make(*mark) if mark else frame)
-
-    def graph(self, **limits: Column) -> Graph:
-        """The graph with the engine's limits, but those given, which may use the couplings' marks, freq_p25, complexity_p25 and fault_p90."""
-        marks = self.marks()
-        known = marks.join(self.frequencies().agg(metrics.percentile("change_freq", 25).alias("freq_p25"))).join(self.modules().agg(metrics.percentile("complexity", 25).alias("complexity_p25"))).join(self.faults().agg(metrics.percentile("weight", 90).alias("fault_p90")))
-        base = limits_of(marks, Thresholds())
-        names = base.columns
-        row = base.join(known).withColumns(limits).select(*names)
-        return Graph(self.nodes(), self.edges(), self.change_metrics(), self.defect_metrics(), row)
+    def graph(self, **limits: str) -> Graph:
+        """The graph with the engine's limits, but those given: expressions of KNOWN's quantiles and the couplings' marks."""
+        return FixtureGraph(self, limits)
+
+
+#: Tables that several frames of one query share.
+SHARED = ("touches", "imports", "couplings", "marks", "faults", "coupled", "nodes", "change_metrics", "defect_metrics")
+#: Quantiles that a limit may use, beside MARKS.
+KNOWN = {
+    "freq_p25": lambda fx: fx.frequencies().agg(metrics.percentile("change_freq", 25).alias("freq_p25")),
+    "complexity_p25": lambda fx: fx.modules().agg(metrics.percentile("complexity", 25).alias("complexity_p25")),
+    "fault_p90": lambda fx: fx.faults().agg(metrics.percentile("weight", 90).alias("fault_p90")),
+}
+
+
+def _shared(name: str, make: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    from ..session import cut
+
+    def get(self: Fixture, *mark: str) -> DataFrame:
+        if mark or not self.settled:
+            return make(self, *mark)
+        if name not in self.kept:
+            self.kept[name] = cut(make(self))
+        return self.kept[name]
+
+    return get
+
+
+for _name in SHARED:
+    setattr(Fixture, _name, _shared(_name, getattr(Fixture, _name)))
+
+
+class FixtureGraph(Graph):
+    """A graph whose frames are made when a detector asks for them."""
+
+    def __init__(self, fx: Fixture, limits: dict[str, str]):
+        self.fx, self.given = fx, limits
+        self.layers = {"structural": fx.structural, "change": lambda: change.co_change_edges(fx.coupled()), "defect": lambda: defect.defect_edges(fx.faults())}
+
+    nodes = property(lambda self: self.fx.nodes())
+    edges = property(lambda self: self.fx.edges())
+    change = property(lambda self: self.fx.change_metrics())
+    defect = property(lambda self: self.fx.defect_metrics())
+
+    @cached_property
+    def limits(self) -> DataFrame:
+        used = {word for x in self.given.values() for word in re.findall(r"\w+", x)}
+        row = limits_of(self.fx.spark.range(1), Thresholds())
+        names = row.columns
+        if used & set(MARKS):
+            row = row.join(self.fx.marks())
+        for name in sorted(used & set(KNOWN)):
+            row = row.join(KNOWN[name](self.fx))
+        return row.withColumns({k: F.expr(x).cast("double") for k, x in self.given.items()}).select(*names)
+
+    def layer(self, name: str) -> DataFrame:
+        return as_schema(self.layers[name](), EDGES)
