@@ -15,6 +15,7 @@ from .operators import change, defect, graphops, metrics, ranges, signals, struc
 from .plans import export
 from .plans import queries as fixed
 from .session import cut
+from .sources import files
 from .sources.fixture import BUILD, Fixture
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -388,6 +389,41 @@ def path_predicates(fx: Fixture) -> DataFrame:
     return fx.modules().select("id", paths.is_test_file(p).alias("is_test"), paths.is_source_file(p).alias("is_source"), paths.is_docs_example(p).alias("is_docs"), paths.is_generated_code(p).alias("is_generated"), paths.is_reexport_module(p).alias("is_reexport"), paths.crate_prefix(p).alias("crate"))
 
 
+def _sources(fx: Fixture) -> DataFrame:
+    """schema.FILE_ANALYSIS of a source text for each module, in the language that its number says."""
+    n, i = F.col("n"), F.col("n").cast("string")
+    kinds = ("python", "typescript", "rust", "go", "vue")
+    text = {
+        "python": F.concat(F.lit("from .m"), i, F.lit(" import a\n\ndef f"), i, F.lit("(x):\n    if x and a:\n        return 1\n\nclass C"), i, F.lit(":\n    pass\n")),
+        "typescript": F.concat(F.lit("import a from './m"), i, F.lit("'\nconst r = /[\"'/]/g\nexport const f"), i, F.lit(" = (x) => x && r ? 1 : 2\nexport class C"), i, F.lit(" {\n  m() { return `a ${ `b` }` }\n}\n")),
+        "rust": F.concat(F.lit("use crate::m"), i, F.lit("::A;\npub fn f"), i, F.lit("(x: i32) -> i32 {\n    if x > 0 && true { 1 } else { 2 }\n}\nstruct C"), i, F.lit(" {}\n")),
+        "go": F.concat(F.lit('package p\nimport "example.com/m/m'), i, F.lit('"\nfunc f'), i, F.lit("(x int) int {\n\tif x > 0 && true {\n\t\treturn 1\n\t}\n\treturn 2\n}\ntype C"), i, F.lit(" struct {\n}\n")),
+        "vue": F.concat(F.lit("<template/>\n<script>\nimport a from '@/m"), i, F.lit("'\nfunction f"), i, F.lit("(x) { return x && a ? 1 : 2 }\nclass C"), i, F.lit(" { }\n</script>\n")),
+    }
+    kind = F.element_at(F.array(*[F.lit(k) for k in kinds]), (n % 5 + 1).cast("int"))
+    content = F.coalesce(*[F.when(kind == k, text[k]) for k in kinds])
+    return files.analyze(fx.modules().select(F.col("id").alias("path"), kind.alias("language"), content.cast("binary").alias("content")))
+
+
+PARSED = MODULES + """,
+src AS (SELECT id, n, ['python', 'typescript', 'rust', 'go', 'vue'][n % 5 + 1] AS language, [6, 6, 5, 10, 6][n % 5 + 1] AS loc, [3, 3, 2, 3, 4][n % 5 + 1] AS f_start,
+[5, 3, 4, 8, 4][n % 5 + 1] AS f_end, [3, 3, 3, 3, 3][n % 5 + 1] AS complexity, [7, 4, 5, 9, 5][n % 5 + 1] AS c_start, [8, 6, 5, 10, 5][n % 5 + 1] AS c_end FROM modules)"""
+
+
+@query("parsed_members", q(PARSED, "SELECT id, language, loc, 'function' AS kind, 'f' || n AS name, f_start AS line_start, f_end AS line_end, complexity FROM src UNION ALL SELECT id, language, loc, 'class', 'C' || n, c_start, c_end, 1 FROM src"))
+def parsed_members(fx: Fixture) -> DataFrame:
+    """The parsers, over a text of each module: declarations with their lines and complexity."""
+    parsed = _sources(fx)
+    of = lambda name, kind: parsed.select(F.col("file_path").alias("id"), "language", "loc", F.lit(kind).alias("kind"), F.inline(name))
+    return of("functions", "function").union(of("classes", "class"))
+
+
+@query("parsed_imports", q(PARSED, "SELECT id, CASE n % 5 WHEN 0 THEN REGEXP_EXTRACT(id, '^(.*)/[^/]*$', 1) || '/m' || n || '.py' WHEN 1 THEN 'm' || n WHEN 2 THEN 'src/m' || n || '/A.rs' WHEN 3 THEN 'm' || n ELSE 'src/m' || n END AS path FROM src UNION ALL SELECT id, REGEXP_EXTRACT(id, '^(.*)/[^/]*$', 1) || '/m' || n || '/a.py' FROM src WHERE n % 5 = 0"))
+def parsed_imports(fx: Fixture) -> DataFrame:
+    """The same texts' imports, resolved to paths."""
+    return files.resolved(_sources(fx), "example.com/m").select(F.col("file_path").alias("id"), F.explode("imports").alias("path"))
+
+
 RULES = "docs/\n!docs/promo.py\napp/**/small.py\nBrand#?/src/*.py\n"
 
 
@@ -490,5 +526,5 @@ def _exported(fx: Fixture, kind: str) -> DataFrame:
 
 query("export_dot")(lambda fx: _exported(fx, "dot"))
 query("export_mermaid")(lambda fx: _exported(fx, "mermaid"))
-query("export_viz_json")(lambda fx: export.viz_json(_viz(fx), fx.settle().edges(), _all(fx), fx.spark.createDataFrame([("time_window", "all")], "key string, value string")))
+query("export_viz_json")(lambda fx: export.viz_json(fixed.viz_nodes(fx.nodes(), fx.settle().structural(), fx.change_metrics(), fx.defect_metrics(), document=True), fx.settle().edges(), _all(fx), fx.spark.createDataFrame([("time_window", "all")], "key string, value string")))
 query("export_json")(lambda fx: export.summary_json(fixed.stats(fx.nodes(), fx.settle().edges(), _all(fx)), _all(fx), fixed.hotspots(fx.nodes(), fx.frequencies().withColumnRenamed("file", "node_id"), 100)))

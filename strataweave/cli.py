@@ -9,11 +9,14 @@ import sys
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .config import load_config
+from .operators.graphops import strong_components
 from .plans import export, queries
 from .plans.build import build
 from .plans.store import Store, described
+from .schema import PRIORITY
 from .session import local_session
 
 
@@ -51,7 +54,8 @@ class Reader:
     def __init__(self, spark: SparkSession, path: str):
         store = Store(spark, path)
         self.nodes, self.edges, self.change, self.defect, self.info = (store.table(t) for t in ("nodes", "edges", "change_metrics", "defect_metrics", "build_info"))
-        self.signals = described(store.table("signals")).select("signal_type", "node_a", "node_b", "severity", "description")
+        self.detailed = described(store.table("signals")).select("signal_type", "node_a", "node_b", "severity", "description", "details")
+        self.signals = self.detailed.drop("details")
 
     def hotspots(self, top: int) -> DataFrame:
         return queries.rank_hotspots(self.nodes, self.change, top)
@@ -71,7 +75,7 @@ class Reader:
         elif kind == "json":
             frame = export.summary_json(self.stats(), self.signals, top)
         else:
-            frame = export.viz_json(queries.viz_nodes(self.nodes, self.edges, self.change.drop("last_changed", "churn_lines"), self.defect.drop("fix_inducing_rate")), self.edges, self.signals, self.info)
+            frame = export.viz_json(queries.viz_nodes(self.nodes, self.edges, self.change, self.defect, document=True), self.edges, self.detailed, self.info)
         return frame.first()["text"]
 
 
@@ -80,6 +84,18 @@ def show(frame: DataFrame, kind: str) -> None:
         print(line if kind == "json" else "  ".join(f"{k}={v}" for k, v in json.loads(line).items()))
 
 
+def summary(reader: Reader) -> None:
+    """What a build has found: counts, cycles, and the five most severe signals."""
+    counts = reader.stats().first().asDict()
+    counts["cycles"] = strong_components(reader.edges).agg(F.countDistinct("component")).first()[0]
+    print("Build complete:")
+    for name in ("total_nodes", "structural_edges", "change_edges", "defect_edges", "cycles", "total_signals"):
+        print(f"  {name.replace('_', ' ')}: {counts[name]}")
+    for s in queries.signals_where(reader.signals).limit(5).collect():
+        target = s["node_a"] if s["node_b"] is None else f"{s['node_a']} <-> {s['node_b']}"
+        print(f"  [{PRIORITY[s['signal_type']].upper()}] {s['signal_type']}: {target}")
+
+
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
     """0; 1 for the impact of an unknown node; 2 for errors."""
     a = parser().parse_args(args)
@@ -91,8 +107,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
                 config = dataclasses.replace(config, build=dataclasses.replace(config.build, time_window=a.since))
             build(spark, a.repo_path, a.db, config)
             reader = Reader(spark, a.db)
-            show(reader.stats(), "text")
-            show(queries.signals_where(reader.signals).limit(5), "text")
+            summary(reader)
             return 0
         reader = Reader(spark, a.db)
         if a.command == "impact":

@@ -49,6 +49,7 @@ def ts_import(path: Column) -> Column:
     return F.when(path.startswith("."), F.regexp_replace(path, r"^(?:\./)+", ""))
 
 
-def vue_import(path: Column) -> Column:
-    """As ts_import, and @/ is src/."""
-    return F.when(path.startswith("@/"), F.concat(F.lit("src/"), F.substr(path, F.lit(3)))).otherwise(ts_import(path))
+def vue_import(path: Column, alias: bool = True) -> Column:
+    """As ts_import, and @/ is src/ where the tree has the alias; what isn't resolved stays as it is."""
+    inside = F.coalesce(ts_import(path), path)
+    return F.when(path.startswith("@/"), F.concat(F.lit("src/"), F.substr(path, F.lit(3)))).otherwise(inside) if alias else inside

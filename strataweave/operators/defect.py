@@ -15,7 +15,8 @@ FIX_WORDS = ("fix", "bug", "hotfix", "patch", "revert")
 
 
 def is_fix_message(message: Column) -> Column:
-    return F.lower(message).rlike("|".join(FIX_WORDS))
+    """One of the words, by itself or with a common ending, not inside another word such as prefix, debug or dispatch."""
+    return F.lower(message).rlike(r"\b(?:" + "|".join(FIX_WORDS) + r")(?:es|ed|s|ing)?\b")
 
 
 def defect_metrics(touches: DataFrame, fixes: DataFrame, loc: DataFrame) -> DataFrame:

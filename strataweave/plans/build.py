@@ -12,7 +12,7 @@ from ..config import Config
 from ..functions.ignore import IgnoreRules
 from ..operators import change, defect, graphops, signals, structural
 from ..schema import EDGES, NODES, as_schema
-from ..session import cut
+from ..session import cut, scratch
 from ..sources import files, gitlog
 from .store import Store, stored_signals
 
@@ -45,11 +45,13 @@ def build(spark: SparkSession, repo: str, store: str, config: Config, now=None)
     root = Path(repo).resolve()
     rules = IgnoreRules.load(root)
     module = files.go_module((root / "go.mod").read_text()) if (root / "go.mod").exists() else None
-    parsed = cut(files.resolved(files.analyze(files.walk(spark, str(root), rules)), module))
-    with tempfile.TemporaryDirectory() as folder:  # the driver's own copy of a log that the driver reads
-        log = f"{folder}/log.txt"
+    parsed = cut(files.resolved(files.analyze(files.walk(spark, str(root), rules)), module, files.has_alias(spark, str(root))))
+    with tempfile.TemporaryDirectory() as folder:  # git writes on the driver; executors read the shared folder
+        log, shared = f"{folder}/log.txt", scratch(spark, "log")
         gitlog.write_log(str(root), log)
-        touches, fixes = gitlog.read_log(spark, f"file://{log}")
+        where = spark._jvm.org.apache.hadoop.fs.Path(shared)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).copyFromLocalFile(spark._jvm.org.apache.hadoop.fs.Path(f"file://{log}"), where)
+        touches, fixes = gitlog.read_log(spark, shared)
         touches, fixes = cut(touches), cut(fixes)
     g = build_all(spark, parsed, touches, fixes, config, rules, now)
     found = cut(signals.detect_signals(g))

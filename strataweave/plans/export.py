@@ -1,8 +1,11 @@
-"""Exports: DOT, Mermaid and JSON texts, each a one-row frame built by ordered aggregation."""
+"""Exports: DOT, Mermaid and JSON texts, each a one-row frame built by ordered aggregation.
+
+Their words, colours and signs are fixed values of the formats.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.display import dot_style, heat_color, mermaid_arrow, mermaid_id
@@ -49,11 +52,34 @@ def _listed(df: DataFrame, name: str) -> DataFrame:
 
 
 def viz_json(viz: DataFrame, edges: DataFrame, signals: DataFrame, info: DataFrame) -> DataFrame:
-    """The viewer's document: meta, nodes, edges and signals.  A writer for larger graphs stores the frames instead."""
-    meta = info.agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("info")).join(viz.agg(F.count("*").alias("file_count"))).select(F.struct("info", "file_count").alias("meta"))
-    e = edges.select("source", "target", "layer", F.col("edge_type").alias("type"), "weight")
-    s = signals.select(F.col("signal_type").alias("type"), "node_a", "node_b", "severity", F.col("description").alias("detail"))
-    return meta.join(_listed(viz, "nodes")).join(_listed(e, "edges")).join(_listed(s, "signals")).select(F.to_json(F.struct("meta", "nodes", "edges", "signals")).alias("text"))
+    """The viewer's document: meta, nodes, edges and signals.  A writer for larger graphs stores the frames instead.
+
+    viz is of plans.queries.viz_nodes, best for a document; details that are JSON objects become objects.
+    """
+    told = info.agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("i"))
+    said = [F.coalesce(F.col("i")[key], F.lit("")).alias(name) for key, name in (("repo_path", "repo"), ("commit", "commit"), ("last_build", "built_at"), ("time_window", "time_window"))]
+    meta = told.join(viz.agg(F.count("*").alias("file_count"))).join(signals.agg(F.count("*").alias("signal_count"))).select(F.struct(*said, "file_count", "signal_count").alias("meta"))
+    e = edges.select("source", "target", "layer", F.col("edge_type").alias("type"), "weight", _object(edges, "metadata").alias("metadata"))
+    s = signals.select((-F.col("severity")).alias("k"), F.struct(F.col("signal_type").alias("type"), "node_a", "node_b", "severity", F.coalesce("description", F.lit("")).alias("detail"), _object(signals, "details").alias("evidence")).alias("s"))
+    listed = s.agg(F.transform(F.sort_array(F.collect_list(F.struct("k", F.to_json("s").alias("j")))), lambda x: x["j"]).alias("signals"))
+    parts = meta.join(_json_rows(viz, "nodes")).join(_json_rows(e, "edges")).join(listed)
+    lists = [F.concat(F.lit(f'"{x}":['), F.array_join(x, ","), F.lit("]")) for x in ("nodes", "edges", "signals")]
+    return parts.select(F.concat(F.lit('{"meta":'), F.to_json("meta"), *[x for one in lists for x in (F.lit(","), one)], F.lit("}")).alias("text"))
+
+
+def _object(df: DataFrame, name: str) -> Column:
+    """A column of JSON objects as maps; null where there is none."""
+    return F.from_json(F.col(name).cast("string"), "map<string,string>") if name in df.columns else F.lit(None).cast("map<string,string>")
+
+
+def _json_rows(df: DataFrame, name: str) -> DataFrame:
+    return df.agg(F.sort_array(F.collect_list(F.to_json(F.struct(*df.columns)))).alias(name))
+
+
+def load_document(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, signals) of viewer documents: JSON files with those lists."""
+    raw = spark.read.option("multiLine", "true").json(path)
+    return tuple(raw.select(F.inline(name)) for name in ("nodes", "edges", "signals"))
 
 
 def summary_json(stats: DataFrame, signals: DataFrame, hotspots: DataFrame) -> DataFrame:

@@ -89,11 +89,16 @@ def common_prefix(paths: DataFrame, path: str = "file_path", by: str | None = No
     return ends.select(*groups, F.coalesce(F.when(F.col("a").isNull(), "").otherwise(F.concat_ws("/", F.slice(a, F.lit(1), F.array_max(same)))), F.lit("")).alias("prefix"))
 
 
-def viz_nodes(nodes: DataFrame, edges: DataFrame, change: DataFrame, defect: DataFrame) -> DataFrame:
-    """Every node with its module, fans and metrics, 0 where there are none."""
+def viz_nodes(nodes: DataFrame, edges: DataFrame, change: DataFrame, defect: DataFrame, document: bool = False) -> DataFrame:
+    """Every node with its module, fans and metrics, 0 where there are none; for a document with what else is known of it."""
     out = nodes.join(change.withColumnRenamed("node_id", "id"), "id", "left").join(defect.withColumnRenamed("node_id", "id"), "id", "left").join(fans(edges), "id", "left").join(F.broadcast(common_prefix(nodes)))
     zero = {"loc": 0, "complexity": 0, "change_freq": 0, "churn_rate": 0.0, "hotspot_score": 0.0, "sum_coupling": 0.0, "bug_count": 0, "defect_density": 0.0, "fan_in": 0, "fan_out": 0}
-    return out.withColumn("module", derive_module(F.col("file_path"), F.col("prefix"))).select("id", "type", "module", *[F.coalesce(c, F.lit(v)).alias(c) for c, v in zero.items()])
+    more = []
+    if document:
+        zero |= {"nesting_depth": 0, "churn_lines": 0, "fix_inducing_rate": 0.0}
+        more = [F.col(c) if c in out.columns else F.lit(None).cast("string").alias(c) for c in ("file_path", "language", "last_changed")]
+    numbers = [(F.coalesce(c, F.lit(v)) if c in out.columns else F.lit(v)).alias(c) for c, v in zero.items()]
+    return out.withColumn("module", derive_module(F.col("file_path"), F.col("prefix"))).select("id", "type", "module", *more, *numbers)
 
 
 RANKED = ("hotspot_score", "complexity", "churn_rate", "defect_density", "sum_coupling")

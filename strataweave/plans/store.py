@@ -7,6 +7,7 @@ other.  Edges are partitioned by layer.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -16,6 +17,9 @@ from ..operators.signals import ordered
 from ..schema import TABLES, as_schema, empty
 
 
+KEYS = {"nodes": "id", "change_metrics": "node_id", "defect_metrics": "node_id", "build_info": "key"}
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -31,14 +35,24 @@ class Store:
         return as_schema(self.spark.read.parquet(f"{self.path}/{version}/{name}"), TABLES[name]) if version else empty(self.spark, TABLES[name])
 
     def write(self, **tables: DataFrame) -> None:
-        """A new build; tables not given are empty.  Of nodes and metrics with one key the last by their columns stays."""
+        """A new build; tables not given are empty.  Of rows with one key the last one written stays."""
+        self._store({name: (tables[name],) for name in tables})
+
+    def append(self, **tables: DataFrame) -> None:
+        """Add to the current build: rows with a key replace those that have it, edges and signals come beside those there."""
+        self._store({name: (self.table(name), *([tables[name]] if name in tables else [])) for name in TABLES})
+
+    def _store(self, tables: dict[str, tuple[DataFrame, ...]]) -> None:
+        """Of several frames of one table a later one's rows are written later."""
         version = uuid.uuid4().hex
         for name, schema in TABLES.items():
-            df = as_schema(tables[name], schema) if name in tables else empty(self.spark, schema)
-            key = {"nodes": "id", "change_metrics": "node_id", "defect_metrics": "node_id", "build_info": "key"}.get(name)
-            if key:
-                others = [c for c in df.columns if c != key]
-                df = df.groupBy(key).agg(F.max(F.struct(*others)).alias("r")).select(key, *[F.col(f"r.{c}").alias(c) for c in others])
+            frames = [as_schema(f, schema).withColumn("_at", F.struct(F.lit(i).alias("frame"), F.monotonically_increasing_id().alias("row"))) for i, f in enumerate(tables.get(name, ()))]
+            df = reduce(DataFrame.unionByName, frames) if frames else empty(self.spark, schema)
+            key = KEYS.get(name)
+            if key and frames:
+                others = [c for c in df.columns if c not in (key, "_at")]
+                df = df.groupBy(key).agg(F.max_by(F.struct(*others), "_at").alias("r")).select(key, *[F.col(f"r.{c}").alias(c) for c in others])
+            df = df.drop("_at")
             writer = df.write.partitionBy("layer") if name == "edges" else df.write
             writer.parquet(f"{self.path}/{version}/{name}")
         self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/CURRENT")

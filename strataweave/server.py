@@ -21,7 +21,7 @@ def answer(reader: Reader, url: str) -> tuple[int, object]:
     given = {k: v[0] for k, v in parse_qs(parts.query).items()}
     try:
         if parts.path == "/health":
-            return 200, {"status": "ok"}
+            return 200, {"status": "ok", **json.loads(reader.stats().toJSON().first())}
         if parts.path == "/tools":
             return 200, {"tools": TOOLS}
         if parts.path == "/impact":

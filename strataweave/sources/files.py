@@ -74,7 +74,19 @@ def analyze(files: DataFrame) -> DataFrame:
     return files.mapInPandas(run, FILE_ANALYSIS)
 
 
-def resolved(parsed: DataFrame, go_module: str | None = None) -> DataFrame:
+# Files at the root that tell of the alias @/.
+ALIAS_CONFIGS = ("vite.config.ts", "vite.config.js", "vue.config.js", "vue.config.ts")
+
+
+def has_alias(spark: SparkSession, root: str) -> bool:
+    """Whether a tree has the alias @/ for its src folder."""
+    jvm = spark._jvm
+    paths = [jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}") for name in ALIAS_CONFIGS]
+    fs = paths[0].getFileSystem(spark._jsc.hadoopConfiguration())
+    return any(fs.exists(p) for p in paths)
+
+
+def resolved(parsed: DataFrame, go_module: str | None = None, alias: bool = True) -> DataFrame:
     """parsed with its imports as paths, those that lead nowhere left out, and files with an error left out."""
     one = parsed.where("error is null").select("file_path", "language", F.posexplode("imports").alias("at", "i"))
     file, text, kind = F.col("file_path"), F.col("i"), F.col("language")
@@ -83,7 +95,7 @@ def resolved(parsed: DataFrame, go_module: str | None = None) -> DataFrame:
         F.when(kind == "python", F.array(resolve.python_import(text, file)))
         .when(kind == "rust", rust)
         .when(kind == "go", F.array(resolve.go_import(text, go_module)))
-        .when(kind == "vue", F.array(resolve.vue_import(text)))
+        .when(kind == "vue", F.array(resolve.vue_import(text, alias)))
         .otherwise(F.array(resolve.ts_import(text)))
     )
     each = one.select("file_path", "at", F.posexplode(F.array_compact(places)).alias("nth", "place"))

@@ -46,14 +46,56 @@ class Token(NamedTuple):
     after_newline: bool
 
 
-def tokens(source: str, rust: bool = False) -> list[Token]:
-    """Tokens without comments, with the depth of brackets that they are in (brackets: the depth outside)."""
+#: A regular expression between slashes, where a value may begin.
+REGEX = re.compile(r"/(?![*/])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[A-Za-z]*")
+#: Words after which a value begins, as it does after most marks.
+BEFORE_VALUE = frozenset("return typeof case in of do else void delete throw new instanceof yield await".split())
+
+
+def _template_end(source: str, at: int) -> int:
+    """Behind the template literal at `at`; what stands in ${} may hold templates and strings of its own."""
+    i, n = at + 1, len(source)
+    while i < n and source[i] != "`":
+        if source[i] == "\\":
+            i += 2
+        elif source.startswith("${", i):
+            i, depth = i + 2, 1
+            while i < n and depth:
+                if source[i] == "`":
+                    i = _template_end(source, i)
+                    continue
+                if source[i] in "'\"":
+                    string = re.compile(r"'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"").match(source, i)
+                    i = string.end() if string else i + 1
+                    continue
+                depth += (source[i] == "{") - (source[i] == "}")
+                i += 1
+        else:
+            i += 1
+    return min(i + 1, n)
+
+
+def _value_begins(out: list[Token]) -> bool:
+    last = out[-1].text if out else ""
+    return last in BEFORE_VALUE or not (last in (")", "]", "}") or re.match(r"[\w$'\"`]", last))
+
+
+def tokens(source: str, script: bool = False) -> list[Token]:
+    """Tokens without comments, with the depth of brackets that they are in (brackets: the depth outside).
+
+    A script has regular expressions and nested templates, of which each is one token.
+    """
     out, depth, line, at = [], 0, 1, 0
     fresh = True
-    for match in TOKEN.finditer(source):
-        line += source.count("\n", at, match.start())
-        fresh = fresh or "\n" in source[at : match.start()]
-        text, at = match[0], match.end()
+    while match := TOKEN.search(source, at):
+        begin, stop = match.span()
+        if script and source[begin] == "/" and match[0] == "/" and _value_begins(out) and (literal := REGEX.match(source, begin)):
+            stop = literal.end()
+        elif script and source[begin] == "`":
+            stop = _template_end(source, begin)
+        line += source.count("\n", at, begin)
+        fresh = fresh or "\n" in source[at:begin]
+        text, at = source[begin:stop], stop
         end = line + text.count("\n")
         if not text.startswith(("//", "/*")):
             if text in CLOSE:
@@ -132,17 +174,26 @@ def _arrow(t: list[Token], i: int) -> bool:
     return j < len(t) and t[j].text == "=>"
 
 
+#: Marks and words that join what is before them with what comes, over a new line too.
+GOES_ON = frozenset(". ?. => { } : ) ] ( [ , = + - * / % && || ?? ? | & ^ < > ! ~ instanceof in as satisfies extends".split())
+
+
 def _statement_end(t: list[Token], i: int) -> int:
-    """The last token of a statement at i that may end without a semicolon."""
+    """The last token of a statement at i: a semicolon, or what stands before a new line unless either side goes on."""
     for j in range(i + 1, len(t)):
-        if t[j].depth == t[i].depth and (t[j].text == ";" or t[j].after_newline and t[j - 1].text in ("}", ")", "]") and t[j].text not in (".", "?.", "=>", "{", ":", ")", ",")):
-            return j if t[j].text == ";" else j - 1
+        if t[j].depth != t[i].depth:
+            continue
+        if t[j].text == ";":
+            return j
+        twice = t[j - 1].text in ("+", "-") and t[j - 2].text == t[j - 1].text  # i++ ends a line
+        if t[j].after_newline and t[j].text not in GOES_ON and (twice or t[j - 1].text not in GOES_ON - {")", "]", "}"} and t[j - 1].text not in BEFORE_VALUE):
+            return j - 1
     return len(t) - 1
 
 
 def typescript(source: str, offset: int = 0) -> Found:
     """Functions, classes and constants that are functions, exported or not; imports of relative paths and of @/."""
-    t = tokens(source)
+    t = tokens(source, script=True)
     functions, classes, imports = [], [], []
     i = 0
     while i < len(t):

@@ -1,13 +1,16 @@
 """A symbol index: documents of symbols and occurrences to a graph of calls.
 
 documents is (relative_path, symbols array<struct<symbol,kind>>, occurrences array<struct<symbol,roles,range>>); read
-it from JSON or Parquet.  An occurrence with role bit 1 defines, the others refer; a reference's caller is the innermost
+it from JSON or Parquet, or with read_index from the indexers' own binary files.  An occurrence with role bit 1 defines, the others refer; a reference's caller is the innermost
 definition around it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ranges import innermost, normal_range
@@ -17,6 +20,94 @@ SCHEMA = "relative_path string, symbols array<struct<symbol:string,kind:string>>
 KINDS = {"Function": "function", "Method": "function", "Constructor": "function", "Class": "class", "Struct": "class", "Interface": "class", "Trait": "class", "Enum": "class"}
 #: A position is line * LINE + character.
 LINE = 1 << 20
+# Fixed values of the binary format: the numbers of those kinds.
+KIND_NUMBERS = {7: "Class", 9: "Constructor", 11: "Enum", 17: "Function", 21: "Interface", 26: "Method", 49: "Struct", 53: "Trait"}
+
+
+def _varint(data: bytes, at: int) -> tuple[int, int]:
+    value = shift = 0
+    while True:
+        value |= (data[at] & 127) << shift
+        at, shift = at + 1, shift + 7
+        if not data[at - 1] & 128:
+            return value, at
+
+
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of a message's fields: integers of wire type 0, bytes of type 2; those of fixed width are skipped."""
+    at = 0
+    while at < len(data):
+        tag, at = _varint(data, at)
+        kind = tag & 7
+        if kind == 0:
+            value, at = _varint(data, at)
+            yield tag >> 3, value
+        elif kind == 2:
+            n, at = _varint(data, at)
+            if at + n > len(data):
+                raise ValueError("the index is cut off")
+            yield tag >> 3, data[at : at + n]
+            at += n
+        elif kind in (1, 5):
+            at += 8 if kind == 1 else 4
+        else:
+            raise ValueError(f"not an index: wire type {kind}")
+
+
+def _numbers(value: int | bytes) -> list[int]:
+    """One number or a packed list."""
+    if isinstance(value, int):
+        return [value]
+    out, at = [], 0
+    while at < len(value):
+        n, at = _varint(value, at)
+        out.append(n)
+    return out
+
+
+def parse_index(data: bytes) -> Iterator[tuple[str, list[dict], list[dict]]]:
+    """A binary index's documents, as (relative_path, symbols, occurrences)."""
+    for number, document in _fields(data):
+        if number != 2:
+            continue
+        path, symbols, occurrences = "", [], []
+        for n, part in _fields(document):
+            if n == 1:
+                path = part.decode()
+            elif n == 2:
+                seen = {"symbol": "", "roles": 0, "range": []}
+                for k, v in _fields(part):
+                    if k == 1:
+                        seen["range"] += _numbers(v)
+                    elif k == 2:
+                        seen["symbol"] = v.decode()
+                    elif k == 3:
+                        seen["roles"] = v
+                occurrences.append(seen)
+            elif n == 3:
+                told = dict(_fields(part))
+                symbols.append({"symbol": told.get(1, b"").decode(), "kind": KIND_NUMBERS.get(told.get(5, 0))})
+        yield path, symbols, occurrences
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """The documents of binary indexes below path; a file is read by one task, a document at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                rows = []
+                for row in parse_index(bytes(content)):
+                    rows.append(row)
+                    if len(rows) == 256:
+                        yield pd.DataFrame(rows, columns=["relative_path", "symbols", "occurrences"])
+                        rows = []
+                yield pd.DataFrame(rows, columns=["relative_path", "symbols", "occurrences"])
+
+    from ..session import ship_package
+
+    ship_package(spark)
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, SCHEMA)
 
 
 def load(documents: DataFrame, strict: bool = True) -> tuple[DataFrame, DataFrame]:

@@ -4,8 +4,10 @@ import subprocess
 from strataweave.cli import Reader, main, parser
 from strataweave.config import Build, Config
 from strataweave.plans.build import build
+from strataweave.plans.export import load_document
+from strataweave.plans.store import Store
 from strataweave.server import answer
-from strataweave.sources import files, parsers, symbols
+from strataweave.sources import files, gitlog, parsers, symbols
 from strataweave.streaming.touches import read_touches, windowed_frequencies
 
 PY = "import os\nfrom .util import helper\nfrom pkg import sub\n\n@deco\ndef skipped():\n    pass\n\ndef f(a):\n    if a and os:\n        return 1\n    for x in a:\n        pass\n\nclass C:\n    def m(self):\n        return 1 if self else 2\n"
@@ -59,7 +61,7 @@ def test_build_store_cli_and_server(spark, tmp_path, capsys):
     freq = {r["node_id"]: r["change_freq"] for r in g.change.collect()}
     assert freq["main.py"] == 6 and freq["pkg/__init__.py"] == 1
     reader = Reader(spark, store)
-    assert answer(reader, "/health") == (200, {"status": "ok"}) and answer(reader, "/nope")[0] == 404
+    assert answer(reader, "/health")[1]["total_nodes"] == 7 and answer(reader, "/nope")[0] == 404
     status, hit = answer(reader, "/impact?target=main.py")
     assert status == 200 and hit["exists"] and {d["target"] for d in hit["dependencies"]} == {"utils.py", "pkg/__init__.py", "main.py::main"}
     assert answer(reader, "/signals?min_severity=0.1")[0] == 200 and answer(reader, "/impact")[0] == 500
@@ -71,10 +73,81 @@ def test_build_store_cli_and_server(spark, tmp_path, capsys):
         out = tmp_path / kind
         assert main(["export", "--format", kind, "--db", store, "--output", str(out)], spark) == 0
     assert (tmp_path / "dot").read_text().startswith("digraph") and (tmp_path / "mermaid").read_text().startswith("graph LR")
-    assert {"meta", "nodes", "edges", "signals"} <= set(json.loads((tmp_path / "viz-json").read_text()))
+    document = json.loads((tmp_path / "viz-json").read_text())
+    assert document["meta"]["file_count"] == len(document["nodes"]) == 7 and document["meta"]["repo"] == str(repo) and document["meta"]["signal_count"] == len(document["signals"])
+    node = next(n for n in document["nodes"] if n["id"] == "main.py")
+    assert node["language"] == "python" and node["churn_lines"] > 0 and node["file_path"] == "main.py" and {"nesting_depth", "last_changed", "fix_inducing_rate"} <= set(node)
+    n, e, s = load_document(spark, str(tmp_path / "viz-json"))
+    assert n.count() == 7 and e.count() == len(document["edges"]) and {r["id"] for r in n.collect()} >= {"main.py", "utils.py"}
+    Store(spark, store).append(nodes=spark.createDataFrame([("main.py", 99), ("new.py", 1)], "id string, loc int"), edges=reader.edges.limit(1))
+    after = Reader(spark, store)
+    assert {(r["id"], r["loc"]) for r in after.nodes.collect()} >= {("main.py", 99), ("new.py", 1)} and after.nodes.count() == 8
+    assert after.edges.count() == len(document["edges"]) + 1 and after.signals.count() == len(document["signals"])
     assert main(["stats", "--db", store], spark) == 0 and main(["signals", "--db", store, "--type", "ghost_coupling"], spark) == 0
 
 
+def test_scripts_without_semicolons():
+    def read(text):
+        found = parsers.typescript(text)
+        return [(m.name, m.line_start, m.line_end) for m in found.functions], [m.name for m in found.classes], found.imports
+
+    assert read("const f = (a) => a ? 1 : 2\nexport class C { m() { if (x) {} } }\n") == ([("f", 1, 1)], ["C"], [])
+    assert read("const re = /a[/]b/g\nexport function h() { return 1 }\n") == ([("h", 2, 2)], [], [])
+    assert read('const r = /["]/g;\nfunction a() { return "a"; }\nfunction b() {}\n') == ([("a", 2, 2), ("b", 3, 3)], [], [])
+    nested = "const s = `x ${ a ? `y ${b}` : '}' } z`\nfunction c() {}\nconst g = async () => {\n  return 4 / 2 / 1\n}\nlet k = 3\nexport const h = (x: number): string =>\n  x + 'b'\nimport { a } from './m'\n"
+    assert read(nested) == ([("c", 2, 2), ("g", 3, 5), ("h", 7, 8)], [], ["./m"])
+    chained = "let i = 0\ni++\nfunction z() {}\nconst t = a\n  .map(x => x)\n  .filter(Boolean)\nfunction y() {}"
+    assert read(chained) == ([("z", 3, 3), ("y", 7, 7)], [], [])
+    assert parsers.typescript("const f = (a) => a ? 1 : 2\nfunction g() { if (a) {} }").functions[0].complexity == 2
+
+
+def test_log_of_odd_names(spark, tmp_path):
+    repo = tmp_path / "repo"
+    repo.mkdir()
+    git = lambda *a: subprocess.run(["git", "-C", str(repo), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True)
+    git("init", "-q")
+    for i, message in enumerate(["prefix the debug dispatch", "Fixes: commit\tnothing", "revert it", "hotfixed"]):
+        for name in ("é.py", 'q"x.py', "a b.py"):
+            (repo / name).write_text(f"x = {i}\n")
+        git("add", "-A")
+        git("commit", "-q", "-m", message)
+    gitlog.write_log(str(repo), str(tmp_path / "log"))
+    touches, fixes = gitlog.read_log(spark, str(tmp_path / "log"))
+    assert {r["file"] for r in touches.collect()} == {"é.py", 'q"x.py', "a b.py"} and touches.count() == 12
+    assert {r["seq"] for r in touches.collect()} == {0, 1, 2, 3} and fixes.count() == 9
+
+
+def test_binary_index(spark, tmp_path):
+    def number(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    def part(k, value):
+        return number(k << 3) + number(value) if isinstance(value, int) else number(k << 3 | 2) + number(len(value)) + value
+
+    def seen(symbol, roles, place):
+        return part(2, part(1, b"".join(number(x) for x in place)) + part(2, symbol.encode()) + part(3, roles))
+
+    document = part(4, b"rust") + part(1, b"a.rs") + part(3, part(1, b"A") + part(5, 17) + part(6, b"shown")) + seen("A", 1, [0, 0, 300, 0]) + seen("B", 1, [2, 0, 4, 0]) + seen("A", 0, [3, 1, 5])
+    (tmp_path / "index.scip").write_bytes(part(1, b"\x08\x01") + part(2, document) + part(2, part(1, b"b.rs")))
+    read = symbols.read_index(spark, str(tmp_path / "index.scip"))
+    assert {r["relative_path"] for r in read.collect()} == {"a.rs", "b.rs"}
+    nodes, edges = symbols.load(read)
+    assert {(r["id"], r["type"]) for r in nodes.collect()} == {("A", "function"), ("B", "module")}
+    assert {(r["source"], r["target"]) for r in edges.collect()} == {("B", "A")}
+
+
+def test_alias_probe(spark, tmp_path):
+    parsed = spark.createDataFrame([("src/x.vue", "vue", ["@/a", "./b", "lib"], None)], "file_path string, language string, imports array<string>, error string")
+    assert not files.has_alias(spark, str(tmp_path))
+    (tmp_path / "vite.config.ts").write_text("")
+    assert files.has_alias(spark, str(tmp_path))
+    assert files.resolved(parsed).first()["imports"] == ["src/a", "b", "lib"]
+    assert files.resolved(parsed, alias=False).first()["imports"] == ["@/a", "b", "lib"]
+
+
 def test_cli_arguments():
     a = parser().parse_args(["build", "--repo-path", "x", "--since", "1 year ago"])
     assert (a.repo_path, a.since) == ("x", "1 year ago")
