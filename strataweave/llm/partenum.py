@@ -7,10 +7,12 @@ they differ in at most (|A| + |B|) / 7 elements.  The steps:
    the rest of the documents link with nothing.  Only this exact test sees all shingles, packed by hash range.
 2. Equal sets collapse into one.
 3. Sets fall into bands of sizes lo to 4/3 lo; linking sets are in the same band or in adjacent ones.  PartEnum hashes
-   the domain into n1 first-level parts of n2 second-level parts; sets of a band with at most k differences differ in
+   the domain into n1 first-level parts of n2 second-level parts (`partition`: for up to four differences one part of
+   k + 3, beyond them high / 6 parts of 4 of which 2 may differ); sets of a band with at most k differences differ in
    at most k2 second-level parts of some first-level part, so they agree on one subset of n2 - k2 of its parts.  Each
-   subset's content is a signature.  Empty subsets aren't signatures: a band takes the first of several partitionings
-   under which every one of its sets has so many filled parts that a filled subset must agree.
+   subset's content is a signature.  Empty subsets aren't signatures, so the guarantee needs first-level parts in which
+   one of the two sets has more than k2 filled ones.  A set with too few of these keeps all its signatures, by which it
+   meets those that have enough, and has its elements as signatures besides, by which such sets meet each other.
 4. Of its signatures a set keeps the rarest that suffice: the others are more than the guarantee needs.  So a passage
    that many documents share makes no candidates unless it is most of a document.
 5. Sets that share a signature are candidates, chained by the smallest set of the signature's.  Each chain is searched
@@ -23,6 +25,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import C1, components, cut, flat_bytes, input_bytes, mix, text_chunks, words
+from .common import C1, components, cut, flat_bytes, hot_join, input_bytes, mix, text_chunks, words
 
 N = 5
 #: Chains of at most so many sets and elements are searched in one task.
@@ -209,42 +212,47 @@ def bands(up_to: int) -> np.ndarray:
     return np.array(out)
 
 
-def choices(high: int) -> list[tuple[int, int, int]]:
-    """(n1, n2, k2) to try for a band whose largest size is high; (0, 1, 0) makes each element a part."""
-    k = 2 * high // 7
-    small = [(1, k + 3, k)] if 1 <= k <= 4 else []
-    return [*small, (high, 1, 0), (8 * high, 1, 0), (0, 1, 0)]
+def partition(high: int) -> tuple[int, int, int]:
+    """(n1, n2, k2) of a band whose largest size is high; its sets may differ in differences(high) elements."""
+    k = differences(high)
+    return (1, k + 3, k) if k <= 4 else (max(k // 3 + 2, high // 6), 4, 2)
 
 
-def signatures(elements: np.ndarray, band: int, high: int, choice: tuple[int, int, int]) -> tuple[np.ndarray, int]:
-    """A set's signatures in a band, and how many of them are more than the guarantee needs (-1: it doesn't hold)."""
-    n1, n2, k2 = choice
-    k = 2 * high // 7
+def differences(high: int) -> int:
+    return 2 * high // 7
+
+
+@lru_cache(maxsize=64)
+def _subsets(n2: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every choice of size second-level parts, and a salt for each."""
+    chosen = np.array(list(itertools.combinations(range(n2), size)))
+    return chosen, mix((np.arange(len(chosen), dtype=np.uint64) + np.uint64(3)) * C1)
+
+
+def signatures(elements: np.ndarray, band: int, high: int) -> tuple[np.ndarray, int]:
+    """A set's signatures in a band, and how many of them are more than the guarantee needs (below 0: it doesn't hold)."""
+    n1, n2, k2 = partition(high)
     salt = np.uint64((band + 1) * int(C1) & 0xFFFFFFFFFFFFFFFF)
-    if n1 == 0:
-        return mix(elements ^ salt), len(elements) - k - 1
-    first = (elements >> np.uint64(7)) % np.uint64(n1)
-    second = mix(elements + salt) % np.uint64(n2) if n2 > 1 else np.zeros(len(elements), np.uint64)
+    first, second = (elements >> np.uint64(7)) % np.uint64(n1), mix(elements + salt) % np.uint64(n2)
     cell = (first * np.uint64(n2) + second).astype(np.int64)
     order = np.argsort(cell, kind="stable")
     cell, value = cell[order], mix(elements[order] + salt)
     starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, np.int64)
-    content, cell = np.add.reduceat(value, starts) if len(starts) else value, cell[starts]
-    part = cell // n2
-    begin = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else part
-    filled = np.diff(np.append(begin, len(part)))
-    rich = int((filled > k2).sum())
-    spare = rich - k // (k2 + 1) - 1
-    if k2 == 0:
-        return mix(content ^ (part.astype(np.uint64) * C1 + salt)), spare
-    out = []
-    for i, n in zip(begin, filled, strict=True):
-        has = dict(zip((cell[i : i + n] % n2).tolist(), content[i : i + n].tolist(), strict=True))
-        for subset in itertools.combinations(range(n2), n2 - k2):
-            inside = [has[j] for j in subset if j in has]
-            if inside:
-                out.append((sum(inside) + hash(subset) * 0x9E3779B97F4A7C15 + int(part[i]) * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF)
-    return mix(np.array(out, np.uint64) ^ salt), spare
+    content, filled = np.zeros((n1, n2), np.uint64), np.zeros((n1, n2), bool)
+    content.ravel()[cell[starts]], filled.ravel()[cell[starts]] = np.add.reduceat(value, starts) if len(starts) else value, True
+    spare = int((filled.sum(axis=1) > k2).sum()) - differences(high) // (k2 + 1) - 1
+    chosen, salts = _subsets(n2, n2 - k2)
+    token = content[:, chosen].sum(axis=2, dtype=np.uint64) + salts + (np.arange(n1, dtype=np.uint64) * C1 + salt)[:, None]
+    return mix(token[filled[:, chosen].any(axis=2)]), spare
+
+
+def entries(elements: np.ndarray, band: int, high: int) -> Iterator[tuple[np.ndarray, int]]:
+    """A set's signatures in a band, each list with how many of it must be kept."""
+    token, spare = signatures(elements, band, high)
+    token = np.unique(token)
+    yield token, len(token) - max(spare, 0)
+    if spare < 0:
+        yield mix(elements ^ mix(np.full(1, band + 0x5EED, np.uint64))), min(differences(high) + 1, len(elements))
 
 
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, np.ndarray]]:
@@ -258,24 +266,7 @@ def _home(lows: np.ndarray, n: int) -> list[int]:
     return [b, b + 1]
 
 
-def _tests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(band, choice): the first choice that holds for each set, the worst of a task's."""
-    worst: dict[int, int] = {}
-    for _, elements in _each(batches):
-        lows = bands(2 * len(elements) + 2)
-        for b in _home(lows, len(elements)):
-            high = int(lows[b + 1]) - 1
-            tries = choices(high)
-            if 2 * high // 7 >= len(elements):
-                continue  # too small to link with this band's larger sets; with the smaller ones it is in its own band
-            i = worst.get(b, 0)
-            while i < len(tries) - 1 and signatures(elements, b, high, tries[i])[1] < 0:
-                i += 1
-            worst[b] = max(worst.get(b, 0), i)
-    yield pa.RecordBatch.from_arrays([pa.array(list(worst), pa.int32()), pa.array(list(worst.values()), pa.int32())], names=["band", "choice"])
-
-
-def _signing(chosen: dict[int, int], buckets: int):
+def _signing(buckets: int):
     """Of each chunk of sets: a row that names them, and a row for each bucket of signatures to be counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,12 +278,13 @@ def _signing(chosen: dict[int, int], buckets: int):
                 lows = bands(2 * len(elements) + 2)
                 for b in _home(lows, len(elements)):
                     high = int(lows[b + 1]) - 1
-                    if b in chosen and 2 * high // 7 < len(elements):
-                        token, spare = signatures(elements, b, high, choices(high)[chosen[b]])
-                        token = np.unique(token)
+                    # without a difference sets are equal; one too small for the band's larger sets has the smaller ones in its own
+                    if not 0 < differences(high) < len(elements):
+                        continue
+                    for token, needed in entries(elements, b, high):
                         key.append(int.from_bytes(s[:8], "little", signed=True))
                         total.append(len(token))
-                        keep.append(len(token) - max(spare, 0))
+                        keep.append(needed)
                         tokens.append(token)
             token = np.concatenate(tokens)
             row = np.repeat(np.arange(len(key), dtype=np.uint32), total)
@@ -349,9 +341,7 @@ def candidates(sets: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
 
     key is the first 8 bytes of a set's fingerprint.  Should two sets' be alike, they only become candidates.
     """
-    tested = sets.select("set", "elements").mapInArrow(_tests, "band int, choice int").groupBy("band").agg(F.max("choice").alias("choice"))
-    chosen = {r["band"]: r["choice"] for r in tested.collect()}  # a row for each power of 4/3 up to the largest set
-    asked = sets.select("set", "elements").mapInArrow(_signing(chosen, buckets), "bucket int, chunk long, known boolean, a binary, b binary")
+    asked = sets.select("set", "elements").mapInArrow(_signing(buckets), "bucket int, chunk long, known boolean, a binary, b binary")
     told = asked.groupBy("bucket").applyInArrow(_frequent, "chunk long, known boolean, payload binary")
     kept = cut(told.groupBy("chunk").applyInArrow(_keep, "token long, key long"))
     pivots = kept.groupBy("token").agg(F.min("key").alias("pivot"), F.count("*").alias("n")).where("n > 1")
@@ -512,9 +502,10 @@ def jaccard_join(docs: DataFrame, chain_sets: int = CHAIN_SETS, chain_elements:
     if not large.isEmpty():
         far = components(_across(kept, sets, cut(large))).select(F.col("node").alias("set"), F.col("component").alias("first"))
         found = found.union(far)
-    grouped = may.join(found, "set", "left").withColumn("first", F.coalesce("first", "set"))
+    times = may.groupBy("set").agg(F.count("*").alias("times"))
+    grouped = hot_join(may, times.join(found, "set", "left").select("set", F.coalesce("first", "set").alias("first"), "times"), "set", "times")
     grouped = cut(grouped.select("doc_id", "n_shingles", "first"))
-    names = grouped.groupBy("first").agg(F.min("doc_id").alias("component_id"))
-    linked = grouped.join(names, "first").select("doc_id", "n_shingles", "component_id")
+    names = grouped.groupBy("first").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("times"))
+    linked = hot_join(grouped, names, "first", "times").select("doc_id", "n_shingles", "component_id")
     alone = counted.where("not (n_shingles > 0 and 100 * n_shared >= 75 * n_shingles)").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.union(alone)

@@ -113,21 +113,48 @@ def test_jaccard_join_of_nothing(llm):
 
 
 def test_signatures_meet():
-    """Under every partitioning whose guarantee holds for a set, sets with at most k differences share a signature."""
+    """Sets with at most k differences share a signature that both keep, whichever of them the guarantee fails."""
     r = random.Random(5)
-    for n in (4, 8, 14, 40, 200):
+    failed = 0
+    for n in (4, 5, 6, 8, 14, 20, 40, 100, 200, 700):
         lows = partenum.bands(2 * n + 2)
         b = int(np.searchsorted(lows, n, side="right")) - 1
         high = int(lows[b + 1]) - 1
-        k = 2 * high // 7
-        for choice in partenum.choices(high):
-            for _ in range(30):
-                a = [r.randrange(1 << 63) for _ in range(n)]
-                c = a[k // 2 :] + [r.randrange(1 << 63) for _ in range(k - k // 2)]
-                sa, spare = partenum.signatures(np.array(a, np.uint64), b, high, choice)
-                sc, _ = partenum.signatures(np.array(c, np.uint64), b, high, choice)
-                if spare >= 0:
-                    assert len(set(sa.tolist()) & set(sc.tolist())) > spare
+        k = partenum.differences(high)
+        n1, n2, k2 = partenum.partition(high)
+        assert n2 > 1 and k2 > 0 or k == 0
+        for _ in range(60 if k else 0):
+            a = [r.randrange(1 << 63) for _ in range(n)]
+            c = a[k // 2 :] + [r.randrange(1 << 63) for _ in range(k - k // 2)]
+            sets = [np.array(x, np.uint64) for x in (a, c)]
+            (sa, spare), (sc, other) = (partenum.signatures(x, b, high) for x in sets)
+            both = set(sa.tolist()) & set(sc.tolist())
+            failed += spare < 0
+            if max(spare, other) >= 0:
+                assert len(both) > max(spare, other)
+            # the rarest of what they share is kept by both, for any frequencies
+            lists = [list(partenum.entries(x, b, high)) for x in sets]
+            weight = {}
+            kept = []
+            for one in lists:
+                mine = set()
+                for token, needed in one:
+                    order = sorted(token.tolist(), key=lambda t: (weight.setdefault(t, r.random()), t))
+                    mine |= set(order[:needed])
+                kept.append(mine)
+            assert kept[0] & kept[1]
+    assert failed  # the case is met
+
+
+def test_hot_join(llm, monkeypatch):
+    from strataweave.llm import common
+
+    rows = llm.createDataFrame([(i, "a" if i < 90 else str(i)) for i in range(120)], "doc_id long, k string")
+    named = rows.groupBy("k").agg(F.min("doc_id").alias("first"), F.count("*").alias("times"))
+    expected = sorted((i, "a" if i < 90 else str(i), 0 if i < 90 else i) for i in range(120))
+    for most in (7, 1000):
+        monkeypatch.setattr(common, "HOT_ROWS", most)
+        assert sorted(tuple(x) for x in common.hot_join(rows, named, "k", "times").select("doc_id", "k", "first").collect()) == expected
 
 
 def test_components(llm):
