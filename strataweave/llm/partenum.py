@@ -8,11 +8,11 @@ they differ in at most (|A| + |B|) / 7 elements.  The steps:
 2. Equal sets collapse into one.
 3. Sets fall into bands of sizes lo to 4/3 lo; linking sets are in the same band or in adjacent ones.  PartEnum hashes
    the domain into n1 first-level parts of n2 second-level parts (`partition`: for up to four differences one part of
-   k + 3, beyond them high / 6 parts of 4 of which 2 may differ); sets of a band with at most k differences differ in
+   k + 3, beyond them high / 3 parts of 3 of which 1 may differ); sets of a band with at most k differences differ in
    at most k2 second-level parts of some first-level part, so they agree on one subset of n2 - k2 of its parts.  Each
-   subset's content is a signature.  Empty subsets aren't signatures, so the guarantee needs first-level parts in which
-   one of the two sets has more than k2 filled ones.  A set with too few of these keeps all its signatures, by which it
-   meets those that have enough, and has its elements as signatures besides, by which such sets meet each other.
+   subset's content is a signature.  Empty subsets aren't signatures.  Two sets share all signatures but those that
+   differences cost, the first difference in a part most.  A set for which that may be all keeps all its signatures, by
+   which it meets those for which it isn't, and has its elements as signatures besides, by which such sets meet.
 4. Of its signatures a set keeps the rarest that suffice: the others are more than the guarantee needs.  So a passage
    that many documents share makes no candidates unless it is most of a document.
 5. Sets that share a signature are candidates, chained by the smallest set of the signature's.  Each chain is searched
@@ -215,7 +215,7 @@ def bands(up_to: int) -> np.ndarray:
 def partition(high: int) -> tuple[int, int, int]:
     """(n1, n2, k2) of a band whose largest size is high; its sets may differ in differences(high) elements."""
     k = differences(high)
-    return (1, k + 3, k) if k <= 4 else (max(k // 3 + 2, high // 6), 4, 2)
+    return (1, k + 3, k) if k <= 4 else (max(k // 2 + 2, high // 3), 3, 1)
 
 
 def differences(high: int) -> int:
@@ -240,10 +240,15 @@ def signatures(elements: np.ndarray, band: int, high: int) -> tuple[np.ndarray,
     starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, np.int64)
     content, filled = np.zeros((n1, n2), np.uint64), np.zeros((n1, n2), bool)
     content.ravel()[cell[starts]], filled.ravel()[cell[starts]] = np.add.reduceat(value, starts) if len(starts) else value, True
-    spare = int((filled.sum(axis=1) > k2).sum()) - differences(high) // (k2 + 1) - 1
     chosen, salts = _subsets(n2, n2 - k2)
     token = content[:, chosen].sum(axis=2, dtype=np.uint64) + salts + (np.arange(n1, dtype=np.uint64) * C1 + salt)[:, None]
-    return mix(token[filled[:, chosen].any(axis=2)]), spare
+    token = mix(token[filled[:, chosen].any(axis=2)])
+    # the d-th difference in a part costs the subsets that hold it and not those before it: the first cost most
+    many, left, lost = filled.sum(axis=1), differences(high), 0
+    for d in range(1, n2 + 1):
+        here = min(left, int((many >= d).sum()))
+        left, lost = left - here, lost + here * math.comb(n2 - d, n2 - k2 - 1)
+    return token, len(token) - lost - 1
 
 
 def entries(elements: np.ndarray, band: int, high: int) -> Iterator[tuple[np.ndarray, int]]:
