@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, BYTE_HASH, LAST_ID, cut, flat_bytes, input_bytes, mix, numbered, powers, text_chunks
+from .common import BASE, BYTE_HASH, LAST_ID, cut, edges_of, flat_bytes, hot_join, input_bytes, mix, numbered, powers, text_chunks
 
 WINDOW = 100
 ANCHOR = 48
@@ -44,6 +44,8 @@ BUCKET_BYTES = 4 << 20
 CHUNK = 1_500_000
 #: The same where hot anchors' windows stand one by one.
 STRING_CHUNK = 500_000
+#: Windows of a text that are worked on at a time; their places fit into _PLACE.
+STRETCH = 1 << 22
 _PLACE = (1 << 28) - 1
 
 
@@ -54,10 +56,22 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return powers(n), np.cumprod(inverse, dtype=np.uint64)
 
 
-def runs(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows and anchor hash of each run, in order; windows never cross rows."""
+def runs(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR, stretch: int = STRETCH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First window, number of windows and anchor hash of each run, in order; windows never cross rows.
+
+    Long texts are worked on in stretches of so many windows.  A run ends where a stretch does; its anchor then counts
+    twice, which only lets its windows be compared in vain.
+    """
     n = len(data)
     empty = np.zeros(0, np.int64)
+    if n > stretch + window:
+        parts = []
+        for a in range(0, n - window + 1, stretch):
+            b = min(a + stretch + window - 1, n)
+            first, many, h = runs(data[a:b], np.clip(offsets - a, 0, b - a), window, anchor, stretch)
+            parts.append((first + a, many, h))
+        first, many, h = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return first, many, h
     if n < window:
         return empty, empty, empty.astype(np.uint64)
     up, down = _powers(1 << max(21, (n + 1).bit_length()))
@@ -106,14 +120,14 @@ def _asking(buckets: int):
             order = np.argsort(bucket, kind="stable")
             rank = np.empty(len(order), np.uint32)
             rank[order] = np.arange(len(order), dtype=np.uint32)
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            present, edges = edges_of(bucket[order])
             low, count = (keys[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.minimum(count[order], 255).astype(np.uint8)
             rows = np.diff(np.searchsorted(start, offsets))
             head = np.concatenate([[len(offsets) - 1, len(start)], np.asarray(batch.column("doc_id")), np.asarray(batch.column("h")), np.asarray(batch.column("g")), rows]).astype(np.int64)
             chunk = _chunk(number)
-            out = ([chunk % buckets], [head.tobytes() + rank[place].tobytes()], [edges.astype(np.int64).tobytes()])
-            for b in np.flatnonzero(edges[1:] > edges[:-1]):
-                for column, value in zip(out, (int(b), low[edges[b] : edges[b + 1]].tobytes(), count[edges[b] : edges[b + 1]].tobytes()), strict=True):
+            out = ([chunk % buckets], [head.tobytes() + rank[place].tobytes()], [np.append(present, edges).tobytes()])
+            for b, x, y in zip(present.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                for column, value in zip(out, (b, low[x:y].tobytes(), count[x:y].tobytes()), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array([chunk] * len(out[0]), pa.int64()), pa.array([True] + [False] * (len(out[0]) - 1)), _binary(out[1]), _binary(out[2])], names=["bucket", "chunk", "known", "a", "b"])
 
@@ -145,11 +159,12 @@ def _flagged(group: pa.Table) -> pa.Table:
     n, k = np.frombuffer(a[me], np.int64, 2)
     ids, hashes, others, rows = np.frombuffer(a[me], np.int64, 4 * n, 16).reshape(4, n)
     place = np.frombuffer(a[me], np.uint32, k, 16 + 32 * n)
-    edges = np.frombuffer(b[me], np.int64)
+    present, edges = np.array_split(np.frombuffer(b[me], np.int64), [len(b[me]) // 16])
     state = np.zeros(int(edges[-1]), np.uint8)
+    at = np.searchsorted(present, bucket)
     for i, is_known in enumerate(known):
         if not is_known:
-            state[edges[bucket[i]] : edges[bucket[i] + 1]] = np.frombuffer(a[i], np.uint8)
+            state[edges[at[i]] : edges[at[i] + 1]] = np.frombuffer(a[i], np.uint8)
     mine = state[place]
     ends = np.cumsum(rows)
     out = [(i, x, y, mine[e - r : e].tobytes()) for i, x, y, e, r in zip(ids.tolist(), hashes.tolist(), others.tolist(), ends.tolist(), rows.tolist(), strict=True) if r and mine[e - r : e].any()]
@@ -256,6 +271,12 @@ def window_hashes(data: np.ndarray, begin: np.ndarray, window: int = WINDOW) ->
     """A hash of the window at each place."""
     if not len(begin):
         return np.zeros(0, np.uint64)
+    if len(data) > STRETCH + window:  # begin is ascending
+        parts = []
+        for a in range(0, len(data), STRETCH):
+            mine = begin[slice(*np.searchsorted(begin, [a, a + STRETCH]))]
+            parts.append(window_hashes(data[a : a + STRETCH + window - 1], mine - a, window))
+        return np.concatenate(parts)
     up, down = _powers(1 << max(21, (len(data) + 1).bit_length()))
     h = np.append(np.uint64(0), np.cumsum(BYTE_HASH[data] * up[: len(data)], dtype=np.uint64))
     return mix((h[begin + window] - h[begin]) * down[begin])
@@ -322,12 +343,12 @@ def _strings(buckets: int):
             bucket = ((keys[keep] >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             keep, bucket = keep[order], bucket[order]
-            edges = np.searchsorted(bucket, np.arange(buckets + 1))
+            present, edges = edges_of(bucket)
             out = ([_chunk(number) % buckets], [gone.astype(np.int64).tobytes()], [None])
-            for b in np.flatnonzero(edges[1:] > edges[:-1]):
-                k = keep[edges[b] : edges[b + 1]]
+            for b, x, y in zip(present.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                k = keep[x:y]
                 meta = np.stack([keys[k].view(np.int64), doc[k], text[k], at[k], windows[k]])
-                for column, value in zip(out, (int(b), meta.tobytes(), _gather(data, begin[k], size[k]).tobytes()), strict=True):
+                for column, value in zip(out, (b, meta.tobytes(), _gather(data, begin[k], size[k]).tobytes()), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), _binary(out[1]), _binary(out[2])], names=NAMES)
 
@@ -394,7 +415,7 @@ def repeated_windows(docs: DataFrame, hot: int = HOT, buckets: int | None = None
     firsts = flagged.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.count("*").alias("c"))
     # a text alone, or the first of equal ones
     lead = flagged.join(firsts.select(F.col("first").alias("doc_id"), "h", "g"), ["doc_id", "h", "g"], "left_semi").select("doc_id", "h", "flags")
-    copies = flagged.join(firsts.where("c > 1").select("h", "g", "first"), ["h", "g"]).where("doc_id <> first").select("doc_id", "h", F.lit(0).cast("long").alias("start"), F.lit(WHOLE).cast("long").alias("n"))
+    copies = hot_join(flagged.select("doc_id", "h", "g"), firsts.where("c > 1"), ["h", "g"], "c").where("doc_id <> first").select("doc_id", "h", F.lit(0).cast("long").alias("start"), F.lit(WHOLE).cast("long").alias("n"))
     strings = docs.select("doc_id", "text", "h").join(lead, ["doc_id", "h"]).select("doc_id", "h", "text", "flags").mapInArrow(_strings(buckets), "bucket int, meta binary, data binary")
     return strings.groupBy("bucket").applyInArrow(_merged, REMOVED).union(copies)
 

@@ -74,6 +74,12 @@ def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def edges_of(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that occur in an ascending list, and where each begins; the list's length comes last."""
+    present, begin = np.unique(bucket, return_index=True)
+    return present.astype(np.int64), np.append(begin, len(bucket)).astype(np.int64)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser; every output bit depends on every input bit."""
     h = h ^ (h >> np.uint64(31))
@@ -129,21 +135,22 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = LOWER_HASH)
 HOT_ROWS = 20_000
 
 
-def hot_join(rows: DataFrame, named: DataFrame, key: str, times: str) -> DataFrame:
+def hot_join(rows: DataFrame, named: DataFrame, key: str | list[str], times: str) -> DataFrame:
     """rows with named's columns but times: named has one row a key and how often rows has it.
 
     A key of more than HOT_ROWS rows is dealt to as many tasks as it takes.  Such keys are no more than the rows' number
     by HOT_ROWS, so what tells rows of them is small; rows themselves are never counted again.
     """
+    key = [key] if isinstance(key, str) else key
     parts = F.ceil(F.col(times) / HOT_ROWS).cast("int")
-    hot = cut(named.where(F.col(times) > HOT_ROWS).select(key, parts.alias("_parts")))
+    hot = cut(named.where(F.col(times) > HOT_ROWS).select(*key, parts.alias("_parts")))
     dealt = named.select(*[c for c in named.columns if c != times], F.explode(F.sequence(F.lit(0), parts - 1)).alias("_deal"))
     if hot.isEmpty():
         return rows.join(dealt, key).drop("_deal")
     small = hot.count() * 64 <= 32 << 20
     known = rows.join(F.broadcast(hot) if small else hot, key, "left")
     salted = known.withColumn("_deal", F.coalesce(F.pmod(F.xxhash64(*rows.columns), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
-    return salted.join(dealt, [key, "_deal"]).drop("_deal")
+    return salted.join(dealt, [*key, "_deal"]).drop("_deal")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import C1, components, cut, flat_bytes, hot_join, input_bytes, mix, text_chunks, words
+from .common import C1, components, cut, edges_of, flat_bytes, hot_join, input_bytes, mix, text_chunks, words
 
 N = 5
 #: Chains of at most so many sets and elements are searched in one task.
@@ -124,13 +124,13 @@ def _counting(buckets: int):
             order = np.argsort(tell_bucket, kind="stable")
             tell, tell_bucket = tell[order], tell_bucket[order].astype(np.int64)
             key, told = (h[ask] & np.uint64(0xFFFFFFFF)).astype(np.uint32), (tell & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            edges, told_edges = np.searchsorted(bucket, np.arange(buckets + 1)), np.searchsorted(tell_bucket, np.arange(buckets + 1))
+            present = np.union1d(bucket, tell_bucket)
+            edges, told_edges = (np.append(np.searchsorted(x, present), len(x)).tolist() for x in (bucket, tell_bucket))
             chunk = task + number
             out = ([chunk % buckets], [known], [b""], [b""])
-            for b in np.flatnonzero((edges[1:] > edges[:-1]) | (told_edges[1:] > told_edges[:-1])):
-                part = slice(edges[b], edges[b + 1])
-                lens = np.bincount(row[ask[part]], minlength=len(ids)).astype(np.uint16 if edges[b + 1] - edges[b] < 1 << 16 else np.uint32)
-                for column, value in zip(out, (int(b), lens.tobytes(), key[part].tobytes(), told[told_edges[b] : told_edges[b + 1]].tobytes()), strict=True):
+            for i, b in enumerate(present.tolist()):
+                part = slice(edges[i], edges[i + 1])
+                for column, value in zip(out, (b, _rows(row[ask[part]], len(ids)), key[part].tobytes(), told[told_edges[i] : told_edges[i + 1]].tobytes()), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array([chunk] * len(out[0]), pa.int64()), pa.array([True] + [False] * (len(out[0]) - 1)), _binary(out[1]), _binary(out[2]), _binary(out[3])], names=["bucket", "chunk", "known", "a", "b", "c"])
 
@@ -152,18 +152,28 @@ def _answer(group: pa.Table) -> pa.Table:
     payload = [a[i].as_py() if known[i] else b"" for i in range(len(known))]
     for i, key in zip(asks, keys, strict=True):
         raw = a[i].as_py()
-        yes = np.zeros(len(key), np.int64)
+        yes = np.zeros(len(key), bool)
         if len(twice):
-            yes[:] = twice[np.minimum(np.searchsorted(twice, key), len(twice) - 1)] == key
-        lens = _lens(raw, len(key))
+            yes = twice[np.minimum(np.searchsorted(twice, key), len(twice) - 1)] == key
+        if raw[-1:] == SPARSE:
+            payload[i] = np.frombuffer(raw, np.uint16, len(key))[yes].tobytes() + SPARSE
+            continue
+        lens = np.frombuffer(raw, np.uint32, len(raw) // 4).astype(np.int64)
         sums = np.append(0, np.cumsum(yes))
         ends = np.cumsum(lens)
-        payload[i] = (sums[ends] - sums[ends - lens]).astype(np.uint32).tobytes()
+        payload[i] = (sums[ends] - sums[ends - lens]).astype(np.uint32).tobytes() + DENSE
     return pa.table([chunk, group["known"], _binary(payload)], names=["chunk", "known", "payload"])
 
 
-def _lens(raw: bytes, total: int) -> np.ndarray:
-    return np.frombuffer(raw, np.uint16 if total < 1 << 16 else np.uint32).astype(np.int64)
+# Which of a chunk's documents hashes belong to: how many are each document's, or, if that is longer, each one's document.
+DENSE, SPARSE = b"\0", b"\1"
+
+
+def _rows(row: np.ndarray, n: int) -> bytes:
+    """row is ascending and below n, which is below 2 ** 16."""
+    if len(row) < 2 * n:
+        return row.astype(np.uint16).tobytes() + SPARSE
+    return np.bincount(row, minlength=n).astype(np.uint32).tobytes() + DENSE
 
 
 def _documents(group: pa.Table) -> pa.Table:
@@ -173,15 +183,17 @@ def _documents(group: pa.Table) -> pa.Table:
     n = len(fields) // 5
     ids, size, shared, prints = fields[:n], fields[n : 2 * n], fields[2 * n : 3 * n].copy(), fields[3 * n :].reshape(n, 2)
     for k, p in zip(known, payload, strict=True):
-        if not k:
-            shared += np.frombuffer(p, np.uint32)
+        if not k and p[-1:] == SPARSE:
+            shared += np.bincount(np.frombuffer(p, np.uint16, len(p) // 2), minlength=n)
+        elif not k:
+            shared += np.frombuffer(p, np.uint32, len(p) // 4)
     raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), n, [None, pa.py_buffer(np.ascontiguousarray(prints))]).cast(pa.binary())
     return pa.table([pa.array(ids, mask=ids == NO_ID), pa.array(size), pa.array(shared), raw], names=["doc_id", "n_shingles", "n_shared", "set"])
 
 
-def count_shingles(docs: DataFrame) -> DataFrame:
+def count_shingles(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """(doc_id, n_shingles, n_shared, set): n_shared, of the set's elements, are in another row too, or seem so by a 32-bit collision."""
-    buckets = max(64, math.ceil(input_bytes(docs) / BUCKET_BYTES))
+    buckets = buckets or max(64, math.ceil(input_bytes(docs) / BUCKET_BYTES))
     asked = docs.mapInArrow(_counting(buckets), "bucket int, chunk long, known boolean, a binary, b binary, c binary")
     told = asked.groupBy("bucket").applyInArrow(_answer, "chunk long, known boolean, payload binary")
     return told.groupBy("chunk").applyInArrow(_documents, "doc_id long, n_shingles long, n_shared long, set binary")
@@ -296,11 +308,11 @@ def _signing(buckets: int):
             bucket = ((token >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             bucket, row, low = bucket[order], row[order], (token[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            edges = np.searchsorted(bucket, np.arange(buckets + 1))
+            present, edges = edges_of(bucket)
             chunk = task + number
             out = ([chunk % buckets], [np.array([key, keep, total], np.int64).tobytes()], [b""])
-            for b in np.flatnonzero(edges[1:] > edges[:-1]):
-                for column, value in zip(out, (int(b), row[edges[b] : edges[b + 1]].tobytes(), low[edges[b] : edges[b + 1]].tobytes()), strict=True):
+            for b, x, y in zip(present.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                for column, value in zip(out, (b, row[x:y].tobytes(), low[x:y].tobytes()), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array([chunk] * len(out[0]), pa.int64()), pa.array([True] + [False] * (len(out[0]) - 1)), _binary(out[1]), _binary(out[2])], names=["bucket", "chunk", "known", "a", "b"])
 
