@@ -28,7 +28,6 @@ A block's bytes are the lanes' numbers of 16-bit words (2 bytes each), then the
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -454,8 +453,6 @@ _BYTE[[0x20, 0x0A]] = _GAP
 _BYTE[0x0A] |= _FEED
 
 
-#: A blank and letters: one piece of the pattern.
-_WORD = re.compile(rb" (?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 #: Byte-level characters: a printable byte is itself, the others follow from 256; a line feed stands between words here.
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _LETTERS = np.zeros(256, "<u4")
@@ -464,6 +461,33 @@ _LETTERS[[b for b in range(256) if b not in _SHOWN]] = np.arange(256, 256 + 256
 _LETTERS[0x0A] = 0x20
 
 
+def _each(column: pa.LargeBinaryArray) -> list[bytes]:
+    """The values of a column that holds no null, cut from its buffer."""
+    raw = column.buffers()
+    ends = np.frombuffer(raw[1], np.int64, len(column) + 1, 8 * column.offset).tolist()
+    data = raw[2].to_pybytes() if raw[2] is not None else b""
+    return [data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _piece_groups(data: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of pieces end to end: 0 for a blank and letters, 1 for others that begin with a blank and end with a character that
+    isn't white space, 2 for the rest."""
+    last = np.cumsum(size) - 1
+    first = last - size + 1
+    what = _BYTE[data]
+    # beyond ASCII, a letter is C3 and a byte from 80 on, but for the signs of multiplication and division
+    tail = (what & _TAIL != 0) & (data != 0x97) & (data != 0xB7)
+    tail[1:] &= data[:-1] == 0xC3
+    letter = (what & _LETTER != 0) | tail
+    letter[:-1] |= (data[:-1] == 0xC3) & tail[1:]
+    blank = data[first] == 0x20
+    letter[first] = blank
+    end, was = data[last], data[np.maximum(last - 1, 0)]
+    ends = (end > 0x20) & (end < 0x7F) | (what[last] & _TAIL != 0) & (was >= 0xC3) & (was < 0xE0)
+    word = np.logical_and.reduceat(letter, first) & (size > 1)
+    return np.where(word, 0, np.where(blank & (size > 1) & ends, 1, 2))
+
+
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     """One for each Python worker, with the pieces it has met."""
@@ -484,7 +508,8 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.bare = Tokenizer(self.tokenizer.model)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()  # its texts are byte-level words with blanks between
         # in a byte-level vocabulary a token has as many characters as bytes
@@ -500,12 +525,11 @@ class Encoder:
     def learn(self, fresh: list[bytes]) -> None:
         """Encode pieces: those of a blank and letters as the model's own words, others that begin with a blank in long
         texts, where one following another is a cut, and the rest one by one."""
-        groups: list[list[bytes]] = [[], [], []]
-        for k in fresh:
-            ends = k[0] == 32 and len(k) > 1 and (0x20 < k[-1] < 0x7F or (k[-1] & 0xC0 == 0x80 and 0xC3 <= k[-2] < 0xE0))
-            groups[0 if _WORD.fullmatch(k) else 1 if ends else 2].append(k)
-        words, plain, alone = groups
-        fresh = words + plain + alone
+        size = np.fromiter(map(len, fresh), np.int64, len(fresh))
+        group = _piece_groups(np.frombuffer(b"".join(fresh), np.uint8), size)
+        fresh = [fresh[i] for i in np.argsort(group, kind="stable").tolist()]
+        a, b = np.cumsum(np.bincount(group, minlength=3))[:2].tolist()
+        words, plain, alone = fresh[:a], fresh[a:b], fresh[b:]
         texts = [_LETTERS[np.frombuffer(b"\n".join(words[i : i + 256]), np.uint8)].tobytes().decode("utf-32-le") for i in range(0, len(words), 256)]
         found = self.bare.encode_batch_fast(texts, add_special_tokens=False)
         texts = [b"".join(plain[i : i + 256]).decode() for i in range(0, len(plain), 256)] + [k.decode() for k in alone]
@@ -535,7 +559,7 @@ class Encoder:
         begin[offsets[:-1][offsets[:-1] < n]] = True
         starts = np.flatnonzero(begin)
         pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, n).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
-        kinds = pieces.dictionary.to_pylist()
+        kinds = _each(pieces.dictionary)
         if len(self.known) > self.KEPT:
             self.forget()
         which = np.fromiter(map(self.known.get, kinds, repeat(-1)), np.int64, len(kinds))
