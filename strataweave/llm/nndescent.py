@@ -14,6 +14,7 @@ Traversal uses 8-bit coordinates; the pool's products are computed again in doub
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -157,8 +158,12 @@ def _top(edges: DataFrame, k: int) -> DataFrame:
     return one.withColumn("r", F.row_number().over(W.partitionBy("v").orderBy(F.desc("sim"), "u"))).where(F.col("r") <= k).drop("r")
 
 
-def build_graph(codes: DataFrame, count: int, dim: int, k: int = 32, sample: int = 40, most: int = 6, rounds: int = 6, rest: float = 0.03, seed: int = 1) -> DataFrame:
-    """(v, u, sim, new): about the k nearest nodes u of each v, by the products of codes."""
+def build_graph(codes: DataFrame, count: int, dim: int, k: int = 32, sample: int = 40, most: int = 6, rest: float = 0.03, seed: int = 1) -> DataFrame:
+    """(v, u, sim, new): about the k nearest nodes u of each v, by the products of codes.
+
+    Rounds go on until fewer than the share rest of all edges are new.  They end: edges only give way to nearer ones, and
+    a new edge stays new only while its node has more new neighbours than a sample holds.
+    """
     width, parts = dim + 1, int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     depth = max(0, math.ceil(math.log2(max(count, 1) / LEAF)))
     planes = np.random.RandomState(seed).standard_normal((TREES * max(depth, 1), width)).astype(np.float32)
@@ -177,9 +182,10 @@ def build_graph(codes: DataFrame, count: int, dim: int, k: int = 32, sample: int
     dealt = salted.repartition(parts, "tree", "leaf", "salt").sortWithinPartitions("tree", "leaf", "salt").select("tree", "leaf", "salt", "id", "code")
     found = dealt.mapInArrow(_leaf_edges(width, k // 2), EDGE).withColumn("new", F.lit(True))
     graph = cut(_top(found, k))
-    for i in range(rounds):
+    for i in itertools.count():
         both = graph.select(F.col("v").alias("c"), F.col("u").alias("w"), "new").union(graph.select("u", "v", "new"))
-        near = both.groupBy("c", "w").agg(F.min("new").alias("new"))
+        # new if the edge either way is: taken as old, one that is new on one side only would stay new for ever
+        near = both.groupBy("c", "w").agg(F.max("new").alias("new"))
         draw = W.partitionBy("c").orderBy(F.desc("new"), F.xxhash64("w", "c", F.lit(i)))
         near = near.withColumn("r", F.row_number().over(draw)).where(F.col("r") <= sample).drop("r")
         # a node with fewer than k neighbours takes any
@@ -191,9 +197,8 @@ def build_graph(codes: DataFrame, count: int, dim: int, k: int = 32, sample: int
         seen = near.where("new").select(F.col("c").alias("v"), F.col("w").alias("u"), F.lit(True).alias("done"))
         old = graph.join(seen, ["v", "u"], "left").select("v", "u", "sim", (F.col("new") & F.col("done").isNull()).alias("new"))
         graph = cut(_top(old.union(pairs.withColumn("new", F.lit(True))), k))
-        if graph.where("new").count() < rest * k * count:
-            break
-    return graph
+        if graph.where("new").count() <= rest * k * count:
+            return graph
 
 
 def _adjacency(graph: DataFrame, codes: DataFrame, degree: int, width: int) -> DataFrame:
@@ -258,8 +263,11 @@ def _pooled(size: int, width: int):
     return run
 
 
-def search(queries: DataFrame, graph: DataFrame, codes: DataFrame, dim: int, step: float, pool: int = 320, width: int = 40, hops: int = 20, degree: int = 64) -> DataFrame:
-    """(query_id, node): each query's pool.  queries has query_id, node (where it starts) and x."""
+def search(queries: DataFrame, graph: DataFrame, codes: DataFrame, dim: int, step: float, pool: int = 320, width: int = 40, degree: int = 64) -> DataFrame:
+    """(query_id, node): each query's pool.  queries has query_id, node (where it starts) and x.
+
+    Hops go on until every node in every pool has been expanded.  That ends, as a pool only takes better nodes.
+    """
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,7 +282,7 @@ def search(queries: DataFrame, graph: DataFrame, codes: DataFrame, dim: int, ste
     # read again from the shared folder if an executor's part is lost; the partitioning saves a shuffle each hop
     near = cut(_adjacency(graph, codes, degree, dim + 1)).repartition(parts, "node").persist(StorageLevel.MEMORY_AND_DISK)
     state = cut(queries.select("query_id", "node", "x").mapInArrow(start, POOL))
-    for _ in range(hops):
+    while True:
         sent = state.select("query_id", "qx", "floor", F.explode("frontier").alias("node"))
         met = sent.join(near.hint("merge"), "node").select("query_id", "qx", "floor", "ids", "codes").mapInArrow(_expand(dim, step), "query_id long, ids binary, scores binary")
         rows = state.select("query_id", "qx", "ids", "scores", "done").union(met.where("length(ids) > 0").select("query_id", F.lit(None).cast("binary"), "ids", "scores", F.lit(None).cast("binary")))
