@@ -102,6 +102,15 @@ def test_nearest(llm):
     assert [x["vec_id"] for x in by[2000]][:3] == [0, 2001, 2002]
 
 
+def test_rounds_converge(llm):
+    """No edge stays new because its other direction is old already."""
+    r = np.random.RandomState(5)
+    nodes = llm.createDataFrame([(i, r.standard_normal(16).tolist()) for i in range(500)], "id long, x array<double>")
+    codes, _ = nndescent._coded(nodes, 16)
+    graph = nndescent.build_graph(codes, 500, 16).collect()
+    assert len(graph) == 500 * 32 and sum(e["new"] for e in graph) <= 0.03 * len(graph)
+
+
 def test_nearest_of_few(llm):
     few = llm.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (20, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert [tuple(x)[:3] for x in nndescent.nearest(few).orderBy("query_id", "rank").collect()] == [(0, 1, 1), (0, 2, 20), (20, 1, 1), (20, 2, 0)]
