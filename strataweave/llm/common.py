@@ -44,6 +44,17 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return docs.toDF(*names.values()), names
 
 
+def free_names(docs: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, each with as many underscores behind it as docs needs to keep its own columns."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def input_bytes(df: DataFrame, column: str = "text") -> int:
     """About how many bytes the column holds: what Catalyst knows of the files, else a count."""
     size = int(str(df.select(column)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

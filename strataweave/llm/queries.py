@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blocks, bwt, hash_tree, kneser_ney, mixing, nndescent, ogg, partenum, range_coder, viterbi
+from . import blocks, bwt, byte_bpe, hash_tree, kneser_ney, mixing, nndescent, ogg, partenum, range_coder, ranked_search, spelling, viterbi
 from .common import prepare
 
 
@@ -86,6 +86,36 @@ def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.score(docs, kneser_ney.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_positional_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_sparse_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT ROW_NUMBER() OVER () AS r, doc_id, REGEXP_EXTRACT_ALL(TRANSLATE(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                          '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+s AS (SELECT CAST(COUNT(*) AS BIGINT) AS n_docs, CAST(SUM(LEN(terms)) AS BIGINT) AS n_terms FROM d WHERE LEN(terms) > 0),
+t AS (SELECT r, doc_id, n, term, COUNT(*) AS tf FROM (SELECT r, doc_id, CAST(LEN(terms) AS BIGINT) AS n, UNNEST(terms) AS term FROM d) GROUP BY ALL),
+f AS (SELECT term, COUNT(*) AS df FROM t GROUP BY term),
+i AS (SELECT item_id, q, term, COUNT(*) AS times FROM (SELECT item_id, text AS q, UNNEST(REGEXP_EXTRACT_ALL(TRANSLATE(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                          '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+p AS (SELECT i.item_id, i.q, t.r, t.doc_id, CAST(SUM(i.times * CAST(FLOOR(1000 * LN((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT)
+             * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * n_docs) // n_terms))))) AS BIGINT) AS score
+      FROM i JOIN f USING (term) JOIN t USING (term) CROSS JOIN s GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT item_id, doc_id, score, ROW_NUMBER() OVER (PARTITION BY item_id, q ORDER BY score DESC, doc_id) AS rank FROM p WHERE score > 0) WHERE rank <= 20
+"""
+
+
+def op13_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ogg": op1_ogg,
     "op2_partenum": op2_partenum,
@@ -97,5 +127,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_kneser_ney": op8_kneser_ney,
     "op9_range_coder": op9_range_coder,
     "op10_hash_tree": op10_hash_tree,
+    "op11_positional_grams": op11_positional_grams,
+    "op12_sparse_product": op12_sparse_product,
+    "op13_chunked_bpe": op13_chunked_bpe,
 }
-ORACLE_SQL: dict[str, str] = {"op3_mixing_sources": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_mixing_sources": OP3_SQL, "op12_sparse_product": OP12_SQL}
