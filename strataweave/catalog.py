@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .catalog_sql import ALL_CYCLES, CYCLES, GRAPH, LINES, MODULES, PAIRS, SEVERITY, SIGNAL_PARTS, crate, is_docs, is_generated, is_reexport, is_source, is_test, q
 from .functions import display, imports, paths
 from .functions.ignore import IgnoreRules
-from .operators import change, defect, graphops, metrics, ranges, signals, structural
+from .operators import change, components, defect, graphops, metrics, ranges, signals, spectral, stress, structural
 from .plans import export
 from .plans import queries as fixed
 from .session import cut
@@ -282,7 +282,7 @@ def _shotgun(fx: Fixture) -> DataFrame:
 
 def _cycle_groups(fx: Fixture) -> DataFrame:
     strong = change.co_change_edges(fx.coupled("p999")).select("source", "target")
-    return graphops.strong_components(fx.structural().select("source", "target").union(strong))
+    return components.strong_components(fx.structural().select("source", "target").union(strong))
 
 
 def _cycles(fx: Fixture) -> DataFrame:
@@ -334,7 +334,49 @@ query("impact")(lambda fx: fixed.impact(fx.nodes(), fx.settle().edges(), _all(fx
 @query("scc_members", q(GRAPH + "," + ALL_CYCLES, "SELECT id, component FROM scc"))
 def scc_members(fx: Fixture) -> DataFrame:
     """Over the edges of all layers; the cycle signal has its own, smaller graph."""
-    return graphops.strong_components(fx.settle().edges())
+    return components.strong_components(fx.settle().edges())
+
+
+@query(
+    "modularity_groups",
+    q(GRAPH, """, g AS (SELECT id, REGEXP_EXTRACT(file_path, '^([^/]*)', 1) AS grp FROM nodes), e AS (SELECT a.grp AS ga, b.grp AS gb, weight FROM edges JOIN g a ON a.id = source JOIN g b ON b.id = target),
+s AS (SELECT grp AS "group", SUM(inside) AS inside, SUM(weight) AS degree FROM (SELECT ga AS grp, weight, CASE WHEN ga = gb THEN weight / 2 ELSE 0.0 END AS inside FROM e UNION ALL SELECT gb, weight, CASE WHEN ga = gb THEN weight / 2 ELSE 0.0 END FROM e) GROUP BY grp)
+SELECT "group", ROUND(inside, 6) AS inside, ROUND(degree, 6) AS degree, ROUND(inside / m - POW(degree / (2 * m), 2), 6) AS q FROM s, (SELECT SUM(weight) AS m FROM edges)""").replace("\n,", ","),
+)
+def modularity_groups(fx: Fixture) -> DataFrame:
+    """How modular the division by top folders is, over the edges of all layers."""
+    groups = fx.nodes().select("id", F.regexp_extract("file_path", "^([^/]*)", 1).alias("group"))
+    return rounded(spectral.modularity(fx.settle().edges(), groups), "inside", "degree", "q")
+
+
+@query("eigenvector_centrality")
+def eigenvector_centrality(fx: Fixture) -> DataFrame:
+    """All nodes of the weighted graph by their entry of the dominant eigenvector."""
+    return rounded(spectral.eigenvector(fx.settle().edges(), 1e-7)[1], "x")
+
+
+STRESS_SQL = q(GRAPH + "," + SIGNAL_PARTS, """, sb AS (SELECT n.id, COALESCE(loc, 0) AS loc, COALESCE(complexity, 0) AS complexity, COALESCE(fan_in, 0) AS fan_in, COALESCE(fan_out, 0) AS fan_out, COALESCE(cbo, 0) AS cbo, COALESCE(churn_lines, 0) AS churn
+FROM nodes n LEFT JOIN nm ON nm.id = n.id LEFT JOIN cm ON cm.node_id = n.id),
+sp AS (SELECT id, complexity / mc * (cbo / mb) AS stiffness, CAST(GREATEST(fan_in + fan_out, 1) AS BIGINT) AS cross_section, churn / GREATEST(fan_in + fan_out, 1) AS stress, fan_out / mf AS tensile, loc / ml * (complexity / mc) * (cbo / mb) AS compressive
+FROM sb, (SELECT CAST(MAX(complexity) AS DOUBLE) AS mc, CAST(MAX(cbo) AS DOUBLE) AS mb, CAST(MAX(fan_out) AS DOUBLE) AS mf, CAST(MAX(loc) AS DOUBLE) AS ml FROM sb)),
+sv AS (SELECT *, SQRT(tensile * tensile + tensile * compressive + compressive * compressive) AS von_mises FROM sp), ss AS (SELECT *, CASE WHEN von_mises > 0 THEN 1.0 / von_mises END AS safety FROM sv)
+SELECT id, ROUND(stiffness, 6) AS stiffness, cross_section, ROUND(stress, 6) AS stress, ROUND(tensile, 6) AS tensile, ROUND(compressive, 6) AS compressive, ROUND(von_mises, 6) AS von_mises, ROUND(safety, 6) AS safety,
+CASE WHEN ROUND(safety, 9) < 1 THEN 'critical' WHEN ROUND(safety, 9) < 1.5 THEN 'danger' WHEN ROUND(safety, 9) < 2 THEN 'warning' WHEN ROUND(safety, 9) <= 3 THEN 'healthy' ELSE 'over_engineered' END AS zone FROM ss""").replace("\n,", ",")
+
+
+@query("material_stress", STRESS_SQL)
+def material_stress(fx: Fixture) -> DataFrame:
+    fx.settle()
+    parts = stress.material(fx.nodes(), metrics.node_metrics(fx.nodes(), fx.structural()), fx.change_metrics())
+    names = ("stiffness", "stress", "tensile", "compressive", "von_mises", "safety")
+    return rounded(parts.withColumn("zone", stress.zone(F.round("safety", 9))), *names).drop("yield_strength")
+
+
+@query("stress_field")
+def stress_field(fx: Fixture) -> DataFrame:
+    """Every module's own churn as its load, spread along all layers."""
+    loads = fx.change_metrics().select(F.col("node_id").alias("id"), F.col("churn_lines").alias("pressure"))
+    return rounded(stress.relax(loads, fx.settle().edges(), tolerance=1e-7)[0], "stress")
 
 
 def _around(depth: int) -> str:

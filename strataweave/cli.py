@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import load_config
-from .operators.graphops import strong_components
+from .operators.components import strong_components
 from .plans import export, queries
 from .plans.build import build
 from .plans.store import Store, described

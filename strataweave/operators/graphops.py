@@ -1,4 +1,4 @@
-"""Strong components, neighbourhoods, paths and spectra by joins.
+"""Neighbourhoods, paths and merged graphs by joins; strong components are in components, spectra in spectral.
 
 Rounds write to the shared folder, so plans stay short and a lost executor costs one round.
 """
@@ -11,78 +11,6 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
-#: Up to so many nodes on cycles, components come from the closure by doubling; beyond, from colours.
-CLOSURE_NODES = 2000
-
-
-def _trimmed(edges: DataFrame, rounds: int) -> DataFrame:
-    """Edges between nodes that have both a way in and a way out; most nodes on no cycle fall away in a few rounds."""
-    for _ in range(rounds):
-        keep = edges.select("source").distinct().intersect(edges.select("target").distinct()).toDF("n")
-        edges = cut(edges.join(keep.toDF("source"), "source", "left_semi").join(keep.toDF("target"), "target", "left_semi"))
-    return edges
-
-
-def strong_components(edges: DataFrame, closure_nodes: int = CLOSURE_NODES) -> DataFrame:
-    """(id, component) of nodes in strongly connected groups of two or more, over edges of all layers."""
-    now = _trimmed(cut(edges.where("source <> target").select("source", "target").distinct()), 3)
-    nodes = now.select("source").union(now.select("target")).distinct().count()
-    return _by_closure(now) if nodes <= closure_nodes else _by_colour(now)
-
-
-def _by_closure(edges: DataFrame) -> DataFrame:
-    """Pairs that reach each other; what is reached in 2n steps is what is reached in n from what is reached in n."""
-    reach, count = edges, -1
-    while count != (count := reach.count()):
-        longer = reach.toDF("source", "via").join(reach.toDF("via", "target"), "via").select("source", "target")
-        reach = cut(reach.union(longer).distinct())
-    there = reach.select(F.col("source").alias("a"), F.col("target").alias("b")).where("a <> b")
-    back = reach.select(F.col("target").alias("c"), F.col("source").alias("d"))
-    both = there.join(back, (F.col("a") == F.col("c")) & (F.col("b") == F.col("d")))
-    groups = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low")).select("id", F.least("id", "low").alias("component"))
-    return groups
-
-
-def _spread(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """(id, c): the largest label that reaches each node."""
-    state = start
-    while True:
-        gets = edges.join(state.toDF("source", "c"), "source").select(F.col("target").alias("id"), "c")
-        new = cut(state.union(gets).groupBy("id").agg(F.max("c").alias("c")))
-        changed = not new.exceptAll(state).isEmpty()
-        state = new
-        if not changed:
-            return state
-
-
-def _by_colour(edges: DataFrame) -> DataFrame:
-    """Each node takes the largest id that reaches it; the nodes of a colour that reach its namesake are one component."""
-    found = None
-    left = edges
-    while not left.isEmpty():
-        nodes = left.select(F.col("source").alias("id")).union(left.select("target")).distinct()
-        colour = cut(_spread(left, nodes.withColumn("c", F.col("id"))))
-        same = cut(left.join(colour.toDF("source", "cs"), "source").join(colour.toDF("target", "ct"), "target").where("cs = ct").select("source", "target"))
-        roots = colour.where("id = c")
-        # backwards from the roots, inside the colour
-        member = cut(_reached(same.select(F.col("target").alias("source"), F.col("source").alias("target")), roots.select("id")).join(colour, "id"))
-        found = member if found is None else cut(found.union(member))
-        left = _trimmed(cut(left.join(member.select(F.col("id").alias("source")), "source", "left_anti").join(member.select(F.col("id").alias("target")), "target", "left_anti")), 1)
-    if found is None:
-        return edges.select(F.col("source").alias("id"), F.col("target").alias("component")).limit(0)
-    names = found.groupBy("c").agg(F.min("id").alias("component"), F.count("*").alias("n")).where("n > 1")
-    return found.join(names, "c").select("id", "component")
-
-
-def _reached(edges: DataFrame, start: DataFrame) -> DataFrame:
-    seen, front = start, start
-    while True:
-        front = cut(edges.join(front.toDF("source"), "source").select(F.col("target").alias("id")).distinct().join(seen, "id", "left_anti"))
-        if front.isEmpty():
-            return seen
-        seen = cut(seen.union(front))
-
-
 def neighborhood(nodes: DataFrame, edges: DataFrame, center: str, depth: int, layers: tuple[str, ...] = ("structural", "change", "defect"), most: int = 50) -> tuple[DataFrame, DataFrame]:
     """Nodes (with their distance) and edges around a node, directions ignored.
 
@@ -123,22 +51,6 @@ def shortest_path(edges: DataFrame, a: str, b: str, longest: int = 10) -> DataFr
     return front.where(F.col("id") == b).select("path")
 
 
-def spectral_radius(edges: DataFrame, rounds: int = 20) -> float:
-    """Extension: the largest eigenvalue of the weighted undirected graph, by power iteration."""
-    ways = edges.select("source", "target", "weight").union(edges.select("target", "source", "weight")).groupBy("source", "target").agg(F.sum("weight").alias("weight"))
-    ways = cut(ways)
-    x = ways.select(F.col("source").alias("id")).distinct().withColumn("x", F.lit(1.0))
-    value = 0.0
-    for i in range(rounds):
-        y = ways.join(x.toDF("target", "x"), "target").groupBy(F.col("source").alias("id")).agg(F.sum(F.col("weight") * F.col("x")).alias("x"))
-        y = cut(y)
-        value = y.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0] or 0.0
-        if value == 0:
-            return 0.0
-        x = y.withColumn("x", F.col("x") / F.lit(value))
-    return value
-
-
 def roll_up(edges: DataFrame, group: DataFrame) -> DataFrame:
     """Extension: (source, target, layer, n, weight) between groups; group is (id, name), and edges inside one are left out."""
     named = edges.join(group.toDF("source", "a"), "source").join(group.toDF("target", "b"), "target").where("a <> b")

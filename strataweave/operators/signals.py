@@ -155,7 +155,7 @@ def ticking_bomb(g: Graph) -> DataFrame:
 
 def dependency_cycle(g: Graph, groups: DataFrame | None = None) -> DataFrame:
     """Strongly connected groups of source files with a structural edge inside; groups is (id, component), if known."""
-    from .graphops import strong_components
+    from .components import strong_components
 
     groups = strong_components(g.edges) if groups is None else groups
     good = groups.groupBy("component").agg(F.count("*").alias("n"), F.min(is_source_file(F.col("id")) & ~is_generated_code(F.col("id"))).alias("ok"), F.min_by("id", "id").alias("node_a"), F.try_element_at(F.array_sort(F.collect_list("id")), F.lit(2)).alias("node_b")).where("n > 1 and ok")
