@@ -355,13 +355,13 @@ def eigenvector_centrality(fx: Fixture) -> DataFrame:
     return rounded(spectral.eigenvector(fx.settle().edges(), 1e-7)[1], "x")
 
 
-STRESS_SQL = q(GRAPH + "," + SIGNAL_PARTS, """, sb AS (SELECT n.id, COALESCE(loc, 0) AS loc, COALESCE(complexity, 0) AS complexity, COALESCE(fan_in, 0) AS fan_in, COALESCE(fan_out, 0) AS fan_out, COALESCE(cbo, 0) AS cbo, COALESCE(churn_lines, 0) AS churn
+STRESS_SQL = q(GRAPH + "," + SIGNAL_PARTS, """, str_sb AS (SELECT n.id, COALESCE(loc, 0) AS loc, COALESCE(complexity, 0) AS complexity, COALESCE(fan_in, 0) AS fan_in, COALESCE(fan_out, 0) AS fan_out, COALESCE(cbo, 0) AS cbo, COALESCE(churn_lines, 0) AS churn
 FROM nodes n LEFT JOIN nm ON nm.id = n.id LEFT JOIN cm ON cm.node_id = n.id),
-sp AS (SELECT id, complexity / mc * (cbo / mb) AS stiffness, CAST(GREATEST(fan_in + fan_out, 1) AS BIGINT) AS cross_section, churn / GREATEST(fan_in + fan_out, 1) AS stress, fan_out / mf AS tensile, loc / ml * (complexity / mc) * (cbo / mb) AS compressive
-FROM sb, (SELECT CAST(MAX(complexity) AS DOUBLE) AS mc, CAST(MAX(cbo) AS DOUBLE) AS mb, CAST(MAX(fan_out) AS DOUBLE) AS mf, CAST(MAX(loc) AS DOUBLE) AS ml FROM sb)),
-sv AS (SELECT *, SQRT(tensile * tensile + tensile * compressive + compressive * compressive) AS von_mises FROM sp), ss AS (SELECT *, CASE WHEN von_mises > 0 THEN 1.0 / von_mises END AS safety FROM sv)
+str_sp AS (SELECT id, complexity / mc * (cbo / mb) AS stiffness, CAST(GREATEST(fan_in + fan_out, 1) AS BIGINT) AS cross_section, churn / GREATEST(fan_in + fan_out, 1) AS stress, fan_out / mf AS tensile, loc / ml * (complexity / mc) * (cbo / mb) AS compressive
+FROM str_sb, (SELECT CAST(MAX(complexity) AS DOUBLE) AS mc, CAST(MAX(cbo) AS DOUBLE) AS mb, CAST(MAX(fan_out) AS DOUBLE) AS mf, CAST(MAX(loc) AS DOUBLE) AS ml FROM str_sb)),
+str_sv AS (SELECT *, SQRT(tensile * tensile + tensile * compressive + compressive * compressive) AS von_mises FROM str_sp), str_ss AS (SELECT *, CASE WHEN von_mises > 0 THEN 1.0 / von_mises END AS safety FROM str_sv)
 SELECT id, ROUND(stiffness, 6) AS stiffness, cross_section, ROUND(stress, 6) AS stress, ROUND(tensile, 6) AS tensile, ROUND(compressive, 6) AS compressive, ROUND(von_mises, 6) AS von_mises, ROUND(safety, 6) AS safety,
-CASE WHEN ROUND(safety, 9) < 1 THEN 'critical' WHEN ROUND(safety, 9) < 1.5 THEN 'danger' WHEN ROUND(safety, 9) < 2 THEN 'warning' WHEN ROUND(safety, 9) <= 3 THEN 'healthy' ELSE 'over_engineered' END AS zone FROM ss""").replace("\n,", ",")
+CASE WHEN ROUND(safety, 9) < 1 THEN 'critical' WHEN ROUND(safety, 9) < 1.5 THEN 'danger' WHEN ROUND(safety, 9) < 2 THEN 'warning' WHEN ROUND(safety, 9) <= 3 THEN 'healthy' ELSE 'over_engineered' END AS zone FROM str_ss""").replace("\n,", ",")
 
 
 @query("material_stress", STRESS_SQL)

@@ -18,7 +18,7 @@ def write_log(repo: str, path: str) -> None:
         subprocess.run(["git", "-C", repo, *FORMAT], stdout=out, check=True)
 
 
-def _unquoted(path: Column) -> Column:
+def unquoted(path: Column) -> Column:
     """A path that git still quotes, for a quote, backslash or control character in it, as it is."""
     inner = F.substr(path, F.lit(2), F.length(path) - 2)
     plain = F.regexp_replace(F.replace(F.replace(inner, F.lit("\\t"), F.lit("\t")), F.lit("\\n"), F.lit("\n")), r"\\(.)", "$1")
@@ -41,5 +41,5 @@ def read_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     files = commits.select("commit_id", "ts", "message", F.explode("lines").alias("l")).where(F.col("l").rlike(r"^(?:\d+|-)\t(?:\d+|-)\t"))
     # binary files have - for both numbers
     count = lambda x: F.coalesce(x.try_cast("long"), F.lit(0))
-    touches = files.select("commit_id", "ts", "message", _unquoted(line[2]).alias("file"), (count(line[0]) + count(line[1])).alias("churn")).join(numbered, "commit_id")
+    touches = files.select("commit_id", "ts", "message", unquoted(line[2]).alias("file"), (count(line[0]) + count(line[1])).alias("churn")).join(numbered, "commit_id")
     return touches.select("commit_id", "seq", "ts", "file", "churn"), touches.where(is_fix_message(F.col("message"))).select("commit_id", "file")

@@ -1,8 +1,8 @@
 """What a source file declares and imports.
 
 Python is read by its own grammar (`ast`).  TypeScript, JavaScript, Rust and Go are read from tokens: declarations at
-the outermost level, bodies by their brackets, and decisions by the tokens that make them; that is exact for ordinary
-code and approximate where only a grammar could tell, such as optional markers and conditional types in TypeScript.
+the outermost level, bodies by their brackets, and decisions by the tokens that make them (JSX text and tags have none);
+that is exact for ordinary code and approximate where only a grammar could tell, such as conditional types in TypeScript.
 Results have declared imports as written; functions.imports resolves them to paths.
 """
 
@@ -12,9 +12,9 @@ import ast
 import re
 from typing import NamedTuple
 
-SCRIPT = re.compile(r"<script([^>]*)>(.*?)</script>", re.S | re.I)
-TOKEN = re.compile(r"//[^\n]*|/\*.*?\*/|r#*\"(?:.*?)\"#*|b?\"(?:[^\"\\]|\\.)*\"|`(?:[^`\\]|\\.)*`|'(?:[^'\\\n]|\\.)+'|'[A-Za-z_]\w*|[A-Za-z_$][\w$]*|\d[\w.]*|=>|&&|\|\||::|\?\.|\?\?|[^\w\s]", re.S)
+from .lexer import BEFORE_VALUE, CLOSE, Token, script_tokens, tokens
 
+SCRIPT = re.compile(r"<script([^>]*)>(.*?)</script>", re.S | re.I)
 # What counts as a decision, by language.
 PYTHON_DECISIONS = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.With, ast.AsyncWith, ast.Assert, ast.IfExp, ast.match_case)
 DECISIONS = {
@@ -22,8 +22,6 @@ DECISIONS = {
     "rust": frozenset(("if", "for", "while", "loop", "=>", "&&", "||", "?")),
     "go": frozenset(("if", "for", "case", "default", "&&", "||")),
 }
-OPEN, CLOSE = {"(": ")", "[": "]", "{": "}"}, frozenset(")]}")
-
 
 class Member(NamedTuple):
     name: str
@@ -38,76 +36,6 @@ class Found(NamedTuple):
     imports: list[str]
 
 
-class Token(NamedTuple):
-    text: str
-    line: int
-    end: int  # its last line
-    depth: int
-    after_newline: bool
-
-
-#: A regular expression between slashes, where a value may begin.
-REGEX = re.compile(r"/(?![*/])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[A-Za-z]*")
-#: Words after which a value begins, as it does after most marks.
-BEFORE_VALUE = frozenset("return typeof case in of do else void delete throw new instanceof yield await".split())
-
-
-def _template_end(source: str, at: int) -> int:
-    """Behind the template literal at `at`; what stands in ${} may hold templates and strings of its own."""
-    i, n = at + 1, len(source)
-    while i < n and source[i] != "`":
-        if source[i] == "\\":
-            i += 2
-        elif source.startswith("${", i):
-            i, depth = i + 2, 1
-            while i < n and depth:
-                if source[i] == "`":
-                    i = _template_end(source, i)
-                    continue
-                if source[i] in "'\"":
-                    string = re.compile(r"'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"").match(source, i)
-                    i = string.end() if string else i + 1
-                    continue
-                depth += (source[i] == "{") - (source[i] == "}")
-                i += 1
-        else:
-            i += 1
-    return min(i + 1, n)
-
-
-def _value_begins(out: list[Token]) -> bool:
-    last = out[-1].text if out else ""
-    return last in BEFORE_VALUE or not (last in (")", "]", "}") or re.match(r"[\w$'\"`]", last))
-
-
-def tokens(source: str, script: bool = False) -> list[Token]:
-    """Tokens without comments, with the depth of brackets that they are in (brackets: the depth outside).
-
-    A script has regular expressions and nested templates, of which each is one token.
-    """
-    out, depth, line, at = [], 0, 1, 0
-    fresh = True
-    while match := TOKEN.search(source, at):
-        begin, stop = match.span()
-        if script and source[begin] == "/" and match[0] == "/" and _value_begins(out) and (literal := REGEX.match(source, begin)):
-            stop = literal.end()
-        elif script and source[begin] == "`":
-            stop = _template_end(source, begin)
-        line += source.count("\n", at, begin)
-        fresh = fresh or "\n" in source[at:begin]
-        text, at = source[begin:stop], stop
-        end = line + text.count("\n")
-        if not text.startswith(("//", "/*")):
-            if text in CLOSE:
-                depth = max(depth - 1, 0)
-            out.append(Token(text, line, end, depth, fresh))
-            if text in OPEN:
-                depth += 1
-            fresh = False
-        line = end
-    return out
-
-
 def _closing(t: list[Token], i: int) -> int:
     """The place of the bracket that closes the one at i."""
     return next((j for j in range(i + 1, len(t)) if t[j].text in CLOSE and t[j].depth == t[i].depth), len(t) - 1)
@@ -132,7 +60,7 @@ def _complexity(t: list[Token], a: int, b: int, language: str) -> int:
     if language == "typescript":
         # a do's own while is no further decision; a ? before : , ) or = only marks what is optional
         n -= sum(x.text == "do" for x in part)
-        n += sum(x.text == "?" and y.text not in (":", ",", ")", "=", ";") for x, y in zip(part, part[1:], strict=False))
+        n += sum(x.text == "?" and y.text not in (":", ",", ")", "=", ";", "]", "}") for x, y in zip(part, part[1:], strict=False))
     return n
 
 
@@ -161,16 +89,38 @@ def python(source: str) -> Found:
     return Found(functions, classes, imports)
 
 
+def _type_arguments_end(t: list[Token], i: int) -> int:
+    """Behind the list of type arguments that < at i begins; i itself where it begins none."""
+    depth = 0
+    for j in range(i, len(t)):
+        if t[j].depth == t[i].depth:
+            depth += (t[j].text == "<") - (t[j].text == ">")
+            if depth == 0:
+                return j + 1
+            if t[j].text == ";":
+                return i
+    return i
+
+
 def _arrow(t: list[Token], i: int) -> bool:
-    """Whether a value at i is a function expression or an arrow function."""
+    """Whether a value at i is a function expression or an arrow function, generic or not."""
     i += t[i].text == "async" if i < len(t) else 0
+    if i < len(t) and t[i].text == "<":
+        i = _type_arguments_end(t, i)
     if i >= len(t):
         return False
     if t[i].text == "function":
         return True
-    j = _closing(t, i) + 1 if t[i].text == "(" else i + 1
-    while j < len(t) and t[j].text == ":" and t[i].text == "(":
-        j = next((k for k in range(j + 1, len(t)) if t[k].depth == t[i].depth and t[k].text in ("=>", ";", "{")), len(t))
+    if t[i].text != "(":
+        return i + 1 < len(t) and t[i + 1].text == "=>" and re.match(r"[A-Za-z_$]", t[i].text) is not None
+    j = _closing(t, i) + 1
+    if j < len(t) and t[j].text == ":":  # a type, up to the arrow; braces and arrows may be in it
+        k = j + 1
+        while k < len(t) and t[k].text not in ("=>", ";", "="):
+            if t[k].text == "{" and t[k - 1].text not in (":", "|", "&", "<", ","):
+                return False
+            k = _closing(t, k) + 1 if t[k].text in ("(", "[", "{") else k + 1
+        j = k
     return j < len(t) and t[j].text == "=>"
 
 
@@ -191,9 +141,12 @@ def _statement_end(t: list[Token], i: int) -> int:
     return len(t) - 1
 
 
-def typescript(source: str, offset: int = 0) -> Found:
-    """Functions, classes and constants that are functions, exported or not; imports of relative paths and of @/."""
-    t = tokens(source, script=True)
+def typescript(source: str, offset: int = 0, jsx: bool = True) -> Found:
+    """Functions, classes and constants that are functions, exported or not; imports of relative paths and of @/.
+
+    Without jsx a < where a value may begin is a type's, as in files that can't hold elements.
+    """
+    t = script_tokens(source, jsx)
     functions, classes, imports = [], [], []
     i = 0
     while i < len(t):
