@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import load_config
+from .operators import locate
 from .operators.components import strong_components
 from .plans import export, queries
 from .plans.build import build
@@ -43,7 +44,11 @@ def parser() -> argparse.ArgumentParser:
     command("stats", "counts of the graph")
     p = command("export", "the graph as a text", False)
     p.add_argument("--format", choices=("json", "dot", "mermaid", "viz-json"), required=True)
-    p.add_argument("--output")
+    p.add_argument("--output", help="a file, or with --parts a folder")
+    p.add_argument("--parts", type=int, help="write the text as so many files, in order")
+    p = command("locate", "the nodes that words lead to")
+    p.add_argument("intent")
+    p.add_argument("--top", type=int, default=10)
     command("serve", "answer over HTTP", False).add_argument("--port", type=int, default=3000)
     return top
 
@@ -66,17 +71,21 @@ class Reader:
     def impact(self, target: str) -> DataFrame:
         return queries.impact(self.nodes, self.edges, self.signals, self.change, target)
 
+    def locate(self, intent: str, top: int) -> DataFrame:
+        return locate.ranked(locate.index(self.nodes), self.edges, self.change, intent, top)
+
+    def lines(self, kind: str) -> DataFrame:
+        """The ordered lines of an export."""
+        if kind == "viz-json":
+            return export.viz_json_lines(queries.viz_nodes(self.nodes, self.edges, self.change, self.defect, document=True), self.edges, self.detailed, self.info)
+        if kind == "json":
+            raise ValueError("the summary is one text, without parts")
+        return {"dot": export.dot_lines, "mermaid": export.mermaid_lines}[kind](queries.hotspots(self.nodes, self.change, 50), self.signals)
+
     def export(self, kind: str) -> str:
-        top = queries.hotspots(self.nodes, self.change, 100 if kind == "json" else 50)
-        if kind == "dot":
-            frame = export.dot(top, self.signals)
-        elif kind == "mermaid":
-            frame = export.mermaid(top, self.signals)
-        elif kind == "json":
-            frame = export.summary_json(self.stats(), self.signals, top)
-        else:
-            frame = export.viz_json(queries.viz_nodes(self.nodes, self.edges, self.change, self.defect, document=True), self.edges, self.detailed, self.info)
-        return frame.first()["text"]
+        if kind == "json":
+            return export.summary_json(self.stats(), self.signals, queries.hotspots(self.nodes, self.change, 100)).first()["text"]
+        return export.as_text(self.lines(kind)).first()["text"]
 
 
 def show(frame: DataFrame, kind: str) -> None:
@@ -118,9 +127,16 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
             show(reader.hotspots(a.top), a.format)
         elif a.command == "signals":
             show(queries.signals_where(reader.signals, a.type, a.min_severity), a.format)
+        elif a.command == "locate":
+            show(reader.locate(a.intent, a.top), a.format)
         elif a.command == "stats":
             show(reader.stats(), a.format)
         elif a.command == "export":
+            if a.parts:
+                if not a.output:
+                    raise ValueError("--parts needs --output")
+                export.write_parts(reader.lines(a.format), a.output, a.parts)
+                return 0
             text = reader.export(a.format)
             Path(a.output).write_text(text) if a.output else print(text)
         else:

@@ -43,6 +43,45 @@ def search_nodes(nodes: DataFrame, text: str) -> DataFrame:
     return nodes.where(F.contains(F.lower("id"), F.lit(text.lower())))
 
 
+def get_node(nodes: DataFrame, node: str) -> DataFrame:
+    """The node of an id, or no row."""
+    return nodes.where(F.col("id") == node)
+
+
+def get_nodes(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The nodes of the ids in wanted (id), each once however often it is wanted; unknown ids have no row."""
+    return nodes.join(wanted.select("id").distinct(), "id", "left_semi")
+
+
+def node_ids(nodes: DataFrame) -> DataFrame:
+    return nodes.select("id").orderBy("id")
+
+
+def edges_between(edges: DataFrame, a: str, b: str, kind: str | None = None) -> DataFrame:
+    """Edges from a to b and, if there are none, from b to a."""
+    both = edges.where(((F.col("source") == a) & (F.col("target") == b)) | ((F.col("source") == b) & (F.col("target") == a)))
+    both = both if kind is None else both.where(F.col("edge_type") == kind)
+    ahead = both.agg(F.coalesce(F.max(F.col("source") == a), F.lit(False)).alias("_ahead"))  # one row
+    return both.join(F.broadcast(ahead)).where((F.col("source") == a) == F.col("_ahead")).drop("_ahead")
+
+
+def impact_rows(nodes: DataFrame, edges: DataFrame, signals: DataFrame, change: DataFrame, target: str) -> DataFrame:
+    """(kind, name, about, value): all of impact, a row for each thing told; none for an unknown node but what edges say."""
+    text = F.lit(None).cast("string")
+    number = lambda c: F.col(c).cast("double").alias("value")
+    said = [
+        get_node(nodes, target).select(F.lit("node").alias("kind"), F.col("id").alias("name"), F.col("type").alias("about"), F.lit(None).cast("double").alias("value")),
+        impact_structural(edges, target).select(F.lit("dependency"), "target", "edge_type", number("weight")),
+        impact_temporal(edges, target).select(F.lit("coupling"), "node", text, number("weight")),
+        impact_signals(signals, target).select(F.concat(F.lit("signal:"), "signal_type"), "node_a", "node_b", number("severity")),
+        *[change.where(F.col("node_id") == target).select(F.lit("metric"), F.lit(c), text, number(c)) for c in ("change_freq", "churn_lines", "hotspot_score", "sum_coupling")],
+    ]
+    out = said[0]
+    for more in said[1:]:
+        out = out.union(more)
+    return out
+
+
 def impact_structural(edges: DataFrame, target: str) -> DataFrame:
     return edges.where((F.col("source") == target) & (F.col("layer") == "structural")).select("target", "edge_type", "weight")
 

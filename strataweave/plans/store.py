@@ -1,7 +1,8 @@
 """A stored graph: a Parquet folder for each of six tables, replaced as a whole.
 
 A build writes a new version beside the old one and then names it in a small file, so readers see one build or the
-other.  Edges are partitioned by layer.
+other.  What is appended is a version of its own, with its tables alone, and the file then names both; of rows with one
+key the later version's counts.  After MAX_VERSIONS appends the tables are written together.  Edges are partitioned by layer.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from ..operators.signals import ordered
 from ..schema import TABLES, as_schema, empty
 
 
+#: Versions that a reader puts together before an append writes them as one.
+MAX_VERSIONS = 16
 KEYS = {"nodes": "id", "change_metrics": "node_id", "defect_metrics": "node_id", "build_info": "key"}
 
 
@@ -24,38 +27,66 @@ class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _version(self) -> str | None:
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT")
-        fs = fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return self.spark.read.text(f"{self.path}/CURRENT").first()[0] if fs.exists(fs_path) else None
+    def _exists(self, path: str) -> bool:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
+
+    def versions(self) -> list[str]:
+        """The versions that make up the current build, oldest first."""
+        if not self._exists(f"{self.path}/CURRENT"):
+            return []
+        return [v for (line,) in self.spark.read.text(f"{self.path}/CURRENT").collect() for v in line.split()]  # one short line
 
     def table(self, name: str) -> DataFrame:
         """A table of the current build; without one, an empty table."""
-        version = self._version()
-        return as_schema(self.spark.read.parquet(f"{self.path}/{version}/{name}"), TABLES[name]) if version else empty(self.spark, TABLES[name])
+        schema = TABLES[name]
+        paths = [p for v in self.versions() if self._exists(p := f"{self.path}/{v}/{name}")]
+        if not paths:
+            return empty(self.spark, schema)
+        return self._latest(name, [as_schema(self.spark.read.parquet(p), schema) for p in paths])
+
+    def _latest(self, name: str, frames: list[DataFrame]) -> DataFrame:
+        """Frames put together; of rows with one key those of the last frame, and there the last row."""
+        key = KEYS.get(name)
+        if not key or len(frames) == 1:
+            return reduce(DataFrame.unionByName, frames)
+        placed = reduce(DataFrame.unionByName, [f.withColumn("_at", F.lit(i)) for i, f in enumerate(frames)])
+        return self._last(placed, key)
+
+    def _last(self, placed: DataFrame, key: str) -> DataFrame:
+        others = [c for c in placed.columns if c not in (key, "_at")]
+        return placed.groupBy(key).agg(F.max_by(F.struct(*others), "_at").alias("r")).select(key, *[F.col(f"r.{c}").alias(c) for c in others])
 
     def write(self, **tables: DataFrame) -> None:
         """A new build; tables not given are empty.  Of rows with one key the last one written stays."""
-        self._store({name: (tables[name],) for name in tables})
+        self._name([self._version({name: tables.get(name, empty(self.spark, TABLES[name])) for name in TABLES})])
 
     def append(self, **tables: DataFrame) -> None:
-        """Add to the current build: rows with a key replace those that have it, edges and signals come beside those there."""
-        self._store({name: (self.table(name), *([tables[name]] if name in tables else [])) for name in TABLES})
+        """Add to the current build: rows with a key replace those that have it, edges and signals come beside those there.
+
+        Only the tables given are written, and only their rows.
+        """
+        versions = [*self.versions(), self._version(tables)]
+        self._name(versions)
+        if len(versions) > MAX_VERSIONS:
+            self.compact()
 
-    def _store(self, tables: dict[str, tuple[DataFrame, ...]]) -> None:
-        """Of several frames of one table a later one's rows are written later."""
+    def compact(self) -> None:
+        """The current build as one version."""
+        self._name([self._version({name: self.table(name) for name in TABLES})])
+
+    def _version(self, tables: dict[str, DataFrame]) -> str:
         version = uuid.uuid4().hex
-        for name, schema in TABLES.items():
-            frames = [as_schema(f, schema).withColumn("_at", F.struct(F.lit(i).alias("frame"), F.monotonically_increasing_id().alias("row"))) for i, f in enumerate(tables.get(name, ()))]
-            df = reduce(DataFrame.unionByName, frames) if frames else empty(self.spark, schema)
-            key = KEYS.get(name)
-            if key and frames:
-                others = [c for c in df.columns if c not in (key, "_at")]
-                df = df.groupBy(key).agg(F.max_by(F.struct(*others), "_at").alias("r")).select(key, *[F.col(f"r.{c}").alias(c) for c in others])
-            df = df.drop("_at")
+        for name, df in tables.items():
+            df = as_schema(df, TABLES[name])
+            if name in KEYS:
+                df = self._last(df.withColumn("_at", F.monotonically_increasing_id()), KEYS[name])
             writer = df.write.partitionBy("layer") if name == "edges" else df.write
             writer.parquet(f"{self.path}/{version}/{name}")
-        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/CURRENT")
+        return version
+
+    def _name(self, versions: list[str]) -> None:
+        self.spark.createDataFrame([(" ".join(versions),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/CURRENT")
 
     def clear(self) -> None:
         self.write()

@@ -2,54 +2,81 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import imports as resolve
 from ..functions.ignore import IgnoreRules
-from ..functions.paths import LANGUAGE_OF, language
+from ..functions.paths import language
 from ..schema import FILE_ANALYSIS
-from ..session import ship_package
-from .parsers import PARSERS
+from ..session import cut, ship_package
+from .parsers import PARSERS, typescript
 
 # Folders that aren't entered.
 SKIPPED = ("node_modules", "__pycache__", "target", "dist", "build")
+#: Folders that a task lists.
+FOLDERS = 32
+
+
+def _file_system(root: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path there."""
+    return fs.FileSystem.from_uri(root if "://" in root else os.path.abspath(root.removeprefix("file:")))
+
+
+def _listed(folders: DataFrame, root: str) -> DataFrame:
+    """(path, folder) of what is in each folder of (path), by tasks; links are neither entered nor read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _ = _file_system(root)
+        local = isinstance(system, fs.LocalFileSystem)
+        for batch in batches:
+            for folder in batch.column("path").to_pylist():
+                found = [x for x in system.get_file_info(fs.FileSelector(folder)) if x.type in (fs.FileType.Directory, fs.FileType.File) and not (local and os.path.islink(x.path))]
+                yield pa.RecordBatch.from_arrays([pa.array([x.path for x in found], pa.string()), pa.array([x.type == fs.FileType.Directory for x in found], pa.bool_())], names=["path", "folder"])
+
+    return folders.mapInArrow(run, "path string, folder boolean")
 
 
 def walk(spark: SparkSession, root: str, rules: IgnoreRules | None = None) -> DataFrame:
     """(path, language, content) of the supported files below root, paths relative to it.
 
-    Names are filtered before contents are read: binaryFile reads a content only where the column is used.
+    Folders are listed level by level: those of a level are dealt to tasks, and the ones found there that may be entered
+    are the next level's, so hidden folders and those of SKIPPED are never looked into.  Names that begin with an
+    underscore are files like others.  Contents are read in tasks, where the column is used.
     """
     rules = rules or IgnoreRules.parse("")
-    base = root.rstrip("/")
-    whole = F.regexp_replace(F.col("path"), "^file:/+", "/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).select("path", "content")
-    inside = files.union(_underscored(spark, base)).withColumn("path", F.substr(whole, F.locate(base, whole) + len(base) + 1))
-    hidden = F.col("path").rlike(r"(?:^|/)(?:\.[^/]*|" + "|".join(SKIPPED) + ")/")
-    kept = inside.where(language(F.col("path")).isNotNull() & ~hidden & ~rules.column(F.col("path")))
-    return kept.select("path", language(F.col("path")).alias("language"), "content")
-
-
-def _underscored(spark: SparkSession, root: str) -> DataFrame:
-    """(path, content) of supported files whose names begin with an underscore, which Spark's readers pass over.
+    system, base = _file_system(root)
+    if system.get_file_info(base).type != fs.FileType.Directory:
+        raise FileNotFoundError(root)
+    base = base.rstrip("/")
+    name = F.substring_index("path", "/", -1)
+    level, found = spark.createDataFrame([(base,)], "path string"), []
+    while True:
+        seen = cut(_listed(level, root))
+        found.append(seen.where("not folder").select("path"))
+        folders = seen.where(F.col("folder") & ~name.startswith(".") & ~name.isin(*SKIPPED)).select("path")
+        n = folders.count()
+        if not n:
+            break
+        level = folders.repartition(min(-(-n // FOLDERS), spark.sparkContext.defaultParallelism * 4))
+    inside = reduce(DataFrame.union, found).withColumn("path", F.substr("path", F.lit(len(base) + 2)))
+    kept = inside.where(language(F.col("path")).isNotNull() & ~rules.column(F.col("path"))).select("path", language(F.col("path")).alias("language"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _ = _file_system(root)
+        for batch in batches:
+            for i, path in enumerate(batch.column("path").to_pylist()):
+                with system.open_input_stream(f"{base}/{path}") as stream:
+                    yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, pa.array([stream.read()], pa.binary())], names=["path", "language", "content"])
 
-    They are few (packages' own modules), so the driver reads them, by the file system's interface.
-    """
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    found, listing = [], fs.listFiles(path, True)
-    while listing.hasNext():
-        p = listing.next().getPath()
-        if p.getName().startswith("_") and p.getName().rpartition(".")[2] in LANGUAGE_OF:
-            stream = fs.open(p)
-            found.append((p.toString(), bytes(stream.readAllBytes())))
-            stream.close()
-    return spark.createDataFrame(found, "path string, content binary")
+    return kept.mapInArrow(read, "path string, language string, content binary")
 
 
 def analyze(files: DataFrame) -> DataFrame:
@@ -63,7 +90,7 @@ def analyze(files: DataFrame) -> DataFrame:
                 try:
                     text = bytes(content).decode()
                     loc = sum(bool(line.strip()) for line in text.split("\n"))
-                    found = PARSERS[kind](text)
+                    found = typescript(text, jsx=False) if kind == "typescript" and path.endswith(".ts") else PARSERS[kind](text)
                     functions, classes, imports = [m._asdict() for m in found.functions], [m._asdict() for m in found.classes], found.imports
                 except (UnicodeDecodeError, SyntaxError, ValueError, RecursionError) as e:
                     error = f"{type(e).__name__}: {e}"
