@@ -43,7 +43,7 @@ class Store:
         paths = [p for v in self.versions() if self._exists(p := f"{self.path}/{v}/{name}")]
         if not paths:
             return empty(self.spark, schema)
-        return self._latest(name, [as_schema(self.spark.read.parquet(p), schema) for p in paths])
+        return self._latest(name, [as_schema(self.spark.read.schema(schema).parquet(p), schema) for p in paths])
 
     def _latest(self, name: str, frames: list[DataFrame]) -> DataFrame:
         """Frames put together; of rows with one key those of the last frame, and there the last row."""

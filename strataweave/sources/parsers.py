@@ -23,6 +23,10 @@ DECISIONS = {
     "go": frozenset(("if", "for", "case", "default", "&&", "||")),
 }
 
+#: How a name of a script begins.
+NAME = re.compile(r"[^\W\d]|\$")
+
+
 class Member(NamedTuple):
     name: str
     line_start: int
@@ -112,7 +116,7 @@ def _arrow(t: list[Token], i: int) -> bool:
     if t[i].text == "function":
         return True
     if t[i].text != "(":
-        return i + 1 < len(t) and t[i + 1].text == "=>" and re.match(r"[A-Za-z_$]", t[i].text) is not None
+        return i + 1 < len(t) and t[i + 1].text == "=>" and NAME.match(t[i].text) is not None
     j = _closing(t, i) + 1
     if j < len(t) and t[j].text == ":":  # a type, up to the arrow; braces and arrows may be in it
         k = j + 1
@@ -161,7 +165,7 @@ def typescript(source: str, offset: int = 0, jsx: bool = True) -> Found:
         if text == "function":
             name = i + 1 + (t[i + 1].text == "*" if i + 1 < len(t) else 0)
             end = _body(t, i, t[a].depth)
-            if name < len(t) and re.match(r"[A-Za-z_$]", t[name].text):
+            if name < len(t) and NAME.match(t[name].text):
                 functions.append(_member(t, t[name].text, start, end, "typescript"))
         elif text == "class" and i + 1 < len(t):
             end = _body(t, i, t[a].depth)
@@ -169,7 +173,7 @@ def typescript(source: str, offset: int = 0, jsx: bool = True) -> Found:
         elif text in ("const", "let") and i + 1 < len(t):
             end = _statement_end(t, i)
             equals = next((j for j in range(i + 1, end + 1) if t[j].text == "=" and t[j].depth == t[i].depth), None)
-            if equals is not None and re.match(r"[A-Za-z_$]", t[i + 1].text) and _arrow(t, equals + 1):
+            if equals is not None and NAME.match(t[i + 1].text) and _arrow(t, equals + 1):
                 functions.append(_member(t, t[i + 1].text, start, end, "typescript", equals + 1))
         elif text == "import":
             end = next((j for j in range(i + 1, len(t)) if t[j].text[:1] in "'\"" and t[j].depth == t[i].depth), i)
