@@ -190,11 +190,11 @@ def percentiles(fx: Fixture) -> DataFrame:
     return fx.change_metrics().agg(metrics.percentile("change_freq", 10).alias("freq_p10"), metrics.percentile("hotspot_score", 90).alias("hotspot_p90"), metrics.percentile("sum_coupling", 80, 6).alias("coupling_p80"))
 
 
-@query("merge_nodes", q(LINES, "SELECT COALESCE(m.id, f.file) AS id, COALESCE(m.loc, 0) AS loc, COALESCE(m.complexity, 0) AS complexity FROM (SELECT * FROM modules WHERE n % 3 <> 0) m FULL JOIN freq f ON f.file = m.id"))
+@query("merge_nodes", q(LINES, "SELECT id, COALESCE(MAX(loc), 0) AS loc, COALESCE(MAX(complexity), 0) AS complexity FROM (SELECT id, loc, complexity FROM modules UNION ALL SELECT file, NULL, NULL FROM freq UNION ALL SELECT id, NULL, NULL FROM functions) GROUP BY id"))
 def merge_nodes(fx: Fixture) -> DataFrame:
     """Structural nodes win over the bare ones of the change layer."""
-    first = fx.modules().where("n % 3 <> 0").select("id", "loc", "complexity")
-    second = fx.touches().select(F.col("file").alias("id")).distinct().select("id", F.lit(None).cast("int").alias("loc"), F.lit(None).cast("int").alias("complexity"))
+    first = fx.modules().select("id", "loc", "complexity")
+    second = fx.touches().select(F.col("file").alias("id")).union(fx.contains().select("target")).distinct().select("id", F.lit(None).cast("int").alias("loc"), F.lit(None).cast("int").alias("complexity"))
     none = fx.contains().limit(0)
     return graphops.merge_graphs((first, none), (second, none))[0].select("id", "loc", "complexity").na.fill(0)
 
