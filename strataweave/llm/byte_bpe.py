@@ -35,9 +35,9 @@ LOOK = 4
 #: Pre-tokens of more bytes are merged with a heap.
 WIDE = 48
 #: Pre-tokens whose ids a worker keeps.
-KEPT = 400_000
+KEPT = 250_000
 #: Characters of text that one call encodes.
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 NONE = np.int64(1 << 40)
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -58,25 +58,27 @@ class Ranks:
             raise ValueError("every byte needs a rank of its own")
         self.ends = np.cumsum([len(t) for t in texts])
         self.flat = np.frombuffer(b"".join(texts), np.uint8)
-        pairs = {}
-        for text, rank in tokens.items():
-            for i in range(1, len(text)):
-                a, b = tokens.get(text[:i]), tokens.get(text[i:])
-                if a is not None and b is not None:
-                    pairs[a << 32 | b] = rank
-        self._table(np.fromiter(pairs, np.uint64, len(pairs)), np.fromiter(pairs.values(), np.int64, len(pairs)))
+        self.keys: np.ndarray | None = None  # the table of pairs, which decoding doesn't need
 
     @classmethod
     def load(cls, path: str) -> Ranks:
         with open(path, "rb") as file:
             return cls({base64.b64decode(text): int(rank) for text, rank in map(bytes.split, filter(bytes.strip, file))})
 
-    def _table(self, keys: np.ndarray, values: np.ndarray) -> None:
-        """Pairs in a table of open addressing, at most an eighth full."""
-        bits = max(int(len(keys) * 8).bit_length(), 4)
+    def _table(self) -> None:
+        """All pairs whose concatenation has a rank, in a table of open addressing that is at most half full."""
+        found: dict[int, int] = {}
+        for text, rank in self.tokens.items():
+            for i in range(1, len(text)):
+                a, b = self.tokens.get(text[:i]), self.tokens.get(text[i:])
+                if a is not None and b is not None:
+                    found[a << 32 | b] = rank
+        keys, values = np.fromiter(found, np.uint64, len(found)), np.fromiter(found.values(), np.int64, len(found))
+        del found
+        bits = max(int(len(keys) * 4).bit_length(), 4)
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.empty = np.uint64((1 << 64) - 1)
-        self.keys, self.values = np.full(1 << bits, self.empty), np.full(1 << bits, NONE)
+        self.keys, self.values = np.full(1 << bits, self.empty), np.full(1 << bits, -1, dtype=np.int32)
         slot = (keys * MULTIPLIER >> self.shift).astype(np.int64)
         while len(keys):
             free = np.flatnonzero(self.keys[slot] == self.empty)
@@ -89,6 +91,8 @@ class Ranks:
 
     def of_pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of each a's bytes followed by b's, NONE where there is none."""
+        if self.keys is None:
+            self._table()
         keys = a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)
         slot = (keys * MULTIPLIER >> self.shift).astype(np.int64)
         out = np.full(len(keys), NONE)
