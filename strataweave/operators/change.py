@@ -128,11 +128,15 @@ def co_change_edges(coupled: DataFrame) -> DataFrame:
 def change_propagates(touches: DataFrame, within: int, max_files: int) -> DataFrame:
     """Extension: (source, target, cnt, weight): target changed in one of the next `within` commits after source did.
 
-    Files are spread over the seq buckets they can meet in, which makes the range join an equi-join.
+    A commit's files go to its own place and, as what comes next, to the `within` places before it in time.  There both
+    meet once, targets of several later commits count once, and pairs are counted before they are shuffled.
     """
-    small = touches.join(bulk_commits(touches, max_files), "commit_id", "left_anti").select("seq", "file")
-    later = small.select(F.col("file").alias("target"), F.col("seq").alias("t"), F.floor(F.col("seq") / within).alias("b"))
-    earlier = small.select(F.col("file").alias("source"), F.col("seq").alias("s"), F.explode(F.array(F.floor(F.col("seq") / within) - 1, F.floor(F.col("seq") / within))).alias("b"))
-    met = earlier.join(later, "b").where(f"t < s and t >= s - {int(within)} and source <> target")
-    times = met.groupBy("source", "target").agg(F.countDistinct("s").alias("cnt"))
+    small = touches.join(bulk_commits(touches, max_files), "commit_id", "left_anti")
+    files = small.groupBy("seq").agg(F.collect_set("file").alias("files"))
+    none = F.array().cast("array<string>")
+    later = files.select(F.explode(F.sequence(F.col("seq") + 1, F.col("seq") + within)).alias("s"), none.alias("own"), F.col("files").alias("next"))
+    met = files.select(F.col("seq").alias("s"), F.col("files").alias("own"), none.alias("next")).union(later)
+    placed = met.groupBy("s").agg(F.flatten(F.collect_list("own")).alias("own"), F.array_distinct(F.flatten(F.collect_list("next"))).alias("next")).where("size(own) > 0 and size(next) > 0")
+    pairs = placed.select(F.explode("own").alias("source"), "next").select("source", F.explode("next").alias("target")).where("source <> target")
+    times = pairs.groupBy("source", "target").agg(F.count("*").alias("cnt"))
     return times.join(frequencies(touches).select(F.col("file").alias("source"), "change_freq"), "source").select("source", "target", "cnt", (F.col("cnt") / F.col("change_freq")).alias("weight"))

@@ -6,7 +6,6 @@ Rounds write to the shared folder, so plans stay short and a lost executor costs
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -17,18 +16,19 @@ def neighborhood(nodes: DataFrame, edges: DataFrame, center: str, depth: int, la
     Of more than `most` nodes, those with the largest weight inside stay, the centre always; ties by distance and id.
     """
     used = edges.where(F.col("layer").isin(*layers))
-    ways = used.select("source", "target").union(used.select("target", "source")).distinct().toDF("id", "next")
+    used = cut(used)
+    ways = used.select("source", "target").union(used.select("target", "source")).toDF("id", "next")
     seen = nodes.sparkSession.createDataFrame([(center, 0)], "id string, d int")
     for d in range(1, depth + 1):
         front = seen.where(F.col("d") == d - 1).select("id")
         new = ways.join(front, "id", "left_semi").select(F.col("next").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
-        seen = seen.union(new.withColumn("d", F.lit(d)))
+        seen = cut(seen.union(new.withColumn("d", F.lit(d))))
     ids = seen.select("id")
     inside = used.join(ids.toDF("source"), "source", "left_semi").join(ids.toDF("target"), "target", "left_semi")
     weight = inside.select(F.explode(F.array("source", "target")).alias("id"), "weight").groupBy("id").agg(F.sum("weight").alias("w"))
     # rounded, so that sums in another order rank alike
-    rank = F.row_number().over(W.orderBy(F.desc(F.col("d") == 0), F.desc(F.round(F.coalesce("w", F.lit(0.0)), 9)), "d", "id"))
-    kept = seen.join(weight, "id", "left").withColumn("r", rank).where(F.col("r") <= most).select("id", "d")
+    order = F.desc(F.col("d") == 0), F.desc(F.round(F.coalesce("w", F.lit(0.0)), 9)), "d", "id"
+    kept = cut(seen.join(weight, "id", "left").orderBy(*order).limit(most).select("id", "d"))
     around = nodes.join(kept, "id")
     return around, inside.join(kept.select(F.col("id").alias("source")), "source", "left_semi").join(kept.select(F.col("id").alias("target")), "target", "left_semi")
 

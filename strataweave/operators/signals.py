@@ -1,7 +1,7 @@
 """The nine signals.  Each takes the graph's frames and a one-row frame of limits, and gives schema.SIGNALS.
 
 Limits are columns, so that they can be numbers of a Config or quantiles of the graph itself.  Where a rule takes the
-first match of a walk over edges, first is by source and target.
+first match of a walk over edges, first is by source, the place of the import in its file, and target.
 """
 
 from __future__ import annotations
@@ -117,14 +117,16 @@ def over_engineering_single(g: Graph) -> DataFrame:
 
 
 def over_engineering_pass_through(g: Graph) -> DataFrame:
-    """A imports B imports C, A and C change together, B and C hardly do: of each A and B the first C."""
+    """A imports B imports C, A and C change together, B and C hardly do: of each A and B the C that B imports first."""
     rest = _gated_imports(g).where("not single").select("source", "target", "over_engineering", "pass_through_coupling")
-    onward = imports(g).distinct().toDF("target", "c")
+    structural = g.layer("structural").where("edge_type = 'imports'")
+    place = F.col("edge_seq") if "edge_seq" in structural.columns else F.lit(None).cast("long")
+    onward = structural.groupBy(F.col("source").alias("target"), F.col("target").alias("c")).agg(F.min(place).alias("place"))
     w = edge_weights(g.layer("change"), "co_changes", "w")
     path = rest.join(onward, "target").where("c <> source")
     path = path.join(w.toDF("source", "c", "w_ac"), ["source", "c"]).where(F.col("w_ac") > F.col("pass_through_coupling"))
     path = path.join(w.toDF("target", "c", "w_bc"), ["target", "c"], "left").where(F.coalesce("w_bc", F.lit(0.0)) < F.col("over_engineering"))
-    first = path.groupBy("source", "target").agg(F.min("c").alias("c"), F.min_by("w_ac", "c").alias("w_ac"))
+    first = path.groupBy("source", "target").agg(F.min(F.struct("place", "c", "w_ac")).alias("m")).select("source", "target", "m.c", "m.w_ac")
     return _signal(first, "over_engineering", "source", "target", F.col("w_ac") * 0.5, F.concat(F.lit("Pass-through to "), F.col("c")))
 
 

@@ -54,13 +54,17 @@ def ancestors(path: Column) -> Column:
     return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.concat_ws("/", F.slice(parts, F.lit(1), n)))).otherwise(F.array().cast("array<string>"))
 
 
+def _place(wanted: DataFrame) -> list[str]:
+    return ["edge_seq"] if "edge_seq" in wanted.columns else []
+
+
 def folder_imports(wanted: DataFrame, modules: DataFrame) -> DataFrame:
     """(source, target) for imports of folders: every module below one, but not the importer itself.
 
     Modules are joined by each of their folders, so that the prefix match is an equi-join.
     """
     below = modules.select(F.col("id").alias("target"), F.explode(ancestors(F.col("id"))).alias("folder"))
-    return wanted.join(below, wanted["path"] == below["folder"]).where("source <> target").select("source", "target")
+    return wanted.join(below, wanted["path"] == below["folder"]).where("source <> target").select("source", "target", *_place(wanted))
 
 
 def direct_imports(wanted: DataFrame, modules: DataFrame) -> DataFrame:
@@ -68,14 +72,15 @@ def direct_imports(wanted: DataFrame, modules: DataFrame) -> DataFrame:
     a, b = modules.select(F.col("id").alias("exact")), modules.select(F.col("id").alias("package"))
     init = F.when(F.col("path").endswith(".py"), F.concat(F.expr("substring(path, 1, length(path) - 3)"), F.lit("/__init__.py")))
     found = wanted.withColumn("init", init).join(a, F.col("path") == F.col("exact"), "left").join(b, F.col("init") == F.col("package"), "left")
-    return found.select("source", F.coalesce("exact", "package").alias("target")).where("target is not null")
+    return found.select("source", F.coalesce("exact", "package").alias("target"), *_place(wanted)).where("target is not null")
 
 
 def import_edges(wanted: DataFrame, modules: DataFrame) -> DataFrame:
-    """Edges of wanted (source, path, language) to modules; others are dropped.  Repeated imports repeat."""
-    plain = direct_imports(wanted.where("language is null or language <> 'go'").select("source", "path"), modules)
-    folders = folder_imports(wanted.where("language = 'go'").select("source", "path"), modules.where(F.col("id").endswith(".go")))
-    return plain.union(folders).select("source", "target", F.lit("structural").alias("layer"), F.lit("imports").alias("edge_type"), F.lit(1.0).alias("weight"))
+    """Edges of wanted (source, path, language, and edge_seq if known) to modules; others are dropped.  Repeated imports repeat."""
+    kept = ["source", "path", *_place(wanted)]
+    plain = direct_imports(wanted.where("language is null or language <> 'go'").select(*kept), modules)
+    folders = folder_imports(wanted.where("language = 'go'").select(*kept), modules.where(F.col("id").endswith(".go")))
+    return plain.union(folders).select("source", "target", F.lit("structural").alias("layer"), F.lit("imports").alias("edge_type"), F.lit(1.0).alias("weight"), *_place(wanted))
 
 
 def first_nodes(nodes: DataFrame) -> DataFrame:
@@ -86,9 +91,13 @@ def first_nodes(nodes: DataFrame) -> DataFrame:
 
 
 def build_structural(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of parsed files; edges keep repeats, nodes of one id are one."""
+    """Nodes and edges of parsed files; edges keep repeats, nodes of one id are one.
+
+    An import edge's edge_seq is its place among the imports of its file, so edges by source and edge_seq are in the order
+    of the sources whichever task read them.
+    """
     found = members(parsed)
     modules = module_nodes(parsed)
     nodes = first_nodes(modules.withColumn("prio", F.lit(0)).unionByName(member_nodes(found).withColumn("prio", F.lit(1))))
-    wanted = parsed.select(F.col("file_path").alias("source"), "language", F.explode("imports").alias("path"))
-    return nodes, contains_edges(found).unionByName(import_edges(wanted, modules))
+    wanted = parsed.select(F.col("file_path").alias("source"), "language", F.posexplode("imports").alias("edge_seq", "path"))
+    return nodes, contains_edges(found).unionByName(import_edges(wanted, modules), allowMissingColumns=True)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NODES = "id string, type string, file_path string, line_start int, line_end int, language string, loc int, complexity int, nesting_depth int"
-EDGES = "source string, target string, layer string, edge_type string, weight double, metadata string"
+#: edge_seq is an import's place among its file's, and null for edges that aren't in a file.
+EDGES = "source string, target string, layer string, edge_type string, weight double, metadata string, edge_seq long"
 CHANGE_METRICS = "node_id string, change_freq long, churn_lines long, churn_rate double, hotspot_score double, sum_coupling double, last_changed string"
 DEFECT_METRICS = "node_id string, bug_count long, defect_density double, fix_inducing_rate double"
 SIGNALS = "signal_type string, node_a string, node_b string, severity double, description string"

@@ -120,3 +120,18 @@ def test_merge_and_paths(spark):
     assert sorted(tuple(x) for x in nodes.collect()) == [("a", 1), ("b", 3)] and edges.count() == 2
     assert graphops.shortest_path(e, "a", "c").first()["path"] == ["a", "b", "c"]
     assert graphops.shortest_path(e, "c", "a").isEmpty()
+
+
+def test_pass_through_takes_the_first_import_of_the_file(spark):
+    from strataweave.operators import structural
+
+    parsed = spark.createDataFrame([("a.py", "python", 1, [], [], ["b.py"]), ("b.py", "python", 1, [], [], ["none.py", "z.py", "c.py"]), ("c.py", "python", 1, [], [], []), ("z.py", "python", 1, [], [], [])], "file_path string, language string, loc int, functions array<struct<name:string,line_start:int,line_end:int,complexity:int>>, classes array<struct<name:string,line_start:int,line_end:int,complexity:int>>, imports array<string>")
+    nodes, edges = structural.build_structural(parsed)
+    places = {(r["source"], r["target"]): r["edge_seq"] for r in edges.collect()}
+    assert places == {("a.py", "b.py"): 0, ("b.py", "z.py"): 1, ("b.py", "c.py"): 2}
+    co = spark.createDataFrame([("a.py", "c.py", "change", "co_changes", 0.9), ("a.py", "z.py", "change", "co_changes", 0.8)], "source string, target string, layer string, edge_type string, weight double")
+    both = as_schema(edges.unionByName(co, allowMissingColumns=True), EDGES)
+    change = spark.createDataFrame([("b.py", 9)], "node_id string, change_freq long")
+    g = signals.Graph(nodes, both, change, change, signals.limits_of(nodes, Thresholds()))
+    (row,) = signals.over_engineering_pass_through(g).collect()
+    assert (row["node_a"], row["node_b"], row["severity"], row["description"]) == ("a.py", "b.py", 0.4, "Pass-through to z.py")
