@@ -17,6 +17,7 @@ import base64
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -278,30 +279,31 @@ def chunks_of(long: DataFrame, text: str, step: int, overlap: int) -> DataFrame:
     return long.select("row", text).mapInArrow(run, schema)
 
 
-def pretokenised(chunks: DataFrame, pattern: str) -> DataFrame:
-    """chunks with the ends of their pre-tokens, counted in characters from the chunk's first."""
-    schema = T.StructType([*chunks.schema.fields, T.StructField("ends", T.ArrayType(T.IntegerType()))])
+def pretokenised(chunks: DataFrame, pattern: str, step: int, overlap: int) -> DataFrame:
+    """chunks with the sizes of their pre-tokens in characters, and where neighbours may meet.
+
+    heads are boundaries in what a chunk shares with the one before, its own beginning among them; tails those in what it
+    shares with the one behind, counted from where that one begins, that the chunk's end can't have changed.
+    """
+    added = [T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("sizes", "heads", "tails")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
         for batch in text_chunks(batches, "chunk", limit=SLICE):
-            sizes = [np.cumsum(np.fromiter(map(len, find(c)), np.int32)) for c in batch.column("chunk").to_pylist()]
-            ends = lists(np.concatenate(sizes), np.array([len(s) for s in sizes]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ends], names=[*batch.schema.names, "ends"])
+            sizes = [np.fromiter(map(len, find(c)), np.int32) for c in batch.column("chunk").to_pylist()]
+            ends = [np.cumsum(s) for s in sizes]
+            heads = [np.append(0, e[e <= overlap]) for e in ends]
+            tails = [e[(e >= step) & (e <= step + overlap - LOOK)] - step for e in ends]
+            arrays = [lists(np.concatenate(x).astype(np.int32), np.array([len(s) for s in x])) for x in (sizes, heads, tails)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, "sizes", "heads", "tails"])
 
-    return chunks.mapInArrow(run, schema)
+    return chunks.mapInArrow(run, T.StructType([*chunks.schema.fields, *added]))
 
 
-def seams(marked: DataFrame, step: int, overlap: int) -> DataFrame:
-    """(row, k, start, stop, whole): the piece of each chunk, or whole where some neighbours of the row meet nowhere.
-
-    Of the chunk before count boundaries in the overlap that its end can't have changed, of this one all there.
-    """
-    heads = F.concat(F.array(F.lit(0)), F.filter("ends", lambda e: e <= overlap))
-    tails = F.transform(F.filter("ends", lambda e: (e >= step) & (e <= step + overlap - LOOK)), lambda e: e - step)
-    size = F.char_length("chunk")
+def seams(marked: DataFrame, step: int) -> DataFrame:
+    """(row, k, start, stop, whole): the piece of each chunk, or whole where some neighbours of the row meet nowhere."""
     near = W.partitionBy("row").orderBy("k")
-    ends = marked.select("row", "k", "last", size.alias("size"), heads.alias("heads"), F.when(~F.col("last"), tails).alias("tails"))
+    ends = marked.select("row", "k", "last", F.char_length("chunk").alias("size"), "heads", F.when(~F.col("last"), F.col("tails")).alias("tails"))
     met = ends.withColumn("meet", F.when(F.col("k") == 0, 0).otherwise(F.array_min(F.array_intersect(F.lag("tails").over(near), "heads"))))
     stop = F.when(F.col("last"), F.col("size")).otherwise(F.lead("meet").over(near) + step)
     lost = F.max(F.col("meet").isNull()).over(W.partitionBy("row"))
@@ -309,20 +311,20 @@ def seams(marked: DataFrame, step: int, overlap: int) -> DataFrame:
 
 
 def _encode_pieces(pieces: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(row, k, ids) of (row, k, chunk, ends, start, stop)."""
+    """(row, k, ids) of (row, k, chunk, sizes, start, stop)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches, "chunk", limit=SLICE):
             tool, parts, sizes = encoder(path, pattern), [], []
-            for chunk, ends, start, stop in zip(*(batch.column(c).to_pylist() for c in ("chunk", "ends", "start", "stop")), strict=True):
-                bounds = [start, *(e for e in ends if start < e <= stop)]
+            for chunk, size, start, stop in zip(*(batch.column(c).to_pylist() for c in ("chunk", "sizes", "start", "stop")), strict=True):
+                bounds = [start, *(e for e in accumulate(size) if start < e <= stop)]
                 parts += [chunk[a:b] for a, b in zip(bounds, bounds[1:])]  # noqa: B905 - one shorter
                 sizes.append(len(bounds) - 1)
             ids, count = tool.pieces(parts)
             n = np.diff(np.append(0, np.cumsum(count))[np.append(0, np.cumsum(sizes))])
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("k"), lists(ids, n)], names=["row", "k", "ids"])
 
-    return pieces.select("row", "k", "chunk", "ends", "start", "stop").mapInArrow(run, "row long, k int, ids array<int>")
+    return pieces.select("row", "k", "chunk", "sizes", "start", "stop").mapInArrow(run, "row long, k int, ids array<int>")
 
 
 def encode_column(docs: DataFrame, path: str, pattern: str, text: str = "text", step: int = STEP, overlap: int = OVERLAP) -> DataFrame:
@@ -338,8 +340,8 @@ def encode_column(docs: DataFrame, path: str, pattern: str, text: str = "text",
     body = names[text]
     long = F.coalesce(F.char_length(body) > step + overlap, F.lit(False))
     kept = cut(plain.where(long).withColumn("row", F.monotonically_increasing_id()))  # row numbers stay as they were written
-    marked = cut(pretokenised(chunks_of(kept, body, step, overlap).repartition("row", "k"), pattern))
-    pieces = cut(seams(marked, step, overlap))
+    marked = cut(pretokenised(chunks_of(kept, body, step, overlap).repartition("row", "k"), pattern, step, overlap))
+    pieces = cut(seams(marked, step))
     encoded = _encode_pieces(marked.join(pieces.where("not whole"), ["row", "k"]), path, pattern)
     gathered = encoded.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts")).select("row", F.flatten(F.col("parts.ids")).alias("ids"))
     stray = kept.join(pieces.where("whole").select("row").distinct(), "row", "left_semi").drop("row")

@@ -46,8 +46,8 @@ def test_chunks_give_the_ids_of_whole_texts(spark, library, step, overlap):
 def test_neighbours_that_meet_nowhere_are_seen(spark):
     rows = [(1, "x" * 500), (2, "ab " * 200), (3, " " * 300)]
     long = prepare(spark).createDataFrame(rows, "row long, text string")
-    marked = byte_bpe.pretokenised(byte_bpe.chunks_of(long, "text", 64, 16), PATTERN)
-    whole = {r["row"]: r["whole"] for r in byte_bpe.seams(marked, 64, 16).select("row", "whole").distinct().collect()}
+    marked = byte_bpe.pretokenised(byte_bpe.chunks_of(long, "text", 64, 16), PATTERN, 64, 16)
+    whole = {r["row"]: r["whole"] for r in byte_bpe.seams(marked, 64).select("row", "whole").distinct().collect()}
     assert whole == {1: True, 2: False, 3: True}
 
 
