@@ -35,7 +35,7 @@ def build_all(spark: SparkSession, parsed: DataFrame, touches: DataFrame, fixes:
     nodes = cut(as_schema(nodes, NODES))
     fixes = fixes.join(seen.select("commit_id", "file"), ["commit_id", "file"], "left_semi") if fixes is not None else seen.select("commit_id", "file").limit(0)
     fixes = cut(fixes)
-    edges = edges.unionByName(defect.defect_edges(defect.fault_propagates(seen, fixes, config.build.max_files_per_commit), defect.co_fix(fixes, config.build.max_files_per_commit)))
+    edges = edges.unionByName(defect.defect_edges(defect.fault_propagates(seen, fixes, config.build.max_files_per_commit), defect.co_fix(fixes, config.build.max_files_per_commit)), allowMissingColumns=True)
     found = nodes.select(F.col("id").alias("file"), "loc")
     return signals.Graph(nodes, cut(as_schema(edges, EDGES)), cut(metrics), cut(defect.defect_metrics(seen, fixes, found)), signals.limits_of(nodes, config.thresholds))
 
