@@ -6,14 +6,19 @@ the smallest draw is taken, so a child wins with its share of the weight.  A lev
 node; shards elsewhere are never looked at.
 
 A child's draw depends on its own weight alone.  Where weights change in one subtree only, rows move into it, out of it
-or inside it, and all others stay: at each level only draws on the changed path differ.  One shard more opens a region
-of its own, so it takes rows only into itself (the law `key`).
+or inside it, and all others stay: at each level only draws on the changed path differ.
+
+Regions have a fixed size, and the last one's places may be vacant.  A vacant place weighs what its shard will, so no
+weight changes when it is filled.  A region's draw is the least of its places' draws, and the descent says whose it is;
+if that place is vacant, each of the others waits for its own draw beyond it, and the shortest wait counts (what is left
+of an exponential time is distributed like the whole).  So each shard has its share, and one more shard takes rows only
+into itself, at any number of shards (the law `key`).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -23,6 +28,8 @@ from .common import column as _column
 
 #: Rows that one block of a shard's numbering holds on average.
 BLOCK_ROWS = 1 << 18
+#: What is added to the seed for draws beyond a vacant place.
+WAIT = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -31,16 +38,22 @@ class Shard:
     region: int
     rack: int
     weight: float = 1.0
+    vacant: bool = False
 
 
 def layout(shards: int, per_rack: int = 4, racks: int = 2, weights: dict[int, float] | None = None) -> list[Shard]:
-    """Shards in order: per_rack to a rack, racks to a region; a further shard never changes where the others are."""
-    return [Shard(i, i // (per_rack * racks), i // per_rack % racks, (weights or {}).get(i, 1.0)) for i in range(shards)]
+    """Places in order: per_rack to a rack, racks to a region; those of the last region beyond the shards are vacant."""
+    size = per_rack * racks
+    return [Shard(i, i // size, i // per_rack % racks, (weights or {}).get(i, 1.0), i >= shards) for i in range(-(-shards // size) * size)]
 
 
-def with_one_more(tree: list[Shard], weight: float = 1.0) -> list[Shard]:
-    """The tree and a shard that opens the next region, whatever room the last one has."""
-    return [*tree, Shard(max(x.shard for x in tree) + 1, max(x.region for x in tree) + 1, 0, weight)]
+def with_one_more(tree: list[Shard], per_rack: int = 4, racks: int = 2) -> list[Shard]:
+    """The tree with its first vacant place filled; without one, with a further region of which the first place is."""
+    if not any(x.vacant for x in tree):
+        shard, region = max(x.shard for x in tree) + 1, max(x.region for x in tree) + 1
+        tree = [*tree, *(Shard(shard + i, region, i // per_rack, vacant=True) for i in range(per_rack * racks))]
+    first = min(x.shard for x in tree if x.vacant)
+    return [replace(x, vacant=False) if x.shard == first else x for x in tree]
 
 
 def draw(key: Column, path: list[Column], weight: Column, seed: int) -> Column:
@@ -51,7 +64,7 @@ def draw(key: Column, path: list[Column], weight: Column, seed: int) -> Column:
 def place(key: Column, tree: list[Shard], seed: int = 7) -> Column:
     """A struct of region, rack and shard: the descent from the root.  Shards of weight 0 get nothing; equal draws go to the smaller node."""
     tree = [x for x in tree if x.weight > 0]
-    if not tree:
+    if all(x.vacant for x in tree):
         raise ValueError("no shard has a weight")
 
     def grouped(shards: list[Shard], by: Callable[[Shard], int]) -> list[tuple[int, list[Shard]]]:
@@ -67,12 +80,9 @@ def place(key: Column, tree: list[Shard], seed: int = 7) -> Column:
     def total(shards: list[Shard]) -> float:
         return sum(x.weight for x in shards)
 
-    root = level(
-        [
-            node(region, total(inside), level([node(rack, total(leaves), level([node(x.shard, x.weight, None) for x in leaves])) for rack, leaves in grouped(inside, lambda x: x.rack)]))
-            for region, inside in grouped(tree, lambda x: x.region)
-        ]
-    )
+    def region_node(region: int, inside: list[Shard]) -> Column:
+        racks = [node(rack, total(leaves), level([node(x.shard, x.weight, None) for x in leaves])) for rack, leaves in grouped(inside, lambda x: x.rack)]
+        return node(region, total(inside), level(racks))
 
     def choose(children: Column, path: list[Column]) -> Column:
         """The child with the smallest draw."""
@@ -87,10 +97,46 @@ def place(key: Column, tree: list[Shard], seed: int = 7) -> Column:
         return bound(choose(region["below"], [region["id"]]), lambda rack: at_rack(region, rack))
 
     def at_rack(region: Column, rack: Column) -> Column:
-        shard = choose(rack["below"], [region["id"], rack["id"]])
-        return F.struct(region["id"].alias("region"), rack["id"].alias("rack"), shard["id"].alias("shard"))
+        return leaf(region["id"], rack["id"], choose(rack["below"], [region["id"], rack["id"]])["id"])
+
+    def leaf(region: Column, rack: Column, shard: Column) -> Column:
+        return F.struct(region.alias("region"), rack.alias("rack"), shard.alias("shard"))
+
+    def arrival(at: Column, region: Column, place: Column) -> Column:
+        return F.struct(at.alias("draw"), region.alias("id"), place.alias("place"))
+
+    def number(i: int) -> Column:
+        return F.lit(i).cast("long")
+
+    def open_region(region: int, inside: list[Shard]) -> Column:
+        """The arrival of a region with vacant places, its shard chosen."""
+        first = draw(key, [number(region)], F.lit(float(total(inside))), seed)
+        shards = [x for x in inside if not x.vacant]
+
+        def waiting(at: Column) -> Column:
+            waits = [arrival(at + draw(key, [number(region), number(x.rack), number(x.shard)], F.lit(float(x.weight)), seed + WAIT), number(region), leaf(number(region), number(x.rack), number(x.shard))) for x in shards]
+            return F.array_min(F.array(*waits))
+
+        def settled(at: Column) -> Column:
+            taken = bound(region_node(region, inside), at_region)
+            return bound(taken, lambda to: F.when(to["shard"].isin([x.shard for x in shards]), arrival(at, number(region), to)).otherwise(waiting(at)))
+
+        return bound(first, settled)
+
+    regions = [(i, inside) for i, inside in grouped(tree, lambda x: x.region) if any(not x.vacant for x in inside)]
+    whole = [(i, inside) for i, inside in regions if all(not x.vacant for x in inside)]
+    arrivals = [open_region(i, inside) for i, inside in regions if any(x.vacant for x in inside)]
+    if not whole:
+        return F.array_min(F.array(*arrivals))["place"]
+    root = level([region_node(i, inside) for i, inside in whole])
+    if not arrivals:
+        return bound(choose(root, []), at_region)
+
+    def at_root(best: Column) -> Column:
+        reached = arrival(draw(key, [best["id"]], best["weight"], seed), best["id"], at_region(best))
+        return F.array_min(F.array(reached, *arrivals))["place"]
 
-    return bound(choose(root, []), at_region)
+    return bound(choose(root, []), at_root)
 
 
 def shard_rows(df: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text", seed: int = 7, weights: dict[int, float] | None = None, blocks: int | None = None) -> DataFrame:

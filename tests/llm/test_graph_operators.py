@@ -24,10 +24,11 @@ def test_hash_tree(llm):
     assert all((r["region"], r["rack"]) == (r["shard"] // 8, r["shard"] // 4 % 2) for r in got)
     known = {(r["doc_id"], r["size"]): r["text_crc32"] for r in got}
     assert known[(None, 8)] == 0 and known[(8, 10)] == zlib.crc32("é".encode())
-    # growing by one, again and again, moves rows into the new shard alone
-    for n in (1, 4, 8, 25):
-        moved = hash_tree.shard_rows(df, n).where(f"grown_shard <> shard and grown_shard <> {n}")
-        assert moved.isEmpty()
+    # what grown_shard announces is what one more shard gives
+    for n in (1, 4, 20, 23):
+        pairs = [(hash_tree.shard_rows(df, n), "grown_shard"), (hash_tree.shard_rows(df, n + 1), "shard")]
+        now, then = [sorted(str((r["doc_id"], r["size"], r[c])) for r in d.collect()) for d, c in pairs]
+        assert now == then
     # a heavier shard takes rows: they move into its region or inside it, and those of other racks there only from outside
     a = {(r["doc_id"], r["size"]): r for r in got}
     b = {(r["doc_id"], r["size"]): r for r in hash_tree.shard_rows(df, 24, weights={3: 2.0}).collect()}
@@ -48,14 +49,27 @@ def twin(key, tree, seed=7):
             h = h if v is None else xxhash.xxh64_intdigest(struct.pack("<q", v), h)
         return h
 
-    path = []
-    for level in ("region", "rack", "shard"):
+    def draw(path, weight, seed=seed):
+        return -math.log(((number(key, *path, seed) >> 12) + 0.5) / 2**52) / weight
+
+    def descend(path, level, inside):
         weights = {}
-        for x in tree:
-            if [x.region, x.rack][: len(path)] == path:
-                weights[getattr(x, level)] = weights.get(getattr(x, level), 0) + x.weight
-        path.append(min((-math.log(((number(key, *path, i, seed) >> 12) + 0.5) / 2**52) / w, i) for i, w in weights.items() if w > 0)[1])
-    return tuple(path)
+        for x in inside:
+            weights[getattr(x, level)] = weights.get(getattr(x, level), 0) + x.weight
+        return min((draw([*path, i], w), i) for i, w in weights.items())[1]
+
+    arrivals, tree = [], [x for x in tree if x.weight > 0]
+    for region in {x.region for x in tree if not x.vacant}:
+        inside = [x for x in tree if x.region == region]
+        first = draw([region], sum(x.weight for x in inside))
+        rack = descend([region], "rack", inside)
+        shard = descend([region, rack], "shard", [x for x in inside if x.rack == rack])
+        shards = {x.shard: x for x in inside if not x.vacant}
+        if shard in shards:
+            arrivals.append((first, region, rack, shard))
+        else:
+            arrivals.append(min((first + draw([region, x.rack, x.shard], x.weight, seed + hash_tree.WAIT), region, x.rack, x.shard) for x in shards.values()))
+    return min(arrivals)[1:]
 
 
 def test_descent_by_hand(llm):
@@ -65,11 +79,24 @@ def test_descent_by_hand(llm):
     for tree in trees:
         got = df.select("k", hash_tree.place(F.col("k"), tree).alias("at")).collect()
         assert [(r["at"]["region"], r["at"]["rack"], r["at"]["shard"]) for r in got] == [twin(k, tree) for k in keys]
-    assert hash_tree.with_one_more(hash_tree.layout(24)) == hash_tree.layout(25)
+    for n in range(1, 41):
+        assert hash_tree.with_one_more(hash_tree.layout(n)) == hash_tree.layout(n + 1)
     with pytest.raises(ValueError):
         hash_tree.place(F.col("k"), [hash_tree.Shard(0, 0, 0, 0.0)])
 
 
+def test_growth_takes_rows_into_the_new_shard_alone(llm):
+    """From 1 to 41 shards: even shares at each count, and no row moves but into the new one."""
+    df, rows = llm.range(6000), 6000
+    before = None
+    for n in range(1, 42):
+        now = [r[0] for r in df.orderBy("id").select(hash_tree.place(F.col("id"), hash_tree.layout(n))["shard"]).collect()]
+        counts = np.bincount(now, minlength=n)
+        assert len(counts) == n and (np.abs(counts - rows / n) < 5 * np.sqrt(rows / n)).all()
+        assert before is None or all(x == y or y == n - 1 for x, y in zip(before, now, strict=True))
+        before = now
+
+
 def brute(rows, n=20):
     ids = [i for i, _ in rows]
     x = np.array([v for _, v in rows], dtype=float)
