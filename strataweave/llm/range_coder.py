@@ -168,8 +168,9 @@ class _Model:
         context = pairs >> 16
         first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
         total, kinds = np.add.reduceat(counts, first), np.diff(np.append(first, len(counts)))
+        # bit lengths are exact on every machine, as logarithms need not be;
         # a context has four to eight cells for each id that followed it, at most 2 ** 12, or 2 ** 16 if that's too few
-        bits = np.ceil(np.log2(kinds)).astype(np.int64) + 2
+        bits = np.frexp(kinds - 1.0)[1].astype(np.int64) + 2
         bits = np.where(bits > 12, np.where(kinds < 1 << 11, 12, 16), bits)
         row = np.repeat(np.arange(len(first)), kinds)
         cells = counts * ((1 << bits) - kinds)[row] // total[row] + 1
@@ -177,7 +178,7 @@ class _Model:
         begin = np.cumsum(cells) - cells
         unit = 16 - bits
         self.info = pairs << 32 | begin - begin[first][row] << unit[row] << 16 | (cells << unit[row]) - 1
-        self.state1[context[first]] = KINDS * (1 + 3 * np.minimum(np.log2(total).astype(np.int64), 12) + _level(total / kinds, [1.5, 4]))
+        self.state1[context[first]] = KINDS * (1 + 3 * np.minimum(np.frexp(total)[1].astype(np.int64) - 1, 12) + _level(total / kinds, [1.5, 4]))
         if self.decodes:
             self.row[context[first]] = begin[first] << 5 | unit
             self.pair_at = np.zeros(max(IDS, int(cells.sum())), np.int32)
