@@ -10,8 +10,9 @@ boundaries lie short segments, mostly words, which repeat: each distinct one is
 are then placed by array operations.
 
 Ties go to the path found first, starts ascending and lengths ascending, as in the library's unigram search, with which
-the ids agree for this vocabulary and these scores as long as its 32-bit sums are exact; sums here are integers.  Characters without a piece are spelt in byte pieces.  A literal
-U+2581, which the library would turn into a space, is spelt in bytes as well, so that decoding gives every text back.
+the ids agree as long as its 32-bit sums are exact; sums here are integers, of scores in units of 2^-20 where a file's
+aren't whole numbers.  Characters without a piece are spelt in byte pieces.  A literal U+2581, which the library would
+turn into a space, is spelt in bytes as well, so that decoding gives every text back.
 """
 
 from __future__ import annotations
@@ -29,17 +30,19 @@ from pyspark.sql import types as T
 from .common import CHUNK_BYTES, column, flat_bytes, numbered, text_chunks
 
 SPACE = "▁"  # fixed value: how pieces write a space
+#: Scores that aren't whole numbers are counted in parts of one over this.
+FINE = 1 << 20
 
 
 class Vocabulary:
-    """Pieces with integer scores, and the ids of the 256 byte pieces."""
+    """Pieces with integer scores, `unit` to one of the file's, and the ids of the 256 byte pieces."""
 
-    def __init__(self, pieces: dict[str, tuple[int, int]], byte_ids: list[int], texts: list[bytes]):
+    def __init__(self, pieces: dict[str, tuple[int, int]], byte_ids: list[int], texts: list[bytes], unit: int = 1):
         self.pieces = pieces
         self.byte_ids = byte_ids
         self.texts = texts
         self.longest = max(map(len, pieces), default=1)
-        self.unknown = min((s for _, s in pieces.values()), default=0) - 10
+        self.unknown = min((s for _, s in pieces.values()), default=0) - 10 * unit
         self.has_line_feed = any("\n" in p for p in pieces)
         if any(" " in p.lstrip(" ") for p in pieces):
             raise ValueError("a piece has a space after another character")
@@ -51,6 +54,7 @@ class Vocabulary:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces, byte_ids, texts = {}, [0] * 256, []
+        unit = 1 if all(float(model.get_score(i)).is_integer() for i in range(model.get_piece_size())) else FINE
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
             text = b""
@@ -59,9 +63,9 @@ class Vocabulary:
                 byte_ids[value], text = i, bytes([value])
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 plain = piece.replace(SPACE, " ")
-                pieces[plain], text = (i, int(model.get_score(i))), plain.encode()
+                pieces[plain], text = (i, round(model.get_score(i) * unit)), plain.encode()
             texts.append(text)
-        return cls(pieces, byte_ids, texts)
+        return cls(pieces, byte_ids, texts, unit)
 
 
 class Search:
@@ -167,7 +171,7 @@ class Encoder:
 
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.flat, self.ends = np.zeros(0, np.uint16), np.zeros(1, np.int64)
+        self.flat, self.ends = np.zeros(0, np.uint16 if len(self.v.texts) <= 1 << 16 else np.int32), np.zeros(1, np.int64)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, rows end to end, and each row's number of them."""
@@ -257,7 +261,11 @@ def encode_column(docs: DataFrame, path: str, keep: int = Encoder.KEPT, forget:
 
 
 def decode_column(docs: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
-    """docs with the text of ids in column text; null ids give null, no ids the empty text."""
+    """docs with the text of ids in column text; null ids give null, no ids the empty text.
+
+    A column of docs named text is replaced, others stay whatever their names and nulls.  Equal lists give equal texts,
+    repeated rows repeat, a long list is decoded whole, and an empty table gives an empty one.
+    """
     kept = [c for c in docs.columns if c != text]
     source, names = numbered(docs.select(*[column(c) for c in kept]))
     schema = T.StructType([*source.schema.fields, T.StructField("text", T.StringType())])

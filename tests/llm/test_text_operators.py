@@ -272,6 +272,39 @@ def test_sentencepiece_column(llm):
         assert ids.tolist() == library.encode(text)
 
 
+def test_fractional_scores(tmp_path):
+    """A vocabulary of a unigram model, scores as logarithms, more pieces than 16 bits number: the library's own ids."""
+    proto = pytest.importorskip("sentencepiece.sentencepiece_model_pb2").ModelProto()
+    import sentencepiece
+
+    r, kinds = random.Random(5), proto.SentencePiece
+    proto.pieces.add(piece="<unk>", score=0.0, type=kinds.UNKNOWN)
+    for i in range(256):
+        proto.pieces.add(piece=f"<0x{i:02X}>", score=0.0, type=kinds.BYTE)
+    mark, known = viterbi.SPACE, set("abcdefgh") | {viterbi.SPACE}
+    for n, size in ((60, 2), (300, 3), (400, 4), (300, 5)):
+        known |= {r.choice(["", mark]) + "".join(r.choice("abcdefgh") for _ in range(size)) for _ in range(n)}
+    for x in sorted(known - {"gah"}):
+        proto.pieces.add(piece=x, score=-round(256 * (2 + 2.5 * len(x) ** 0.5 + 3 * r.random())) / 256)  # 32-bit sums of these are exact
+    for i in range(66_000):  # never met, but later pieces get ids beyond 65,535
+        proto.pieces.add(piece=f"z{i:x}z", score=-30.0)
+    proto.pieces.add(piece="gah", score=-1.25)
+    proto.trainer_spec.model_type = 1
+    proto.trainer_spec.byte_fallback = True
+    proto.normalizer_spec.name = "identity"
+    proto.normalizer_spec.add_dummy_prefix = proto.normalizer_spec.escape_whitespaces = True
+    proto.normalizer_spec.remove_extra_whitespaces = False
+    path = str(tmp_path / "unigram.model")
+    with open(path, "wb") as f:
+        f.write(proto.SerializeToString())
+    library, tool = sentencepiece.SentencePieceProcessor(model_file=path), viterbi.Encoder(viterbi.Vocabulary.load(path))
+    texts = [" ".join("".join(r.choice("abcdefghé") for _ in range(r.randrange(1, 12))) for _ in range(r.randrange(1, 40))) for _ in range(400)] + ["gah gahgah"]
+    ids, n = tool.encode(*flat_bytes(pa.array(texts)))
+    at = np.append(0, np.cumsum(n))
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [library.encode(x) for x in texts]
+    assert ids.max() > 65_535
+
+
 # --- op 5 ---------------------------------------------------------------------------------------------------------
 
 
