@@ -3,7 +3,13 @@
 A page becomes a flat list of blocks (text between block-level tags).  A block's features are its words and link
 density, those of its neighbours, and what encloses it: whether an article or main element does, how many elements do
 that by tag or by a word in class, id or role are for something else, and which share of the page's words the outermost
-of these holds.  Nothing of that decides alone: the tree is grown, when first needed, on a table of blocks labelled in
+of these holds.
+
+The densest part is found from the root down, by going on to the child that holds most of the page's words outside links
+(nearly all of them, if the child is by tag or name for something else and the page's title isn't in it).  The elements on
+this way hold the article whatever they are called, so neither their tags nor their names count.
+
+Nothing of that decides alone: the tree is grown, when first needed, on a table of blocks labelled in
 small pages that `sample_page` lays out by rule, with named and nameless menus, adverts, notices, side bars, comments and
 footers, with articles whose own class words mislead, and with pages wrapped in a form.
 """
@@ -27,6 +33,8 @@ from .common import text_chunks
 # Fixed values of HTML
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe object svg math canvas select option button".split())
+TO_THE_END = frozenset("script style".split())  # without an end tag they take the rest of the page
+NEVER_NESTED = frozenset("select button".split())
 MAIN = frozenset("article main".split())
 ASIDE = frozenset("nav footer aside form dialog menu".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr p li dt dd tr td th option".split())
@@ -54,7 +62,8 @@ class Block(NamedTuple):
 
 class Within(NamedTuple):
     """What encloses a block: a main part; the number of side tags; words that name a side part, counted inside the main
-    part only if there is one; the outermost element with either (0 for none)."""
+    part only if there is one; the outermost element with either (0 for none).  Elements on the way to the densest part
+    have no tags and names."""
 
     main: bool = False
     tags: int = 0
@@ -62,6 +71,49 @@ class Within(NamedTuple):
     outermost: int = 0
 
 
+class Element(NamedTuple):
+    parent: int
+    main: bool
+    tag: bool
+    named: int
+
+
+#: The share of the page's words that takes the search for the densest part into a child, and into one for something else.
+MOST, NEARLY_ALL = 0.5, 0.9
+
+
+def surroundings(elements: list[Element], found: list[tuple[int, int, bool]]) -> list[Within]:
+    """What encloses the content of each element; found has (element, words outside links, is a title) of each block."""
+    held, titled = [0] * len(elements), [e.main for e in elements]
+    for at, words, title in found:
+        held[at] += words
+        titled[at] |= title
+    best = [0] * len(elements)  # the child that holds most, the first of several
+    for i in range(len(elements) - 1, 0, -1):
+        up = elements[i].parent
+        held[up] += held[i]
+        titled[up] |= titled[i]
+        if not best[up] or held[i] >= held[best[up]]:
+            best[up] = i
+    way, at = {0}, 0
+    while best[at]:
+        child = best[at]
+        side = elements[child].tag or elements[child].named
+        if held[child] <= (NEARLY_ALL if side and not titled[child] else MOST) * held[0]:
+            break
+        way.add(child)
+        at = child
+    out = [Within()]
+    for i, e in enumerate(elements[1:], 1):
+        around = out[e.parent]
+        tag, named = (False, 0) if i in way else (e.tag, e.named)
+        if e.main and not around.main:
+            out.append(Within(True, around.tags, 0, around.outermost if around.tags else 0))
+        else:
+            out.append(Within(around.main, around.tags + tag, around.names + named, around.outermost or (i if tag or named else 0)))
+    return out
+
+
 @lru_cache(maxsize=50_000)
 def names(attributes: str) -> int:
     """How many words of class, id and role name a part that isn't the article; a hidden element has one."""
@@ -71,11 +123,14 @@ def names(attributes: str) -> int:
 
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order.  Unclosed tags, unknown tags and a page cut anywhere are read as far as they go."""
-    found: list[Block] = []
+    found: list[tuple[str, int, int, int, str]] = []
     pieces: list[tuple[str, bool]] = []
-    stack: list[tuple[str, Within]] = [("", Within())]
-    link = heading = False
-    at, n, elements = 0, len(page), 0
+    elements = [Element(0, False, False, 0)]
+    stack: list[tuple[str, int]] = [("", 0)]
+    opened: Counter[str] = Counter()
+    endless: set[str] = set()  # names without a further end tag
+    link, heading = False, ""
+    at, n = 0, len(page)
 
     def close() -> None:
         nonlocal pieces
@@ -83,9 +138,22 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(x for x, _ in pieces)).split())
             if text:
                 linked = sum(len(html.unescape(x).split()) for x, a in pieces if a)
-                found.append(Block(text, text.count(" ") + 1, linked, stack[-1][1], heading))
+                found.append((text, text.count(" ") + 1, linked, stack[-1][1], heading))
             pieces = []
 
+    def after(name: str) -> int:
+        """Where an element that isn't read ends; one without an end tag is only its start tag, an option its text."""
+        if name == "option":
+            end = page.find("<", at)
+            return n if end < 0 else end
+        if name not in endless:
+            again = rf"|<{name}(?=[\s>])" if name in NEVER_NESTED else ""
+            end = re.compile(rf"</{name}\s*>{again}", re.I).search(page, at)
+            if end:
+                return end.end() if end[0][1] == "/" else at
+            endless.add(name)
+        return n if name in TO_THE_END else at
+
     while at < n:
         match = TOKEN.search(page, at)
         if match is None:
@@ -100,8 +168,7 @@ def blocks(page: str) -> list[Block]:
         name, closing = name.lower(), bool(match[1])
         if name in RAW:
             if not closing and not match[0].endswith("/>"):
-                end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                at = end.end() if end else n
+                at = after(name)
             continue
         if name == "a":
             link = not closing
@@ -112,27 +179,25 @@ def blocks(page: str) -> list[Block]:
         close()
         link = False
         if name in HEADINGS:
-            heading = not closing
+            heading = "" if closing else name
         if name in VOID:
             if name != "p":
-                heading = False
+                heading = ""
             continue
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
+            while opened[name]:
+                last = stack.pop()[0]
+                opened[last] -= 1
+                if last == name:
                     break
         elif not match[0].endswith("/>"):
-            elements += 1
-            around = stack[-1][1]
-            if name in MAIN and not around.main:
-                stack.append((name, Within(True, around.tags, 0, around.outermost if around.tags else 0)))
-                continue
-            tag = name in ASIDE or name == "header" and not around.main
-            named = 0 if name in ("html", "body") or name in MAIN else names(match[3])
-            stack.append((name, Within(around.main, around.tags + tag, around.names + named, around.outermost or (elements if tag or named else 0))))
+            main = name in MAIN
+            elements.append(Element(stack[-1][1], main, name in ASIDE or name == "header" and not any(opened[x] for x in MAIN), 0 if main or name in ("html", "body") else names(match[3])))
+            stack.append((name, len(elements) - 1))
+            opened[name] += 1
     close()
-    return found
+    within = surroundings(elements, [(place, words - linked, title == "h1") for _, words, linked, place, title in found])
+    return [Block(text, words, linked, within[place], bool(title)) for text, words, linked, place, title in found]
 
 
 def features(found: list[Block]) -> np.ndarray:
@@ -147,8 +212,9 @@ def features(found: list[Block]) -> np.ndarray:
         held: Counter[int] = Counter()
         for b in found:
             held[b.within.outermost] += b.words
-        out[:, 6], out[:, 7], out[:, 8] = [b.within.main for b in found], [b.within.tags for b in found], [b.within.names for b in found]
-        out[:, 9] = [held[b.within.outermost] if b.within.outermost else 0 for b in found] / words.sum()
+        out[:, 6:9] = [(b.within.main, b.within.tags, b.within.names) for b in found]
+        # a side part's share may be next to nothing on a long page, which isn't the same as none
+        out[:, 9] = [held[b.within.outermost] / words.sum() if b.within.outermost else -1 for b in found]
         out[:, 10] = [b.heading for b in found]
     return out
 
@@ -200,15 +266,17 @@ def sample_page(r: random.Random) -> str:
         return one(advert(), box(("div class=newsletter-signup", "div class=share-bar", "aside", "div class=related", "form"), one(f"<p>{say('-', 4, 20)}</p>", links(2, 5))), f"<ul>{''.join(f'<li><a href=/{i}>{say(chr(45), 2, 7)}</a></li>' for i in range(r.randint(3, 6)))}</ul>")
 
     semantic = r.random() < 0.75
-    body = [f"<h1>{say('+', 2, 12)}</h1>"] + [paragraph() for _ in range(r.randint(1, 12))] + [f"<p>{say('+', 12, 90)}</p>"]
-    for _ in range(r.choice((0, 0, 0, 1, 1, 2))):
+    body = [f"<h1>{say('+', 2, 12)}</h1>"] + [paragraph() for _ in range(r.randint(1, 12))] + [one(f"<p>{say('+', 12, 90)}</p>", f"<p>{say('+', 12, 90)}</p>", f"<p>{say('+', 1, 9)}</p>")]
+    if r.random() < 0.1:  # a page with hardly any article
+        body = [body[0], f"<p>{say('+', 2, 25)}</p>", paragraph()][: r.randint(2, 3)]
+    for _ in range(r.choice((0, 0, 0, 1, 1, 2)) if len(body) > 3 else 0):
         body.insert(r.randint(2, len(body) - 1), inset())
     ends = [comments()] if r.random() < 0.4 else []
     ends += [box(("footer", "div class=tags"), f"<p>{say('-', 2, 8)}</p>")] if semantic and r.random() < 0.3 else []
     if semantic:
         article = box(("article", "main", "article class='post share-enabled'", "main id=content", "article class='entry comments-open related-on'", "article class='post notice legal'"), "".join(body + (ends if r.random() < 0.5 else [])))
     else:
-        article = box(("div", "div class=content", "div id=story", "div class='post share-enabled'", "td"), "".join(body))
+        article = box(("div", "div class=content", "div id=story", "div class='post share-enabled'", "td", "div class='post tag-comments tags'", "section class='privacy legal'"), "".join(body))
     side = box(("aside", "div class=sidebar", "div id=rail"), f"<h3>{say('-', 1, 3)}</h3>" + one(f"<p>{say('-', 10, 60)}</p>", links())) if r.random() < 0.4 else ""
     top = [box(("nav", "div class=menu", "div", "header", "table"), links())]
     top += [box(("header", "div class=masthead"), f"<p>{say('-', 2, 9)}</p>")] if r.random() < 0.3 else []
@@ -220,12 +288,18 @@ def sample_page(r: random.Random) -> str:
     bottom += [box(("footer", "footer", "div class=footer", "div class=copyright"), f"{say('-', 2, 25)}" + one("", f" <a href=/i>{say('', 1, 2)}</a>"))] if r.random() < 0.8 else []
     if r.random() < 0.3:
         top, bottom = [*top, side], bottom[1:]
+    lone = lambda: box(("div", "p", "span", "td"), f"<a href=/>{say('-', 1, 3)}</a>")
+    top += [lone()] if r.random() < 0.25 else []
+    bottom += [lone()] if r.random() < 0.25 else []
+    bottom += [box(("p", "div", "td", "font"), f"{say('-', 2, 9)} <a href=/i>{say('', 1, 2)}</a>")] if r.random() < 0.15 else []
+    if r.random() < 0.1:  # cut behind the article
+        bottom = []
     page = "".join(top) + article + "".join(bottom)
     return one("{}", "{}", "<div class='page has-sidebar'>{}</div>", "<form id=page>{}</form>", "<body class='single comments-open'>{}</body>").format(page)
 
 
-#: Pages of the labelled table: about 1,700 blocks.
-PAGES = 80
+#: Pages of the labelled table: about 6,200 blocks.
+PAGES = 300
 
 
 class Node(NamedTuple):
@@ -236,7 +310,7 @@ class Node(NamedTuple):
     keep: float
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 10, leaf: int = 3) -> Node:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 10, leaf: int = 6) -> Node:
     """A binary tree by Gini impurity; a leaf has leaf rows at least; ties take the first feature and the lowest threshold."""
     share, n = float(y.mean()), len(y)
     best = (share * (1 - share) * n - 1e-9, -1, 0.0)
