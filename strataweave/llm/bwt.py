@@ -7,15 +7,17 @@ Every byte goes that a 100-byte string covers which also starts earlier.  The st
    hash range; runs whose anchor occurs once hold no repeated window.
 2. The other runs' strings, each its windows with nothing around them, go to the task of their anchor.  Equal strings
    are told apart by one of them, the first; the others are repeats as a whole.
-3. What remains, distinct strings whose anchor has others, is cut into shards.  A shard is sorted alone and gives a
-   Burrows-Wheeler transform, whose symbols are the eight bytes before a rotation, ranked.  The shards' transforms are
+3. What remains, distinct strings whose anchor has others, is cut into shards by document, at least four where there are
+   as many documents.  A shard is sorted alone and gives a Burrows-Wheeler transform, whose symbols are the eight bytes before a rotation, ranked.  The shards' transforms are
    merged by refining an interleave: it starts with the shards one after the other, and each round stably sorts it by
    the symbols that its shards supply in turn, after which it is the order by eight more bytes.  Where symbols or
    former groups differ, a group ends; so after 12 rounds and one of four bytes the groups are the intervals with a
    common prefix of 100 bytes.  No suffixes of two shards are ever compared.  In each interval, all windows but the
    first are repeats.  Of documents with equal texts, only the first takes part: the others go as a whole.
-4. An anchor with very many runs, as of a passage in a third of all documents, isn't gathered in one task: its windows
-   go one by one to the tasks of their own hashes, and equal ones are combined before they leave.
+4. An anchor with very many runs, as of a passage in a third of all documents, isn't gathered in one task: its strings
+   go to the tasks of their own hashes, where equal ones are told apart, and the distinct ones then join the others in
+   step 3.  Only where an anchor has very many distinct strings, their windows go one by one to the tasks of their own
+   hashes instead.
 """
 
 from __future__ import annotations
@@ -35,14 +37,18 @@ from .common import BASE, BYTE_HASH, LAST_ID, cut, edges_of, flat_bytes, hot_joi
 
 WINDOW = 100
 ANCHOR = 48
-#: Occurrences of an anchor beyond which its windows are spread.
+#: Occurrences of an anchor beyond which its strings are told apart in tasks of their own hashes first.
 HOT = 2000
-SHARD_BYTES = 1 << 18
+#: Distinct strings of such an anchor beyond which their windows are spread, so that no merge holds more than about 1.5 MB of one anchor.
+MANY = 10_000
+#: Symbols of a shard, and the least number of shards in a merge of so many strings.
+SHARD_BYTES = 1 << 16
+SHARDS = 4
 #: Symbols that one merge holds.
 MERGE_BYTES = 2 << 20
 BUCKET_BYTES = 4 << 20
 CHUNK = 1_500_000
-#: The same where hot anchors' windows stand one by one.
+#: The same where windows stand one by one.
 STRING_CHUNK = 500_000
 #: Windows of a text that are worked on at a time; their places fit into _PLACE.
 STRETCH = 1 << 22
@@ -153,7 +159,7 @@ def _counted(hot: int):
 
 
 def _flagged(group: pa.Table) -> pa.Table:
-    """(doc_id, h, g, flags) of each document with a run whose anchor is met again: a byte for each of its runs."""
+    """(doc_id, h, g, flags, hot) of each document with a run whose anchor is met again: a byte for each of its runs."""
     known, bucket, a, b = (group[c].to_pylist() for c in ("known", "bucket", "a", "b"))
     me = known.index(True)
     n, k = np.frombuffer(a[me], np.int64, 2)
@@ -168,7 +174,7 @@ def _flagged(group: pa.Table) -> pa.Table:
     mine = state[place]
     ends = np.cumsum(rows)
     out = [(i, x, y, mine[e - r : e].tobytes()) for i, x, y, e, r in zip(ids.tolist(), hashes.tolist(), others.tolist(), ends.tolist(), rows.tolist(), strict=True) if r and mine[e - r : e].any()]
-    return pa.table([*[pa.array([x[i] for x in out], pa.int64()) for i in range(3)], _binary([x[3] for x in out])], names=["doc_id", "h", "g", "flags"])
+    return pa.table([*[pa.array([x[i] for x in out], pa.int64()) for i in range(3)], _binary([x[3] for x in out]), pa.array([2 in x[3] for x in out], pa.bool_())], names=["doc_id", "h", "g", "flags", "hot"])
 
 
 # --- shards -------------------------------------------------------------------------------------------------------
@@ -224,6 +230,14 @@ def merge(rounds: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     return shard, group
 
 
+def shard_cuts(size: np.ndarray, shard_bytes: int = SHARD_BYTES) -> np.ndarray:
+    """Where shards of about shard_bytes begin among strings, and the end: SHARDS of them at least, if there are as many strings."""
+    total = int(size.sum())
+    least = [len(size) * i // SHARDS for i in range(SHARDS)]
+    cuts = least if total <= SHARDS * shard_bytes else np.searchsorted(np.cumsum(size), np.arange(0, total, shard_bytes))
+    return np.append(np.unique(cuts), len(size))
+
+
 def repeats(data: np.ndarray, size: np.ndarray, windows: np.ndarray, doc: np.ndarray, start: np.ndarray, shard_bytes: int = SHARD_BYTES, depth: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """(string, window) of all windows of several strings that also start earlier, by document and start."""
     ends = np.cumsum(size)
@@ -234,8 +248,7 @@ def repeats(data: np.ndarray, size: np.ndarray, windows: np.ndarray, doc: np.nda
         key = key << np.uint64(8) | data[ahead(i)].astype(np.uint64)
     rank8, rank4 = _ranked(key), _ranked(key >> np.uint64(32))
     before8, before4 = rank8[ahead(-8)], rank4[ahead(-4)]
-    cuts = np.searchsorted(ends, np.arange(0, int(ends[-1]), shard_bytes))
-    cuts = np.append(np.unique(cuts), len(size))
+    cuts = shard_cuts(size, shard_bytes)
     places = []
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         places.append(shard_order(rank8[begin[a] : ends[b - 1]], begin[a:b] - begin[a], size[a:b]) + begin[a])
@@ -267,34 +280,23 @@ def _gather(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray
     return data[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - ends + size, size)]
 
 
-def window_hashes(data: np.ndarray, begin: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """A hash of the window at each place."""
+def window_hashes(data: np.ndarray, begin: np.ndarray, window: int | np.ndarray = WINDOW) -> np.ndarray:
+    """A hash of the window, or of as many bytes as window says, at each place."""
     if not len(begin):
         return np.zeros(0, np.uint64)
-    if len(data) > STRETCH + window:  # begin is ascending
+    window = np.broadcast_to(window, len(begin))
+    widest = int(window.max())
+    if len(data) > STRETCH + widest:  # begin is ascending
         parts = []
         for a in range(0, len(data), STRETCH):
-            mine = begin[slice(*np.searchsorted(begin, [a, a + STRETCH]))]
-            parts.append(window_hashes(data[a : a + STRETCH + window - 1], mine - a, window))
+            mine = slice(*np.searchsorted(begin, [a, a + STRETCH]))
+            parts.append(window_hashes(data[a : a + STRETCH + widest - 1], begin[mine] - a, window[mine]))
         return np.concatenate(parts)
     up, down = _powers(1 << max(21, (len(data) + 1).bit_length()))
     h = np.append(np.uint64(0), np.cumsum(BYTE_HASH[data] * up[: len(data)], dtype=np.uint64))
     return mix((h[begin + window] - h[begin]) * down[begin])
 
 
-def _equal_windows(data: np.ndarray, begin: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """A number for each window, equal for equal ones: those of one hash are compared with the first of it, some at a time."""
-    if not len(begin):
-        return np.zeros(0, np.int64)
-    _, one, code = np.unique(keys, return_index=True, return_inverse=True)
-    step = np.arange(WINDOW)
-    for i in range(0, len(begin), 20_000):
-        mine, other = begin[i : i + 20_000], begin[one[code[i : i + 20_000]]]
-        odd = np.flatnonzero((data[mine[:, None] + step] != data[other[:, None] + step]).any(axis=1))
-        code[i + odd] = len(one) + i + odd
-    return code
-
-
 def _first(code: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
     """For each string, the place of the earliest that equals it."""
     order = np.lexsort((start, doc, code))
@@ -306,89 +308,124 @@ def _first(code: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
 
 #: Windows of a copy: all that its text has.
 WHOLE = -1
-NAMES = ["bucket", "meta", "data"]
+#: Of a bucket: its strings' key, document, text hash, start and windows; the same but the key of windows known to be repeats; bytes.
+PACKED = "bucket int, meta binary, gone binary, data binary"
+NAMES = ["bucket", "meta", "gone", "data"]
 REMOVED = "doc_id long, h long, start long, n long"
+DISTINCT = "key long, doc_id long, h long, start long, n long, data binary"
 
 
-def _strings(buckets: int):
-    """For each bucket: its strings, with anchor, document, start and windows; in bucket -1, windows known to be repeats.
+def _packed(route: np.ndarray, keys: np.ndarray, places: np.ndarray, code: np.ndarray, data: np.ndarray, begin: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Strings of data, one row for each bucket of the hashes in route; places has document, text hash, start and windows of each.
 
-    Equal strings of a chunk leave as one.
+    Equal strings, those of one code, leave as the first of them.  A bucket's row has all that is known of its strings,
+    so that it is whole whichever attempt of a task it comes from.
     """
+    if not len(begin):
+        return
+    doc, text, at, windows = places
+    size = windows + WINDOW - 1
+    first = _first(code, doc, at)
+    mine = first == np.arange(len(first))
+    later = ~mine & ((doc != doc[first]) | (at != at[first]))
+    bucket = ((route >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    present, edges = edges_of(bucket[order])
+    out: tuple[list, ...] = ([], [], [], [])
+    for b, x, y in zip(present.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        all_of = order[x:y]
+        k, gone = all_of[mine[all_of]], all_of[later[all_of]]
+        meta = np.stack([keys[k].view(np.int64), doc[k], text[k], at[k], windows[k]])
+        row = b, meta.tobytes(), np.stack([doc[gone], text[gone], at[gone], windows[gone]]).tobytes(), _gather(data, begin[k], size[k]).tobytes()
+        for column, value in zip(out, row, strict=True):
+            column.append(value)
+    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[_binary(x) for x in out[1:]]], names=NAMES)
+
+
+def _strings(buckets: int, flag: int):
+    """The strings of runs with this flag: those of 1 go to their anchor's bucket, those of 2 to their own hash's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, batch in enumerate(text_chunks(batches, limit=STRING_CHUNK)):
+        for batch in text_chunks(batches, limit=STRING_CHUNK):
             data, offsets = flat_bytes(batch.column("text"))
             start, n, h = runs(data, offsets)
-            flag = np.frombuffer(b"".join(batch.column("flags").to_pylist()), np.uint8)
-            plain, hot = np.flatnonzero(flag == 1), np.flatnonzero(flag == 2)
-            # hot anchors' windows go one by one
-            each = np.repeat(hot, n[hot])
-            single = start[each] + np.arange(len(each)) - np.repeat(np.cumsum(n[hot]) - n[hot], n[hot])
-            begin = np.concatenate([start[plain], single])
-            windows = np.concatenate([n[plain], np.ones(len(single), np.int64)])
-            size = windows + WINDOW - 1
-            if not len(begin):
-                continue
+            mine = np.flatnonzero(np.frombuffer(b"".join(batch.column("flags").to_pylist()), np.uint8) == flag)
+            begin, windows, h = start[mine], n[mine], h[mine]
             row = np.searchsorted(offsets, begin, side="right") - 1
-            doc, text = np.asarray(batch.column("doc_id"))[row], np.asarray(batch.column("h"))[row]
-            at = begin - offsets[row]
-            keys = np.concatenate([h[plain], window_hashes(data, single)])
-            code = np.concatenate([_dictionary(data, begin[: len(plain)], size[: len(plain)]), len(plain) + _equal_windows(data, single, keys[len(plain) :])])
-            first = _first(code, doc, at)
-            mine = first == np.arange(len(first))
-            later = ~mine & ((doc != doc[first]) | (at != at[first]))
-            gone = np.stack([doc[later], text[later], at[later], windows[later]])
-            keep = np.flatnonzero(mine)
-            bucket = ((keys[keep] >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            keep, bucket = keep[order], bucket[order]
-            present, edges = edges_of(bucket)
-            out = ([_chunk(number) % buckets], [gone.astype(np.int64).tobytes()], [None])
-            for b, x, y in zip(present.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                k = keep[x:y]
-                meta = np.stack([keys[k].view(np.int64), doc[k], text[k], at[k], windows[k]])
-                for column, value in zip(out, (b, meta.tobytes(), _gather(data, begin[k], size[k]).tobytes()), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), _binary(out[1]), _binary(out[2])], names=NAMES)
+            places = np.stack([np.asarray(batch.column("doc_id"))[row], np.asarray(batch.column("h"))[row], begin - offsets[row], windows])
+            size = windows + WINDOW - 1
+            code = _dictionary(data, begin, size)
+            yield from _packed(h if flag == 1 else window_hashes(data, begin, size), h, places, code, data, begin, buckets)
+
+    return run
+
+
+def _unpacked(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A bucket's strings (key, document, text hash, start, windows; bytes), the place of the first equal one, and what is gone."""
+    metas, gone = group["meta"].to_pylist(), group["gone"].to_pylist()
+    meta = np.concatenate([np.frombuffer(m, np.int64).reshape(5, -1) for m in metas], axis=1)
+    data = np.frombuffer(b"".join(group["data"].to_pylist()), np.uint8)
+    size = meta[4] + WINDOW - 1
+    first = _first(_dictionary(data, np.cumsum(size) - size, size), meta[1], meta[3])
+    later = (first != np.arange(len(first))) & ((meta[1] != meta[1, first]) | (meta[3] != meta[3, first]))
+    return meta, data, first, np.concatenate([*[np.frombuffer(g, np.int64).reshape(4, -1) for g in gone], meta[1:, later]], axis=1)
+
+
+def _distinct(group: pa.Table) -> pa.Table:
+    """A bucket's distinct strings, with their anchor as key; without data and key, what is gone."""
+    meta, data, first, gone = _unpacked(group)
+    size = meta[4] + WINDOW - 1
+    begin = np.cumsum(size) - size
+    keep = np.flatnonzero(first == np.arange(len(first)))
+    rows = np.concatenate([meta[:, keep], np.concatenate([np.zeros((1, gone.shape[1]), np.int64), gone])], axis=1)
+    texts = [data[b : b + n].tobytes() for b, n in zip(begin[keep].tolist(), size[keep].tolist(), strict=True)] + [None] * gone.shape[1]
+    return pa.table([*[pa.array(x) for x in rows], _binary(texts)], names=["key", "doc_id", "h", "start", "n", "data"])
+
+
+def _again(buckets: int, windows_apart: bool):
+    """Distinct strings, packed for their anchors' buckets, or their windows one by one for those of their own hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_chunks(batches, "data", limit=STRING_CHUNK):
+            data, offsets = flat_bytes(batch.column("data"))
+            key, doc, text, at, n = (np.asarray(batch.column(c)) for c in ("key", "doc_id", "h", "start", "n"))
+            begin, h = offsets[:-1], key.view(np.uint64)
+            if windows_apart:
+                inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                begin, doc, text, at = np.repeat(begin, n) + inside, np.repeat(doc, n), np.repeat(text, n), np.repeat(at, n) + inside
+                n, h = np.ones(len(begin), np.int64), window_hashes(data, begin)
+            yield from _packed(h, h, np.stack([doc, text, at, n]), _dictionary(data, begin, n + WINDOW - 1), data, begin, buckets)
 
     return run
 
 
 def _merged(group: pa.Table) -> pa.Table:
     """(doc_id, h, start, n): n windows from start on that also start earlier."""
-    metas, datas = group["meta"].to_pylist(), group["data"].to_pylist()
-    out = [np.frombuffer(m, np.int64).reshape(4, -1) for m, d in zip(metas, datas, strict=True) if d is None]
-    parts = [np.frombuffer(m, np.int64).reshape(5, -1) for m, d in zip(metas, datas, strict=True) if d is not None]
-    if parts:
-        key, doc, text, start, windows = np.concatenate(parts, axis=1)
-        data = np.frombuffer(b"".join(d for d in datas if d is not None), np.uint8)
-        size = windows + WINDOW - 1
-        begin = np.cumsum(size) - size
-        first = _first(_dictionary(data, begin, size), doc, start)
-        mine = first == np.arange(len(first))
-        later = ~mine & ((doc != doc[first]) | (start != start[first]))
-        out.append(np.stack([doc[later], text[later], start[later], windows[later]]))
-        # a string alone under its anchor shares no window
-        keep = np.flatnonzero(mine)
-        keep = keep[np.argsort(key[keep], kind="stable")]
-        same = key[keep][1:] == key[keep][:-1]
-        keep = keep[np.append(False, same) | np.append(same, False)] if len(keep) else keep
-        done = 0
-        while done < len(keep):
-            ends = np.cumsum(size[keep[done:]])
-            stop = done + max(int(np.searchsorted(ends, MERGE_BYTES, side="right")), 1)
-            while stop < len(keep) and key[keep[stop]] == key[keep[stop - 1]]:
-                stop += 1
-            k = keep[done:stop]
-            string, offset = repeats(_gather(data, begin[k], size[k]), size[k], windows[k], doc[k], start[k])
-            order = np.lexsort((offset, string))
-            string, offset = string[order], offset[order]
-            fresh = np.flatnonzero(np.append(True, (string[1:] != string[:-1]) | (offset[1:] != offset[:-1] + 1))) if len(string) else string
-            n = np.diff(np.append(fresh, len(string)))
-            s = k[string[fresh]]
-            out.append(np.stack([doc[s], text[s], start[s] + offset[fresh], n]))
-            done = stop
+    (key, doc, text, start, windows), data, first, gone = _unpacked(group)
+    out = [gone]
+    size = windows + WINDOW - 1
+    begin = np.cumsum(size) - size
+    # a string alone under its anchor shares no window
+    keep = np.flatnonzero(first == np.arange(len(first)))
+    keep = keep[np.argsort(key[keep], kind="stable")]
+    same = key[keep][1:] == key[keep][:-1]
+    keep = keep[np.append(False, same) | np.append(same, False)] if len(keep) else keep
+    done = 0
+    while done < len(keep):
+        ends = np.cumsum(size[keep[done:]])
+        stop = done + max(int(np.searchsorted(ends, MERGE_BYTES, side="right")), 1)
+        while stop < len(keep) and key[keep[stop]] == key[keep[stop - 1]]:
+            stop += 1
+        k = keep[done:stop]
+        k = k[np.argsort(doc[k], kind="stable")]  # so that shards are of documents, and an anchor's strings in several
+        string, offset = repeats(_gather(data, begin[k], size[k]), size[k], windows[k], doc[k], start[k])
+        order = np.lexsort((offset, string))
+        string, offset = string[order], offset[order]
+        fresh = np.flatnonzero(np.append(True, (string[1:] != string[:-1]) | (offset[1:] != offset[:-1] + 1))) if len(string) else string
+        n = np.diff(np.append(fresh, len(string)))
+        s = k[string[fresh]]
+        out.append(np.stack([doc[s], text[s], start[s] + offset[fresh], n]))
+        done = stop
     rows = np.concatenate([*out, np.zeros((4, 0), np.int64)], axis=1)
     return pa.table([pa.array(x) for x in rows], names=["doc_id", "h", "start", "n"])
 
@@ -403,7 +440,7 @@ def spans(starts: np.ndarray, n: np.ndarray, total: int, window: int = WINDOW) -
     return a[fresh], reach[np.append(np.flatnonzero(fresh)[1:] - 1, len(a) - 1)]
 
 
-def repeated_windows(docs: DataFrame, hot: int = HOT, buckets: int | None = None) -> DataFrame:
+def repeated_windows(docs: DataFrame, hot: int = HOT, many: int = MANY, buckets: int | None = None) -> DataFrame:
     """(doc_id, h, start, n): windows that also start earlier; n is WHOLE for all of a text.
 
     docs has doc_id, text and two hashes of the text, h and g, none null.
@@ -411,13 +448,28 @@ def repeated_windows(docs: DataFrame, hot: int = HOT, buckets: int | None = None
     buckets = buckets or max(64, math.ceil(input_bytes(docs) / BUCKET_BYTES))
     asked = docs.mapInArrow(_asking(buckets), "bucket int, chunk long, known boolean, a binary, b binary")
     counted = asked.groupBy("bucket").applyInArrow(_counted(hot), "chunk long, bucket int, known boolean, a binary, b binary")
-    flagged = cut(counted.groupBy("chunk").applyInArrow(_flagged, "doc_id long, h long, g long, flags binary").groupBy("doc_id", "h").agg(F.first("g").alias("g"), F.first("flags").alias("flags")))
+    found = counted.groupBy("chunk").applyInArrow(_flagged, "doc_id long, h long, g long, flags binary, hot boolean")
+    flagged = cut(found.groupBy("doc_id", "h").agg(*[F.first(c).alias(c) for c in ("g", "flags", "hot")]))
     firsts = flagged.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.count("*").alias("c"))
     # a text alone, or the first of equal ones
-    lead = flagged.join(firsts.select(F.col("first").alias("doc_id"), "h", "g"), ["doc_id", "h", "g"], "left_semi").select("doc_id", "h", "flags")
+    lead = flagged.join(firsts.select(F.col("first").alias("doc_id"), "h", "g"), ["doc_id", "h", "g"], "left_semi").select("doc_id", "h", "flags", "hot")
     copies = hot_join(flagged.select("doc_id", "h", "g"), firsts.where("c > 1"), ["h", "g"], "c").where("doc_id <> first").select("doc_id", "h", F.lit(0).cast("long").alias("start"), F.lit(WHOLE).cast("long").alias("n"))
-    strings = docs.select("doc_id", "text", "h").join(lead, ["doc_id", "h"]).select("doc_id", "h", "text", "flags").mapInArrow(_strings(buckets), "bucket int, meta binary, data binary")
-    return strings.groupBy("bucket").applyInArrow(_merged, REMOVED).union(copies)
+
+    def strings(some: DataFrame, flag: int) -> DataFrame:
+        return docs.select("doc_id", "text", "h").join(some, ["doc_id", "h"]).select("doc_id", "h", "text", "flags").mapInArrow(_strings(buckets, flag), PACKED)
+
+    plain = strings(lead, 1)
+    if flagged.where("hot").isEmpty():
+        return plain.groupBy("bucket").applyInArrow(_merged, REMOVED).union(copies)
+    told = cut(strings(lead.where("hot"), 2).groupBy("bucket").applyInArrow(_distinct, DISTINCT))
+    alone = told.where("data is not null")
+    crowded = cut(alone.groupBy("key").count().where(F.col("count") > many).select("key"))
+    small = crowded.count() <= 1 << 20  # 8 MB of keys, as many as their strings by MANY
+    crowded = F.broadcast(crowded) if small else crowded
+    few = alone.join(crowded, "key", "left_anti").mapInArrow(_again(buckets, False), PACKED)
+    lots = alone.join(crowded, "key", "left_semi").mapInArrow(_again(buckets, True), PACKED)
+    removed = plain.union(few).union(lots).groupBy("bucket").applyInArrow(_merged, REMOVED)
+    return removed.union(told.where("data is null").select("doc_id", "h", "start", "n")).union(copies)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:

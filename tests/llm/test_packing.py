@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,3 +55,28 @@ def test_copies_dealt(llm, monkeypatch):
     monkeypatch.setattr(common, "HOT_ROWS", 7)
     assert sorted(map(tuple, bwt.removed_bytes(df).collect()), key=str) == plain
     assert [x[0] for x in plain if x[0] is not None and x[0] >= 100 and x[2] == x[1] == 300] == list(range(101, 160))
+
+
+def test_merges_have_several_shards(llm, monkeypatch):
+    """On a whole table every merge takes the transforms of at least two shards, and an anchor's strings come from several."""
+    df = llm.createDataFrame(rows(5), SCHEMA).where("doc_id is not null and text is not null").withColumn("h", F.xxhash64("text")).withColumn("g", F.xxhash64(F.lit(1), "text"))
+    seen, across, merge = [], [], bwt.merge
+
+    def counting(rounds):
+        shard, group = merge(rounds)
+        seen.append(len(rounds[0]))
+        across.append(any(len(np.unique(shard[group == g])) > 1 for g in np.flatnonzero(np.bincount(group) > 1)[:200]))
+        return shard, group
+
+    monkeypatch.setattr(bwt, "merge", counting)
+    table = df.select("doc_id", "text", "h", "g").toArrow().combine_chunks().to_batches()[0]
+    data, offsets = bwt.flat_bytes(table.column("text"))
+    start, _, h = bwt.runs(data, offsets)
+    _, place, count = np.unique(h, return_inverse=True, return_counts=True)
+    per = np.diff(np.searchsorted(start, offsets))
+    ends = np.cumsum(per)
+    flags = (count[place] > 1).astype(np.uint8)
+    batch = table.append_column("flags", bwt._binary([flags[e - n : e].tobytes() for e, n in zip(ends, per, strict=True)]))
+    for x in bwt._strings(1, 1)(iter([batch])):
+        bwt._merged(pa.Table.from_batches([x]))
+    assert seen and min(seen) >= 2 and any(across)

@@ -326,8 +326,8 @@ def brute_removed(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot", [2000, 2])
-def test_suffix_array_dedup(llm, hot):
+@pytest.mark.parametrize("hot,many", [(2000, 10_000), (2, 10_000), (2, 3)])
+def test_suffix_array_dedup(llm, hot, many):
     r = random.Random(4)
     base = "".join(r.choice("abcdé ") for _ in range(900))
     rows = []
@@ -338,9 +338,9 @@ def test_suffix_array_dedup(llm, hot):
             t += base[a : a + r.randrange(20, 300)] + r.choice(["", "x", "é"])
         rows.append((i, t))
     rows += [(60, "a" * 500), (61, "ab" * 200), (62, None), (63, ""), (64, "a" * 99), (65, rows[3][1]), (65, rows[3][1]), (66, "b" * 100)]
-    got = sorted(tuple(x) for x in bwt.removed_bytes(docs(llm, rows), hot=hot).collect())
+    got = sorted(tuple(x) for x in bwt.removed_bytes(docs(llm, rows), hot=hot, many=many).collect())
     assert got == brute_removed(rows)
-    kept = bwt.kept_text(docs(llm, rows), hot=hot)
+    kept = bwt.kept_text(docs(llm, rows), hot=hot, many=many)
     by = {x[0]: x for x in got}
     for x in kept.collect():
         n = len((x["text"] or "").encode())
