@@ -311,8 +311,10 @@ WHOLE = -1
 #: Of a bucket: its strings' key, document, text hash, start and windows; the same but the key of windows known to be repeats; bytes.
 PACKED = "bucket int, meta binary, gone binary, data binary"
 NAMES = ["bucket", "meta", "gone", "data"]
-REMOVED = "doc_id long, h long, start long, n long"
-DISTINCT = "key long, doc_id long, h long, start long, n long, data binary"
+#: Of a bucket of documents: document, text hash, start and windows of what is known to be repeats.
+GONE = "part int, gone binary"
+REMOVED = "doc_id long, h long, at array<long>"
+DISTINCT = "key long, doc_id long, h long, start long, n long, data binary, " + GONE
 
 
 def _packed(route: np.ndarray, keys: np.ndarray, places: np.ndarray, code: np.ndarray, data: np.ndarray, begin: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -371,15 +373,41 @@ def _unpacked(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return meta, data, first, np.concatenate([*[np.frombuffer(g, np.int64).reshape(4, -1) for g in gone], meta[1:, later]], axis=1)
 
 
-def _distinct(group: pa.Table) -> pa.Table:
-    """A bucket's distinct strings, with their anchor as key; without data and key, what is gone."""
-    meta, data, first, gone = _unpacked(group)
-    size = meta[4] + WINDOW - 1
-    begin = np.cumsum(size) - size
-    keep = np.flatnonzero(first == np.arange(len(first)))
-    rows = np.concatenate([meta[:, keep], np.concatenate([np.zeros((1, gone.shape[1]), np.int64), gone])], axis=1)
-    texts = [data[b : b + n].tobytes() for b, n in zip(begin[keep].tolist(), size[keep].tolist(), strict=True)] + [None] * gone.shape[1]
-    return pa.table([*[pa.array(x) for x in rows], _binary(texts)], names=["key", "doc_id", "h", "start", "n", "data"])
+def _by_document(gone: np.ndarray, buckets: int) -> tuple[list[int], list[bytes]]:
+    """What is gone, packed for the buckets of its documents."""
+    part = ((mix(gone[0].view(np.uint64)) >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    present, edges = edges_of(part[order])
+    return present.tolist(), [gone[:, order[x:y]].tobytes() for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+
+
+def _stretches(group: pa.Table) -> pa.Table:
+    """For each document of a bucket, start and windows of what is gone, end to end, neighbours joined."""
+    doc, text, start, n = np.concatenate([np.frombuffer(g, np.int64).reshape(4, -1) for g in group["gone"].to_pylist()], axis=1)
+    order = np.lexsort((start, text, doc))
+    doc, text, start, n = doc[order], text[order], start[order], n[order]
+    other = np.append(True, (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]))
+    fresh = np.flatnonzero(other | np.append(True, start[1:] != start[:-1] + n[:-1]))
+    at = np.stack([start[fresh], np.add.reduceat(n, fresh)], axis=1).reshape(-1)
+    lead = np.flatnonzero(other)
+    offsets = np.append(2 * np.searchsorted(fresh, lead), len(at)).astype(np.int32)
+    return pa.table([pa.array(doc[lead]), pa.array(text[lead]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(at))], names=["doc_id", "h", "at"])
+
+
+def _distinct(buckets: int):
+    def run(group: pa.Table) -> pa.Table:
+        """A bucket's distinct strings, with their anchor as key, and what is gone."""
+        meta, data, first, gone = _unpacked(group)
+        size = meta[4] + WINDOW - 1
+        begin = np.cumsum(size) - size
+        keep = np.flatnonzero(first == np.arange(len(first)))
+        texts = [data[b : b + n].tobytes() for b, n in zip(begin[keep].tolist(), size[keep].tolist(), strict=True)]
+        parts, packed = _by_document(gone, buckets)
+        none = [None] * len(parts)
+        numbers = [pa.array(x[keep].tolist() + none, pa.int64()) for x in meta]
+        return pa.table([*numbers, _binary(texts + none), pa.array([None] * len(keep) + parts, pa.int32()), _binary([None] * len(keep) + packed)], names=["key", "doc_id", "h", "start", "n", "data", "part", "gone"])
+
+    return run
 
 
 def _again(buckets: int, windows_apart: bool):
@@ -399,8 +427,8 @@ def _again(buckets: int, windows_apart: bool):
     return run
 
 
-def _merged(group: pa.Table) -> pa.Table:
-    """(doc_id, h, start, n): n windows from start on that also start earlier."""
+def _merged(group: pa.Table) -> np.ndarray:
+    """Document, text hash, start and windows of what also starts earlier."""
     (key, doc, text, start, windows), data, first, gone = _unpacked(group)
     out = [gone]
     size = windows + WINDOW - 1
@@ -426,8 +454,15 @@ def _merged(group: pa.Table) -> pa.Table:
         s = k[string[fresh]]
         out.append(np.stack([doc[s], text[s], start[s] + offset[fresh], n]))
         done = stop
-    rows = np.concatenate([*out, np.zeros((4, 0), np.int64)], axis=1)
-    return pa.table([pa.array(x) for x in rows], names=["doc_id", "h", "start", "n"])
+    return np.concatenate(out, axis=1)
+
+
+def _packed_repeats(buckets: int):
+    def run(group: pa.Table) -> pa.Table:
+        parts, packed = _by_document(_merged(group), buckets)
+        return pa.table([pa.array(parts, pa.int32()), _binary(packed)], names=["part", "gone"])
+
+    return run
 
 
 def spans(starts: np.ndarray, n: np.ndarray, total: int, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -441,9 +476,9 @@ def spans(starts: np.ndarray, n: np.ndarray, total: int, window: int = WINDOW) -
 
 
 def repeated_windows(docs: DataFrame, hot: int = HOT, many: int = MANY, buckets: int | None = None) -> DataFrame:
-    """(doc_id, h, start, n): windows that also start earlier; n is WHOLE for all of a text.
+    """(doc_id, h, at): windows that also start earlier, start and number end to end; a number is WHOLE for all of a text.
 
-    docs has doc_id, text and two hashes of the text, h and g, none null.
+    A document without any has no row.  docs has doc_id, text and two hashes of the text, h and g, none null.
     """
     buckets = buckets or max(64, math.ceil(input_bytes(docs) / BUCKET_BYTES))
     asked = docs.mapInArrow(_asking(buckets), "bucket int, chunk long, known boolean, a binary, b binary")
@@ -453,23 +488,26 @@ def repeated_windows(docs: DataFrame, hot: int = HOT, many: int = MANY, buckets:
     firsts = flagged.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.count("*").alias("c"))
     # a text alone, or the first of equal ones
     lead = flagged.join(firsts.select(F.col("first").alias("doc_id"), "h", "g"), ["doc_id", "h", "g"], "left_semi").select("doc_id", "h", "flags", "hot")
-    copies = hot_join(flagged.select("doc_id", "h", "g"), firsts.where("c > 1"), ["h", "g"], "c").where("doc_id <> first").select("doc_id", "h", F.lit(0).cast("long").alias("start"), F.lit(WHOLE).cast("long").alias("n"))
+    copies = hot_join(flagged.select("doc_id", "h", "g"), firsts.where("c > 1"), ["h", "g"], "c").where("doc_id <> first").select("doc_id", "h", F.array(F.lit(0).cast("long"), F.lit(WHOLE).cast("long")).alias("at"))
 
     def strings(some: DataFrame, flag: int) -> DataFrame:
         return docs.select("doc_id", "text", "h").join(some, ["doc_id", "h"]).select("doc_id", "h", "text", "flags").mapInArrow(_strings(buckets, flag), PACKED)
 
+    def listed(packed: DataFrame) -> DataFrame:
+        return packed.groupBy("part").applyInArrow(_stretches, REMOVED).union(copies)
+
     plain = strings(lead, 1)
     if flagged.where("hot").isEmpty():
-        return plain.groupBy("bucket").applyInArrow(_merged, REMOVED).union(copies)
-    told = cut(strings(lead.where("hot"), 2).groupBy("bucket").applyInArrow(_distinct, DISTINCT))
+        return listed(plain.groupBy("bucket").applyInArrow(_packed_repeats(buckets), GONE))
+    told = cut(strings(lead.where("hot"), 2).groupBy("bucket").applyInArrow(_distinct(buckets), DISTINCT))
     alone = told.where("data is not null")
     crowded = cut(alone.groupBy("key").count().where(F.col("count") > many).select("key"))
     small = crowded.count() <= 1 << 20  # 8 MB of keys, as many as their strings by MANY
     crowded = F.broadcast(crowded) if small else crowded
     few = alone.join(crowded, "key", "left_anti").mapInArrow(_again(buckets, False), PACKED)
     lots = alone.join(crowded, "key", "left_semi").mapInArrow(_again(buckets, True), PACKED)
-    removed = plain.union(few).union(lots).groupBy("bucket").applyInArrow(_merged, REMOVED)
-    return removed.union(told.where("data is null").select("doc_id", "h", "start", "n")).union(copies)
+    removed = plain.union(few).union(lots).groupBy("bucket").applyInArrow(_packed_repeats(buckets), GONE)
+    return listed(removed.union(told.where("data is null").select("part", "gone")))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -479,8 +517,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _with_windows(docs: DataFrame, **options: int) -> DataFrame:
     """docs (doc_id, text, h, others) and at, the repeated windows of each: start and n end to end."""
     removed = repeated_windows(docs.select("doc_id", "text", "h", F.xxhash64(F.lit(1), "text").alias("g")), **options)
-    listed = removed.groupBy("doc_id", "h").agg(F.flatten(F.collect_list(F.array("start", "n"))).alias("at"))
-    return docs.join(listed, ["doc_id", "h"], "left")
+    return docs.join(removed, ["doc_id", "h"], "left")
 
 
 def _pairs(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -552,5 +589,4 @@ def kept_text(docs: DataFrame, **options: int) -> DataFrame:
     text = F.coalesce(text_name, F.lit(""))
     keyed = plain.withColumns({"id": F.coalesce(F.col(names["doc_id"]).cast("long"), F.lit(LAST_ID)), "h": F.xxhash64(text)})
     removed = repeated_windows(keyed.select(F.col("id").alias("doc_id"), text.alias("text"), "h").withColumn("g", F.xxhash64(F.lit(1), "text")), **options)
-    listed = removed.groupBy(F.col("doc_id").alias("id"), "h").agg(F.flatten(F.collect_list(F.array("start", "n"))).alias("at"))
-    return keyed.join(listed, ["id", "h"], "left").select(*kept, "at").mapInArrow(run, plain.schema).toDF(*names)
+    return keyed.join(removed.withColumnRenamed("doc_id", "id"), ["id", "h"], "left").select(*kept, "at").mapInArrow(run, plain.schema).toDF(*names)
