@@ -535,6 +535,8 @@ def removed_bytes(docs: DataFrame, **options: int) -> DataFrame:
 
     A null text is empty.  A null doc_id comes after all others.  Rows repeated with the same doc_id and text are one
     document, and are each answered; with one doc_id and different texts they are one document's starts.
+    Long texts are worked on whole, in stretches; an empty table gives no rows.  Of windows that tie, the one of the
+    smallest doc_id and start stays.  Other columns play no part whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
