@@ -23,8 +23,14 @@ def derive_module(path: Column, prefix: Column) -> Column:
     return F.when(below.contains("/"), F.substring_index(below, "/", 1)).otherwise("root")
 
 
+def decimals(value: Column, digits: int) -> Column:
+    """A number's text with that many digits, rounded by what the double is and not by how it prints: 1.15, which is a
+    little less, to 1.1, and 1.25 to the even 1.2; format_string's %f rounds the printed digits, and halves up."""
+    return F.call_function("format_number", value, F.lit("0." + "0" * digits))
+
+
 def short_number(value: Column) -> Column:
-    return F.when(value >= 1000, F.concat(F.format_string("%.1f", value / 1000.0), F.lit("k"))).otherwise(value.cast("string"))
+    return F.when(value >= 1000, F.concat(decimals(value / 1000.0, 1), F.lit("k"))).otherwise(value.cast("string"))
 
 
 def short_path(path: Column, most: int = 30) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.display import dot_style, heat_color, mermaid_arrow, mermaid_id
+from ..functions.display import decimals, dot_style, heat_color, mermaid_arrow, mermaid_id
 
 
 #: The order of lines: their section, then keys inside it.
@@ -45,7 +45,7 @@ def _linked(signals: DataFrame, section: int, line: Column) -> DataFrame:
 
 
 def _score(c: str) -> Column:
-    return F.format_string("%.2f", c)
+    return decimals(F.col(c), 2)
 
 
 def dot_lines(hotspots: DataFrame, signals: DataFrame) -> DataFrame:
