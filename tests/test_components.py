@@ -122,3 +122,13 @@ def test_relaxation_equals_a_dense_solve(spark):
 def test_zones(spark):
     rows = spark.createDataFrame([(0.5,), (1.0,), (1.5,), (2.0,), (3.0,), (3.1,), (None,)], "s double")
     assert [r[0] for r in rows.select(stress.zone(F.col("s"))).collect()] == ["critical", "danger", "warning", "healthy", "healthy", "over_engineered", "over_engineered"]
+
+
+def test_an_eigenvector_whose_next_value_is_near_takes_few_rounds(spark):
+    """A path of 40 nodes: the two largest eigenvalues differ by a hundredth, so a power iteration takes hundreds of rounds."""
+    path = spark.createDataFrame([(f"p{i:02}", f"p{i + 1:02}", 1.0) for i in range(39)], "source string, target string, weight double")
+    value, x, rounds = spectral.eigenvector(path, 1e-7)
+    want = np.sin(np.arange(1, 41) * np.pi / 41)
+    want /= np.linalg.norm(want)
+    assert rounds <= 25 and abs(value - 2 * np.cos(np.pi / 41)) < 1e-9
+    assert all(abs(r["x"] - want[int(r["id"][1:])]) < 1e-6 for r in x.collect())
