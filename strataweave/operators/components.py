@@ -101,3 +101,25 @@ def strong_components(edges: DataFrame) -> DataFrame:
         labels = cut(labels.union(inner.select("id", "label")).union(fresh.where("id = label")))
     names = labels.groupBy("label").agg(F.min("id").alias("component"), F.count("*").alias("n")).where("n > 1")
     return labels.join(names, "label").select("id", "component")
+
+
+def linked_components(edges: DataFrame) -> DataFrame:
+    """(id, component) of nodes linked in either direction, through others as well; component is the group's least id.
+
+    A round links every node's larger neighbours to its least one, and then every node and its smaller neighbours to the
+    least of these, so the longest path about halves, and there are never more edges than before.  It ends when every node
+    has one smaller neighbour, which has none.  Repeated edges, loops and null ends don't matter.
+    """
+    ends = edges.where("source <> target").select(F.greatest("source", "target").alias("u"), F.least("source", "target").alias("v"))
+    left = cut(ends.distinct())
+    while True:
+        least = left.groupBy(F.col("v").alias("x")).agg(F.min("v").alias("m")).union(left.groupBy("u").agg(F.min("v"))).groupBy("x").agg(F.min("m").alias("m"))
+        # the larger neighbours of a node are those that have it as their smaller end
+        large = left.join(least, left["v"] == least["x"]).select("u", F.col("m").alias("v")).distinct()
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lowest.select("u", "m"))
+        left = cut(small.distinct())
+        # done when each node is under one other, which is under none
+        if left.groupBy("u").count().where("count > 1").isEmpty() and left.join(left.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
+            roots = left.select(F.col("v").alias("id")).distinct()
+            return left.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots.select("id", "id"))

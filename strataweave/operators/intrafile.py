@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import change
-from .components import strong_components
+from .components import linked_components
 from .ranges import innermost
 
 #: Lines of a bucket, in which ranges meet.
@@ -87,7 +87,7 @@ def hidden_couplings(coupled: DataFrame, edges: DataFrame, above: float = 0.5) -
 def clusters(coupled: DataFrame, at_least: float = 0.3) -> DataFrame:
     """(file, id, component): symbols linked by couplings of at_least, by group; symbols with no such link have none."""
     strong = coupled.where(F.col("w") >= at_least).select(F.col("a").alias("source"), F.col("b").alias("target"))
-    groups = strong_components(strong.union(strong.select("target", "source")))
+    groups = linked_components(strong)
     files = coupled.select("file", F.explode(F.array("a", "b")).alias("id")).distinct()
     return files.join(groups, "id").select("file", "id", "component")
 

@@ -132,3 +132,18 @@ def test_an_eigenvector_whose_next_value_is_near_takes_few_rounds(spark):
     want /= np.linalg.norm(want)
     assert rounds <= 25 and abs(value - 2 * np.cos(np.pi / 41)) < 1e-9
     assert all(abs(r["x"] - want[int(r["id"][1:])]) < 1e-6 for r in x.collect())
+
+
+def test_linked_components(spark, monkeypatch):
+    """Chains, a hub, repeats, loops and nulls, in rounds that grow as the logarithm of the longest path."""
+    rng = np.random.default_rng(5)
+    names = [f"n{i:03}" for i in rng.permutation(300)]
+    pairs = [*zip(names[:199], names[1:200]), *[(names[200], x) for x in names[201:260]], (names[260], names[260]), (None, names[0]), (names[0], None), (names[1], names[0]), (names[280], names[281]), (names[282], names[281])]
+    rounds, cut = [], components.cut
+    monkeypatch.setattr(components, "cut", lambda df: rounds.append(1) or cut(df))
+    got = {tuple(x) for x in components.linked_components(spark.createDataFrame(pairs, "source string, target string")).collect()}
+    assert got == {(x, min(g)) for g in (names[:200], names[200:260], names[280:283]) for x in g}
+    assert len(rounds) <= 12
+    several = spark.createDataFrame([(9, 5), (9, 2), (5, 1)], "source int, target int")
+    assert {x[1] for x in components.linked_components(several).collect()} == {1}
+    assert components.linked_components(several.limit(0)).isEmpty()

@@ -106,3 +106,17 @@ def test_no_hunks_and_no_symbols(spark):
     only = intrafile.attributed(spark.createDataFrame([("c", "f", 1, 1, 1, 1)], HUNKS), spark.createDataFrame([], SYMBOLS)).collect()
     assert [tuple(r) for r in only] == [("c", "f", "f", 2.0)]
     assert intrafile.symbol_couplings(none).select(F.col("a")).isEmpty()
+
+
+def test_a_long_chain_of_symbols_is_one_group_in_few_rounds(spark, monkeypatch):
+    """Two rings of 60 symbols: searches from a pivot would take a round for each step."""
+    from strataweave.operators import components
+
+    rows = [("f", f"{g}{i:02}", f"{g}{i + 1:02}", 9, 0.9) for g in "xy" for i in range(59)]
+    rows += [("f", f"{g}00", f"{g}59", 9, 0.9) for g in "xy"] + [("f", f"{g}{i:02}", f"{g}{i + 2:02}", 9, 0.9) for g in "xy" for i in range(0, 58)]
+    rounds, cut = [], components.cut
+    monkeypatch.setattr(components, "cut", lambda df: rounds.append(1) or cut(df))
+    coupled = spark.createDataFrame(rows, "file string, a string, b string, cnt long, w double")
+    groups = intrafile.clusters(coupled)
+    assert {(r["id"], r["component"]) for r in groups.collect()} == {(f"{g}{i:02}", f"{g}00") for g in "xy" for i in range(60)}
+    assert len(rounds) <= 10
