@@ -32,7 +32,9 @@ def attributed(hunks: DataFrame, symbols: DataFrame, bucket: int = BUCKET) -> Da
 
     A hunk's lines are those it takes away and adds.  They are spread evenly over the lines it has afterwards (the one
     before the gap, if it only takes away), and each of these is its innermost symbol's.  Both kinds of ranges are cut at
-    the borders of buckets, so an equi-join on file and bucket finds every overlap and none twice.
+    the borders of buckets, so an equi-join on file and bucket finds every overlap and none twice.  A bucket's ranges are
+    gathered in one row, as they are disjoint and so no more than its lines; what they leave of a hunk's piece is the
+    file's.  Hunks are thus shuffled once, and their parts once.
     """
     spans = hunks.select("commit_id", "file", (F.col("old_lines") + F.col("new_lines")).alias("changed"), F.greatest("new_start", F.lit(1)).alias("from"), F.greatest("new_lines", F.lit(1)).alias("n"))
     spans = spans.where("changed > 0").withColumn("to", F.col("from") + F.col("n") - 1)
@@ -41,13 +43,14 @@ def attributed(hunks: DataFrame, symbols: DataFrame, bucket: int = BUCKET) -> Da
         spread = df.withColumn("bucket", F.explode(F.sequence(F.floor(F.col(a) / bucket), F.floor(F.col(b) / bucket))))
         return spread.withColumns({a: F.greatest(F.col(a), F.col("bucket") * bucket), b: F.least(F.col(b), (F.col("bucket") + 1) * bucket - 1)})
 
-    met = cut_up(spans, "from", "to").join(cut_up(owned_ranges(symbols, bucket), "a", "b"), ["file", "bucket"]).where("a <= to and from <= b")
-    share = (F.least("b", "to") - F.greatest("a", "from") + 1) * F.col("changed") / F.col("n")
-    inside = met.groupBy("commit_id", "file", F.col("symbol").alias("node")).agg(F.sum(share).alias("lines"))
-    # what no symbol has is the file's
-    all_lines = spans.groupBy("commit_id", "file").agg(F.sum("changed").cast("double").alias("lines"))
-    rest = all_lines.union(inside.groupBy("commit_id", "file").agg(-F.sum("lines"))).groupBy("commit_id", "file").agg(F.sum("lines").alias("lines"))
-    return inside.union(rest.where("lines > 1e-6").select("commit_id", "file", F.col("file").alias("node"), "lines"))
+    ranges = cut_up(owned_ranges(symbols, bucket), "a", "b").groupBy("file", "bucket").agg(F.collect_list(F.struct("a", "b", "symbol")).alias("ranges"))
+    met = cut_up(spans, "from", "to").join(ranges, ["file", "bucket"], "left")
+    inside = F.filter(F.coalesce("ranges", F.array().cast("array<struct<a:bigint,b:bigint,symbol:string>>")), lambda r: (r["a"] <= F.col("to")) & (F.col("from") <= r["b"]))
+    parts = F.transform(inside, lambda r: F.struct(r["symbol"].alias("node"), (F.least(r["b"], F.col("to")) - F.greatest(r["a"], F.col("from")) + 1).alias("k")))
+    left = F.col("to") - F.col("from") + 1 - F.aggregate("parts", F.lit(0).cast("long"), lambda n, x: n + x["k"])
+    owned = met.withColumn("parts", parts).withColumn("part", F.explode(F.concat("parts", F.array(F.struct(F.col("file").alias("node"), left.alias("k"))))))
+    share = F.col("part.k") * F.col("changed") / F.col("n")
+    return owned.where("part.k > 0").groupBy("commit_id", "file", F.col("part.node").alias("node")).agg(F.sum(share).alias("lines")).where("node <> file or lines > 1e-6")
 
 
 def symbol_touches(changes: DataFrame) -> DataFrame:

@@ -120,3 +120,13 @@ def test_a_long_chain_of_symbols_is_one_group_in_few_rounds(spark, monkeypatch):
     groups = intrafile.clusters(coupled)
     assert {(r["id"], r["component"]) for r in groups.collect()} == {(f"{g}{i:02}", f"{g}00") for g in "xy" for i in range(60)}
     assert len(rounds) <= 10
+
+
+def test_hunks_are_read_once(spark):
+    """A hunk's symbols and its file's rest come from one pass: the hunks are in the plan once."""
+    symbols = spark.createDataFrame([("f", "f::a", 3, 10), ("f", "f::b", 5, 6)], "file string, symbol string, line_start int, line_end int")
+    hunks = spark.range(1).selectExpr("'c' as commit_id", "'f' as file", "cast(2 + id as int) as old_lines", "cast(1 as int) as new_start", "cast(8 as int) as new_lines")
+    got = intrafile.attributed(hunks, symbols)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (0, 1") == 1
+    assert {r["node"]: r["lines"] for r in got.collect()} == {"f::a": 5.0, "f::b": 2.5, "f": 2.5}
