@@ -1,4 +1,4 @@
-"""Work on the driver's tables goes to all tasks, and shared tables are made once."""
+"""Work on the driver's tables goes to all tasks."""
 
 from pyspark.sql import functions as F
 
