@@ -22,7 +22,11 @@ def is_fix_message(message: Column) -> Column:
 def defect_metrics(touches: DataFrame, fixes: DataFrame, loc: DataFrame) -> DataFrame:
     """(node_id, bug_count, defect_density, fix_inducing_rate) of every file with a fix; loc is (file, loc)."""
     bugs = fixes.select("commit_id", "file").distinct().groupBy("file").agg(F.count("*").alias("bug_count"))
-    freq = touches.groupBy("file").agg(F.count("*").alias("n"))
+    return bug_rates(bugs, touches.groupBy("file").agg(F.count("*").alias("n")), loc)
+
+
+def bug_rates(bugs: DataFrame, freq: DataFrame, loc: DataFrame) -> DataFrame:
+    """As defect_metrics, from (file, bug_count) and (file, n)."""
     joined = bugs.join(loc, "file", "left").join(freq, "file", "left")
     return joined.select(F.col("file").alias("node_id"), "bug_count", F.coalesce(F.try_divide(F.col("bug_count"), F.col("loc")), F.lit(0.0)).alias("defect_density"), F.coalesce(F.try_divide(F.col("bug_count"), F.col("n")), F.lit(0.0)).alias("fix_inducing_rate"))
 
@@ -36,8 +40,12 @@ def _fix_pairs(touches: DataFrame, fixes: DataFrame, max_files: int) -> DataFram
 def fault_propagates(touches: DataFrame, fixes: DataFrame, max_files: int) -> DataFrame:
     """(source, target, cnt, weight)."""
     times = _fix_pairs(touches, fixes, max_files).groupBy("source", "target").agg(F.count("*").alias("cnt"))
-    freq = touches.groupBy(F.col("file").alias("source")).agg(F.count("*").alias("n"))
-    return times.join(freq, "source").select("source", "target", "cnt", (F.col("cnt") / F.col("n")).alias("weight"))
+    return fault_shares(times, touches.groupBy("file").agg(F.count("*").alias("n")))
+
+
+def fault_shares(times: DataFrame, freq: DataFrame) -> DataFrame:
+    """As fault_propagates, from (source, target, cnt) and (file, n)."""
+    return times.join(freq.withColumnRenamed("file", "source"), "source").select("source", "target", "cnt", (F.col("cnt") / F.col("n")).alias("weight"))
 
 
 def co_fix(fixes: DataFrame, max_files: int) -> DataFrame:
