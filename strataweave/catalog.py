@@ -310,7 +310,7 @@ query("signals_searched", q(ALL_SQL, SEVERITY + "all_ WHERE signal_type IN ('gho
 query("signal_counts", q(ALL_SQL, "SELECT signal_type, COUNT(*) AS n, CAST(LIST_POSITION([" + ", ".join(f"'{k}'" for k in display.SIGNAL_ORDER) + "], signal_type) AS INTEGER) AS place FROM all_ GROUP BY signal_type"))(lambda fx: fixed.signal_counts(_all(fx)))
 query("signal_index", q(ALL_SQL, "SELECT node, signal_type, COUNT(*) AS n FROM (SELECT node_a AS node, signal_type FROM all_ UNION ALL SELECT node_b, signal_type FROM all_ WHERE node_b IS NOT NULL) GROUP BY ALL"))(lambda fx: fixed.signal_index(_all(fx)))
 query("signal_priority", q(ALL_SQL, "SELECT priority, COUNT(*) AS n FROM (SELECT CASE WHEN signal_type IN ('fragile_boundary', 'ticking_bomb', 'dependency_cycle') THEN 'critical' WHEN signal_type = 'stable_core' THEN 'guard' WHEN signal_type = 'over_engineering' THEN 'info' ELSE 'high' END AS priority FROM all_) GROUP BY ALL"))(lambda fx: _all(fx).groupBy(display.priority(F.col("signal_type")).alias("priority")).agg(F.count("*").alias("n")))
-query("stats", q(ALL_SQL, f"SELECT (SELECT COUNT(*) FROM nodes) AS total_nodes, {COUNTS}, (SELECT COUNT(*) FROM all_) AS total_signals FROM edges".replace("COUNT_IF(layer", "COUNT(*) FILTER (layer")))(lambda fx: fixed.stats(fx.nodes(), fx.settle().edges(), _all(fx)))
+query("stats", q(ALL_SQL, f"SELECT (SELECT COUNT(*) FROM nodes) AS total_nodes, {COUNTS}, (SELECT COUNT(*) FROM all_) AS total_signals FROM edges".replace("COUNT_IF(layer", "COUNT(*) FILTER (layer")))(lambda fx: fixed.stats(fx.settle().nodes(), fx.edges(), _all(fx)))
 
 # --- queries ------------------------------------------------------------------------------------------------------
 
@@ -328,7 +328,7 @@ def impact_temporal(fx: Fixture) -> DataFrame:
 
 
 query("impact_signals", q(ALL_SQL, SEVERITY + f"all_ WHERE node_a = '{CENTER}' OR node_b = '{CENTER}'"))(lambda fx: _judged(fixed.impact_signals(_all(fx), CENTER)))
-query("impact")(lambda fx: fixed.impact(fx.nodes(), fx.settle().edges(), _all(fx), fx.change_metrics(), CENTER))
+query("impact")(lambda fx: fixed.impact(fx.settle().nodes(), fx.edges(), _all(fx), fx.change_metrics(), CENTER))
 
 
 @query("scc_members", q(GRAPH + "," + ALL_CYCLES, "SELECT id, component FROM scc"))
@@ -562,11 +562,17 @@ def dot_nodes(fx: Fixture) -> DataFrame:
 
 
 def _exported(fx: Fixture, kind: str) -> DataFrame:
+    fx.settle()
     top = fixed.hotspots(fx.nodes(), fx.frequencies().withColumnRenamed("file", "node_id"), 50)
     return {"dot": export.dot, "mermaid": export.mermaid}[kind](top, _all(fx))
 
 
 query("export_dot")(lambda fx: _exported(fx, "dot"))
 query("export_mermaid")(lambda fx: _exported(fx, "mermaid"))
-query("export_viz_json")(lambda fx: export.viz_json(fixed.viz_nodes(fx.nodes(), fx.settle().structural(), fx.change_metrics(), fx.defect_metrics(), document=True), fx.settle().edges(), _all(fx), fx.spark.createDataFrame([("time_window", "all")], "key string, value string")))
-query("export_json")(lambda fx: export.summary_json(fixed.stats(fx.nodes(), fx.settle().edges(), _all(fx)), _all(fx), fixed.hotspots(fx.nodes(), fx.frequencies().withColumnRenamed("file", "node_id"), 100)))
+query("export_viz_json")(lambda fx: export.viz_json(fixed.viz_nodes(fx.settle().nodes(), fx.structural(), fx.change_metrics(), fx.defect_metrics(), document=True), fx.edges(), _all(fx), fx.spark.createDataFrame([("time_window", "all")], "key string, value string")))
+
+
+@query("export_json")
+def export_json(fx: Fixture) -> DataFrame:
+    found = _all(fx)
+    return export.summary_json(fixed.stats(fx.nodes(), fx.edges(), found), found, fixed.hotspots(fx.nodes(), fx.frequencies().withColumnRenamed("file", "node_id"), 100))

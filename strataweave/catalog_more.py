@@ -195,7 +195,7 @@ UNION ALL VALUES (0, 'graph LR'), (3, '  classDef hot fill:#f96,stroke:#333')"""
 
 
 def _exported(fx: Fixture, lines) -> DataFrame:
-    top = fixed.hotspots(fx.nodes(), fx.frequencies().withColumnRenamed("file", "node_id"), 50)
+    top = fixed.hotspots(fx.settle().nodes(), fx.frequencies().withColumnRenamed("file", "node_id"), 50)
     return lines(top, _all(fx)).select("section", "line")
 
 
@@ -212,7 +212,7 @@ UNION ALL SELECT 'metric', UNNEST(['change_freq', 'churn_lines', 'hotspot_score'
 @query("impact_rows", IMPACT_SQL)
 def impact_rows(fx: Fixture) -> DataFrame:
     """All that impact says of a module, a row for each thing."""
-    return rounded(fixed.impact_rows(fx.nodes(), fx.settle().edges(), _all(fx), fx.change_metrics(), CENTER), "value")
+    return rounded(fixed.impact_rows(fx.settle().nodes(), fx.edges(), _all(fx), fx.change_metrics(), CENTER), "value")
 
 
 @query("node_lookup", q(LINES, "SELECT id, type, loc, complexity FROM nodes WHERE id IN (SELECT file FROM freq WHERE change_freq = (SELECT MAX(change_freq) FROM freq))"))

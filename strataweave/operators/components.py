@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, cut_counted
 
 #: Shrinking goes on while so many of the nodes fall away at a time, or any in a chain.
 SHRINKS = 0.1
@@ -35,8 +35,8 @@ def shrunk(edges: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """edges without dead ends and chains, and the chains' nodes as (id, pred, succ), a frame a round."""
     links = []
     while True:
-        nodes = cut(degrees(edges))
-        n, n_dead, n_chain = nodes.agg(F.count("*"), F.count_if(F.expr("outs = 0 or ins = 0")), F.count_if(F.expr("outs = 1 and ins = 1"))).first()
+        nodes, seen = cut_counted(degrees(edges), n=F.count(F.lit(1)), dead=F.count_if(F.expr("outs = 0 or ins = 0")), chain=F.count_if(F.expr("outs = 1 and ins = 1")))
+        n, n_dead, n_chain = seen["n"], seen["dead"], seen["chain"]
         if not n_chain and (not n_dead or n_dead < SHRINKS * n):
             return edges, links
         dead = nodes.where("outs = 0 or ins = 0").select("id")
@@ -45,9 +45,11 @@ def shrunk(edges: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         least = chain
         for side in ("pred", "succ"):  # a neighbour that isn't in a chain stays anyway
             least = least.join(ranks.select(F.col("n").alias(side), F.col("other").alias(f"h_{side}")), side, "left").where(F.col(f"h_{side}").isNull() | (F.col("h") < F.col(f"h_{side}")))
-        link = cut(least.select("part", "id", "pred", "succ"))
-        gone = dead.union(link.select("id"))
-        joined = edges.select("source", "target", "part").union(link.where("pred <> succ").select("pred", "succ", "part"))
+        gone, joined = dead, edges.select("source", "target", "part")
+        if n_chain:
+            link = cut(least.select("part", "id", "pred", "succ"))
+            gone = dead.union(link.select("id"))
+            joined = joined.union(link.where("pred <> succ").select("pred", "succ", "part"))
         edges = cut(joined.join(gone.toDF("source"), "source", "left_anti").join(gone.toDF("target"), "target", "left_anti").select("source", "target", "part").distinct())
         if n_chain:
             links.append(link.select("id", "pred", "succ"))
@@ -60,8 +62,8 @@ def _search(edges: DataFrame, starts: DataFrame) -> DataFrame:
     fronts = [front]
     while True:
         reached = ways.join(front, ["id", "ahead"], "left_semi").select(F.col("next").alias("id"), "ahead").distinct()
-        front = cut(reached.join(reduce(DataFrame.union, fronts), ["id", "ahead"], "left_anti"))
-        if front.isEmpty():
+        front, new = cut_counted(reached.join(reduce(DataFrame.union, fronts), ["id", "ahead"], "left_anti"), n=F.count(F.lit(1)))
+        if not new["n"]:
             return reduce(DataFrame.union, fronts)
         fronts.append(front)
         if len(fronts) > 16:  # plans stay short however many fronts there are

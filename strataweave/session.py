@@ -8,7 +8,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 #: What `cut` and others have written to the shared folder and nobody has discarded, oldest first.
@@ -60,6 +61,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_counted(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """As cut, with aggregates of df that are taken while it is written."""
+    seen = Observation()
+    out = cut(df.observe(seen, *[c.alias(name) for name, c in counts.items()]))
+    got = seen.get
+    return out, got if set(counts) <= set(got) else out.agg(*[c.alias(name) for name, c in counts.items()]).first().asDict()
+
+
+def one_row(df: DataFrame) -> DataFrame:
+    """A frame of one row, its columns computed now and kept as values."""
+    row = df.first()
+    return df.sparkSession.range(1).select(*[F.lit(x).cast(f.dataType).alias(f.name) for x, f in zip(row, df.schema, strict=True)])
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, deleted by `discard` or when the driver ends."""
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
