@@ -118,7 +118,7 @@ def kept_touches(fx: Fixture) -> DataFrame:
 
 @query("change_propagates", q(PAIRS, "SELECT source, target, cnt, ROUND(cnt / change_freq, 6) AS weight FROM (SELECT x.file AS source, y.file AS target, COUNT(DISTINCT x.seq) AS cnt FROM (SELECT file, seq, UNNEST(RANGE(1, 6)) AS k FROM st) x JOIN st y ON y.seq = x.seq - x.k AND x.file <> y.file GROUP BY ALL) JOIN freq ON file = source"))
 def change_propagates(fx: Fixture) -> DataFrame:
-    return rounded(change.change_propagates(fx.touches(), 5, BUILD.max_files_per_commit), "weight")
+    return rounded(change.change_propagates(cut(fx.touches()), 5, BUILD.max_files_per_commit), "weight")
 
 
 # --- structural layer ---------------------------------------------------------------------------------------------

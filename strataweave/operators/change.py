@@ -125,18 +125,24 @@ def co_change_edges(coupled: DataFrame) -> DataFrame:
     return coupled.select(F.col("a").alias("source"), F.col("b").alias("target"), F.lit("change").alias("layer"), F.lit("co_changes").alias("edge_type"), F.col("w").alias("weight"))
 
 
+#: Neighbouring commits that are looked at together.
+BLOCK = 4096
+
+
 def change_propagates(touches: DataFrame, within: int, max_files: int) -> DataFrame:
     """Extension: (source, target, cnt, weight): target changed in one of the next `within` commits after source did.
 
-    A commit's files go to its own place and, as what comes next, to the `within` places before it in time.  There both
-    meet once, targets of several later commits count once, and pairs are counted before they are shuffled.
+    Commits go by blocks of neighbouring places, the last places of a block also to the next one, whose commits are older, so a touch is
+    shuffled about once.  There a commit meets those after it, targets of several of them count once, and pairs are counted
+    before they are shuffled.
     """
-    small = touches.join(bulk_commits(touches, max_files), "commit_id", "left_anti")
-    files = small.groupBy("seq").agg(F.collect_set("file").alias("files"))
-    none = F.array().cast("array<string>")
-    later = files.select(F.explode(F.sequence(F.col("seq") + 1, F.col("seq") + within)).alias("s"), none.alias("own"), F.col("files").alias("next"))
-    met = files.select(F.col("seq").alias("s"), F.col("files").alias("own"), none.alias("next")).union(later)
-    placed = met.groupBy("s").agg(F.flatten(F.collect_list("own")).alias("own"), F.array_distinct(F.flatten(F.collect_list("next"))).alias("next")).where("size(own) > 0 and size(next) > 0")
+    block = lambda place: F.floor(place / F.lit(BLOCK)).cast("long")
+    here = block(F.col("seq"))
+    ahead = F.sequence(here, block(F.col("seq") + within))
+    rows = touches.where("seq is not null").select(F.explode(ahead).alias("block"), "seq", "file").repartition("block")
+    files = rows.groupBy("block", "seq").agg(F.count("*").alias("n"), F.collect_set("file").alias("own")).where(F.col("n") <= max_files)
+    after = F.array_distinct(F.flatten(F.collect_list("own").over(W.partitionBy("block").orderBy("seq").rangeBetween(-within, -1))))
+    placed = files.withColumn("next", after).where(here == F.col("block")).where("size(own) > 0 and size(next) > 0")
     pairs = placed.select(F.explode("own").alias("source"), "next").select("source", F.explode("next").alias("target")).where("source <> target")
     times = pairs.groupBy("source", "target").agg(F.count("*").alias("cnt"))
     return times.join(frequencies(touches).select(F.col("file").alias("source"), "change_freq"), "source").select("source", "target", "cnt", (F.col("cnt") / F.col("change_freq")).alias("weight"))

@@ -1,10 +1,12 @@
 """One pass over the history counts what the layers' own operators count."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 from test_catalog import star
 
-from strataweave.operators import tally
+from strataweave.operators import change, tally
 from strataweave.sources.fixture import Fixture
 
 
@@ -55,3 +57,20 @@ def test_a_settled_fixture_reads_the_lines_once(spark, folder):
 def test_empty_history(spark, folder):
     fx = Fixture(spark, folder)
     assert tally.tallies(fx.history().limit(0), 8, "l_linenumber").count() == 0
+
+
+@pytest.mark.parametrize("block", [1, 3, 4096])
+def test_changes_propagate_over_the_borders_of_blocks(spark, block, monkeypatch):
+    monkeypatch.setattr(change, "BLOCK", block)
+    files = {0: "ab", 1: "c", 2: "abcd", 4: "b", 7: "ad", 8: "c", 14: "b"}  # 2 is too large
+    touches = spark.createDataFrame([(str(s), s, None, f, 1) for s, fs in files.items() for f in fs], "commit_id string, seq long, ts timestamp, file string, churn long")
+    small = {s: set(fs) for s, fs in files.items() if len(fs) <= 3}
+    expected = Counter((a, b) for s, fs in small.items() for a in fs for b in set().union(*[small.get(s - k, set()) for k in range(1, 6)]) if a != b)
+    got = {(x["source"], x["target"]): x["cnt"] for x in change.change_propagates(touches, 5, 3).collect()}
+    assert got == expected
+
+
+def test_a_touch_is_shuffled_about_once_for_propagation(spark):
+    touches = spark.range(20000).select(F.col("id").cast("string").alias("commit_id"), F.col("id").alias("seq"), F.lit(None).cast("timestamp").alias("ts"), F.lit("f").alias("file"), F.lit(1).alias("churn"))
+    plan = change.change_propagates(touches, 5, 8)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode(sequence") == 1 and plan.count("RepartitionByExpression") == 1 and "LeftAnti" not in plan
