@@ -280,14 +280,16 @@ def _shotgun(fx: Fixture) -> DataFrame:
     return signals.shotgun_surgery(signals.Graph(g.nodes, g.layer("change"), g.nodes, g.nodes, limits))
 
 
-def _cycle_groups(fx: Fixture) -> DataFrame:
+def _cycle_groups(fx: Fixture, node: str | None = None) -> DataFrame:
     strong = change.co_change_edges(fx.coupled("p999")).select("source", "target")
-    return components.strong_components(fx.structural().select("source", "target").union(strong))
+    edges = fx.structural().select("source", "target").union(strong)
+    return components.strong_components(edges) if node is None else components.component_of(edges, node)
 
 
-def _cycles(fx: Fixture) -> DataFrame:
+def _cycles(fx: Fixture, node: str | None = None) -> DataFrame:
+    """The cycles, or the one that a node is on."""
     g = signals.Graph(fx.nodes(), fx.structural(), fx.nodes(), fx.nodes(), fx.nodes())
-    return signals.dependency_cycle(g, _cycle_groups(fx))
+    return signals.dependency_cycle(g, _cycle_groups(fx, node))
 
 
 query("signal_shotgun_surgery", q(GRAPH + "," + SIGNAL_PARTS, SEVERITY + "shot"))(lambda fx: _judged(_shotgun(fx.settle())))
@@ -297,16 +299,28 @@ HAVING COUNT(*) > 1 AND BOOL_AND({is_source("id")} AND NOT {is_generated("id")})
 query("signal_dependency_cycle", q(GRAPH + "," + CYCLES + ",\n" + CYCLE_SQL, SEVERITY + "cyc"))(lambda fx: _judged(_cycles(fx.settle())))
 
 
-def _all(fx: Fixture) -> DataFrame:
+def _found(fx: Fixture, *kinds: str, node: str | None = None) -> DataFrame:
+    """The signals of these kinds, or of all, in no order; if a node is named, at least all that it is an end of."""
     fx.settle()
-    return signals.ordered(cut(reduce(DataFrame.unionByName, [*[_detect(fx, n) for n in LIMITS], _shotgun(fx), _cycles(fx)])))
+    made = {n: lambda n=n: _detect(fx, n) for n in LIMITS} | {"signal_shotgun_surgery": lambda: _shotgun(fx), "signal_dependency_cycle": lambda: _cycles(fx, node)}
+    wanted = tuple(f"signal_{k}" for k in kinds or signals.DETECTORS)
+    return reduce(DataFrame.unionByName, [f() for n, f in made.items() if n.startswith(wanted)])
+
+
+def _all(fx: Fixture) -> DataFrame:
+    return signals.ordered(cut(_found(fx)))
+
+
+def _about(fx: Fixture, node: str) -> DataFrame:
+    """All signals that the node is an end of, in the order of _all."""
+    return signals.ordered(cut(fixed.impact_signals(_found(fx, node=node), node)))
 
 
 _UNION = " UNION ALL ".join(f"SELECT * FROM {x}" for x in (*[v[0] for v in LIMITS.values()], "shot", "cyc"))
 ALL_SQL = GRAPH + "," + SIGNAL_PARTS + "," + CYCLES + ",\n" + CYCLE_SQL + f",\nall_ AS MATERIALIZED ({_UNION})"
 query("signals_all", q(ALL_SQL, SEVERITY + "all_"))(lambda fx: _judged(_all(fx)))
-query("signals_filtered", q(ALL_SQL, SEVERITY + "all_ WHERE signal_type = 'god_module' AND severity >= 2"))(lambda fx: _judged(fixed.signals_where(_all(fx), "god_module", 2.0)))
-query("signals_searched", q(ALL_SQL, SEVERITY + "all_ WHERE signal_type IN ('ghost_coupling', 'stable_core') AND severity >= 0.05 AND (CONTAINS(LOWER(node_a), 'promo') OR COALESCE(CONTAINS(LOWER(node_b), 'promo'), FALSE))"))(lambda fx: _judged(fixed.search_signals(_all(fx), ("ghost_coupling", "stable_core"), 0.05, "PROMO")))
+query("signals_filtered", q(ALL_SQL, SEVERITY + "all_ WHERE signal_type = 'god_module' AND severity >= 2"))(lambda fx: _judged(fixed.signals_where(_found(fx, "god_module"), "god_module", 2.0)))
+query("signals_searched", q(ALL_SQL, SEVERITY + "all_ WHERE signal_type IN ('ghost_coupling', 'stable_core') AND severity >= 0.05 AND (CONTAINS(LOWER(node_a), 'promo') OR COALESCE(CONTAINS(LOWER(node_b), 'promo'), FALSE))"))(lambda fx: _judged(fixed.search_signals(signals.ordered(_found(fx, "ghost_coupling", "stable_core")), ("ghost_coupling", "stable_core"), 0.05, "PROMO")))
 query("signal_counts", q(ALL_SQL, "SELECT signal_type, COUNT(*) AS n, CAST(LIST_POSITION([" + ", ".join(f"'{k}'" for k in display.SIGNAL_ORDER) + "], signal_type) AS INTEGER) AS place FROM all_ GROUP BY signal_type"))(lambda fx: fixed.signal_counts(_all(fx)))
 query("signal_index", q(ALL_SQL, "SELECT node, signal_type, COUNT(*) AS n FROM (SELECT node_a AS node, signal_type FROM all_ UNION ALL SELECT node_b, signal_type FROM all_ WHERE node_b IS NOT NULL) GROUP BY ALL"))(lambda fx: fixed.signal_index(_all(fx)))
 query("signal_priority", q(ALL_SQL, "SELECT priority, COUNT(*) AS n FROM (SELECT CASE WHEN signal_type IN ('fragile_boundary', 'ticking_bomb', 'dependency_cycle') THEN 'critical' WHEN signal_type = 'stable_core' THEN 'guard' WHEN signal_type = 'over_engineering' THEN 'info' ELSE 'high' END AS priority FROM all_) GROUP BY ALL"))(lambda fx: _all(fx).groupBy(display.priority(F.col("signal_type")).alias("priority")).agg(F.count("*").alias("n")))
@@ -327,8 +341,8 @@ def impact_temporal(fx: Fixture) -> DataFrame:
     return rounded(fixed.impact_temporal(change.co_change_edges(fx.settle().coupled()), CENTER), "weight")
 
 
-query("impact_signals", q(ALL_SQL, SEVERITY + f"all_ WHERE node_a = '{CENTER}' OR node_b = '{CENTER}'"))(lambda fx: _judged(fixed.impact_signals(_all(fx), CENTER)))
-query("impact")(lambda fx: fixed.impact(fx.settle().nodes(), fx.edges(), _all(fx), fx.change_metrics(), CENTER))
+query("impact_signals", q(ALL_SQL, SEVERITY + f"all_ WHERE node_a = '{CENTER}' OR node_b = '{CENTER}'"))(lambda fx: _judged(_about(fx, CENTER)))
+query("impact")(lambda fx: fixed.impact(fx.settle().nodes(), fx.edges(), _about(fx, CENTER), fx.change_metrics(), CENTER))
 
 
 @query("scc_members", q(GRAPH + "," + ALL_CYCLES, "SELECT id, component FROM scc"))
@@ -417,7 +431,7 @@ pre AS (SELECT top, i, ARRAY_TO_STRING(parts[:i], '/') AS prefix, COUNT(*) AS c
 query("common_prefix", q(PREFIX, "SELECT top, MAX_BY(prefix, i) AS prefix FROM pre WHERE c = (SELECT COUNT(*) FROM paths p WHERE p.top = pre.top) GROUP BY top"))(lambda fx: fixed.common_prefix(fx.nodes().withColumn("top", F.substring_index("file_path", "/", 1)), by="top"))
 query("dep_summary", q(GRAPH, "SELECT id, COUNT(*) FILTER (layer = 'structural' AND o) AS structural_out, COUNT(*) FILTER (layer = 'structural' AND NOT o) AS structural_in, COUNT(*) FILTER (layer = 'change' AND weight > 0.05) AS coupled, COUNT(*) FILTER (layer = 'defect') AS defects FROM (SELECT source AS id, TRUE AS o, layer, weight FROM edges UNION ALL SELECT target, FALSE, layer, weight FROM edges) GROUP BY id"))(lambda fx: fixed.dependency_summary(fx.settle().edges(), 0.05))
 query("edge_index", q(GRAPH, "SELECT node, layer, COUNT(*) AS n FROM (SELECT source AS node, layer FROM edges UNION ALL SELECT target, layer FROM edges) GROUP BY ALL"))(lambda fx: fixed.edge_index(fx.settle().edges()))
-query("highlighted_edges", q(ALL_SQL, "SELECT source, target, edge_type FROM edges e WHERE EXISTS (SELECT 1 FROM all_ a WHERE signal_type IN ('fragile_boundary', 'ghost_coupling', 'ticking_bomb') AND LEAST(node_a, node_b) = LEAST(e.source, e.target) AND GREATEST(node_a, node_b) = GREATEST(e.source, e.target) AND node_b IS NOT NULL)"))(lambda fx: fixed.highlighted(fx.settle().edges(), _all(fx)).select("source", "target", "edge_type"))
+query("highlighted_edges", q(ALL_SQL, "SELECT source, target, edge_type FROM edges e WHERE EXISTS (SELECT 1 FROM all_ a WHERE signal_type IN ('fragile_boundary', 'ghost_coupling', 'ticking_bomb') AND LEAST(node_a, node_b) = LEAST(e.source, e.target) AND GREATEST(node_a, node_b) = GREATEST(e.source, e.target) AND node_b IS NOT NULL)"))(lambda fx: fixed.highlighted(fx.settle().edges(), cut(_found(fx, *fixed.HIGHLIGHTS))).select("source", "target", "edge_type"))
 query("granularity_rollup", q(GRAPH, "SELECT SPLIT_PART(source, '/', 1) AS source, SPLIT_PART(target, '/', 1) AS target, 'structural' AS layer, COUNT(*) AS n, COUNT(*)::DOUBLE AS weight FROM imports WHERE SPLIT_PART(source, '/', 1) <> SPLIT_PART(target, '/', 1) GROUP BY ALL"))(lambda fx: graphops.roll_up(fx.imports(), fx.modules().select("id", F.substring_index("id", "/", 1).alias("name"))))
 
 # --- predicates, text and ranges ----------------------------------------------------------------------------------

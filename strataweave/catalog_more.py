@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import ALL_SQL, CENTER, _all, query, rounded
+from .catalog import ALL_SQL, CENTER, _about, _all, query, rounded
 from .catalog_sql import GRAPH, LINES, MODULES, q
 from .functions import display
 from .operators import intrafile, locate
@@ -212,7 +212,7 @@ UNION ALL SELECT 'metric', UNNEST(['change_freq', 'churn_lines', 'hotspot_score'
 @query("impact_rows", IMPACT_SQL)
 def impact_rows(fx: Fixture) -> DataFrame:
     """All that impact says of a module, a row for each thing."""
-    return rounded(fixed.impact_rows(fx.settle().nodes(), fx.edges(), _all(fx), fx.change_metrics(), CENTER), "value")
+    return rounded(fixed.impact_rows(fx.settle().nodes(), fx.edges(), _about(fx, CENTER), fx.change_metrics(), CENTER), "value")
 
 
 @query("node_lookup", q(LINES, "SELECT id, type, loc, complexity FROM nodes WHERE id IN (SELECT file FROM freq WHERE change_freq = (SELECT MAX(change_freq) FROM freq))"))

@@ -105,6 +105,15 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return labels.join(names, "label").select("id", "component")
 
 
+def component_of(edges: DataFrame, node: str) -> DataFrame:
+    """The rows of strong_components of the node's own component, none if it is in none: one search each way."""
+    left = cut(edges.where("source <> target").select(F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target")).distinct())
+    seen = _search(left, left.sparkSession.range(1).select(F.lit(node).alias("pivot")))
+    both = cut(seen.groupBy("id").agg(F.max("ahead").alias("f"), F.max(~F.col("ahead")).alias("b")).where("f and b").select("id"))
+    least = both.agg(F.min("id").alias("component"), F.count("*").alias("n")).where("n > 1")  # one row
+    return both.join(F.broadcast(least)).select("id", "component")
+
+
 def linked_components(edges: DataFrame) -> DataFrame:
     """(id, component) of nodes linked in either direction, through others as well; component is the group's least id.
 

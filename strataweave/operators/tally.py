@@ -1,8 +1,9 @@
 """Counts of one pass over a history, from which the change layer, the defect layer and what follows what are all made.
 
-history is (commit_id, own, ts, file, n, amount, fixed) and columns to order by: a row for each line of a commit, in which a
-file may come several times and whose n goes along, and one (own, with ts) for each commit that is known.  It is shuffled once,
-by commit; a task counts in blocks of whole commits, so counts are all that is shuffled again.
+history is (commit_id, own, ts, file, amount, fixed) and columns to order by: a row for each line of a commit, in which a file
+may come several times, and one (own, with ts) for each commit that is known.  A file is its name or a number that stands for
+it, which takes less room on its way.  The history is shuffled once, by commit; a task counts in blocks of whole commits, so
+counts are all that is shuffled again.
 """
 
 from __future__ import annotations
@@ -16,25 +17,28 @@ from ..session import ship_package
 
 #: Lines that are counted at a time, and the rest of the last commit.
 BLOCK = 1 << 19
+#: What a row is, beside an ordinary line: a commit's own, or a line that fixes.
+OWN, FIXED = 1, 2
 
 
 def tallies(history: DataFrame, max_files: int, *order: str) -> DataFrame:
-    """(kind, a, b, n, cnt, churn, ts): how often and how much.
+    """(kind, a, b, cnt, churn, ts): how often and how much; a and b are of file's type.
 
     touch: file a changed, churn by how much and ts when last.  fix: file a was fixed.  pair: a < b changed in one commit.
     fault: a changed where b was fixed.  next: b's line came right after one of a, which isn't b.  Pairs and faults are of
     known commits with at most max_files files, touches of all known ones, fixes and nexts of all.
     """
     ship_package(history.sparkSession)
-    kind = dict(history.dtypes)["ts"]
+    kinds = dict(history.dtypes)
 
     def run(batches: Iterator) -> Iterator:
         for block in whole_commits(batches, BLOCK):
             yield from counts(block, max_files).to_batches()
 
-    sorted_ = history.repartition("commit_id").sortWithinPartitions("commit_id", F.desc("own"), *order)
-    counted = sorted_.select("commit_id", "own", "ts", "file", "n", "amount", "fixed").mapInArrow(run, f"kind string, a string, b string, n int, cnt long, churn long, ts {kind}")
-    return counted.groupBy("kind", "a", "b").agg(F.max("n").alias("n"), F.sum("cnt").alias("cnt"), F.sum("churn").alias("churn"), F.max("ts").alias("ts"))
+    marks = F.when(F.col("own"), OWN).when(F.col("fixed"), FIXED).otherwise(0).cast("byte")
+    sorted_ = history.withColumn("marks", marks).drop("own", "fixed").repartition("commit_id").sortWithinPartitions("commit_id", *order)
+    counted = sorted_.select("commit_id", "marks", "ts", "file", "amount").mapInArrow(run, f"kind string, a {kinds['file']}, b {kinds['file']}, cnt long, churn long, ts {kinds['ts']}")
+    return counted.groupBy("kind", "a", "b").agg(F.sum("cnt").alias("cnt"), F.sum("churn").alias("churn"), F.max("ts").alias("ts"))
 
 
 def _starts(commits) -> object:
@@ -73,48 +77,45 @@ def counts(table: object, max_files: int) -> object:
 
     column = lambda name: table[name].combine_chunks()
     commit = np.cumsum(_starts(column("commit_id"))) - 1
-    own = column("own").to_numpy(zero_copy_only=False).astype(bool)
+    marks = column("marks").to_numpy()
+    own = marks == OWN
     known = np.bincount(commit, own) > 0
     stamps = column("ts")
     never = np.iinfo(np.int64).min
     when = np.full(len(known), never)
     np.maximum.at(when, commit[own], stamps.cast(pa.int64()).fill_null(never).to_numpy()[own])
 
-    # files as numbers in the order of their names, -1 for none
+    # files as numbers in their order, -1 for none
     coded = column("file").dictionary_encode()
     names = np.array(coded.dictionary.to_pylist(), dtype=object)
     ranks = np.empty(len(names), np.int64)
     ranks[np.argsort(names)] = np.arange(len(names))
     size = len(names) + 1
-    files = pa.array(np.sort(names), pa.string())
+    files = pa.array(np.sort(names), coded.dictionary.type)
     code = coded.indices.fill_null(-1).to_numpy().astype(np.int64)
     code = np.where(code < 0, -1, ranks[code] if len(names) else -1)[~own]
     commit = commit[~own]
     amounts = column("amount").filter(pa.array(~own))
     some, amount = amounts.is_valid().to_numpy(zero_copy_only=False), amounts.fill_null(0.0).to_numpy()
-    fixed = column("fixed").fill_null(False).to_numpy(zero_copy_only=False).astype(bool)[~own]
-    n_of = np.zeros(size, np.int32)
-    n_of[code] = column("n").fill_null(0).to_numpy()[~own]
+    fixed = marks[~own] == FIXED
 
     out = []
 
-    def add(kind: str, a, b, cnt, n=None, churn=None, ts=None) -> None:
+    def add(kind: str, a, b, cnt, churn=None, ts=None) -> None:
         k, none = len(cnt), np.full(len(cnt), -1)
         take = lambda x: files.take(pa.array(x, mask=x < 0))
         churn = pa.nulls(k, pa.int64()) if churn is None else churn
         ts = pa.nulls(k, stamps.type) if ts is None else pa.array(ts, mask=ts == never).cast(stamps.type)
-        n = pa.nulls(k, pa.int32()) if n is None else pa.array(n)
-        out.append(pa.table([pa.array([kind] * k, pa.string()), take(a), take(none if b is None else b), n, pa.array(cnt, pa.int64()), churn, ts], ["kind", "a", "b", "n", "cnt", "churn", "ts"]))
+        out.append(pa.table([pa.array([kind] * k, pa.string()), take(a), take(none if b is None else b), pa.array(cnt, pa.int64()), churn, ts], ["kind", "a", "b", "cnt", "churn", "ts"]))
 
-    def add_pairs(kind: str, keys: list, n=None) -> None:
+    def add_pairs(kind: str, keys: list) -> None:
         key, cnt = np.unique(np.concatenate([np.empty(0, np.int64), *keys]), return_counts=True)
-        a, b = key // size, key % size
-        add(kind, a, b, cnt, None if n is None else n[a])
+        add(kind, key // size, key % size, cnt)
 
     follows = np.flatnonzero((commit[1:] == commit[:-1]) & (code[1:] >= 0) & (code[:-1] >= 0) & (code[1:] != code[:-1]))
-    add_pairs("next", [code[follows] * size + code[follows + 1]], n_of)
+    add_pairs("next", [code[follows] * size + code[follows + 1]])
 
-    # touches: a row for each file of a commit, in the order of the names
+    # touches: a row for each file of a commit, in the files' order
     place = commit * size + code + 1
     by = np.argsort(place, kind="stable")
     at = np.flatnonzero(np.r_[True, np.diff(place[by]) != 0]) if len(by) else by
@@ -171,5 +172,14 @@ def bugs(tally: DataFrame) -> DataFrame:
 
 
 def follows(tally: DataFrame) -> DataFrame:
-    """(n, source, target, cnt)."""
-    return tally.where("kind = 'next'").select("n", F.col("a").alias("source"), F.col("b").alias("target"), "cnt")
+    """(source, target, cnt)."""
+    return tally.where("kind = 'next'").select(F.col("a").alias("source"), F.col("b").alias("target"), "cnt")
+
+
+def named(tally: DataFrame, names: DataFrame) -> DataFrame:
+    """The tally with names in place of numbers; names is (file, name).  A pair's names are put in their order."""
+    for end in ("a", "b"):
+        tally = tally.join(names.toDF(end, f"_{end}"), end, "left")
+    swap = (F.col("kind") == "pair") & (F.col("_a") > F.col("_b"))
+    a, b = F.when(swap, F.col("_b")).otherwise(F.col("_a")), F.when(swap, F.col("_a")).otherwise(F.col("_b"))
+    return tally.select("kind", a.alias("a"), b.alias("b"), "cnt", "churn", "ts")

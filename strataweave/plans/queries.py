@@ -198,9 +198,13 @@ def edge_index(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("source", "target")).alias("node"), "layer").groupBy("node", "layer").agg(F.count("*").alias("n"))
 
 
+#: Signals whose pairs a viewer highlights.
+HIGHLIGHTS = ("fragile_boundary", "ghost_coupling", "ticking_bomb")
+
+
 def highlighted(edges: DataFrame, signals: DataFrame) -> DataFrame:
     """Edges whose ends, in either direction, carry a fragile, ghost or bomb signal together."""
-    pairs = signals.where(F.col("signal_type").isin("fragile_boundary", "ghost_coupling", "ticking_bomb") & F.col("node_b").isNotNull()).select(F.least("node_a", "node_b").alias("lo"), F.greatest("node_a", "node_b").alias("hi")).distinct()
+    pairs = signals.where(F.col("signal_type").isin(*HIGHLIGHTS) & F.col("node_b").isNotNull()).select(F.least("node_a", "node_b").alias("lo"), F.greatest("node_a", "node_b").alias("hi")).distinct()
     return edges.withColumns({"lo": F.least("source", "target"), "hi": F.greatest("source", "target")}).join(pairs, ["lo", "hi"], "left_semi").drop("lo", "hi")
 
 
