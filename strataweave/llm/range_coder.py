@@ -5,8 +5,7 @@ checksum of its coded bytes and one of its ids.  Its ids lie in lanes, one after
 together and share one model, which learns from every lane's id after each step:
 
 * order 2: a table of slots, each checked by 23 bits of its context's hash, with two candidates and their counts;
-* order 1: for each id, the distribution of the ids that have followed it, renewed as the number of steps grows by
-  three fifths;
+* order 1: for each id, the distribution of the ids that have followed it, renewed as the number of steps doubles;
 * order 0: the distribution of the ids that the others did not hold, and a uniform one for what is new to it.
 
 Candidates' counts together with how much order 1 has seen after this id are a state; each state has learnt how often
@@ -42,10 +41,12 @@ from pyspark.sql import functions as F
 
 from .common import CHUNK_BYTES, flat_bytes, scratch, text_chunks
 
-MAGIC = b"SWTIDS\0\2"
+MAGIC = b"SWTIDS\0\3"
 NULL_ID = -(1 << 63)
 #: Ids of a block.
 BLOCK = 1 << 22
+#: From so many ids on, a block has twice the lanes and so half the steps.
+LARGE = 1 << 20
 #: Ids of a segment, if its last document doesn't make it longer.
 SEGMENT = 2 * BLOCK
 SLOT_BITS = 18
@@ -148,15 +149,18 @@ class _Model:
         if len(held) > HELD:
             held = np.sort(np.argsort(-self.rare, kind="stable")[:HELD])
         self.begin0, self.width0 = np.zeros(IDS, np.int64), np.zeros(IDS, np.int64)
-        self.room, self.id_at = 0, np.full(IDS, -1)
+        self.room = 0
         if len(held):
             counts = self.rare[held]
             self.room = IDS - max(16, min(IDS // 4, len(held) * IDS // (2 * int(counts.sum()) + 16)))
             width = counts * (self.room - len(held)) // counts.sum() + 1
             width[np.argmax(width)] += self.room - width.sum()
             self.width0[held], self.begin0[held] = width, np.cumsum(width) - width
-            self.id_at[: self.room] = np.repeat(held, width)
-        self.next_weigh = self.step + max(1, min(64, self.step // 8))
+        if self.decodes:
+            self.id_at = np.full(IDS, -1)
+            if len(held):
+                self.id_at[: self.room] = np.repeat(held, width)
+        self.next_weigh = self.step + max(1, min(128, self.step // 4))
 
     def _relate(self) -> None:
         """Order 1, from all pairs so far."""
@@ -185,7 +189,7 @@ class _Model:
             self.pair_at[: int(cells.sum())] = np.repeat(np.arange(len(counts), dtype=np.int32), cells)
         else:
             self._index(pairs)
-        self.next_relate = self.step + max(2, self.step * 3 // 5)
+        self.next_relate = self.step + max(2, self.step)
 
     def _index(self, pairs: np.ndarray) -> None:
         """Where a pair is; the few that neither table has room for count as not seen."""
@@ -231,11 +235,15 @@ class _Model:
         self.others.append(others)
         self.met.append(pair.astype(np.uint32))
         case = np.minimum(kind, 2)
+        fresh = -(case >> 1)  # all bits where neither candidate was right; masks, as branches on them are mostly guessed wrong
         case <<= 8
         case |= self.counts
         candidates = ids << 16
         candidates |= self.first
-        candidates = np.where(kind < ORDER1, self.known & 0xFFFFFFFF, candidates)
+        candidates ^= self.known
+        candidates &= fresh
+        candidates ^= self.known
+        candidates &= 0xFFFFFFFF
         swap = _SWAP[case]
         slot = candidates << swap
         slot &= 0xFFFFFFFF
@@ -260,8 +268,8 @@ _LEAST, _LOW32, _MOST = 1 << 32, (1 << 32) - 1, (1 << TOTAL_BITS) - 1
 
 
 def _lanes(n: int) -> tuple[int, int]:
-    """Lanes of a block of n ids, and their steps."""
-    lanes = 1 << ((n.bit_length() + 2) // 2)
+    """Lanes of a block of n ids, and their steps; large blocks have enough steps to learn from with twice the lanes."""
+    lanes = 1 << ((n.bit_length() + (2 if n < LARGE else 4)) // 2)
     return lanes, -(-n // lanes)
 
 
@@ -292,17 +300,23 @@ def encode_block(ids: np.ndarray) -> bytes:
         pair |= x
         if len(model.info):
             known, info = model.find(pair)
-            kind = ORDER0 - known
+            kind = ORDER0 - known.astype(np.int64)
             begin, part = info >> 16 & (IDS - 1), info & (IDS - 1)
             part += 1
         else:
             kind, begin, part = np.full(lanes, ORDER0), np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        hit, second = x == model.first, x == model.second
-        np.putmask(kind, second, SECOND)
-        np.putmask(kind, hit, FIRST)
-        hit |= second
-        np.putmask(begin, hit, 0)
-        np.putmask(part, hit, IDS)
+        first, second = x == model.first, x == model.second
+        kind -= SECOND
+        kind &= second.astype(np.int64) - 1
+        kind += SECOND
+        kind &= first.astype(np.int64) - 1
+        first |= second
+        hit = first.astype(np.int64)
+        keep = hit - 1
+        begin &= keep
+        part &= keep
+        hit <<= 16  # all IDS cells
+        part |= hit
         others = np.flatnonzero(kind == ORDER0)
         rare = x[others]
         width = model.width0[rare]
@@ -379,10 +393,17 @@ def decode_block(data: bytes, n: int) -> np.ndarray:
             part += 1
         else:
             x, begin, part = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        hit = kind < ORDER1
-        np.putmask(begin, hit, 0)
-        np.putmask(part, hit, IDS)
-        x = np.where(hit, np.where(kind == FIRST, model.first, model.second), x)
+        hit = (kind < ORDER1).astype(np.int64)
+        keep = hit - 1
+        begin &= keep
+        part &= keep
+        part |= hit << 16  # all IDS cells
+        candidate = model.first ^ model.second
+        candidate &= -(kind & 1)
+        candidate ^= model.first
+        x ^= candidate
+        x &= keep
+        x ^= candidate
         others = np.flatnonzero(kind == ORDER0)
         rare = model.id_at[inside[others]]
         x[others], begin[others], part[others] = rare, model.begin0[rare], model.width0[rare]
