@@ -16,8 +16,9 @@ they differ in at most (|A| + |B|) / 7 elements.  The steps:
 4. Of its signatures a set keeps the rarest that suffice: the others are more than the guarantee needs.  So a passage
    that many documents share makes no candidates unless it is most of a document.
 5. Sets that share a signature are candidates, chained by the smallest set of the signature's.  Each chain is searched
-   exactly, without going through its pairs: breadth first, over an inverted index of what isn't reached yet.  Chains
-   too large for one task are joined pair by pair across tasks instead, first with pivots, then with what is left.
+   exactly, without going through its pairs: breadth first, over an inverted index of what isn't reached yet.  Of
+   chains too large for one task every set is first compared with one other, which joins dense groups; then the chain
+   is dealt to blocks, and those pairs of blocks that may hold another link are searched in the same way.
 """
 
 from __future__ import annotations
@@ -311,6 +312,7 @@ def _signing(buckets: int):
             present, edges = edges_of(bucket)
             chunk = task + number
             out = ([chunk % buckets], [np.array([key, keep, total], np.int64).tobytes()], [b""])
+            row = row.astype(_kind(len(key)))
             for b, x, y in zip(present.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 for column, value in zip(out, (b, row[x:y].tobytes(), low[x:y].tobytes()), strict=True):
                     column.append(value)
@@ -319,13 +321,22 @@ def _signing(buckets: int):
     return run
 
 
+def _kind(n: int) -> type:
+    """What holds the numbers below n."""
+    return np.uint16 if n <= 1 << 16 else np.uint32
+
+
+#: What a signature in more sets than this counts as; among such ones the order is by signature alone.
+MOST = (1 << 16) - 1
+
+
 def _frequent(group: pa.Table) -> pa.Table:
     """For each chunk that asked: which of its signatures in this bucket are in two sets or more, and in how many."""
-    known, chunk, bucket = group["known"].to_pylist(), group["chunk"], group["bucket"][0].as_py()
+    known, chunk, bucket = group["known"].to_pylist(), group["chunk"], group["bucket"]
     a, b = group["a"].to_pylist(), group["b"].to_pylist()
     low = [np.frombuffer(x, np.uint32) for x in b]
     _, place, count = np.unique(np.concatenate(low), return_inverse=True, return_counts=True)
-    df, at = count[place], 0
+    df, at = np.minimum(count, MOST).astype(np.uint16)[place], 0
     out = []
     for i, k in enumerate(known):
         n = len(low[i])
@@ -334,40 +345,65 @@ def _frequent(group: pa.Table) -> pa.Table:
         if k:
             out.append(a[i])
         else:
-            row = np.frombuffer(a[i], np.uint32)[met].astype(np.int64)
-            out.append(np.stack([row << 32 | np.minimum(mine[met], (1 << 32) - 1), low[i][met].astype(np.int64) | np.int64(bucket) << 32]).tobytes())
-    return pa.table([chunk, group["known"], _binary(out)], names=["chunk", "known", "payload"])
+            row = np.frombuffer(a[i], np.uint16 if len(a[i]) == 2 * n else np.uint32)[met]
+            out.append(low[i][met].tobytes() + mine[met].tobytes() + row.tobytes())
+    return pa.table([chunk, group["known"], bucket, _binary(out)], names=["chunk", "known", "bucket", "payload"])
 
 
 def _keep(group: pa.Table) -> pa.Table:
-    """(token, key) of the signatures that a chunk's sets keep: the rarest, of which those of one set alone come first."""
-    known, payload = group["known"].to_pylist(), group["payload"].to_pylist()
+    """(bucket, key, token) of the signatures that a chunk's sets keep: the rarest, of which those of one set alone come first."""
+    known, payload, buckets = group["known"].to_pylist(), group["payload"].to_pylist(), group["bucket"].to_pylist()
     key, keep, total = np.frombuffer(payload[known.index(True)], np.int64).reshape(3, -1)
-    parts = [np.frombuffer(p, np.int64).reshape(2, -1) for k, p in zip(known, payload, strict=True) if not k]
-    met = np.concatenate([*parts, np.zeros((2, 0), np.int64)], axis=1)
-    order = np.lexsort((met[1], met[0]))  # by set, frequency and signature
-    row, token = met[0][order] >> 32, met[1][order]
+    width = np.dtype(_kind(len(key))).itemsize
+    token, df, row = ([np.zeros(0, t)] for t in (np.int64, np.uint16, np.int64))
+    for k, bucket, x in zip(known, buckets, payload, strict=True):
+        if not k:
+            n = len(x) // (6 + width)
+            token.append(np.frombuffer(x, np.uint32, n).astype(np.int64) | np.int64(bucket) << 32)
+            df.append(np.frombuffer(x, np.uint16, n, 4 * n))
+            row.append(np.frombuffer(x, _kind(len(key)), n, 6 * n).astype(np.int64))
+    token, df, row = (np.concatenate(x) for x in (token, df, row))
+    order = np.lexsort((token, df, row))
+    row, token = row[order], token[order]
     n = np.bincount(row, minlength=len(key))
     rank = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
     kept = rank < (keep - (total - n))[row]
-    return pa.table([pa.array(token[kept]), pa.array(key[row[kept]])], names=["token", "key"])
-
-
-def candidates(sets: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """(token, key) of the signatures kept, and (key, pivot): each set with the smallest that shares a kept signature.
+    row, token = row[kept], token[kept]
+    order = np.argsort(token >> 32, kind="stable")  # by bucket and then by set
+    row, token = row[order], token[order]
+    present, edges = edges_of(token >> 32)
+    parts = [slice(x, y) for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+    low = (token & 0xFFFFFFFF).astype(np.uint32)
+    return pa.table([pa.array(present, pa.int32()), _binary([key[row[x]].tobytes() for x in parts]), _binary([low[x].tobytes() for x in parts])], names=["bucket", "key", "token"])
+
+
+def _pivots(group: pa.Table) -> pa.Table:
+    """(key, pivot, n): each set with the smallest that shares a signature in this bucket, and by how many of them."""
+    key = np.concatenate([np.frombuffer(x, np.int64) for x in group["key"].to_pylist()])
+    token = np.concatenate([np.frombuffer(x, np.uint32) for x in group["token"].to_pylist()])
+    order = np.lexsort((key, token))
+    key, token = key[order], token[order]
+    first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+    pivot = np.repeat(key[first], np.diff(np.append(first, len(key))))
+    other = key != pivot
+    pair, n = np.unique(np.stack([key[other], pivot[other]]), axis=1, return_counts=True)
+    return pa.table([pa.array(pair[0]), pa.array(pair[1]), pa.array(n, pa.int64())], names=["key", "pivot", "n"])
+
+
+def candidates(sets: DataFrame, buckets: int) -> DataFrame:
+    """(key, pivot, shared): each set with the smallest that shares a kept signature, and how many they have that way.
 
     key is the first 8 bytes of a set's fingerprint.  Should two sets' be alike, they only become candidates.
     """
     asked = sets.select("set", "elements").mapInArrow(_signing(buckets), "bucket int, chunk long, known boolean, a binary, b binary")
-    told = asked.groupBy("bucket").applyInArrow(_frequent, "chunk long, known boolean, payload binary")
-    kept = cut(told.groupBy("chunk").applyInArrow(_keep, "token long, key long"))
-    pivots = kept.groupBy("token").agg(F.min("key").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    return kept, kept.join(pivots.select("token", "pivot"), "token").where("key <> pivot").select("key", "pivot").distinct()
+    told = asked.groupBy("bucket").applyInArrow(_frequent, "chunk long, known boolean, bucket int, payload binary")
+    kept = told.groupBy("chunk").applyInArrow(_keep, "bucket int, key binary, token binary")
+    met = kept.groupBy("bucket").applyInArrow(_pivots, "key long, pivot long, n long")
+    return met.groupBy("key", "pivot").agg(F.sum("n").alias("shared"))
 
 
-def possible_ids(ids: DataFrame, most_bits: int = 1 << 28):
-    """A Bloom filter of ids, of 16 bits each and most_bits at most: what it lets through besides does no harm."""
-    n = ids.count()
+def possible_ids(ids: DataFrame, n: int, most_bits: int = 1 << 28):
+    """A Bloom filter of n ids, of 16 bits each and most_bits at most: what it lets through besides does no harm."""
     bits = min(most_bits, 1 << max(16, math.ceil(math.log2(16 * n + 1))))
     places = ids.select(F.explode(F.array(*[F.pmod(F.xxhash64("doc_id", F.lit(i)), F.lit(bits)) for i in range(3)])).alias("p"))
     held = places.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("v")).toArrow()
@@ -424,7 +460,7 @@ def link_components(sizes: np.ndarray, flat: np.ndarray) -> np.ndarray:
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(set, first) for each chain; rows come ordered by chain."""
+    """(set, first) for each chain; rows come ordered by chain and set, and a set may come several times."""
     held: list[tuple[bytes, np.ndarray]] = []
     chain = None
 
@@ -438,7 +474,8 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield solve()
                 held = []
             chain = c
-            held.append((s, e.copy()))
+            if not held or held[-1][0] != s:
+                held.append((s, e.copy()))
     if held:
         yield solve()
 
@@ -459,29 +496,41 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 LINKED = "100 * met >= 75 * (nx + ny - met)"
 
 
-def _across(kept: DataFrame, sets: DataFrame, large: DataFrame) -> DataFrame:
-    """Links (a, b) inside chains too large for one task.
+def _across(edges: DataFrame, sets: DataFrame, placed: DataFrame, chain_sets: int, chain_elements: int) -> DataFrame:
+    """Links (a, b), enough of them to join all that are linked, inside chains too large for one task.
 
-    Every set is compared with its signatures' pivots, which joins dense groups with a few pairs a set.  Then the sets
-    of a signature that are still in different groups are compared, unless their sizes or, the Jaccard distance being a
-    metric, their distances from the pivot differ too much.
+    edges is candidates', placed (key, component) names the chains.  Every set is compared with the pivot it shares most
+    signatures with.  Then each chain is dealt to blocks of half a task's size by group, if the pivots have made a large one, by
+    size of the sets and by hash, and pairs of blocks are searched whole; not those of one large group, nor those whose sizes differ too
+    much for a link.  So a set travels once for each block that may hold a link of its own.
     """
-    name = large.join(sets.select("key", "set"), "key")
-    kept = kept.join(name, "key").select("token", "set")
-    pivots = kept.groupBy("token").agg(F.min("set").alias("pivot"))
-    edges = kept.join(pivots, "token").where("set <> pivot").select("set", "pivot").distinct()
-    star = cut(_verify(edges.select(F.col("set").alias("x"), F.col("pivot").alias("y")), sets))
-    links = star.where(LINKED).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    few = placed.count() * 64 <= 32 << 20
+    mine = cut(sets.join(F.broadcast(placed) if few else placed, "key"))
+    name = mine.select("key", "set").distinct()
+    near = edges.groupBy("key").agg(F.max_by("pivot", F.struct("shared", "pivot")).alias("pivot"))
+    near = near.join(name.withColumnRenamed("set", "x"), "key").join(name.select(F.col("key").alias("pivot"), F.col("set").alias("y")), "pivot")
+    links = cut(_verify(near.select("x", "y"), mine).where(LINKED).select(F.col("x").alias("a"), F.col("y").alias("b")))
     label = components(links).select(F.col("node").alias("set"), F.col("component").alias("label"))
-    near = star.select(F.col("x").alias("set"), F.col("y").alias("pivot"), "nx", (1 - F.col("met") / (F.col("nx") + F.col("ny") - F.col("met"))).alias("far"))
-    known = kept.join(pivots, "token").join(label, "set", "left").withColumn("label", F.coalesce("label", "set")).where("set <> pivot")
-    known = known.join(near, ["set", "pivot"]).select("token", "set", "label", "nx", "far")
-    spread = known.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("token")
-    known = cut(known.join(spread, "token"))
-    other = known.select("token", *[F.col(c).alias(f"{c}_") for c in ("set", "label", "nx", "far")])
-    apart = known.join(other, "token").where("set < set_ and label <> label_ and 75 * greatest(nx, nx_) <= 100 * least(nx, nx_) and abs(far - far_) <= 0.25 + 1e-9")
-    rest = _verify(apart.select(F.col("set").alias("x"), F.col("set_").alias("y")).distinct(), sets)
-    return links.union(rest.where(LINKED).select("x", "y"))
+    members = cut(mine.select("component", "set", "n").distinct().join(label, "set", "left"))
+    large = members.where("label is not null").groupBy("label").agg(F.count("*").alias("c"), F.sum("n").alias("e"))
+    large = large.where(f"16 * c > {int(chain_sets)} or 16 * e > {int(chain_elements)}").select("label", F.col("label").alias("part"))
+    members = members.join(large, "label", "left").withColumn("scale", F.floor(F.log("n") / math.log(4 / 3)))
+    group = ["component", "part", "scale"]
+    parts = F.ceil(F.greatest(2 * F.count("*") / F.lit(chain_sets), 2 * F.sum("n") / F.lit(chain_elements))).cast("int")
+    groups = members.groupBy(*group).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), parts.alias("parts"))
+    blocks = cut(groups.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("block", F.monotonically_increasing_id()))
+    i, j = (blocks.select("component", *[F.col(c).alias(f"{c}_{x}") for c in ("block", "part", "lo", "hi")]) for x in "ij")
+    apart = "block_i <= block_j and (part_i is null or part_j is null or part_i <> part_j) and 100 * hi_i >= 75 * lo_j and 100 * hi_j >= 75 * lo_i"
+    pairs = cut(i.join(j, "component").where(apart).select("block_i", "block_j").withColumn("pair", F.monotonically_increasing_id()))
+    ends = pairs.select("pair", F.explode(F.array_distinct(F.array("block_i", "block_j"))).alias("block"))
+    sizes = groups.select(*[F.col(c).alias(f"{c}_") for c in (*group, "parts")])
+    same = (F.col("component") == F.col("component_")) & F.col("part").eqNullSafe(F.col("part_")) & (F.col("scale") == F.col("scale_"))
+    dealt = members.join(sizes, same).select(*group, "set", F.pmod(F.xxhash64("set"), F.col("parts_")).cast("int").alias("deal"))
+    at = blocks.select(*[F.col(c).alias(f"{c}_") for c in (*group, "deal")], "block")
+    going = cut(dealt.join(at, same & (F.col("deal") == F.col("deal_"))).select("set", "block").join(ends, "block").select("set", F.col("pair").alias("component")))
+    every = mine.select("set", "elements").join(F.broadcast(going) if few and going.count() * 64 <= 32 << 20 else going, "set")
+    found = every.select("component", "set", "elements").repartition("component").sortWithinPartitions("component", "set").mapInArrow(_search, "set binary, first binary")
+    return links.union(found.where("set <> first"))
 
 
 def jaccard_join(docs: DataFrame, chain_sets: int = CHAIN_SETS, chain_elements: int = CHAIN_ELEMENTS) -> DataFrame:
@@ -495,7 +544,8 @@ def jaccard_join(docs: DataFrame, chain_sets: int = CHAIN_SETS, chain_elements:
     counted = cut(count_shingles(docs))
     may = counted.where("n_shingles > 0 and 100 * n_shared >= 75 * n_shingles")
     one = may.groupBy("set").agg(F.min("doc_id").alias("doc_id"))
-    words_, bits = possible_ids(one)
+    expected = one.count()
+    words_, bits = possible_ids(one, expected)
     places = F.array(*[F.pmod(F.xxhash64("doc_id", F.lit(i)), F.lit(bits)) for i in range(3)])
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -505,9 +555,10 @@ def jaccard_join(docs: DataFrame, chain_sets: int = CHAIN_SETS, chain_elements:
             yield from _sets(iter([batch.filter(pa.array(yes)).select(["text"])]))
 
     made = docs.select("text", places.alias("at")).mapInArrow(some, "set binary, n long, elements binary, key long").where("n > 0")
-    sets = cut(made.groupBy("set", "key").agg(F.first("n").alias("n"), F.first("elements").alias("elements")))
-    kept, edges = candidates(sets, max(64, math.ceil(input_bytes(docs) / BUCKET_BYTES)))
-    edges = cut(edges)
+    sets = cut(made.select("set", "key", "n", "elements"))
+    if sets.count() > 2 * expected:  # rows of one id, or none: the filter lets all of their copies through
+        sets = cut(sets.groupBy("set", "key").agg(F.first("n").alias("n"), F.first("elements").alias("elements")))
+    edges = cut(candidates(sets, max(64, math.ceil(input_bytes(docs) / BUCKET_BYTES))))
     chains = components(edges, "key", "pivot").withColumnRenamed("node", "key")
     sized = chains.join(sets.select("key", "n"), "key")
     extent = sized.groupBy("component").agg(F.count("*").alias("c"), F.sum("n").alias("e"))
@@ -515,10 +566,11 @@ def jaccard_join(docs: DataFrame, chain_sets: int = CHAIN_SETS, chain_elements:
     placed = cut(chains.join(extent, "component"))
     near = placed.where(small).select("key", "component").join(sets.select("set", "key", "elements"), "key").drop("key")
     found = near.repartition("component").sortWithinPartitions("component", "set").mapInArrow(_search, "set binary, first binary")
-    large = placed.where(f"not ({small})").select("key")
+    large = placed.where(f"not ({small})").select("key", "component")
     if not large.isEmpty():
-        far = components(_across(kept, sets, cut(large))).select(F.col("node").alias("set"), F.col("component").alias("first"))
+        far = components(_across(edges, sets, large, chain_sets, chain_elements)).select(F.col("node").alias("set"), F.col("component").alias("first"))
         found = found.union(far)
+    found = cut(found)  # what follows reads it twice
     times = may.groupBy("set").agg(F.count("*").alias("times"))
     grouped = hot_join(may, times.join(found, "set", "left").select("set", F.coalesce("first", "set").alias("first"), "times"), "set", "times")
     grouped = cut(grouped.select("doc_id", "n_shingles", "first"))
