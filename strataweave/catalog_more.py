@@ -113,14 +113,40 @@ def _symbols(fx: Fixture) -> DataFrame:
     return functions.unionByName(around, allowMissingColumns=True)
 
 
-def _symbol_changes(fx: Fixture) -> DataFrame:
-    """An order line is a hunk: near its part's function, adding its quantity, or only taking lines away."""
-    symbols = cut(_symbols(fx))
+def _hunks(fx: Fixture) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Hunks, symbols and (number, name): numbers stand for files, below 0, and for symbols, as names take more room on their way.
+
+    An order line is a hunk: near its part's function, adding its quantity, or only taking lines away.
+    """
+    named = cut(_symbols(fx))
+    number = F.monotonically_increasing_id()
+    files = named.where("file is not null").select(F.col("file").alias("name")).distinct().withColumn("number", -1 - number)
+    names = cut(files.unionByName(named.select(F.col("symbol").alias("name")).distinct().withColumn("number", number)))
+    of = lambda end, which: names.where(which).select(F.col("name").alias(end), F.col("number").alias(f"_{end}"))
+    symbols = named.join(of("symbol", "number >= 0"), "symbol").join(of("file", "number < 0"), "file", "left")
+    symbols = cut(symbols.select("p_partkey", F.col("_file").alias("file"), F.col("_symbol").alias("symbol"), "line_start", "line_end"))
     own = symbols.where("p_partkey is not null").select("p_partkey", "file", "line_start")
     added = F.when(F.col("l_linenumber") % 5 == 0, 0).otherwise(F.col("l_quantity")).cast("int")
     lines = fx.table("lineitem").join(own, F.col("l_partkey") == F.col("p_partkey"))
-    hunks = lines.select(F.col("l_orderkey").cast("string").alias("commit_id"), "file", (F.col("l_linenumber") % 4).cast("int").alias("old_lines"), (F.col("line_start") + F.col("l_linenumber") * 7 % 11 - 5).cast("int").alias("new_start"), added.alias("new_lines"))
-    return cut(intrafile.attributed(hunks, symbols.select("file", "symbol", "line_start", "line_end")))
+    hunks = lines.select(F.col("l_orderkey").alias("commit_id"), "file", (F.col("l_linenumber") % 4).cast("int").alias("old_lines"), (F.col("line_start") + F.col("l_linenumber") * 7 % 11 - 5).cast("int").alias("new_start"), added.alias("new_lines"))
+    return hunks, symbols.select("file", "symbol", "line_start", "line_end"), names
+
+
+def _named(df: DataFrame, names: DataFrame, *columns: str) -> DataFrame:
+    """df with names in place of numbers; there are none for none."""
+    for c in columns:
+        df = df.join(names.select(F.col("number").alias(c), F.col("name").alias("_name")), c, "left").drop(c).withColumnRenamed("_name", c)
+    return df
+
+
+#: Lines of a bucket here: most hunks are in one.
+WIDE = 256
+
+
+def _couplings(fx: Fixture) -> DataFrame:
+    hunks, symbols, names = _hunks(fx)
+    named = _named(intrafile.hunk_couplings(hunks, symbols, bucket=WIDE), names, "file", "a", "b")
+    return named.select("file", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cnt", "w")
 
 
 SYMBOLS = MODULES + """,
@@ -142,12 +168,14 @@ ic AS MATERIALIZED (SELECT pc.file, a, b, cnt, cnt / LEAST(fa.freq, fb.freq) AS
 @query("symbol_changes", q(SYMBOLS, "SELECT file, node, COUNT(*) AS changes, ROUND(SUM(lines), 6) AS lines FROM ch GROUP BY file, node"))
 def symbol_changes(fx: Fixture) -> DataFrame:
     """Changed lines by the innermost function or class around them, or by file outside of both."""
-    return rounded(_symbol_changes(fx).groupBy("file", "node").agg(F.count("*").alias("changes"), F.sum("lines").alias("lines")), "lines")
+    hunks, symbols, names = _hunks(fx)
+    changes = intrafile.attributed(hunks, symbols, WIDE).groupBy("file", "node").agg(F.count("*").alias("changes"), F.sum("lines").alias("lines"))
+    return rounded(_named(changes, names, "file", "node").select("file", "node", "changes", "lines"), "lines")
 
 
 @query("intra_file_couplings", q(SYMBOLS, "SELECT file, a, b, cnt, ROUND(w, 6) AS w FROM ic"))
 def intra_file_couplings(fx: Fixture) -> DataFrame:
-    return rounded(intrafile.symbol_couplings(_symbol_changes(fx)), "w")
+    return rounded(_couplings(fx), "w")
 
 
 @query(
@@ -156,13 +184,15 @@ def intra_file_couplings(fx: Fixture) -> DataFrame:
 me AS (SELECT file, AVG(freq) AS mean FROM fr GROUP BY file) SELECT symbol AS node_a, ROUND(freq / mean, 6) AS severity FROM fr JOIN me USING (file) WHERE freq > {TIMES} * mean AND freq >= 5""").replace("\n,", ","),
 )
 def signal_intra_file_hotspot(fx: Fixture) -> DataFrame:
-    return rounded(intrafile.hotspots(_symbol_changes(fx), _symbols(fx), TIMES), "severity")
+    hunks, symbols, names = _hunks(fx)
+    found = intrafile.hotspots(intrafile.attributed(hunks, symbols, WIDE), symbols, TIMES)
+    return rounded(_named(found, names, "node_a").select("node_a", "severity"), "severity")
 
 
 @query("signal_hidden_intra_file_coupling", q(SYMBOLS, f"SELECT a AS node_a, b AS node_b, ROUND(w, 6) AS severity FROM ic WHERE w > {TOGETHER} AND NOT EXISTS (SELECT 1 FROM fn WHERE (symbol = ic.a AND owner = ic.b) OR (symbol = ic.b AND owner = ic.a))"))
 def signal_hidden_intra_file_coupling(fx: Fixture) -> DataFrame:
     contains = _symbols(fx).where("owner is not null").select(F.col("owner").alias("source"), F.col("symbol").alias("target"), F.lit("contains").alias("edge_type"))
-    return rounded(intrafile.hidden_couplings(intrafile.symbol_couplings(_symbol_changes(fx)), contains, TOGETHER), "severity")
+    return rounded(intrafile.hidden_couplings(_couplings(fx), contains, TOGETHER), "severity")
 
 
 @query(
@@ -174,7 +204,7 @@ su AS (SELECT file, groups, g, SUM(w) AS degree, SUM(i) AS inside FROM (SELECT f
 tm AS (SELECT file, SUM(degree) / 2 AS m FROM su GROUP BY file) SELECT file AS node_a, groups, ROUND(1 - SUM(inside / m - POW(degree / (2 * m), 2)), 6) AS severity FROM su JOIN tm USING (file) GROUP BY file, groups""").replace("\n,", ","),
 )
 def signal_file_split_candidate(fx: Fixture) -> DataFrame:
-    return rounded(intrafile.split_candidates(cut(intrafile.symbol_couplings(_symbol_changes(fx))), SPLIT_AT), "severity")
+    return rounded(intrafile.split_candidates(cut(_couplings(fx)), SPLIT_AT), "severity")
 
 
 # --- exports as lines, lookups ------------------------------------------------------------------------------------

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut
 from . import change
 from .components import linked_components
 from .ranges import innermost
@@ -27,14 +28,14 @@ def owned_ranges(symbols: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return innermost(symbols, spans, "file", "line_start", "line_end", "a", "symbol", bucket).select("file", "symbol", "a", "b")
 
 
-def attributed(hunks: DataFrame, symbols: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """(commit_id, file, node, lines): each commit's changed lines by symbol, those outside all symbols by file.
+def hunk_parts(hunks: DataFrame, symbols: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(commit_id, file, node, lines): the parts of hunks by symbol, and by file what is outside all symbols.
 
-    A hunk's lines are those it takes away and adds.  They are spread evenly over the lines it has afterwards (the one
+    Names may be strings, or numbers that differ between files and symbols.  A hunk's lines are those it takes away and adds.  They are spread evenly over the lines it has afterwards (the one
     before the gap, if it only takes away), and each of these is its innermost symbol's.  Both kinds of ranges are cut at
     the borders of buckets, so an equi-join on file and bucket finds every overlap and none twice.  A bucket's ranges are
     gathered in one row, as they are disjoint and so no more than its lines; what they leave of a hunk's piece is the
-    file's.  Hunks are thus shuffled once, and their parts once.
+    file's.  Hunks are thus shuffled once.
     """
     spans = hunks.select("commit_id", "file", (F.col("old_lines") + F.col("new_lines")).alias("changed"), F.greatest("new_start", F.lit(1)).alias("from"), F.greatest("new_lines", F.lit(1)).alias("n"))
     spans = spans.where("changed > 0").withColumn("to", F.col("from") + F.col("n") - 1)
@@ -45,12 +46,18 @@ def attributed(hunks: DataFrame, symbols: DataFrame, bucket: int = BUCKET) -> Da
 
     ranges = cut_up(owned_ranges(symbols, bucket), "a", "b").groupBy("file", "bucket").agg(F.collect_list(F.struct("a", "b", "symbol")).alias("ranges"))
     met = cut_up(spans, "from", "to").join(ranges, ["file", "bucket"], "left")
-    inside = F.filter(F.coalesce("ranges", F.array().cast("array<struct<a:bigint,b:bigint,symbol:string>>")), lambda r: (r["a"] <= F.col("to")) & (F.col("from") <= r["b"]))
+    inside = F.filter(F.coalesce("ranges", F.array().cast(ranges.schema["ranges"].dataType)), lambda r: (r["a"] <= F.col("to")) & (F.col("from") <= r["b"]))
     parts = F.transform(inside, lambda r: F.struct(r["symbol"].alias("node"), (F.least(r["b"], F.col("to")) - F.greatest(r["a"], F.col("from")) + 1).alias("k")))
     left = F.col("to") - F.col("from") + 1 - F.aggregate("parts", F.lit(0).cast("long"), lambda n, x: n + x["k"])
     owned = met.withColumn("parts", parts).withColumn("part", F.explode(F.concat("parts", F.array(F.struct(F.col("file").alias("node"), left.alias("k"))))))
     share = F.col("part.k") * F.col("changed") / F.col("n")
-    return owned.where("part.k > 0").groupBy("commit_id", "file", F.col("part.node").alias("node")).agg(F.sum(share).alias("lines")).where("node <> file or lines > 1e-6")
+    return owned.where("part.k > 0").select("commit_id", "file", F.col("part.node").alias("node"), share.alias("lines"))
+
+
+def attributed(hunks: DataFrame, symbols: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(commit_id, file, node, lines): each commit's changed lines by symbol, those outside all symbols by file."""
+    parts = hunk_parts(hunks, symbols, bucket)
+    return parts.groupBy("commit_id", "file", "node").agg(F.sum("lines").alias("lines")).where("node <> file or lines > 1e-6")
 
 
 def symbol_touches(changes: DataFrame) -> DataFrame:
@@ -66,6 +73,22 @@ def symbol_couplings(changes: DataFrame, min_co_changes: int = 5, max_symbols: i
     return coupled.join(changes.where("node <> file").select(F.col("node").alias("a"), F.col("file").alias("file")).distinct(), "a").select("file", "a", "b", "cnt", "w")
 
 
+def hunk_couplings(hunks: DataFrame, symbols: DataFrame, min_co_changes: int = 5, max_symbols: int = 50, bucket: int = BUCKET) -> DataFrame:
+    """As symbol_couplings of the hunks attributed; a symbol is of one file.
+
+    Parts of hunks are shuffled once, by commit.  There a symbol counts with itself, which gives how often it changes, and
+    with the others of its file, so both counts are shuffled together, and what is rare ends there.
+    """
+    parts = hunk_parts(hunks, symbols, bucket).where("node <> file").select("commit_id", "file", "node")
+    own = parts.repartition("commit_id").groupBy("commit_id", "file").agg(F.sort_array(F.collect_set("node")).alias("own"))
+    after = F.when(F.size("own") <= max_symbols, F.slice("own", F.col("i") + 1, F.size("own"))).otherwise(F.array("a"))
+    pairs = own.select("own", F.posexplode("own").alias("i", "a")).select("a", F.explode(after).alias("b"))
+    counted = cut(pairs.groupBy("a", "b").agg(F.count("*").alias("cnt")).where((F.col("a") == F.col("b")) | (F.col("cnt") >= min_co_changes)))
+    freq = counted.where("a = b").select(F.col("a").alias("file"), F.col("cnt").alias("change_freq"))
+    coupled = change.couplings(counted.where("a <> b"), freq, min_co_changes)
+    return coupled.join(symbols.select(F.col("symbol").alias("a"), "file").distinct(), "a").select("file", "a", "b", "cnt", "w")
+
+
 def co_change_edges(coupled: DataFrame, min_coupling: float = 0.3) -> DataFrame:
     """Edges between symbols of one file, marked by their scope."""
     kept = coupled.where(F.col("w") >= min_coupling)
