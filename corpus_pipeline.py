@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strataweave.llm import bwt, kneser_ney, mixing, partenum, viterbi
-from strataweave.llm.common import column, numbered, prepare, scratch
+from strataweave.llm.common import column, cut, numbered, prepare, scratch
 from strataweave.llm.queries import table, tokenizer_path
 from strataweave.session import discard, written
 
@@ -28,14 +28,17 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Documents without words, null or empty, link with nothing and stay.  Of rows repeated under one doc_id the first by
     text stays; rows without doc_id all do.  Long texts are compared whole; other columns stay whatever their names; an
-    empty table stays empty.
+    empty table stays empty.  Only texts of ids that seem to be others' copies are shuffled, to be looked up exactly.
     """
     prepare(spark)
     plain, names = numbered(docs)
     doc_id, text = names["doc_id"], names["text"]
-    found = partenum.jaccard_join(docs)
-    one = found.where("doc_id is null or doc_id = component_id").select("doc_id").distinct()
-    kept = plain.join(one, F.col(doc_id).eqNullSafe(F.col("doc_id")), "left_semi")
+    found = cut(partenum.jaccard_join(docs).select("doc_id", "component_id"))
+    stays = "doc_id is null or doc_id <=> component_id"
+    one, gone = (found.where(x).select("doc_id").distinct() for x in (stays, f"not ({stays})"))
+    asked = plain.withColumn("copy", partenum.possible(gone, F.col(doc_id)))
+    looked_up = asked.where("copy").join(one, F.col(doc_id).eqNullSafe(F.col("doc_id")), "left_semi")
+    kept = asked.where("not copy").union(looked_up).drop("copy")
     repeated = kept.groupBy(doc_id).count().where(f"count > 1 and {doc_id} is not null").select(doc_id)
     if repeated.isEmpty():
         return kept.select(*names.values()).toDF(*names)

@@ -31,7 +31,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import C1, components, cut, edges_of, flat_bytes, hot_join, input_bytes, mix, text_chunks, words
@@ -412,6 +412,18 @@ def possible_ids(ids: DataFrame, n: int, most_bits: int = 1 << 28):
     return ids.sparkSession.sparkContext.broadcast(words_), bits
 
 
+def possible(ids: DataFrame, id_: Column) -> Column:
+    """Whether id_ is one of ids (doc_id), or seems so by the filter."""
+    words_, bits = possible_ids(ids, ids.count())
+
+    @F.arrow_udf("boolean")
+    def held(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
+        at = np.stack([np.asarray(x) for x in (a, b, c)])
+        return pa.array((words_.value[at >> 6] >> (at & 63) & 1).astype(bool).all(axis=0))
+
+    return held(*[F.pmod(F.xxhash64(id_.cast("long"), F.lit(i)), F.lit(bits)) for i in range(3)])
+
+
 # --- exact search -------------------------------------------------------------------------------------------------
 
 
